@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import mixing, packing, quality_rules, warc
 from .common import read_table
 
 
@@ -13,17 +14,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_warc": op4_warc,
     "op7_mixing": op7_mixing,
+    "op10_packing": op10_packing,
 }
 
 #: DuckDB SQL where it can express the operator.
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
