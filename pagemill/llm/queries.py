@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, warc
+from . import mixing, packing, quality_rules, simhash, warc
 from .common import read_table
 
 
@@ -23,6 +23,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_warc": op4_warc,
     "op7_mixing": op7_mixing,
+    "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
