@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, simhash, warc
-from .common import read_table
+from . import language_id, mixing, packing, quality_rules, simhash, warc
+from .common import fold_remainder, read_table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.train(*language_id.training_sample(docs, "doc_id", "text", "lang"))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (fold_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_warc": op4_warc,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
