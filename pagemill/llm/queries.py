@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_rules, simhash, warc
+from . import language_id, mixing, packing, quality_model, quality_rules, simhash, warc
 from .common import fold_remainder, read_table
 
 
@@ -31,6 +31,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_model.train(*quality_model.training_sample(docs, read_table(spark, sf_dir, "labels"), quality_model.GRADES))
+    found = quality_model.score_documents(docs, model, tail_grade=quality_model.SELECT_GRADE)
+    return found.withColumn("selected", F.col("tail_prob") >= quality_model.SELECT_PROB)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
