@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_model, quality_rules, simhash, warc
+from . import language_id, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
 from .common import fold_remainder, read_table
 
 
@@ -20,6 +20,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.training_sample(docs, read_table(spark, sf_dir, "labels")))
+    found = toxicity.score_documents(docs, model)
+    return found.select("doc_id", (fold_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.train(*language_id.training_sample(docs, "doc_id", "text", "lang"))
@@ -49,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_quality_classifier": op8_quality_classifier,
