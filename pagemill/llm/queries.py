@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_model, quality_rules, simhash, toxicity, warc
+from . import language_id, mixing, multi_index, packing, quality_model, quality_rules, simhash, toxicity, warc
 from .common import fold_remainder, read_table
 
 
@@ -15,6 +15,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -55,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_multi_index": op3_multi_index,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
