@@ -21,7 +21,7 @@ from .common import stored
 #: Vectors the codebooks are fitted on at most; Lloyd steps; rows in a block; query rows that meet a block at once.
 SAMPLE, STEPS, BLOCK_ROWS, QUERY_ROWS = 10_000, 12, 2048, 4096
 #: The share of all vectors, and their least number, that the cells of a query hold.
-PROBED, LEAST = 0.45, 2000
+PROBED, LEAST = 0.5, 2000
 #: Centroids of each half at most; a walk visits up to their square in cells.
 BOOK = 64
 
