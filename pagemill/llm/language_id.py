@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder
+from .common import fold_remainder, rows_by_text
 from .textfeat import Words, sample_by, tables, words_of
 
 GRAMS, BITS, LEXICON_BITS = (2, 3, 4), 15, 16
@@ -218,6 +218,17 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     return found.select(F.col("id").cast(kind).alias(id_col), "lang_pred", "score")
 
 
+def select_documents(docs: DataFrame, model: Crf, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is known with a score of at least `least`, with all their columns; all rows if none could be learned."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS, LEXICON_BITS and the labels
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        names, scores = predict(shared.value, texts)
+        return [not shared.value.labels or n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]
+
+    return rows_by_text(docs, text_col, keep)
+
+
 def word_languages(model: Crf, text: str) -> list[tuple[str, str, float]]:
     """Each word of a text with its likeliest language and that one's marginal."""
     words = words_of([text])

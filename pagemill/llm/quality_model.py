@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_by_text
 from .textfeat import Words, sample_by, tables
 
 WORD_BITS, GRAM_BITS, GRAM = 15, 15, 3
@@ -148,5 +149,20 @@ def score_documents(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", tex
     return found.select(F.col("id").cast(kind).alias(id_col), F.nanvl("expected_grade", F.lit(None).cast("double")).alias("expected_grade"), "tail_prob")
 
 
+def select_documents(docs: DataFrame, model: Ordinal, grade: int, probability: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose P(grade >= `grade`) reaches `probability`, with all their columns; all rows if there was nothing to learn."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the feature bits
+    at = int(np.searchsorted(np.array(model.grades, dtype=float), grade))
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        out: list[bool] = []
+        for lo, hi, words in tables(texts, lower=False):
+            above = shared.value.cumulative(shared.value.scores(words))
+            out += (above[:, at - 1] >= probability).tolist() if 0 < at <= above.shape[1] else [True] * (hi - lo)
+        return out
+
+    return rows_by_text(docs, text_col, keep)
+
+
 #: The grades of table labels: 0 junk, 1 sound but toxic, 2 sound. A text is selected if it is likelier sound than junk.
 GRADES, SELECT_GRADE, SELECT_PROB = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END", 1, 0.5

@@ -181,5 +181,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = near_duplicates(docs, id_col, text_col, max_bits)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
-    once = kept.groupBy(id_col).agg(F.min(F.struct(F.col(text_col).isNull(), *[F.col(c) for c in docs.columns if c != id_col])).alias("__row"))
+    once = kept.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns if c != id_col]), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("__row"))
     return once.select(*[F.col(id_col) if c == id_col else F.col(f"__row.{c}").alias(c) for c in docs.columns])
