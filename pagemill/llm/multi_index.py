@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Vectors the codebooks are fitted on at most; Lloyd steps; rows in a block; query rows that meet a block at once.
-SAMPLE, STEPS, BLOCK_ROWS, QUERY_ROWS = 10_000, 12, 2048, 4096
+SAMPLE, STEPS, BLOCK_ROWS, QUERY_ROWS = 10_000, 12, 8192, 4096
 #: The share of all vectors, and their least number, that the cells of a query hold.
 PROBED, LEAST = 0.5, 2000
 #: Centroids of each half at most; a walk visits up to their square in cells.
@@ -99,7 +99,8 @@ def nearest(
     size, total = sizes["d"], sizes["count"]
     base = usable(vectors, id_col, vec_col, size)
     drawn = base.where(F.xxhash64("id", "v") / F.lit(float(2**64)) + 0.5 < min(1.0, 1.1 * SAMPLE / total)).orderBy(F.xxhash64("id", "v")).limit(SAMPLE)
-    sample = np.array([r.v for r in drawn.select("v").collect()], dtype=np.float64).reshape(-1, size)
+    drawn = drawn.collect()
+    sample, sample_ids = np.array([r.v for r in drawn], dtype=np.float64).reshape(-1, size), np.array([r.id for r in drawn], dtype=np.int64)
     half = size // 2
     number = int(np.clip(round((total / 2) ** 0.5), 2, book))
     books = (codebook(sample[:, :half], number), codebook(sample[:, half:], number))
@@ -126,25 +127,34 @@ def nearest(
         else:
             room -= counts[c]
     enough = max(least, int(np.ceil(probed * total)))
+    # The sample's vectors are entries too: the k-th best of those in a query's cells bounds what can be among its k nearest found.
+    known = spark.sparkContext.broadcast((sample, sample_ids, codes(sample, books)))  # SAMPLE vectors at most
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(batch["v"].tolist(), dtype=np.float64).reshape(-1, size)
             near = [(b * b).sum(axis=1) - 2 * (h @ b.T) for h, b in zip((x[:, :half], x[:, half:]), books, strict=True)]
             out: list[tuple] = []
+            vectors, ids, cell = known.value
             for row in range(len(x)):
                 by_block: dict[int, list[int]] = {}
+                found = np.zeros(cells, dtype=bool)
                 for c in walk(near[0][row], near[1][row], counts, enough):
+                    found[c] = True
                     for b in range(first_block[c], first_block[c] + n_blocks[c]):
                         by_block.setdefault(b, []).append(c)
-                out += [(batch["id"].iat[row], batch["v"].iat[row], b, cs) for b, cs in by_block.items()]
+                s = (vectors @ x[row])[found[cell] & (ids != batch["id"].iat[row])]
+                bound = float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else -np.inf
+                out += [(batch["id"].iat[row], batch["v"].iat[row], b, cs, bound) for b, cs in by_block.items()]
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["id", "v", "block", "cells"])
+                    yield pd.DataFrame(out, columns=["id", "v", "block", "cells", "bound"])
                     out = []
-            yield pd.DataFrame(out, columns=["id", "v", "block", "cells"])
+            yield pd.DataFrame(out, columns=["id", "v", "block", "cells", "bound"])
 
     asked = usable(queries, id_col, vec_col, size).groupBy("id").agg(F.min("v").alias("v"))
-    shards = max(1, -(-asked.count() // QUERY_ROWS))
+    n_queries = asked.count()
+    shards = max(1, -(-n_queries // QUERY_ROWS))
+    asked = asked.repartition(max(1, -(-n_queries // 256)), "id")  # walks are the work: spread them, however few bytes the queries have
     spread = lambda df: df.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
 
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +165,7 @@ def nearest(
 
     entries = index.mapInPandas(located, "id long, v array<double>, cell long, block long")
     entries = entries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    wanted = spread(asked.select("id", "v").mapInPandas(probes, "id long, v array<double>, block long, cells array<long>"))
+    wanted = spread(asked.select("id", "v").mapInPandas(probes, "id long, v array<double>, block long, cells array<long>, bound double"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -165,8 +175,8 @@ def nearest(
             for at in range(0, len(right), 512):
                 part = right.iloc[at : at + 512]
                 scores = np.array(part["v"].tolist(), dtype=np.float64) @ x.T
-                for row, (q, cs) in enumerate(zip(part["id"].to_numpy(), part["cells"], strict=True)):
-                    use = np.flatnonzero(np.isin(cell, np.asarray(cs)) & (ids != q))
+                for row, (q, cs, bound) in enumerate(zip(part["id"].to_numpy(), part["cells"], part["bound"].to_numpy(), strict=True)):
+                    use = np.flatnonzero(np.isin(cell, np.asarray(cs)) & (ids != q) & (scores[row] >= bound - 1e-9))
                     s = scores[row, use]
                     if len(use) > k:  # all that may be among the k nearest
                         use = use[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
