@@ -227,7 +227,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Templates are joined by host; Spark sends them to all tasks only if they are small, else it splits hot hosts.
     """
     kind = pages.schema[id_col].dataType
-    found = templates(pages, id_col, url_col, html_col, **options)
+    found = stored(templates(pages, id_col, url_col, html_col, **options), "templates")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = rows.join(found, "host", "left").select("id", "url", "html", "host", "hashes")
 
