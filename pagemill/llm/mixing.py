@@ -47,7 +47,7 @@ def mix_sources(
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
-    rows_per_bucket: int = 4096,
+    rows_per_bucket: int = 1024,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken, passes.
 
