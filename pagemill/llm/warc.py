@@ -142,7 +142,10 @@ def write_archives(
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     part = F.substring(F.col(payload_col), 1, SAMPLE_BYTES).cast("binary").alias("payload")
-    sample = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), part).orderBy(F.xxhash64("id", "url"), "id").limit(SAMPLE_RECORDS).collect()
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), part)
+    place = F.xxhash64("id", "url")
+    share = min(1.0, 1.2 * SAMPLE_RECORDS / max(1, pages.count()))  # so that tasks send the driver little more than the sample
+    sample = rows.where(place / F.lit(float(2**64)) + 0.5 <= share).orderBy(place, "id").limit(SAMPLE_RECORDS).collect()
     dictionary = train([warc_record(r.id, r.url, bytes(r.payload or b""), None, False) for r in sample])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
