@@ -1 +1,119 @@
+"""Column functions: built-in expressions only, so all of them stay inside Catalyst."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Strings that stand for "no value" in extracted fields, and those that count against confidence.
+EMPTY_VALUES = ("", "na", "n/a", "none", "null", "unknown", "-")
+UNFILLED_VALUES = ("", "na", "n/a")
+
+
+def domain_of(url: Column) -> Column:
+    """The authority of an http(s) URL, '' if there is none (null: null)."""
+    return F.regexp_extract(url, r"^https?://([^/]+)", 1)
+
+
+def is_empty(value: Column) -> Column:
+    """Whether an extracted string says nothing: null or one of EMPTY_VALUES, case and outer space aside."""
+    return F.coalesce(F.lower(F.trim(value)).isin(*EMPTY_VALUES), F.lit(True))
+
+
+def is_unfilled(value: Column) -> Column:
+    """Whether a field counts against confidence: null or one of UNFILLED_VALUES."""
+    return F.coalesce(F.lower(F.trim(value)).isin(*UNFILLED_VALUES), F.lit(True))
+
+
+def missing_fields(values: dict[str, Column], required: set[str]) -> Column:
+    """Names of the fields without a value; a null counts only if the field is required."""
+    parts = [F.when(v.isNull() & F.lit(name in required) | v.isNotNull() & is_empty(v), F.lit(name)) for name, v in values.items()]
+    return F.array_compact(F.array(*parts))
+
+
+def confidence(values: list[Column]) -> Column:
+    """Share of the fields that are filled; 0 without fields."""
+    if not values:
+        return F.lit(0.0)
+    return sum((F.when(is_unfilled(v), 0).otherwise(1) for v in values), F.lit(0)).cast("double") / len(values)
+
+
+def token_estimate(text: Column, chars_per_token: float = 4.0) -> Column:
+    return F.floor(F.length(text) / F.lit(chars_per_token)).cast("long")
+
+
+def grams(text: Column, n: int) -> Column:
+    """The set of n-character substrings."""
+    last = F.greatest(F.length(text) - n + 1, F.lit(0))
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Dice coefficient of the sets of character bigrams."""
+    x, y = grams(a, 2), grams(b, 2)
+    both = F.size(x) + F.size(y)
+    score = F.lit(2.0) * F.size(F.array_intersect(x, y)) / both
+    same = F.when(a == b, 1.0).otherwise(0.0)
+    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).when(both == 0, same).otherwise(score)
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    """Jaccard index of two sets; 1 where both are empty."""
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
+
+
+def numbers_match(a: Column, b: Column, tolerance: float = 0.01, floor: float = 0.0) -> Column:
+    """Whether two numbers agree within a share of the larger one."""
+    top = F.greatest(F.abs(a), F.abs(b), F.lit(floor))
+    return F.when(top == 0, F.lit(True)).otherwise(F.abs(a - b) / F.nullif(top, F.lit(0.0)) <= tolerance)
+
+
+def cosine(x: Column, y: Column) -> Column:
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+
+
+def clean_markdown(text: Column) -> Column:
+    """At most one blank line in a row, no space before line ends, no invisible characters, trimmed."""
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    text = F.regexp_replace(text, r"[ \t\r\f\x0B]+(?=\n|$)", "")
+    for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = F.regexp_replace(text, "[​‌‍﻿­]", "")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def strip_currency(value: Column) -> Column:
+    return F.regexp_replace(value, r"[^\d.,]", "")
+
+
+def strip_whitespace(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, r"\s+", " "))
+
+
+def fenced_json(text: Column) -> Column:
+    """The JSON of a fenced block in model output, else the whole text, trimmed; null where it is not JSON."""
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
+    found = F.trim(F.when(inner != "", inner).otherwise(text))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def http_class(status: Column) -> Column:
+    """How a fetch ended: ok, retry (blocked, limited, overloaded), fatal (missing, unauthorised), error, or network."""
+    return (
+        F.when(status.isNull(), "network").when(status.isin(403, 429, 503), "retry").when(status.isin(401, 404, 407), "fatal")
+        .when(status >= 400, "error").otherwise("ok")
+    )
+
+
+def backoff_seconds(attempt: Column, first: float = 1.0, factor: float = 2.0, most: float = 60.0) -> Column:
+    """The wait before retry number `attempt` (from 1)."""
+    return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(factor), attempt - 1))
+
+
+def png_size(data: Column, default: tuple[int, int] = (1920, 1080)) -> Column:
+    """Width and height from a PNG header, else the default."""
+    number = lambda at: F.conv(F.hex(F.substring(data, at, 4)), 16, 10).cast("int")
+    is_png = (F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A") & (F.octet_length(data) >= 24)
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    return F.when(F.coalesce(is_png, F.lit(False)), size(number(17), number(21))).otherwise(size(F.lit(default[0]), F.lit(default[1])))

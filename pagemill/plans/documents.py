@@ -1,0 +1,545 @@
+"""Queries over pages and documents: markup, text, routing, merging, change, drift, classification, geometry, replays."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import clean_markdown, cosine, domain_of, fenced_json, is_empty, strip_currency, strip_whitespace
+from ..operators import change, chunk, classify, drift, geometry, html, merge, routing, state, text
+from ..sources import MODELS_SQL, materialised, models, table
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+TAGS = "LIST_TRANSFORM(REGEXP_EXTRACT_ALL(html, '<(\\w+)[\\s>]', 1), lambda t: LOWER(t))"
+CONTENT_TAGS = f"LIST_FILTER({TAGS}, lambda t: t NOT IN {change.NOISE_TAGS})"
+LETTERS_SQL = "[" + ", ".join(f"'{t}'" for t in change.LETTERS) + "]"
+ALPHABET_SQL = "'" + change.ALPHABET.replace("'", "''") + "'"
+SEQUENCE = f"ARRAY_TO_STRING(LIST_TRANSFORM(LIST_SLICE(tags, 1, 500), lambda t: SUBSTR({ALPHABET_SQL}, CAST(COALESCE(LIST_POSITION({LETTERS_SQL}, t), 0) AS INTEGER) + 1, 1)), '')"
+HOST = "REGEXP_EXTRACT(url, '^https?://([^/]+)', 1)"
+
+
+@query(f"SELECT tag, COUNT(*) AS n FROM (SELECT UNNEST({TAGS}) AS tag FROM pages) GROUP BY 1")
+def tag_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.explode(change.tags_of(F.col("html"), ("",))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, LEN({TAGS}) AS n FROM pages")
+def parsed_tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    counted = html.nodes(pages).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return pages.select("page_id").join(counted, "page_id", "left").fillna(0, ["n"])
+
+
+PAIRS = f"""SELECT * FROM (SELECT page_id, LAG(page_id) OVER w AS old_id, tags, LAG(tags) OVER w AS old_tags, html, LAG(html) OVER w AS old_html FROM
+  (SELECT page_id, {HOST} AS host, html, {CONTENT_TAGS} AS tags FROM pages) WINDOW w AS (PARTITION BY host ORDER BY page_id)) WHERE old_id IS NOT NULL"""
+
+
+def page_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each page with the one before it on its host."""
+    pages = table(spark, d, "pages").select("page_id", "html", domain_of(F.col("url")).alias("host"))
+    w = Window.partitionBy("host").orderBy("page_id")
+    rows = pages.withColumn("old_id", F.lag("page_id").over(w)).withColumn("old_html", F.lag("html").over(w)).where("old_id IS NOT NULL")
+    return rows.withColumns({"tags": change.tags_of(F.col("html")), "old_tags": change.tags_of(F.col("old_html"))})
+
+
+DISTANCE = f"LEAST(1.0, LEVENSHTEIN({SEQUENCE.replace('tags', 'old_tags')}, {SEQUENCE}) / GREATEST(LEN(old_tags), LEN(tags), 1)::DOUBLE)"
+
+
+@query(f"SELECT page_id, old_id, {DISTANCE} AS distance FROM ({PAIRS})")
+def tag_sequence_distance(spark: SparkSession, d: str) -> DataFrame:
+    return page_pairs(spark, d).select("page_id", "old_id", change.structural_distance(F.col("old_tags"), F.col("tags")).alias("distance"))
+
+
+@query(f"""WITH p AS ({PAIRS}), c AS (SELECT page_id, tag, SUM(o) AS n_old, SUM(1 - o) AS n_new FROM (SELECT page_id, UNNEST(old_tags) AS tag, 1 AS o FROM p UNION ALL SELECT page_id, UNNEST(tags), 0 FROM p) GROUP BY ALL)
+  SELECT page_id, tag, n_old, n_new, CASE WHEN n_new > n_old THEN 'added' ELSE 'removed' END AS change,
+  CASE WHEN tag IN {change.HIGH_TAGS} THEN 1.0 WHEN tag IN {change.MEDIUM_TAGS} THEN 0.5 WHEN tag IN {change.LOW_TAGS} THEN 0.3 ELSE 0.4 END::DOUBLE AS significance FROM c WHERE n_old <> n_new""")
+def tag_changes(spark: SparkSession, d: str) -> DataFrame:
+    return change.tag_changes(page_pairs(spark, d), "page_id", "old_tags", "tags")
+
+
+TITLE = "REGEXP_EXTRACT({}, '<h1>([^<]*)</h1>', 1)"
+GRAMS = "LIST_DISTINCT(LIST_TRANSFORM(RANGE(1, GREATEST(LENGTH({0}) - {1} + 2, 1)), lambda i: SUBSTR({0}, i, {1})))"
+JACCARD = f"""CASE WHEN {{0}} = {{1}} THEN 1.0 WHEN LENGTH({{0}}) < 3 AND LENGTH({{1}}) < 3 THEN 1.0
+  ELSE LEN(LIST_INTERSECT({GRAMS.format('LOWER({0})', 3)}, {GRAMS.format('LOWER({1})', 3)})) / GREATEST(LEN(LIST_DISTINCT(LIST_CONCAT({GRAMS.format('LOWER({0})', 3)}, {GRAMS.format('LOWER({1})', 3)}))), 1)::DOUBLE END"""
+
+
+@query(f"""WITH p AS (SELECT page_id, {DISTANCE} AS dom, {TITLE.format('html')} AS a, {TITLE.format('old_html')} AS b FROM ({PAIRS})),
+  s AS (SELECT page_id, dom, 1 - {JACCARD.format('a', 'b')} AS semantic, CASE WHEN page_id % 3 = 0 THEN NULL WHEN a = b THEN 0.0 ELSE 1.0 END AS entity FROM p),
+  o AS (SELECT *, LEAST(1.0, (dom * 0.25 + semantic * 0.25 + COALESCE(entity, 0) * 0.25) / (CASE WHEN entity IS NULL THEN 0.5 ELSE 0.75 END)) AS overall FROM s)
+  SELECT page_id, overall, CASE WHEN overall < 0.1 THEN 'no_change' WHEN overall > 0.6 THEN 'major_redesign' WHEN dom > 0.4 AND semantic < 0.3 THEN 'layout_change'
+    WHEN COALESCE(entity, 0) > 0.3 AND dom < 0.2 THEN 'content_update' WHEN COALESCE(entity, 0) > 0.5 THEN 'new_content' ELSE 'content_update' END AS category FROM o""")
+def change_score(spark: SparkSession, d: str) -> DataFrame:
+    title = lambda c: F.regexp_extract(c, "<h1>([^<]*)</h1>", 1)
+    pairs = page_pairs(spark, d).select("page_id", change.structural_distance(F.col("old_tags"), F.col("tags")).alias("dom"), title("html").alias("a"), title("old_html").alias("b"))
+    pairs = text.text_similarity(pairs, "a", "b").withColumn("semantic", 1 - F.col("similarity"))
+    entity = F.when(F.col("page_id") % 3 == 0, F.lit(None).cast("double")).when(F.col("a") == F.col("b"), 0.0).otherwise(1.0)
+    return change.change_score(pairs.withColumn("visual", F.lit(None).cast("double")).withColumn("entity", entity)).select("page_id", "overall", "category")
+
+
+@query(f"""SELECT page_id, TRIM(REPLACE(REPLACE({TITLE.format('html')}, '&quot;', '"'), '&amp;', '&')) AS title FROM pages""")
+def h1_extract(spark: SparkSession, d: str) -> DataFrame:
+    return html.extract(table(spark, d, "pages"), {"title": {"selector": "h1"}}).withColumn("title", F.coalesce("title", F.lit("")))
+
+
+@query("SELECT page_id, LEN(REGEXP_EXTRACT_ALL(html, '<li><a href=\"([^\"]*)\"', 1)) AS n FROM pages")
+def navigation_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    links = html.extract_field(html.nodes(pages), "nav li > a[href]", kind="attribute", attr="href", multiple=True)
+    return pages.select("page_id").join(links, "page_id", "left").select("page_id", F.coalesce(F.size("value"), F.lit(0)).alias("n"))
+
+
+@query("""SELECT page_id, TRIM(REGEXP_EXTRACT(html, '<title[^>]*>(.*?)</title>', 1, 's')) AS title, REGEXP_EXTRACT(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, '' AS description, '' AS canonical FROM pages""")
+def page_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return html.metadata(table(spark, d, "pages"))
+
+
+def node_table(spark: SparkSession, d: str, pruned: bool = False) -> DataFrame:
+    """The pages' nodes as a table: parsed once, read by every step."""
+    rows = materialised(html.nodes(table(spark, d, "pages")), "nodes")
+    return materialised(html.prune(rows), "pruned") if pruned else rows
+
+
+@query()
+def pruned_text(spark: SparkSession, d: str) -> DataFrame:
+    return html.page_text(html.prune(node_table(spark, d)))
+
+
+@query()
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return html.preprocess(table(spark, d, "pages"), parsed=node_table(spark, d))
+
+
+@query()
+def scored_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return html.top_blocks(html.scored_blocks(node_table(spark, d, pruned=True)))
+
+
+@query()
+def relevant_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return html.relevant_blocks(html.scored_blocks(node_table(spark, d)), "the of and")
+
+
+@query()
+def repeated_subtrees(spark: SparkSession, d: str) -> DataFrame:
+    return html.repeated_subtrees(node_table(spark, d), shortest=1)
+
+
+# Synthetic: a document with headings and a table around each text.
+MARKDOWN = "'intro ' || lang || CHR(10) || '# ' || source || CHR(10) || text || CHR(10) || '## Facts ' || lang || CHR(10) || '| a | b |' || CHR(10) || '| 1 | ' || doc_id || ' |' || CHR(10) || 'end'"
+
+
+def markdown_docs(spark: SparkSession, d: str) -> DataFrame:
+    md = F.concat(
+        F.lit("intro "), "lang", F.lit("\n# "), "source", F.lit("\n"), "text", F.lit("\n## Facts "), "lang", F.lit("\n| a | b |\n| 1 | "), F.col("doc_id").cast("string"), F.lit(" |\nend")
+    )
+    return table(spark, d, "documents").select("doc_id", md.alias("md"))
+
+
+MARKDOWN_LINES = f"""SELECT doc_id, pos, line, COALESCE(SUM(LENGTH(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM
+  (SELECT doc_id, UNNEST(STRING_SPLIT(md, CHR(10))) AS line, UNNEST(RANGE(LEN(STRING_SPLIT(md, CHR(10))))) AS pos FROM (SELECT doc_id, {MARKDOWN} AS md FROM documents))"""
+
+
+@query(f"""WITH l AS ({MARKDOWN_LINES}), h AS (SELECT *, LENGTH(REGEXP_EXTRACT(line, '^(#{{1,6}})\\s+(.+)$', 1)) AS level, SUM(CASE WHEN REGEXP_MATCHES(line, '^#{{1,6}}\\s+.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l)
+  SELECT doc_id, section, MAX(level) AS level, COALESCE(MAX(CASE WHEN level > 0 THEN TRIM(REGEXP_EXTRACT(line, '^(#{{1,6}})\\s+(.+)$', 2)) END), '') AS heading, MIN(start) AS start, COUNT(*) AS n_lines, SUM(LENGTH(line) + 1) AS n_chars
+  FROM h GROUP BY doc_id, section HAVING section > 0 OR BOOL_OR(TRIM(line) <> '')""")
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    return text.sections(markdown_docs(spark, d), "doc_id", "md")
+
+
+@query(f"""WITH l AS ({MARKDOWN_LINES}), t AS (SELECT *, TRIM(line) LIKE '|%' AND TRIM(line) LIKE '%|' AS inside FROM l), r AS (SELECT *, SUM(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM t)
+  SELECT doc_id, MIN(start) AS start, MAX(start + LENGTH(line) + 1) AS "end", COUNT(*) AS n_lines FROM r WHERE inside GROUP BY doc_id, run""")
+def table_runs(spark: SparkSession, d: str) -> DataFrame:
+    return text.tables(markdown_docs(spark, d), "doc_id", "md")
+
+
+@query("SELECT doc_id, CAST(FLOOR(LENGTH(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return text.token_counts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""WITH d AS (SELECT doc_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '\\s+'), lambda w: w <> '') AS w FROM documents), s AS (SELECT COUNT(*) AS docs, AVG(LEN(w)) AS mean FROM d),
+  tf AS (SELECT doc_id, n, word, COUNT(*) AS tf FROM (SELECT doc_id, LEN(w) AS n, UNNEST(w) AS word FROM d) GROUP BY ALL), df AS (SELECT word, LN((docs - COUNT(*) + 0.5) / (COUNT(*) + 0.5)) AS raw, mean FROM tf, s GROUP BY word, docs, mean),
+  idf AS (SELECT word, mean, CASE WHEN raw < 0 THEN 0.25 * (SELECT AVG(raw) FROM df) ELSE raw END AS idf FROM df),
+  q AS (SELECT item_id, word, COUNT(*) AS times FROM (SELECT item_id, UNNEST(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '\\s+'), lambda w: w <> '')) AS word FROM benchmark) GROUP BY ALL),
+  r AS (SELECT item_id, doc_id, SUM(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM tf JOIN q USING (word) JOIN idf USING (word) GROUP BY ALL)
+  SELECT * FROM (SELECT item_id, doc_id, score, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ROUND(score, 9) DESC, doc_id) AS place FROM r) WHERE place <= 10""")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return text.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+  SELECT conv_id, turn, {JACCARD.format('a', 'b')} AS similarity FROM p""")
+def trigram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return text.text_similarity(c.select("conv_id", "turn", F.col("text").alias("a")).join(after, ["conv_id", "turn"]), "a", "b").select("conv_id", "turn", "similarity")
+
+
+@query("SELECT a.vec_id, b.vec_id AS next_id, LIST_COSINE_SIMILARITY(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("embedding").alias("b"))
+    return e.join(after, "vec_id").select("vec_id", "next_id", cosine(F.col("embedding"), F.col("b")).alias("similarity"))
+
+
+@query("SELECT SHA256(text) AS hash, COUNT(*) AS n, MIN(doc_id) AS first_key FROM documents GROUP BY 1 HAVING COUNT(*) > 1")
+def exact_duplicate_hash(spark: SparkSession, d: str) -> DataFrame:
+    return text.exact_duplicates(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""WITH d AS (SELECT doc_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(text, '\\s+'), lambda w: w <> '') AS w FROM documents)
+  SELECT doc_id, i // 200 AS segment, ARRAY_TO_STRING(LIST_SLICE(w, i + 1, i + 200), ' ') AS words FROM (SELECT doc_id, w, UNNEST(RANGE(0, LEN(w), 200)) AS i FROM d)""")
+def word_segments(spark: SparkSession, d: str) -> DataFrame:
+    return text.word_segments(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""SELECT doc_id, REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REPLACE('  ' || text, CHR(10), '  ' || CHR(10) || CHR(10) || CHR(10)), '\\n{3,}', CHR(10) || CHR(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS md FROM documents WHERE text NOT LIKE '%&%'""")
+def cleaned_markdown(spark: SparkSession, d: str) -> DataFrame:
+    wide = F.replace(F.concat(F.lit("  "), "text"), F.lit("\n"), F.lit("  \n\n\n"))
+    return table(spark, d, "documents").where(~F.contains("text", F.lit("&"))).select("doc_id", clean_markdown(wide).alias("md"))
+
+
+@query("SELECT event_id, props AS found FROM events WHERE JSON_VALID(props)")
+def fenced_model_output(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
+    return table(spark, d, "events").select("event_id", fenced_json(reply).alias("found")).where("found IS NOT NULL")
+
+
+@query("SELECT l_orderkey, l_linenumber, REGEXP_REPLACE('$ ' || l_extendedprice || ' USD', '[^\\d.,]', '', 'g') AS price, 'a b ' || l_returnflag AS flag FROM lineitem")
+def field_transforms(spark: SparkSession, d: str) -> DataFrame:
+    price = F.concat(F.lit("$ "), F.col("l_extendedprice").cast("string"), F.lit(" USD"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", strip_currency(price).alias("price"), strip_whitespace(F.concat(F.lit("  a \n b\t"), "l_returnflag", F.lit(" "))).alias("flag"))
+
+
+LINES = "STRING_SPLIT(text, CHR(10))"
+COMPLEXITY = f"""WITH d AS (SELECT doc_id, text, FLOOR(LENGTH(text) / 4.0) AS tokens, LEAST(LEN(LIST_FILTER({LINES}, lambda x: REGEXP_MATCHES(TRIM(x), '^(#|\\||- |\\* |\\d+\\.\\s)'))) / GREATEST(LEN({LINES}), 1)::DOUBLE, 1.0) AS structure,
+    GREATEST({', '.join(f"LEN(REGEXP_EXTRACT_ALL(text, '(?m)^#{{{n}}}\\s'))" for n in range(1, 7))}) AS repeats, REGEXP_REPLACE(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+  o AS (SELECT *, (LENGTH(t) < 200 AND text NOT LIKE '%![%' AND NOT REGEXP_MATCHES(t, '(?m)^[#\\-*\\d]') AND NOT REGEXP_MATCHES(t, '[.!?]\\s')) OR REGEXP_MATCHES(text, '(?i)canvas|webgl|svg.*text') OR REGEXP_MATCHES(text, '&#\\d{{4,}};') AS is_obfuscated FROM d),
+  c AS (SELECT doc_id, tokens, is_obfuscated, LEAST(1.0, GREATEST(0.0, CASE WHEN tokens < 1000 THEN 0.05 WHEN tokens < 3000 THEN 0.15 WHEN tokens < 10000 THEN 0.25 ELSE 0.40 END::DOUBLE + (1 - structure) * 0.25
+    - CASE WHEN repeats > 5 THEN 0.10 WHEN repeats > 2 THEN 0.05 ELSE 0 END::DOUBLE + CASE WHEN is_obfuscated THEN 0.25 ELSE 0 END::DOUBLE)) AS complexity FROM o),
+  k AS (SELECT doc_id, complexity, CASE WHEN is_obfuscated THEN 'vision' WHEN complexity <= 0.3 AND tokens <= 3000 THEN 'local' WHEN complexity <= 0.6 AND tokens <= 15000 THEN 'fast' ELSE 'frontier' END AS tier FROM c)"""
+
+
+@query(COMPLEXITY + " SELECT * FROM k")
+def complexity_tier(spark: SparkSession, d: str) -> DataFrame:
+    return routing.complexity(table(spark, d, "documents"), "text").select("doc_id", "complexity", "tier")
+
+
+@query(COMPLEXITY + " SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'frontier' ELSE tier END AS start FROM k")
+def cascade_start(spark: SparkSession, d: str) -> DataFrame:
+    mode = F.get(F.array(F.lit("minimize"), F.lit("accuracy"), F.lit("balanced")), (F.col("doc_id") % 3).cast("int"))
+    return routing.complexity(table(spark, d, "documents"), "text").select("doc_id", routing.start_tier(F.col("tier"), mode).alias("start"))
+
+
+ORDERED_MODELS = f"SELECT model_id, ROW_NUMBER() OVER (ORDER BY CASE tier WHEN 'local' THEN 0 WHEN 'fast' THEN 1 ELSE 2 END, usd_in, seq) AS place, usd_in, usd_out FROM {MODELS_SQL} WHERE tier <> 'vision'"
+
+
+@query(f"SELECT model_id, place FROM ({ORDERED_MODELS})")
+def cascade_order(spark: SparkSession, d: str) -> DataFrame:
+    return routing.cascade_order(models(spark)).select("model_id", "place")
+
+
+@query(f"""WITH a AS (SELECT doc_id, place, model_id, ((doc_id * 7 + place * 13) % 100) / 100.0::DOUBLE AS confidence, (LENGTH(text) / 4.0 * usd_in + 4000 * usd_out) / 1000000 AS cost_usd FROM documents, ({ORDERED_MODELS})),
+  s AS (SELECT *, COALESCE(SUM(cost_usd) OVER w, 0) AS spent, COALESCE(MAX(CASE WHEN confidence >= 0.5 THEN 1 ELSE 0 END) OVER w, 0) AS done FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT doc_id, COUNT(*) AS attempts, SUM(cost_usd) AS total_cost, ARG_MAX(model_id, STRUCT_PACK(c := confidence, p := -place)) AS final_model, MAX(confidence) AS confidence, MAX(confidence) < 0.5 AS all_failed FROM s WHERE spent < 0.02 AND done = 0 GROUP BY 1""")
+def cascade_outcome(spark: SparkSession, d: str) -> DataFrame:
+    ladder = F.broadcast(routing.cascade_order(models(spark)).select("model_id", "place", "usd_in", "usd_out"))  # six rows
+    a = table(spark, d, "documents").select("doc_id", F.length("text").alias("n")).crossJoin(ladder)
+    a = a.withColumn("confidence", ((F.col("doc_id") * 7 + F.col("place") * 13) % 100) / 100.0).withColumn("cost_usd", (F.col("n") / 4.0 * F.col("usd_in") + 4000 * F.col("usd_out")) / 1_000_000)
+    return routing.cascade_outcome(a, "doc_id", ceiling=0.02)
+
+
+@query(f"""WITH m AS {MODELS_SQL[1:-1].join(['(', ')'])}, c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'gemini/gemini-2.5-pro' WHEN 1 THEN 'gemini/unknown' WHEN 2 THEN 'ollama/unknown' ELSE 'else/unknown' END AS model, CAST(FLOOR(LENGTH(text) / 4.0) AS BIGINT) AS tokens_in FROM documents)
+  SELECT doc_id, model, (tokens_in * CASE doc_id % 4 WHEN 0 THEN 1.25 WHEN 1 THEN 0.15 ELSE 0.0 END + 500 * CASE doc_id % 4 WHEN 0 THEN 10.0 WHEN 1 THEN 0.6 ELSE 0.0 END)::DOUBLE / 1000000 AS cost_usd FROM c""")
+def estimated_cost(spark: SparkSession, d: str) -> DataFrame:
+    name = F.get(F.array(*[F.lit(x) for x in ("gemini/gemini-2.5-pro", "gemini/unknown", "ollama/unknown", "else/unknown")]), (F.col("doc_id") % 4).cast("int"))
+    calls = text.token_counts(table(spark, d, "documents"), "doc_id", "text").select("doc_id", name.alias("model"), F.col("tokens").alias("tokens_in"), F.lit(500).alias("tokens_out"))
+    return routing.estimated_cost(calls, models(spark)).select("doc_id", "model", "cost_usd")
+
+
+# Synthetic: two extractors that read the same pages, the second with gaps, other case, and near values.
+MERGE_INPUT = f"""SELECT page_id AS item_id, f.field, CASE f.field WHEN 'title' THEN {TITLE.format('html')} WHEN 'host' THEN {HOST} WHEN 'price' THEN CAST(page_id * 10 AS VARCHAR) ELSE 'unknown' END AS h,
+  CASE f.field WHEN 'title' THEN CASE WHEN page_id % 3 = 0 THEN 'n/a' ELSE UPPER({TITLE.format('html')}) END WHEN 'host' THEN 'other.example' WHEN 'price' THEN CAST(page_id * 10 + 1 AS VARCHAR) ELSE CASE WHEN page_id % 2 = 0 THEN 'seen' END END AS v
+  FROM pages, (VALUES ('title'), ('host'), ('price'), ('note')) AS f(field)"""
+EMPTY_SQL = "(COALESCE(LOWER(TRIM({})), '') IN ('', 'na', 'n/a', 'none', 'null', 'unknown', '-'))"
+BIGRAMS = GRAMS.format("LOWER(TRIM({}))", 2)
+DICE = f"2.0 * LEN(LIST_INTERSECT({BIGRAMS.format('h', 'h')}, {BIGRAMS.format('v', 'v')})) / (LEN({BIGRAMS.format('h', 'h')}) + LEN({BIGRAMS.format('v', 'v')}))::DOUBLE"
+MERGED = f"""WITH i AS ({MERGE_INPUT}), s AS (SELECT *, CASE WHEN {EMPTY_SQL.format('h')} AND {EMPTY_SQL.format('v')} THEN 'html' WHEN {EMPTY_SQL.format('h')} THEN 'vision' WHEN {EMPTY_SQL.format('v')} THEN 'html'
+    WHEN TRY_CAST(h AS DOUBLE) IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NOT NULL THEN CASE WHEN ABS(TRY_CAST(h AS DOUBLE) - TRY_CAST(v AS DOUBLE)) / GREATEST(ABS(TRY_CAST(h AS DOUBLE)), ABS(TRY_CAST(v AS DOUBLE))) <= 0.01 THEN 'agreed' ELSE 'conflict_html' END
+    WHEN LOWER(TRIM(h)) = LOWER(TRIM(v)) OR {DICE} >= 0.85 THEN 'agreed' ELSE 'conflict_html' END AS source FROM i),
+  m AS (SELECT item_id, field, CASE WHEN {EMPTY_SQL.format('h')} AND {EMPTY_SQL.format('v')} THEN NULL WHEN source = 'vision' THEN v ELSE h END AS merged, source FROM s)"""
+
+
+def merge_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), domain_of(F.col("url")).alias("host"))
+    rows = lambda *pairs: pages.select(F.col("page_id").alias("item_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in pairs])).alias("x")).select("item_id", "x.field", "x.value")
+    price = lambda n: (F.col("page_id") * 10 + n).cast("string")
+    first = rows(("title", F.col("title")), ("host", F.col("host")), ("price", price(0)), ("note", F.lit("unknown")))
+    second = rows(("title", F.when(F.col("page_id") % 3 == 0, "n/a").otherwise(F.upper("title"))), ("host", F.lit("other.example")), ("price", price(1)), ("note", F.when(F.col("page_id") % 2 == 0, "seen")))
+    return first, second
+
+
+@query(MERGED + " SELECT * FROM m")
+def merge_fields(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_fields(*merge_input(spark, d))
+
+
+@query(MERGED + f""", g AS (SELECT item_id, COUNT(*) AS total_fields, COUNT(*) FILTER (WHERE NOT {EMPTY_SQL.format('merged')}) AS populated, COUNT(*) FILTER (WHERE source = 'html' AND merged IS NOT NULL) AS from_html,
+  COUNT(*) FILTER (WHERE source = 'vision') AS from_vision, COUNT(*) FILTER (WHERE source = 'agreed') AS agreed, COUNT(*) FILTER (WHERE source LIKE 'conflict%') AS conflicted FROM m GROUP BY 1)
+  SELECT *, LEAST(1.0, populated / total_fields::DOUBLE + 0.1 * agreed / total_fields) AS merge_confidence FROM g""")
+def merge_summary(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_summary(merge.merge_fields(*merge_input(spark, d)))
+
+
+@query(f"SELECT item_id, COUNT(*) FILTER (WHERE {EMPTY_SQL.format('v')}) AS missing FROM ({MERGE_INPUT}) GROUP BY 1")
+def missing_fields(spark: SparkSession, d: str) -> DataFrame:
+    return merge_input(spark, d)[1].groupBy("item_id").agg(F.count_if(is_empty(F.col("value"))).alias("missing"))
+
+
+# Synthetic: the turns of a conversation as versions of an entity.
+FIELDS = "(VALUES ('role'), ('price'), ('body'), ('extra'), ('timestamp')) AS f(field)"
+ENTITY = "SELECT c.conv_id, c.turn // 2 AS pos, f.field, CASE f.field WHEN 'price' THEN CASE WHEN c.turn % 5 = 0 THEN 'str' ELSE 'int' END ELSE 'str' END AS type, CASE f.field WHEN 'role' THEN c.role WHEN 'price' THEN CAST(100 + c.turn AS VARCHAR) WHEN 'body' THEN SUBSTR(c.text, 1, 150) WHEN 'extra' THEN 'x' ELSE CAST(c.turn AS VARCHAR) END AS value FROM conversations c, " + FIELDS + " WHERE c.turn % 2 = {} AND NOT (f.field = 'extra' AND c.turn % 4 = {})"
+ENTITY_DIFF = f"""WITH o AS ({ENTITY.format(0, 0)}), n AS ({ENTITY.format(1, 3)}), b AS (SELECT COALESCE(o.conv_id, n.conv_id) AS conv_id, COALESCE(o.pos, n.pos) AS pos, COALESCE(o.field, n.field) AS field, o.type AS t0, n.type AS t1, o.value AS v0, n.value AS v1
+    FROM o FULL JOIN n ON o.conv_id = n.conv_id AND o.pos = n.pos AND o.field = n.field WHERE COALESCE(o.field, n.field) <> 'timestamp'),
+  c AS (SELECT conv_id, pos, field, t0, v0, v1, CASE WHEN t0 IS NULL THEN 'added' WHEN t1 IS NULL THEN 'removed' WHEN t0 <> t1 THEN 'type_changed' WHEN v0 = v1 OR (t0 = 'int' AND ABS(TRY_CAST(v0 AS DOUBLE) - TRY_CAST(v1 AS DOUBLE)) / GREATEST(ABS(TRY_CAST(v0 AS DOUBLE)), ABS(TRY_CAST(v1 AS DOUBLE))) <= 0.01) OR (t0 = 'str' AND LOWER(TRIM(v0)) = LOWER(TRIM(v1))) THEN 'unchanged' ELSE 'modified' END AS change FROM b),
+  e AS (SELECT conv_id, pos, field, change, CASE change WHEN 'added' THEN 0.7 WHEN 'removed' THEN 0.8 WHEN 'type_changed' THEN 0.9 WHEN 'modified' THEN CASE WHEN field = 'price' THEN 1.0 WHEN t0 = 'int' THEN 0.7 WHEN LENGTH(v0) > 100 OR LENGTH(v1) > 100 THEN 0.4 ELSE 0.6 END END::DOUBLE AS significance FROM c)"""
+
+
+def entities(spark: SparkSession, d: str, side: int, gap: int) -> DataFrame:
+    c = table(spark, d, "conversations").where(F.col("turn") % 2 == side)
+    kind = F.when(F.col("turn") % 5 == 0, "str").otherwise("int")
+    entry = lambda f, t, v: F.struct(F.lit(f).alias("field"), t.alias("type"), v.alias("value"))
+    text_type, turn = F.lit("str"), F.col("turn").cast("string")
+    fields = F.array(entry("role", text_type, F.col("role")), entry("price", kind, (F.col("turn") + 100).cast("string")), entry("body", text_type, F.substring("text", 1, 150)), entry("extra", text_type, F.lit("x")), entry("timestamp", text_type, turn))
+    rows = c.select("conv_id", F.expr("turn div 2").alias("pos"), "turn", F.explode(fields).alias("f")).select("conv_id", "pos", "turn", "f.*")
+    return rows.where(~((F.col("field") == "extra") & (F.col("turn") % 4 == gap))).drop("turn")
+
+
+@query(ENTITY_DIFF + " SELECT * FROM e")
+def entity_diff(spark: SparkSession, d: str) -> DataFrame:
+    return change.field_changes(entities(spark, d, 0, 0), entities(spark, d, 1, 3), "conv_id")
+
+
+@query(ENTITY_DIFF + """, f AS (SELECT conv_id, field, COUNT(*) FILTER (WHERE change = 'unchanged') AS same, COUNT(*) FILTER (WHERE change = 'added') AS added, COUNT(*) FILTER (WHERE change = 'removed') AS removed, COUNT(*) FILTER (WHERE change IN ('modified', 'type_changed')) AS changed FROM e GROUP BY ALL),
+  t AS (SELECT conv_id, SUM(CASE WHEN added + removed + changed = 0 THEN same ELSE 0 END) AS unchanged, SUM(changed) AS changed, SUM(added) AS added, SUM(removed) AS removed FROM f GROUP BY 1)
+  SELECT *, COALESCE(unchanged / NULLIF(unchanged + changed + added + removed, 0)::DOUBLE, 1.0) AS similarity FROM t""")
+def entity_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return change.entity_similarity(change.field_changes(entities(spark, d, 0, 0), entities(spark, d, 1, 3), "conv_id"), "conv_id")
+
+
+@query("""SELECT user_id, COUNT(*) AS samples, COUNT(*) FILTER (WHERE event_type = 'error') AS failures, COUNT(*) FILTER (WHERE event_type = 'error') / COUNT(*)::DOUBLE AS value,
+  COUNT(*) >= 5 AND COUNT(*) FILTER (WHERE event_type = 'error') / COUNT(*)::DOUBLE > 0.30 AS triggered FROM events GROUP BY 1""")
+def drift_validation(spark: SparkSession, d: str) -> DataFrame:
+    return drift.validation_failures(table(spark, d, "events").withColumn("passed", F.col("event_type") != "error"), ["user_id"])
+
+
+# Synthetic: each event reports four fields; their presence falls off with the event's number.
+STATUS = "(VALUES ('a', event_id % 11 <> 0), ('b', event_id < 4000), ('c', event_id < 5000 OR event_id % 7 = 0), ('d', event_id < 5500)) AS f(field, filled)"
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    status = F.create_map(F.lit("a"), i % 11 != 0, F.lit("b"), i < 4000, F.lit("c"), (i < 5000) | (i % 7 == 0), F.lit("d"), i < 5500)
+    return table(spark, d, "events").withColumn("field_status", status).withColumn("content_hash", F.sha2("event_type", 256))
+
+
+COMPLETENESS = f"""WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events), l AS (SELECT *, COUNT(*) OVER (PARTITION BY user_id) AS n FROM r WHERE back <= 100),
+  s AS (SELECT *, n - back < GREATEST(1, n // 2) AS early FROM l), c AS (SELECT user_id, MAX(n) AS n, field, COUNT(*) FILTER (WHERE early AND filled) / COUNT(*) FILTER (WHERE early)::DOUBLE AS e, COUNT(*) FILTER (WHERE NOT early AND filled) / NULLIF(COUNT(*) FILTER (WHERE NOT early), 0)::DOUBLE AS l
+    FROM s, LATERAL (SELECT * FROM {STATUS}) GROUP BY user_id, field),
+  v AS (SELECT user_id, MAX(n) AS samples, CASE WHEN MAX(n) >= 5 THEN COUNT(*) FILTER (WHERE e > 0.8 AND COALESCE(l, 0) < 0.3) ELSE 0 END AS value FROM c GROUP BY 1)"""
+
+
+@query(COMPLETENESS + " SELECT *, value >= 3 AS triggered FROM v")
+def drift_completeness(spark: SparkSession, d: str) -> DataFrame:
+    return drift.field_completeness(_metrics(spark, d), ["user_id"], ["ts", "event_id"])
+
+
+SIMILAR = """s AS (SELECT user_id, samples, CASE WHEN samples < 3 OR event_type = before THEN 1.0 ELSE 0.5 END::DOUBLE AS value FROM (SELECT user_id, event_type, LEAD(event_type) OVER w AS before, ROW_NUMBER() OVER w AS back, COUNT(*) OVER (PARTITION BY user_id) AS samples
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) WHERE back = 1)"""
+
+
+@query("WITH " + SIMILAR + " SELECT *, value < 0.8 AS triggered FROM s")
+def drift_content(spark: SparkSession, d: str) -> DataFrame:
+    return drift.content_similarity(_metrics(spark, d), ["user_id"], ["ts", "event_id"])
+
+
+@query(COMPLETENESS + ", " + SIMILAR.replace("s AS (", "sim AS (", 1) + """, f AS (SELECT user_id, COUNT(*) >= 5 AND COUNT(*) FILTER (WHERE event_type = 'error') / COUNT(*)::DOUBLE > 0.30 AS t FROM events GROUP BY 1),
+  g AS (SELECT f.user_id, CAST(f.t AS INT) + CAST(v.value >= 3 AS INT) + CAST(sim.value < 0.8 AS INT) AS n_triggered FROM f JOIN v USING (user_id) JOIN sim USING (user_id))
+  SELECT user_id, n_triggered, n_triggered >= 2 AS drift, CASE n_triggered WHEN 0 THEN 'none' WHEN 1 THEN 'minor' WHEN 2 THEN 'moderate' ELSE 'major' END AS severity, n_triggered / 4.0::DOUBLE AS confidence FROM g""")
+def drift_severity(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda df, n: df.select("user_id", F.col("triggered").alias(n))
+    m = _metrics(spark, d).withColumn("passed", F.col("event_type") != "error")
+    both = one(drift.validation_failures(m, ["user_id"]), "f").join(one(drift.field_completeness(m, ["user_id"], ["ts", "event_id"]), "c"), "user_id")
+    both = both.join(one(drift.content_similarity(m, ["user_id"], ["ts", "event_id"]), "s"), "user_id").withColumn("x", F.lit(False))
+    return drift.severity(both, ["f", "c", "s", "x"]).select("user_id", "n_triggered", "drift", "severity", "confidence")
+
+
+# Synthetic: the schema of a part is what its brand and size imply; a part's number is its version.
+SCHEMA_PAIRS = "SELECT p_partkey, LIST_DISTINCT(['id', 'name', 'f' || p_size % 5]) AS a, LIST_DISTINCT(['id', 'f' || p_size % 3, 'f' || p_partkey % 4]) AS b FROM part"
+
+
+@query(f"SELECT p_partkey, 1 - LEN(LIST_INTERSECT(a, b)) / LEN(LIST_DISTINCT(LIST_CONCAT(a, b)))::DOUBLE AS divergence FROM ({SCHEMA_PAIRS})")
+def schema_divergence(spark: SparkSession, d: str) -> DataFrame:
+    f = lambda n, c: F.concat(F.lit("f"), (F.col(c) % n).cast("string"))
+    a, b = F.array_distinct(F.array(F.lit("id"), F.lit("name"), f(5, "p_size"))), F.array_distinct(F.array(F.lit("id"), f(3, "p_size"), f(4, "p_partkey")))
+    return table(spark, d, "part").select("p_partkey", drift.schema_divergence(a, b).alias("divergence"))
+
+
+@query("""WITH v AS (SELECT p_brand, p_partkey, p_size, LAG(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS old, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS version FROM part)
+  SELECT p_brand, version, CASE WHEN old IS NULL THEN 2 WHEN p_size % 5 = old % 5 THEN 0 ELSE 1 END AS n_added, CASE WHEN old IS NULL OR p_size % 5 = old % 5 THEN 0 ELSE 1 END AS n_removed,
+  CASE WHEN old IS NOT NULL AND p_size % 2 <> old % 2 THEN 1 ELSE 0 END AS n_modified FROM v""")
+def schema_diff(spark: SparkSession, d: str) -> DataFrame:
+    schema = F.create_map(F.lit("id"), F.when(F.col("p_size") % 2 == 0, "int").otherwise("str"), F.concat(F.lit("f"), (F.col("p_size") % 5).cast("string")), F.lit("str"))
+    rows = drift.versions(table(spark, d, "part").withColumn("schema_data", schema), ["p_brand"], ["p_partkey"])
+    out = drift.schema_diff(rows, "before", "schema_data")
+    return out.select("p_brand", "version", *[F.size(c).alias(f"n_{c}") for c in ("added", "removed", "modified")])
+
+
+@query("SELECT page_id, CASE WHEN REGEXP_MATCHES(LOWER(url), 'offset=|skip=|start=') THEN 'offset' WHEN REGEXP_MATCHES(LOWER(url), 'cursor=|after=|before=|next_token=') THEN 'cursor' WHEN REGEXP_MATCHES(LOWER(url), 'page=|pagenumber=|p=') THEN 'page' END AS paging FROM pages")
+def pagination_class(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", classify.paging_kind(F.col("url")).alias("paging"))
+
+
+# Synthetic: pages with a mark of some provider appended, by the page's number.
+MARKS = ("", "<div class='g-recaptcha'>", "<script src='https://hcaptcha.com/1/api.js'>", "<div class='cf-turnstile'>", "initGeetest(", "Just a moment...", "<script src='//js.datadome.co/tags.js'>")
+MARKED = "html || CASE page_id % 7 " + " ".join("WHEN {} THEN '{}'".format(i, m.replace("'", "''")) for i, m in enumerate(MARKS)) + " END"
+
+
+def marked_pages(spark: SparkSession, d: str) -> DataFrame:
+    mark = F.get(F.array(*[F.lit(m) for m in MARKS]), (F.col("page_id") % 7).cast("int"))
+    headers = F.when(F.col("page_id") % 5 == 0, F.create_map(F.lit("CF-Ray"), F.lit("1"), F.lit("Server"), F.lit("cloudflare")))
+    cookies = F.when(F.col("page_id") % 4 == 0, F.create_map(F.lit("__cf_bm"), F.lit("x")))
+    return table(spark, d, "pages").select("page_id", "url", F.concat("html", mark).alias("html"), headers.alias("headers"), cookies.alias("cookies"))
+
+
+@query(f"""SELECT page_id, CASE {' '.join("WHEN REGEXP_MATCHES(LOWER(h), '{}') THEN '{}'".format(p, k) for k, p in classify.CHALLENGES)} WHEN REGEXP_MATCHES(LOWER(h), '{classify.UNNAMED_CHALLENGE}') THEN 'unknown' END AS challenge FROM (SELECT page_id, {MARKED} AS h FROM pages)""")
+def challenge_flag(spark: SparkSession, d: str) -> DataFrame:
+    return marked_pages(spark, d).select("page_id", classify.challenge_kind(F.col("html")).alias("challenge"))
+
+
+def _vendor_sql() -> str:
+    def hit(pattern: str, points: int) -> str:
+        return "CASE WHEN REGEXP_MATCHES(b, '{}') THEN {} ELSE 0 END".format(pattern.lower().replace("'", "''"), points)
+
+    scores = []
+    for i, (vendor, headers, cookies, bodies, scripts) in enumerate(classify.VENDORS):
+        parts = [f"CASE WHEN page_id % 5 = 0 THEN {2 * sum(n in ('cf-ray', 'server') and p in ('.+', 'cloudflare') for n, p in headers)} ELSE 0 END"]
+        parts += [f"CASE WHEN page_id % 4 = 0 THEN {3 * sum(c.lower() in '__cf_bm' for c in cookies)} ELSE 0 END"]
+        parts += [hit(p, 1) for p in bodies] + [hit(p, 2) for p in scripts]
+        scores.append(f"SELECT page_id, {i} AS seq, '{vendor}' AS vendor, {' + '.join(parts)} AS score FROM p")
+    return f"""WITH p AS (SELECT page_id, LOWER(SUBSTR({MARKED}, 1, 10240)) AS b FROM pages), s AS ({' UNION ALL '.join(scores)}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, seq) AS place FROM s)
+      SELECT page_id, CASE WHEN score > 0 THEN vendor ELSE 'none' END AS vendor, CASE WHEN score > 0 THEN LEAST(score / 8.0, 1.0) ELSE 1.0 END::DOUBLE AS confidence FROM r WHERE place = 1"""
+
+
+@query(_vendor_sql())
+def vendor_score(spark: SparkSession, d: str) -> DataFrame:
+    return classify.vendor_scores(marked_pages(spark, d), "page_id", "headers", "cookies", "html")
+
+
+REQUESTS = f"SELECT page_id, {HOST} AS domain, url || CASE page_id % 4 WHEN 0 THEN '/api/items?page=2' WHEN 1 THEN '/graphql' WHEN 2 THEN '/app.js' ELSE '' END AS url, CASE WHEN page_id % 6 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 8 = 0 THEN 'application/json' ELSE 'text/html' END AS mime FROM pages"
+
+
+@query(f"""WITH r AS ({REQUESTS}), k AS (SELECT *, CASE WHEN LOWER(url) LIKE '%graphql%' THEN 'graphql' WHEN mime LIKE '%json%' OR LOWER(url) LIKE '%json%' THEN 'json' WHEN REGEXP_MATCHES(LOWER(url), '{classify.API_URLS}') THEN 'other' END AS kind FROM r
+  WHERE status BETWEEN 200 AND 399 AND NOT REGEXP_MATCHES(LOWER(url), '{classify.IGNORED_URLS}'))
+  SELECT domain, COUNT(*) FILTER (WHERE kind = 'json') AS json, COUNT(*) FILTER (WHERE kind = 'graphql') AS graphql, COUNT(*) FILTER (WHERE kind = 'other') AS other,
+  COUNT(*) FILTER (WHERE REGEXP_MATCHES(LOWER(url), 'offset=|skip=|start=|cursor=|after=|before=|next_token=|page=|pagenumber=|p=')) AS paged FROM k WHERE kind IS NOT NULL GROUP BY 1""")
+def endpoint_report(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id")
+    tail = F.get(F.array(F.lit("/api/items?page=2"), F.lit("/graphql"), F.lit("/app.js"), F.lit("")), (i % 4).cast("int"))
+    rows = table(spark, d, "pages").select("page_id", domain_of(F.col("url")).alias("domain"), F.concat("url", tail).alias("url"), F.when(i % 6 == 0, 404).otherwise(200).alias("status"), F.when(i % 8 == 0, "application/json").otherwise("text/html").alias("mime_type"), F.create_map(F.lit("x"), F.lit("y")).alias("headers"))
+    return classify.endpoint_report(rows, F.col("domain"))
+
+
+# Synthetic: pages as wide and high as their numbers say.
+PAGE_SIZES = "SELECT page_id, CAST(800 + page_id % 7 * 200 AS INT) AS w, CAST(600 + page_id % 11 * 300 AS INT) AS h FROM pages"
+
+
+def page_sizes(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id")
+    return table(spark, d, "pages").select("page_id", (800 + i % 7 * 200).cast("int").alias("w"), (600 + i % 11 * 300).cast("int").alias("h"))
+
+
+GRID = f"""WITH p AS ({PAGE_SIZES}), c AS (SELECT *, (w - 40) // 3 AS cw, CAST(FLOOR(((w - 40) // 3) * 0.8::DOUBLE) AS INT) AS ch FROM p),
+  g AS (SELECT c.*, r.i AS r, k.i AS k FROM c, RANGE(0, 17) r(i), RANGE(0, 3) k(i) WHERE 100 + r.i * ch + ch < h - 20),
+  b AS (SELECT page_id, w, h, CAST(20 + k * cw AS INT) AS x, CAST(100 + r * ch AS INT) AS y, CAST(cw - 20 AS INT) AS width, CAST(ch - 20 AS INT) AS height, 0.5::DOUBLE AS confidence FROM g)"""
+
+
+@query(GRID + " SELECT page_id, x, y, width, height, confidence FROM b")
+def grid_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.grid_boxes(page_sizes(spark, d), "page_id", "w", "h")
+
+
+LABEL = """CASE WHEN ry < 0.10 AND rw > 0.5 THEN 'header' WHEN ry > 0.85 AND rw > 0.5 THEN 'footer' WHEN rw < 0.25 AND rh > 0.3 AND (rx < 0.15 OR rx > 0.75) THEN 'sidebar' WHEN ry < 0.15 AND rh < 0.05 THEN 'nav_item'
+  WHEN rw > 0.15 AND rw < 0.5 AND rh > 0.1 AND rh < 0.5 AND a > 0.5 AND a < 2.0 THEN 'product_card' WHEN rw < 0.2 AND rh < 0.05 AND a > 2 THEN 'price_tag' WHEN rw > 0.1 AND rw < 0.4 AND a > 0.8 AND a < 1.2 THEN 'product_image'
+  WHEN rw > 0.6 AND rh < 0.05 THEN 'table_row' WHEN rw > 0.4 AND rh > 0.05 AND rh < 0.2 THEN 'description_text' WHEN rw > 0.2 AND rw < 0.8 AND rh < 0.06 THEN 'list_item' ELSE 'unknown' END"""
+BOXES = f"SELECT p.page_id, i.i AS n, p.w, p.h, (i.i * 137) % p.w AS x, (i.i * 211) % p.h AS y, 20 + (i.i * 97) % 900 AS width, 10 + (i.i * 53) % 500 AS height FROM ({PAGE_SIZES}) p, RANGE(0, 20) i(i)"
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n")
+    rows = page_sizes(spark, d).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    return rows.withColumns({"x": n * 137 % F.col("w"), "y": n * 211 % F.col("h"), "width": 20 + n * 97 % 900, "height": 10 + n * 53 % 500})
+
+
+@query(f"SELECT page_id, n, {LABEL} AS label FROM (SELECT page_id, n, y / h::DOUBLE AS ry, x / w::DOUBLE AS rx, width / w::DOUBLE AS rw, height / h::DOUBLE AS rh, width / height::DOUBLE AS a FROM ({BOXES}))")
+def box_labels(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return boxes(spark, d).select("page_id", "n", geometry.box_label(c("x"), c("y"), c("width"), c("height"), c("w"), c("h")).alias("label"))
+
+
+@query(f"SELECT page_id, n, GREATEST(0, x - 10) AS x1, GREATEST(0, y - 10) AS y1, LEAST(w, x + width + 10) AS x2, LEAST(h, y + height + 10) AS y2 FROM ({BOXES}) WHERE LEAST(w, x + width + 10) - GREATEST(0, x - 10) >= 10 AND LEAST(h, y + height + 10) - GREATEST(0, y - 10) >= 10")
+def box_crops(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.crops(boxes(spark, d), "w", "h").select("page_id", "n", "x1", "y1", "x2", "y2")
+
+
+@query(f"SELECT page_id, n FROM (SELECT page_id, n, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY width * height DESC, n) AS place FROM ({BOXES})) WHERE place <= 5")
+def largest_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.largest(boxes(spark, d), "page_id", ["n"], 5).select("page_id", "n")
+
+
+@query()
+def box_groups(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.group_by_nearness(boxes(spark, d), "page_id", "n")
+
+
+@query()
+def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.chunks(markdown_docs(spark, d), "doc_id", "md", max_tokens=400)
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.col("event_type").isin("error", "view")
+    return table(spark, d, "events").select("user_id", "ts", "event_id", bad.alias("failed"), (~bad).alias("ok"), (F.col("event_type") == "error").alias("blocked"))
+
+
+@query()
+def circuit_replay(spark: SparkSession, d: str) -> DataFrame:
+    return state.circuit_breaker(_outcomes(spark, d), "user_id", "ts", ["event_id"], "failed", recovery=3600.0)
+
+
+@query()
+def tier_replay(spark: SparkSession, d: str) -> DataFrame:
+    return state.domain_tiers(_outcomes(spark, d), "user_id", "ts", ["event_id"], "ok", "blocked")
+
+
+@query()
+def tier_stats(spark: SparkSession, d: str) -> DataFrame:
+    return state.router_stats(state.domain_tiers(_outcomes(spark, d), "user_id", "ts", ["event_id"], "ok", "blocked"), "user_id", "event_id")
+
+
+@query()
+def token_bucket_replay(spark: SparkSession, d: str) -> DataFrame:
+    return state.token_bucket(_outcomes(spark, d), "user_id", "ts", ["event_id"], rate=0.0001, burst=3)

@@ -1 +1,91 @@
+"""Streams of events: parsing, windows, sessions, duplicates, and replays with state.
 
+Every function takes a batch or a stream of rows, so the same query runs over either.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+CRAWL_RESULT = "job_id string, url string, success boolean, status_code int, raw_html_ref string, error string, elapsed_ms int, timestamp timestamp"
+EXTRACTION = (
+    "job_id string, success boolean, extracted_data string, result_ref string, error string, extraction_method string, model_used string, "
+    "tokens_input int, tokens_output int, estimated_cost_usd double, confidence double, timestamp timestamp"
+)
+CRAWL_REQUEST = "job_id string, url string, priority string, max_retries int, metadata string, timestamp timestamp"
+EXTRACTION_REQUEST = "job_id string, url string, raw_html_ref string, extraction_schema string, timestamp timestamp"
+EVENTS = {"crawl.requests": CRAWL_REQUEST, "crawl.results": CRAWL_RESULT, "extraction.requests": EXTRACTION_REQUEST, "extraction.results": EXTRACTION}
+EVENT_ROWS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
+    """New files of a folder (or glob) as a stream."""
+    return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_trigger).load(path)
+
+
+def messages(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """JSON messages as columns; malformed ones are left out."""
+    parsed = F.from_json(F.col(value).cast("string"), schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(parsed.alias("m")).where(F.col("m").isNotNull() & F.col("m._corrupt").isNull()).select("m.*").drop("_corrupt")
+
+
+def keyed_messages(rows: DataFrame, key: str = "job_id") -> DataFrame:
+    """Rows as key and JSON value, the form a log sink takes; one key's rows stay in order in one partition."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def timed(rows: DataFrame, at: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """at as a timestamp with a time zone, and a watermark on it if rows are a stream."""
+    rows = rows.withColumn(at, F.col(at).cast("timestamp"))
+    return rows.withWatermark(at, late) if rows.isStreaming else rows
+
+
+def windowed(rows: DataFrame, by: list[str], value: str, width: str, slide: str | None = None, at: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums in tumbling (or sliding) windows: start, *by, n, total."""
+    out = timed(rows, at, late).groupBy(F.window(at, width, slide) if slide else F.window(at, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return out.select(F.col("window.start").alias("start"), *by, "n", "total")
+
+
+def sessions(rows: DataFrame, key: str, gap: str = "30 minutes", at: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Runs of a key's events with no gap: key, start, end, n."""
+    out = timed(rows, at, late).groupBy(F.session_window(at, gap), key).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def once(rows: DataFrame, keys: list[str], at: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Rows whose keys were not seen within the time that stragglers may take; in a batch, one row of each keys."""
+    rows = timed(rows, at, late)
+    return rows.dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
+
+
+def failures_in_a_row(rows: DataFrame, key: str, failed: str, order: str) -> DataFrame:
+    """A stream's longest and current run of failures of each key, updated as rows come. State: two numbers a key."""
+
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        longest, current = state.get if state.exists else (0, 0)
+        for x in pd.concat(list(batches)).sort_values(order)[failed]:
+            current = current + 1 if x else 0
+            longest = max(longest, current)
+        state.update((longest, current))
+        yield pd.DataFrame({key: [k[0]], "longest": [longest], "current": [current]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, failed, order).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, longest int, current int", "longest int, current int", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that a stream has now, gathered in a table in memory: for tests and small results."""
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def write_stream(stream: DataFrame, path: str, checkpoint: str, by: list[str] | None = None):
+    """A stream into a parquet table, in folders by some columns; starts and returns the query."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.partitionBy(*by) if by else writer).start()
