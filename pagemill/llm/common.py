@@ -42,6 +42,14 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row even where body uses it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

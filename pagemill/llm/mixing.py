@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, stored, unused
 
 #: Weights dealt to the sources in the order of their code points, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -95,9 +95,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
 
     Rows are matched by id; rows that repeat an id and differ in size share the number of passes of the first by size.
     """
-    taken = mix_sources(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("passes").alias("__passes"))
-    joined = docs.join(taken.where("__passes > 0").withColumnRenamed(id_col, "__id"), docs[id_col].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)
+    key, passes = unused(docs, "__id"), unused(docs, "__passes")
+    taken = mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("passes").alias(passes))
+    joined = docs.join(taken.where(F.col(passes) > 0), docs[id_col].eqNullSafe(taken[key]))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(passes))).alias(key)).drop(key)
 
 
 ORACLE = r"""

@@ -107,8 +107,9 @@ WITH d AS (
          LIST_FILTER(STRING_SPLIT(COALESCE(text, ''), CHR(10)), lambda x: REGEXP_MATCHES(x, '[^\x20\x09-\x0D]')) AS lines,
          LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[#*$%&|<>]')) AS n_symbols
   FROM documents),
-g AS (SELECT rid, UNNEST(RANGE(1, LEN(w) - 1)) AS i, w FROM d WHERE LEN(w) >= 3),
-h AS (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+t AS (SELECT rid, UNNEST(w) AS x, UNNEST(RANGE(1, LEN(w) + 1)) AS i FROM d),
+g AS (SELECT rid, i, x, LEAD(x) OVER s AS y, LEAD(x, 2) OVER s AS z FROM t WINDOW s AS (PARTITION BY rid ORDER BY i)),
+h AS (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, x, y, z) AS c FROM g WHERE z IS NOT NULL),
 v AS (SELECT rid, LEAST(3, COALESCE(LEAD(i) OVER (PARTITION BY rid ORDER BY i) - i, 3)) AS covers FROM h WHERE c > 1),
 r AS (SELECT rid, SUM(covers) AS n FROM v GROUP BY rid),
 m AS (

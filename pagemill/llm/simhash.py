@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 from .components import components
 
 SHINGLE, SEED, MAX_BITS, PIVOTS = 4, 42, 4, 16
@@ -179,7 +179,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each component: the smallest id, and of rows that repeat it the first by text."""
     found = near_duplicates(docs, id_col, text_col, max_bits)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
-    once = kept.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns if c != id_col]), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("__row"))
-    return once.select(*[F.col(id_col) if c == id_col else F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    key = unused(docs, "__id")
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)).distinct()
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[key])).drop(key)
+    others = [c for c in docs.columns if c != id_col]
+    once = kept.groupBy(id_col).agg(F.min_by(F.struct(*others), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias(key))
+    return once.select(*[F.col(id_col) if c == id_col else F.col(f"{key}.{c}").alias(c) for c in docs.columns])
