@@ -116,6 +116,7 @@ def nearest(
     counts = np.zeros(cells, dtype=np.int64)
     for r in held:
         counts[r["cell"]] = r["count"]
+    block_rows = min(block_rows, max(512, -(-total // 16)))
     # Neighbouring cells share a block up to block_rows; a cell beyond that has blocks of its own.
     first_block, n_blocks, block, room = np.zeros(cells, dtype=np.int64), np.ones(cells, dtype=np.int64), 0, block_rows
     for c in np.flatnonzero(counts).tolist():
