@@ -169,9 +169,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
     found = components(links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    members = rooted.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("node"), "component_id")
+    rooted = stored(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")  # so that the join can split a hot component
+    members = stored(rooted.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("node"), "component_id"), "members")
     named = rows.join(members, rows["fp"] == members["node"])
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
