@@ -180,8 +180,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with one row of each component: the smallest id, and of rows that repeat it the first by text."""
     found = near_duplicates(docs, id_col, text_col, max_bits)
     key = unused(docs, "__id")
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[key])).drop(key)
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    keep = stored(keep, "kept")
+    chosen = lambda ids: docs.join(ids.select(key), docs[id_col].eqNullSafe(ids[key]), "left_semi")
+    if not keep.where("n > 1").limit(1).count():
+        return chosen(keep)
     others = [c for c in docs.columns if c != id_col]
-    once = kept.groupBy(id_col).agg(F.min_by(F.struct(*others), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias(key))
-    return once.select(*[F.col(id_col) if c == id_col else F.col(f"{key}.{c}").alias(c) for c in docs.columns])
+    once = chosen(keep.where("n > 1")).groupBy(id_col).agg(F.min_by(F.struct(*others), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias(key))
+    return chosen(keep.where("n = 1")).unionByName(once.select(*[F.col(id_col) if c == id_col else F.col(f"{key}.{c}").alias(c) for c in docs.columns]))
