@@ -80,6 +80,19 @@ def rollback(versioned: DataFrame, keys: list[str], target: int) -> DataFrame:
     return versioned.unionByName(old.select(*versioned.columns))
 
 
+def timeline(versioned: DataFrame, keys: list[str], at: str, schema: str = "schema_data") -> DataFrame:
+    """The history of each key as text: a line a version with its kind, time and fields."""
+    line = F.concat(F.lit("v"), F.col("version").cast("string"), F.lit(" ["), "change_type", F.lit("] "), F.col(at).cast("string"), F.lit(": "), F.array_join(F.array_sort(F.map_keys(F.col(schema))), ", "))
+    rows = versioned.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("version", line.alias("line")))).alias("lines"))
+    return rows.select(*keys, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("timeline"))
+
+
+def summary(results: DataFrame, found: str = "drift") -> DataFrame:
+    """What a monitor reports: checked, found, and how many of each severity."""
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    return results.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col(found)).alias("found"), n("minor"), n("moderate"), n("major"))
+
+
 def accept_repair(proposals: DataFrame, confidence: str = "confidence", least: float = 0.6) -> DataFrame:
     """Proposed schemas with their differences to the old ones and whether they are taken."""
     return schema_diff(proposals, "old_schema", "new_schema").withColumn("accepted", F.col(confidence) > least)

@@ -46,6 +46,13 @@ def by_status(jobs: DataFrame, status: str | None = None) -> DataFrame:
     return jobs if status is None else jobs.where(F.col("status") == status)
 
 
+def get(rows: DataFrame, **keys) -> DataFrame:
+    """Rows by key: a filter that reaches the scan."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == value)
+    return rows
+
+
 def page_of(rows: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of a listing; `order` must end in a unique key. limit is kept within 1 to 200."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(200, max(1, limit)))

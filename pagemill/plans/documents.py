@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_markdown, cosine, domain_of, fenced_json, is_empty, strip_currency, strip_whitespace
-from ..operators import change, chunk, classify, drift, geometry, html, merge, routing, state, text
+from ..operators import change, chunk, classify, discover, drift, geometry, html, merge, routing, state, text
 from ..sources import MODELS_SQL, materialised, models, table
 
 QUERIES: dict = {}
@@ -376,9 +376,11 @@ def drift_content(spark: SparkSession, d: str) -> DataFrame:
     return drift.content_similarity(_metrics(spark, d), ["user_id"], ["ts", "event_id"])
 
 
-@query(COMPLETENESS + ", " + SIMILAR.replace("s AS (", "sim AS (", 1) + """, f AS (SELECT user_id, COUNT(*) >= 5 AND COUNT(*) FILTER (WHERE event_type = 'error') / COUNT(*)::DOUBLE > 0.30 AS t FROM events GROUP BY 1),
-  g AS (SELECT f.user_id, CAST(f.t AS INT) + CAST(v.value >= 3 AS INT) + CAST(sim.value < 0.8 AS INT) AS n_triggered FROM f JOIN v USING (user_id) JOIN sim USING (user_id))
-  SELECT user_id, n_triggered, n_triggered >= 2 AS drift, CASE n_triggered WHEN 0 THEN 'none' WHEN 1 THEN 'minor' WHEN 2 THEN 'moderate' ELSE 'major' END AS severity, n_triggered / 4.0::DOUBLE AS confidence FROM g""")
+SIGNALS = COMPLETENESS + ", " + SIMILAR.replace("s AS (", "sim AS (", 1) + """, f AS (SELECT user_id, COUNT(*) >= 5 AND COUNT(*) FILTER (WHERE event_type = 'error') / COUNT(*)::DOUBLE > 0.30 AS t FROM events GROUP BY 1),
+  g AS (SELECT f.user_id, CAST(f.t AS INT) + CAST(v.value >= 3 AS INT) + CAST(sim.value < 0.8 AS INT) AS n_triggered FROM f JOIN v USING (user_id) JOIN sim USING (user_id))"""
+
+
+@query(SIGNALS + " SELECT user_id, n_triggered, n_triggered >= 2 AS drift, CASE n_triggered WHEN 0 THEN 'none' WHEN 1 THEN 'minor' WHEN 2 THEN 'moderate' ELSE 'major' END AS severity, n_triggered / 4.0::DOUBLE AS confidence FROM g")
 def drift_severity(spark: SparkSession, d: str) -> DataFrame:
     one = lambda df, n: df.select("user_id", F.col("triggered").alias(n))
     m = _metrics(spark, d).withColumn("passed", F.col("event_type") != "error")
@@ -387,6 +389,25 @@ def drift_severity(spark: SparkSession, d: str) -> DataFrame:
     return drift.severity(both, ["f", "c", "s", "x"]).select("user_id", "n_triggered", "drift", "severity", "confidence")
 
 
+@query(SIGNALS + """ SELECT COUNT(*) AS checked, COUNT(*) FILTER (WHERE n_triggered >= 2) AS found, COUNT(*) FILTER (WHERE n_triggered = 1) AS minor,
+  COUNT(*) FILTER (WHERE n_triggered = 2) AS moderate, COUNT(*) FILTER (WHERE n_triggered >= 3) AS major FROM g""")
+def drift_summary(spark: SparkSession, d: str) -> DataFrame:
+    return drift.summary(drift_severity(spark, d))
+
+
+@query()
+def discovered_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """The lists of links in the pages' menus, as what recurs most."""
+    return discover.discover(node_table(spark, d))
+
+
+@query("SELECT p_partkey, SUBSTR(SHA256(p_brand || ':id:int,size:' || CASE WHEN p_size % 2 = 0 THEN 'int' ELSE 'str' END), 1, 16) AS hash FROM part")
+def schema_hashes(spark: SparkSession, d: str) -> DataFrame:
+    entry = lambda n, t: F.struct(F.lit(n).alias("name"), t.alias("type"))
+    fields = F.array(entry("id", F.lit("int")), entry("size", F.when(F.col("p_size") % 2 == 0, "int").otherwise("str")))
+    return table(spark, d, "part").select("p_partkey", discover.schema_hash(F.col("p_brand"), fields).alias("hash"))
+
+
 # Synthetic: the schema of a part is what its brand and size imply; a part's number is its version.
 SCHEMA_PAIRS = "SELECT p_partkey, LIST_DISTINCT(['id', 'name', 'f' || p_size % 5]) AS a, LIST_DISTINCT(['id', 'f' || p_size % 3, 'f' || p_partkey % 4]) AS b FROM part"
 

@@ -28,6 +28,12 @@ def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parque
     return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def topic_stream(spark: SparkSession, servers: str, topics: str, starting: str = "earliest") -> DataFrame:
+    """A message log's topics as a stream of key and value; needs Spark's connector for it on the class path."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", starting)
+    return reader.load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "topic", "timestamp")
+
+
 def messages(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """JSON messages as columns; malformed ones are left out."""
     parsed = F.from_json(F.col(value).cast("string"), schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})

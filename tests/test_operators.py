@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill import functions as fn
 from pagemill import sources
-from pagemill.operators import analytics, change, chunk, classify, drift, geometry, html, jobs, merge, routing, state, telemetry, text
+from pagemill.operators import analytics, change, chunk, classify, discover, drift, geometry, html, jobs, merge, routing, state, telemetry, text
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -264,3 +264,18 @@ def test_grouping_by_nearness(spark):
     assert {r.grp: r.entity for r in whole.collect()} == {0: {"title": "title3", "price": "price1"}, 1: {"title": "title2"}}
     d = spark.createDataFrame([(0, 0, 10, 10, 13, 14, 5, 5)], "ax int, ay int, awidth int, aheight int, bx int, by int, bwidth int, bheight int")
     assert d.select(geometry.box_distance("a", "b").alias("d")).first().d == 5.0
+
+
+def test_discovery_and_schemas(spark, pages):
+    r = discover.discover(html.nodes(pages)).collect()
+    assert [(x.page_id, x["count"], [(f.name, f.type) for f in x.fields], x.confidence) for x in r] == [(1, 3, [("h3", "str"), ("span", "str")], 0.4)]
+    fields = [{"name": "id", "type": "int", "required": True}, {"name": "tags", "type": "list[str]"}, {"name": "x", "type": "odd"}]
+    assert discover.struct_type(fields).simpleString() == "struct<id:bigint,tags:array<string>,x:string>" and discover.type_name("product card_item") == "ProductCardItem"
+    assert discover.type_source("a b", fields[:1]) == "AB STRUCT<id: bigint>"
+    rows = spark.createDataFrame([('{"id": 1, "tags": ["a"], "x": "y"}',), ('{"tags": []}',), ("{bad",), (None,)], "j string")
+    got = discover.typed(rows, "j", fields).collect()
+    assert got[0].entity.id == 1 and [r.entity_valid for r in got] == [True, False, False, False]
+    out = discover.with_model(rows, lambda b: b.assign(n=b["j"].str.len()), ["j"], "j string, n double").collect()
+    assert out[0].n == 34
+    v = drift.versions(spark.createDataFrame([("d", 1, {"b": "x", "a": "x"}, "add"), ("d", 2, {"b": "x"}, "edit")], "k string, at int, schema_data map<string,string>, change_type string"), ["k"], ["at"])
+    assert drift.timeline(v, ["k"], "at").first().timeline == "v1 [add] 1: a, b\nv2 [edit] 2: b"
