@@ -182,7 +182,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = unused(docs, "__id")
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count(F.lit(1)).alias("n"))
     keep = stored(keep, "kept")
-    chosen = lambda ids: docs.join(ids.select(key), docs[id_col].eqNullSafe(ids[key]), "left_semi")
+    # One plan at every size: the kept ids grow with the documents, so they are never sent to all tasks.
+    chosen = lambda ids: docs.join(ids.select(key).hint("merge"), docs[id_col].eqNullSafe(ids[key]), "left_semi")
     if not keep.where("n > 1").limit(1).count():
         return chosen(keep)
     others = [c for c in docs.columns if c != id_col]
