@@ -175,9 +175,9 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
   idf AS (SELECT word, mean, CASE WHEN raw < 0 THEN 0.25 * (SELECT AVG(raw) FROM df) ELSE raw END AS idf FROM df),
   q AS (SELECT item_id, word, COUNT(*) AS times FROM (SELECT item_id, UNNEST(LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(text), '\\s+'), lambda w: w <> '')) AS word FROM benchmark) GROUP BY ALL),
   r AS (SELECT item_id, doc_id, SUM(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM tf JOIN q USING (word) JOIN idf USING (word) GROUP BY ALL)
-  SELECT * FROM (SELECT item_id, doc_id, score, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ROUND(score, 9) DESC, doc_id) AS place FROM r) WHERE place <= 10""")
+  SELECT item_id, doc_id, ROUND(score, 6) AS score, place FROM (SELECT item_id, doc_id, score, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ROUND(score, 9) DESC, doc_id) AS place FROM r) WHERE place <= 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return text.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    return text.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text").withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
@@ -188,11 +188,11 @@ def trigram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return text.text_similarity(c.select("conv_id", "turn", F.col("text").alias("a")).join(after, ["conv_id", "turn"]), "a", "b").select("conv_id", "turn", "similarity")
 
 
-@query("SELECT a.vec_id, b.vec_id AS next_id, LIST_COSINE_SIMILARITY(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("SELECT a.vec_id, b.vec_id AS next_id, ROUND(LIST_COSINE_SIMILARITY(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("embedding").alias("b"))
-    return e.join(after, "vec_id").select("vec_id", "next_id", cosine(F.col("embedding"), F.col("b")).alias("similarity"))
+    return e.join(after, "vec_id").select("vec_id", "next_id", F.round(cosine(F.col("embedding"), F.col("b")), 9).alias("similarity"))
 
 
 @query("SELECT SHA256(text) AS hash, COUNT(*) AS n, MIN(doc_id) AS first_key FROM documents GROUP BY 1 HAVING COUNT(*) > 1")
@@ -262,12 +262,12 @@ def cascade_outcome(spark: SparkSession, d: str) -> DataFrame:
     return routing.cascade_outcome(a, "doc_id", ceiling=0.02)
 
 
-@query(f"""WITH m AS {MODELS_SQL[1:-1].join(['(', ')'])}, c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'gemini/gemini-2.5-pro' WHEN 1 THEN 'gemini/unknown' WHEN 2 THEN 'ollama/unknown' ELSE 'else/unknown' END AS model, CAST(FLOOR(LENGTH(text) / 4.0) AS BIGINT) AS tokens_in FROM documents)
-  SELECT doc_id, model, (tokens_in * CASE doc_id % 4 WHEN 0 THEN 1.25 WHEN 1 THEN 0.15 ELSE 0.0 END + 500 * CASE doc_id % 4 WHEN 0 THEN 10.0 WHEN 1 THEN 0.6 ELSE 0.0 END)::DOUBLE / 1000000 AS cost_usd FROM c""")
+@query(f"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'gemini/gemini-2.5-pro' WHEN 1 THEN 'gemini/unknown' WHEN 2 THEN 'ollama/unknown' ELSE 'else/unknown' END AS model, CAST(FLOOR(LENGTH(text) / 4.0) AS BIGINT) AS tokens_in FROM documents)
+  SELECT doc_id, model, ROUND((tokens_in * CASE doc_id % 4 WHEN 0 THEN 1.25 WHEN 1 THEN 0.15 ELSE 0.0 END + 500 * CASE doc_id % 4 WHEN 0 THEN 10.0 WHEN 1 THEN 0.6 ELSE 0.0 END)::DOUBLE / 1000000, 9) AS cost_usd FROM c""")
 def estimated_cost(spark: SparkSession, d: str) -> DataFrame:
     name = F.get(F.array(*[F.lit(x) for x in ("gemini/gemini-2.5-pro", "gemini/unknown", "ollama/unknown", "else/unknown")]), (F.col("doc_id") % 4).cast("int"))
     calls = text.token_counts(table(spark, d, "documents"), "doc_id", "text").select("doc_id", name.alias("model"), F.col("tokens").alias("tokens_in"), F.lit(500).alias("tokens_out"))
-    return routing.estimated_cost(calls, models(spark)).select("doc_id", "model", "cost_usd")
+    return routing.estimated_cost(calls, models(spark)).select("doc_id", "model", F.round("cost_usd", 9).alias("cost_usd"))
 
 
 # Synthetic: two extractors that read the same pages, the second with gaps, other case, and near values.

@@ -232,9 +232,9 @@ def _proxies(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.proxy_health(table(spark, d, "events"), "user_id", ok, F.col("event_type") == "error", F.col("value") * 100, ["ts", "event_id"])
 
 
-@query(PROXIES + "SELECT * FROM h")
+@query(PROXIES + "SELECT user_id, total, ROUND(health, 9) AS health, failures_in_a_row, status FROM h")
 def proxy_health(spark: SparkSession, d: str) -> DataFrame:
-    return _proxies(spark, d)
+    return _proxies(spark, d).withColumn("health", F.round("health", 9))
 
 
 @query(PROXIES + """SELECT user_id % 3 AS tier, COUNT(*) AS total, COUNT(*) FILTER (WHERE status = 'healthy') AS healthy, COUNT(*) FILTER (WHERE status = 'degraded') AS degraded,
@@ -243,10 +243,10 @@ def proxy_pool_stats(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.pool_stats(_proxies(spark, d), F.col("user_id") % 3)
 
 
-@query(PROXIES + """SELECT tier, place, user_id, health FROM (SELECT user_id % 3 AS tier, user_id, health, ROW_NUMBER() OVER (PARTITION BY user_id % 3 ORDER BY health DESC, user_id) AS place
+@query(PROXIES + """SELECT tier, place, user_id, ROUND(health, 9) AS health FROM (SELECT user_id % 3 AS tier, user_id, health, ROW_NUMBER() OVER (PARTITION BY user_id % 3 ORDER BY health DESC, user_id) AS place
   FROM h WHERE status <> 'quarantined') WHERE place <= 3""")
 def best_proxies(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.best_proxies(_proxies(spark, d), F.col("user_id") % 3, "user_id")
+    return telemetry.best_proxies(_proxies(spark, d), F.col("user_id") % 3, "user_id").withColumn("health", F.round("health", 9))
 
 
 @query("""SELECT user_id, last_at, refreshes, age, age > 86400 AS expired, age > 0.8 * 86400 AS due FROM (SELECT user_id, MAX(ts) AS last_at, COUNT(*) - 1 AS refreshes,
@@ -278,13 +278,13 @@ def deduplicated_events(spark: SparkSession, d: str) -> DataFrame:
     return streaming.once(table(spark, d, "events"), ["user_id", "event_type"]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT r_name, n_name, SUM(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
+@query("""SELECT r_name, n_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
   JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def rollup_revenue(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
     joined = joined.join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return joined.rollup("r_name", "n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    return joined.rollup("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
