@@ -20,6 +20,8 @@ from .common import stored
 
 #: Subtrees on at least so many pages of a host, and on at least this share of them, belong to its template.
 MIN_PAGES, MIN_SHARE = 3, 0.3
+#: A subtree with more characters outside links is no template, however often it recurs.
+LONGEST_TEMPLATE = 500
 
 # Names that HTML or common usage gives to blocks, void elements, raw text and page furniture.
 BLOCKS = frozenset(
@@ -96,8 +98,9 @@ def parse(html: str, doomed: frozenset[int] = frozenset(), want_hashes: bool = F
             tag, start, _, _, chars_before, linked_before, n_blocks = stack.pop()
             if tag in BLOCKS:
                 flush()
-                inside = chars - chars_before
-                if inside and start >= 0 and (level == 0 and tag not in ("html", "body", "main", "article") or level and 2 * (linked - linked_before) >= inside):
+                inside, in_links = chars - chars_before, linked - linked_before
+                prose = inside - in_links > LONGEST_TEMPLATE
+                if inside and not prose and (level == 0 and tag not in ("html", "body", "main", "article") or level and 2 * in_links >= inside):
                     h = xxh64_intdigest(html[start:end])
                     if want_hashes:
                         hashes.add(h)
@@ -198,21 +201,24 @@ def host_of(url):
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host, hashes: the subtrees on at least min_pages pages and min_share of the pages of each host.
 
-    Each page votes once for each hash; votes are summed before they are shuffled. A host has at most
-    (candidates of a page) / min_share hashes, so its list is bounded.
+    Pages are told apart by their markup, so copies of a page vote once. Votes are counted where they are cast before
+    they are shuffled. A host has at most (candidates of a page) / min_share hashes, so its list is bounded.
     """
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, pages = [], [], []
             for host, html in zip(batch["host"], batch["html"], strict=True):
                 own = parse(html, want_hashes=True)[1] if html else set()
                 hosts += [host] * (len(own) + 1)
-                found += [h - (1 << 64) if h >> 63 else h for h in own] + [None]
-            yield pd.DataFrame({"host": hosts, "hash": pd.array(found, dtype="Int64")})
+                found += [signed(h) for h in own] + [None]
+                pages += [signed(xxh64_intdigest(html or ""))] * (len(own) + 1)
+            yield pd.DataFrame({"host": hosts, "hash": pd.array(found, dtype="Int64"), "page": pages})
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("host <> ''")
-    counts = rows.mapInPandas(votes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    cast = rows.mapInPandas(votes, "host string, hash long, page long").distinct()
+    counts = cast.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "votes")
     total = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
     often = counts.where("hash IS NOT NULL").join(total, "host").where(F.col("n") >= F.col("pages") * min_share)

@@ -19,6 +19,15 @@ def test_template_subtrees_go_where_no_tag_names_them(spark):
     assert "All our towns" in got[9].text and "All our towns" in got[10].text  # nothing recurs there
 
 
+def test_copies_and_prose_are_no_template(spark):
+    story = "<div><p>" + "A long story in its own words. " * 30 + "</p></div><div><p>Short end.</p></div>"
+    rows = [(i, "http://copy.example/", SITE.format(story)) for i in range(9)] + [(20 + i, "http://copy.example/", SITE.format(story + f"<div><p>Note {i}.</p></div>")) for i in range(1)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.endswith("own words.\nShort end.") for i, t in got.items() if i < 20) and got[20].endswith("Short end.\nNote 0.")
+    rows = [(i, "http://near.example/", SITE.format(story + f"<div><p>Note {i}.</p></div>")) for i in range(9)]
+    assert all(r.text.startswith("A long story") for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+
+
 def test_whole_table_against_the_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import re
