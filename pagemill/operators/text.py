@@ -45,9 +45,9 @@ def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, k: int = 10) -> DataFrame:
     """The k best documents of each query by Okapi BM25 on lower-case words: query_key, key, score, place.
 
-    Only words that occur in a query leave the documents, counted within each document before any shuffle. The inverse
-    document frequency of a word in more than half of the documents is `floor` times the mean. Queries are matched on
-    words, so no pair without a common word is made.
+    Words are counted within documents before they are shuffled. The inverse document frequency of a word in more than
+    half of the documents is `floor` times the mean over the vocabulary, so every word's frequency is needed. Queries are
+    matched on words: no pair without a common word is made.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     asked = queries.select(query_key, F.explode(words(F.col(query_text))).alias("word")).groupBy(query_key, "word").agg(F.count(F.lit(1)).alias("times"))
