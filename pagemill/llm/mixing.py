@@ -48,6 +48,7 @@ def mix_sources(
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
     rows_per_bucket: int = 1024,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken, passes.
 
@@ -56,9 +57,12 @@ def mix_sources(
     whole copies, for mixes of whole documents: the row at the cut counts if at least half of it lies before the cut.
     A null source is a source of its own; a null id is hashed as an empty text; rows that are alike in id and size
     are ordered arbitrarily among themselves. An empty table gives an empty table. Other columns are ignored.
+    row_col: a column with a different long in every row. It is returned too and orders rows that are alike; rows
+    without an id are then hashed by their text, so that they are spread like others.
     """
     source = F.col(source_col).cast("string")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    nameless = F.concat(F.lit("\0"), F.xxhash64(text_col).cast("string")) if row_col else F.lit("")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), nameless)).cast("binary"))
     sizes = stored(
         docs.select(
             F.col(id_col).alias("id"),
@@ -66,6 +70,7 @@ def mix_sources(
             F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("src"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("key"),
+            *([F.col(row_col).alias("row")] if row_col else []),
         ),
         "mix-sizes",
     )
@@ -76,7 +81,7 @@ def mix_sources(
     targets = source_targets(totals, weights, share, max_epochs).drop("source")
     ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size", "source").join(targets, "src")
-    inside = Window.partitionBy("src", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("src", "bucket").orderBy("key", "id", "size", *(["row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, 0)
     rows = sizes.join(starts, ["src", "bucket"]).withColumn("before", F.col("start") + F.sum("size").over(inside) - F.col("size"))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
@@ -87,17 +92,20 @@ def mix_sources(
     return rows.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), passes.cast("int").alias("passes"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as `passes` says, with the columns of docs.
+    """The mix itself: each row of docs as often as `passes` says of that row, with the columns of docs.
 
-    Rows are matched by id; rows that repeat an id and differ in size share the number of passes of the first by size.
+    Rows are matched by a key that is stored with them, so ids may be null or repeat.
     """
-    key, passes = unused(docs, "__id"), unused(docs, "__passes")
-    taken = mix_sources(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("passes").alias(passes))
-    joined = docs.join(taken.where(F.col(passes) > 0), docs[id_col].eqNullSafe(taken[key]))
+    row, key, passes = unused(docs, "__row"), unused(docs, "__key"), unused(docs, "__passes")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    mix = mix_sources(keyed, id_col=id_col, row_col=row, **options)
+    taken = mix.where("passes > 0").select(F.col(row).alias(key), F.col("passes").alias(passes))
+    joined = keyed.join(taken, keyed[row] == taken[key])
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(passes))).alias(key)).drop(key)
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stored, unused
 from .components import components
@@ -159,6 +160,15 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS) ->
     return dealt.select("fp", "band", "key").mapInArrow(compare, "a long, b long")
 
 
+def memberships(rows: DataFrame, max_bits: int) -> DataFrame:
+    """rows (id, fp) -> node (each distinct fp), root of its component (an fp) and component_id."""
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    found = components(links(nodes.select("fp"), max_bits))
+    rooted = stored(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")  # so that the join can split a hot component
+    return stored(rooted.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("node"), "root", "component_id"), "members")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (the smallest id that links lead to) of every row.
 
@@ -167,25 +177,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the component has no other. An empty table gives an empty one. Other columns of docs are ignored.
     """
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    found = components(links(nodes.select("fp"), max_bits))
-    rooted = stored(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
-    lowest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")  # so that the join can split a hot component
-    members = stored(rooted.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("node"), "component_id"), "members")
+    members = memberships(rows, max_bits)
     named = rows.join(members, rows["fp"] == members["node"])
     return named.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each component: the smallest id, and of rows that repeat it the first by text."""
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    key = unused(docs, "__id")
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count(F.lit(1)).alias("n"))
-    keep = stored(keep, "kept")
-    # One plan at every size: the kept ids grow with the documents, so they are never sent to all tasks.
-    chosen = lambda ids: docs.join(ids.select(key).hint("merge"), docs[id_col].eqNullSafe(ids[key]), "left_semi")
-    if not keep.where("n > 1").limit(1).count():
-        return chosen(keep)
-    others = [c for c in docs.columns if c != id_col]
-    once = chosen(keep.where("n > 1")).groupBy(id_col).agg(F.min_by(F.struct(*others), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias(key))
-    return chosen(keep.where("n = 1")).unionByName(once.select(*[F.col(id_col) if c == id_col else F.col(f"{key}.{c}").alias(c) for c in docs.columns]))
+    """docs with exactly one row of each component: the smallest id (null last), and of rows that repeat it there the first by text.
+
+    Components are told by their fingerprints and rows by a key that is stored with them, never by ids: these may be null or repeat.
+    """
+    row, fp = unused(docs, "__row"), unused(docs, "__fp")
+    names, at = [*docs.columns, fp], docs.columns.index(text_col)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(at).cast(pa.string())), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names)
+
+    keyed = stored(docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField(fp, LongType())])).withColumn(row, F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(fp).alias("fp"))
+    members = memberships(rows, max_bits)
+    least = rows.join(members, rows["fp"] == members["node"]).where(F.col("id").eqNullSafe(F.col("component_id")))
+    least = stored(least.select("row", "root"), "least")
+    counts = stored(least.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")), "least-counts")
+    # One plan at every size: the kept rows grow with the documents, so they are never sent to all tasks.
+    chosen = lambda some: keyed.join(some.select("row").hint("merge"), keyed[row] == some["row"], "left_semi").select(*docs.columns)
+    if not counts.where("n > 1").limit(1).count():
+        return chosen(counts)
+    tied = least.join(counts.where("n > 1").select("root"), "root")
+    tied = keyed.select(F.col(row).alias("__tied"), F.col(text_col).alias("text")).join(tied.hint("merge"), F.col("__tied") == F.col("row"))
+    first = tied.groupBy("root").agg(F.min(F.struct(F.col("text").isNull(), "text", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return chosen(counts.where("n = 1").select("row").unionByName(first))

@@ -58,3 +58,13 @@ def test_edges(messy, sql):
     mixed = M.mixed_documents(messy)
     assert mixed.columns == messy.columns and mixed.count() > 0
     assert M.mixed_documents(messy.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_common_one_are_mixed_one_by_one(spark):
+    rows = [(None if i % 3 else 5, f"{i} " + "word " * (i % 7), "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    targets = {r.source: r.target for r in M.mix_sources(docs).select("source", "target").distinct().collect()}
+    mixed = M.mixed_documents(docs)
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert all(abs(got[s] - t) <= 7 for s, t in targets.items())  # whole rows, of 7 words at most
+    assert mixed.groupBy("text").count().where("count > 2").count() == 0

@@ -82,3 +82,15 @@ def test_edges(spark):
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
     assert kept.where(F.col("doc_id").isin(2, 3)).count() == 0 and kept.where("doc_id = 4").count() == 1
+
+
+def test_one_row_of_each_component_whatever_its_id(spark):
+    words = lambda seed, n=60: " ".join(random.Random(seed).choices([f"w{i}" for i in range(900)], k=n))
+    rows = [(None, words(i)) for i in range(30)] + [(None, words(i)) for i in range(5)]  # 30 texts, 5 of them twice
+    rows += [(7, words(100 + i)) for i in range(20)]  # one id, 20 texts
+    rows += [(8, words(200)), (3, words(200)), (8, words(201)), (None, words(200))]  # id 8 is a copy here and alone there
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, __row string").repartition(3)
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    want = [(None, words(i)) for i in range(30)] + [(7, words(100 + i)) for i in range(20)] + [(3, words(200)), (8, words(201))]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
