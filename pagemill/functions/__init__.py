@@ -1,9 +1,13 @@
-"""Column functions: built-in expressions only, so all of them stay inside Catalyst."""
+"""Column functions: built-in expressions only, so all of them stay inside Catalyst; character references alone need Python."""
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Strings that stand for "no value" in extracted fields, and those that count against confidence.
 EMPTY_VALUES = ("", "na", "n/a", "none", "null", "unknown", "-")
@@ -73,12 +77,17 @@ def cosine(x: Column, y: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """The text with all named and numeric character references resolved (null: null)."""
+    return text.map(lambda t: unescape(t) if isinstance(t, str) and "&" in t else t)
+
+
 def clean_markdown(text: Column) -> Column:
-    """At most one blank line in a row, no space before line ends, no invisible characters, trimmed."""
+    """At most one blank line in a row, no space before line ends, no character references, no invisible characters, trimmed."""
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, r"[ \t\r\f\x0B]+(?=\n|$)", "")
-    for entity, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = unescaped(text)
     text = F.regexp_replace(text, "[​‌‍﻿­]", "")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -43,6 +43,17 @@ def test_small_functions(spark):
     assert [one(spark, fn.backoff_seconds(F.col("n")), n=float(n)) for n in (1, 2, 7, 30)] == [1, 2, 60, 60]
 
 
+def test_markdown_resolves_all_character_references(spark):
+    import html
+    import re
+
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text LIKE '%&%'").select("text").collect()]
+    rows += ["a&mdash;b&#8217;s &#x41; &nbsp;x &amp;lt; &eacute &unknown; R&D &#8203;z", None, "&", "no reference"]
+    clean = lambda t: re.sub(r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$", "", re.sub("[\u200b\u200c\u200d\ufeff\u00ad]", "", html.unescape("\n".join(x.rstrip(" \t\r\f\v") for x in re.sub(r"\n{3,}", "\n\n", t).split("\n")))))
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, v string").select("i", fn.clean_markdown(F.col("v")).alias("md")).collect()
+    assert [r.md for r in sorted(got)] == [None if t is None else clean(t) for t in rows]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2}\n')
     assert sources.load_json(spark, "j", str(tmp_path / "*.json")).count() == 2 and spark.sql("SELECT SUM(a) AS s FROM j").first().s == 3
