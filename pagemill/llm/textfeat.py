@@ -111,12 +111,15 @@ def tables(texts: list[str | None], lower: bool = True, most: int = TABLE_BYTES)
 def sample_by(rows: DataFrame, label: str, per_label: int, key: Column, most: int) -> DataFrame:
     """About per_label rows of each label by the hash of key, and `most` in all; rows without a label are left out.
 
-    Labels are counted first, so the sample's size is bounded and every label has its share.
+    Labels are counted first, so the sample's size is bounded. A row's place among its label's is told from its hash
+    and the count; where labels together exceed `most`, the farthest places go, so that frequent labels are cut to one
+    length and rare ones stay whole.
     """
     rows = rows.where(F.col(label).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.1 * per_label / n))])
-    place = (F.xxhash64(key) / F.lit(float(2**64)) + 0.5).alias("__place")
-    return rows.withColumn("__place", place).where(F.col("__place") < F.element_at(share, F.col(label))).orderBy("__place").limit(most).drop("__place")
+    number = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, float(n))])
+    hashed = (F.xxhash64(key) / F.lit(float(2**64)) + 0.5).alias("__hash")
+    placed = rows.withColumn("__hash", hashed).withColumn("__place", F.col("__hash") * F.element_at(number, F.col(label)))
+    return placed.where(F.col("__place") < 1.1 * per_label).orderBy("__place").limit(most).orderBy("__hash").drop("__place", "__hash")

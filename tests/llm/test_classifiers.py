@@ -2,11 +2,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import language_id as L
 from pagemill.llm import quality_model as Q
 from pagemill.llm import toxicity as T
-from pagemill.llm.textfeat import words_of
+from pagemill.llm.textfeat import sample_by, words_of
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -109,3 +110,13 @@ def test_edges(spark, messy):
     labels = spark.createDataFrame([(4, 1, 1), (4, 0, 0), (None, 1, 1), (5, None, None), (8, 1, 0)], "doc_id long, quality int, toxic int")
     assert sorted(Q.training_sample(messy, labels, Q.GRADES)[1]) == [1, 1, 2]
     assert T.training_sample(messy, labels.limit(0))[0] == [] and L.training_sample(messy.limit(0), "doc_id", "text", "lang") == ([], [])
+
+
+def test_sample_gives_every_label_its_share(spark):
+    counts = {f"l{i:02d}": 20 + 30 * i * i for i in range(20)}  # 20 to 10,850 rows
+    rows = spark.createDataFrame([(k, i) for k, n in counts.items() for i in range(n)], "lang string, id long")
+    got = {}
+    for r in sample_by(rows, "lang", 300, F.struct("lang", "id"), 4000).collect():
+        got[r.lang] = got.get(r.lang, 0) + 1
+    assert sum(got.values()) == 4000 and got["l00"] == 20 and got["l01"] == 50 and got["l02"] == 140  # rare ones whole
+    assert all(140 < got[k] < 330 for k, n in counts.items() if n > 400)
