@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm import language_id, mixing, packing, quality_model, simhash
 from pagemill.llm.common import read_table, stored
 
-#: A document goes if its language is unknown or no language has this share of its words' marginals.
+#: A document goes if its language is unknown, or if no language has this share of its words' marginals and its words
+#: are not this far from unknown words in certainty either.
 LEAST_LANGUAGE = 0.4
 
 
@@ -23,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that the field recognises."""
+    """Documents in a language, or in several, that the field recognises."""
     model = language_id.train(*language_id.training_sample(docs, "doc_id", "text", "lang"))
     return language_id.select_documents(docs, model, LEAST_LANGUAGE)
 

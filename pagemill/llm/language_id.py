@@ -22,6 +22,8 @@ GRAMS, BITS, LEXICON_BITS = (2, 3, 4), 15, 16
 #: Bounds of the training sample: documents of each language and in all; sequences and words in each; epochs.
 PER_LANGUAGE, MOST_DOCUMENTS, SEQUENCES, SEQUENCE_WORDS, EPOCHS = 300, 4000, 3000, 40, 30
 UNKNOWN = "und"
+#: Training words whose letters are shuffled to tell how sure the field is of words that it cannot know.
+UNKNOWN_WORDS = 5000
 
 
 class Crf:
@@ -33,6 +35,7 @@ class Crf:
         self.grams = [np.zeros((1 + (1 << BITS), k), dtype=np.float32) for _ in GRAMS]
         self.lexicon = np.zeros((1 << LEXICON_BITS, k), dtype=np.float32)
         self.transitions, self.first = np.zeros((k, k)), np.zeros(k)
+        self.unknown = 1.0  # the mean certainty of words that are in no language
 
     def emissions(self, words: Words) -> np.ndarray:
         at = sum(w[words.grams(n, BITS)] for n, w in zip(GRAMS, self.grams, strict=True))
@@ -40,6 +43,10 @@ class Crf:
         np.cumsum(at, axis=0, out=total[1:])
         return total[words.ends] - total[words.starts - 1] + self.lexicon[words.hashes & np.uint64((1 << LEXICON_BITS) - 1)]
 
+    def certainties(self, scores: np.ndarray) -> np.ndarray:
+        """Of each word by itself, whatever its neighbours are: the share of its likeliest label."""
+        return 1 / np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -40)).sum(axis=1)
+
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of each word's label; first marks the words that start a text."""
         e = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -40))
@@ -170,6 +177,11 @@ def train(texts: list[str], languages: list[str], epochs: int = EPOCHS, seed: in
                 g = np.bincount(f, weights=miss[row, j], minlength=len(w)) - 0.01 * w[:, j]
                 s[:, j] += g * g
                 w[:, j] += 0.1 * g / np.sqrt(s[:, j])
+    lettered = np.flatnonzero(words.lettered)
+    seen = [bytes(words.buffer[words.starts[i] : words.ends[i]]).decode() for i in rng.choice(lettered, min(len(lettered), UNKNOWN_WORDS), replace=False)]
+    unknown = words_of([" ".join("".join(rng.permutation(list(w))) for w in seen)])
+    if len(unknown.starts):
+        model.unknown = float(model.certainties(model.emissions(unknown)).mean())
     return model
 
 
@@ -182,20 +194,28 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 def predict(model: Crf, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    return judged(model, texts)[:2]
+
+
+def judged(model: Crf, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, its score, and the mean certainty of the words of each text."""
+    names, scores, certain = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     for lo, hi, words in tables(texts):
         use = words.lettered
         if not use.any() or not model.labels:
             continue
         text = words.text[use]
-        m = model.marginals(model.emissions(words)[use], np.concatenate(([True], text[1:] != text[:-1])))
+        emitted = model.emissions(words)[use]
+        m = model.marginals(emitted, np.concatenate(([True], text[1:] != text[:-1])))
+        sure = np.bincount(text, weights=model.certainties(emitted), minlength=hi - lo)
         n = np.bincount(text, minlength=hi - lo)
         mean = np.stack([np.bincount(text, weights=m[:, j], minlength=hi - lo) for j in range(len(model.labels))], axis=1) / np.maximum(n, 1)[:, None]
         for i in np.flatnonzero(n):
             if any(c.isalpha() for c in texts[lo + i]):
                 j = int(mean[i].argmax())
                 names[lo + i], scores[lo + i] = model.labels[j], float(min(1.0, max(0.0, mean[i, j])))
-    return names, scores
+                certain[lo + i] = float(sure[i] / n[i])
+    return names, scores, certain
 
 
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,12 +239,17 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
 
 def select_documents(docs: DataFrame, model: Crf, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is known with a score of at least `least`, with all their columns; all rows if none could be learned."""
+    """The rows of docs whose language is known with a score of at least `least`, with all their columns; all rows if none could be learned.
+
+    A text that switches between languages has no such score for any of them. It is kept if its words are surely of some
+    language: if their mean certainty is `least` of the way or more from that of unknown words to 1.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS, LEXICON_BITS and the labels
 
     def keep(texts: list[str | None]) -> list[bool]:
-        names, scores = predict(shared.value, texts)
-        return [not shared.value.labels or n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]
+        model = shared.value
+        enough = model.unknown + least * (1 - model.unknown)
+        return [not model.labels or n != UNKNOWN and (s >= least or c >= enough) for n, s, c in zip(*judged(model, texts), strict=True)]
 
     return rows_by_text(docs, text_col, keep)
 

@@ -120,3 +120,19 @@ def test_sample_gives_every_label_its_share(spark):
         got[r.lang] = got.get(r.lang, 0) + 1
     assert sum(got.values()) == 4000 and got["l00"] == 20 and got["l01"] == 50 and got["l02"] == 140  # rare ones whole
     assert all(140 < got[k] < 330 for k, n in counts.items() if n > 400)
+
+
+def test_code_switched_documents_are_kept_and_unknown_words_are_not(spark, labelled):
+    docs, _ = labelled
+    texts, langs = L.training_sample(docs, "doc_id", "text", "lang")
+    model = L.train(texts, langs)
+    rng = np.random.default_rng(3)
+    held = [r for r in docs.where("n_chars between 600 and 4000").select("doc_id", "text", "lang").limit(3000).collect() if fold(r.doc_id, 3) == 1]
+    of = lambda lang: [r.text.split() for r in held if r.lang == lang and len(r.text.split()) >= 60]
+    parts = [of(x) for x in ("de", "en", "es")]
+    mixed = [" ".join(" ".join(p[i % len(p)][at : at + 5]) for at in range(0, 60, 5) for p in parts) for i in range(20)]
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 400)) for _ in range(20)]
+    noise = [t for t, s in zip(noise, L.predict(model, noise)[1], strict=True) if s < 0.4]
+    assert len(noise) > 5 and max(L.predict(model, mixed)[1]) < 0.4
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(mixed + noise)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in L.select_documents(table, model, 0.4).collect()) == list(range(len(mixed)))
