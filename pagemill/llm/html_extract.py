@@ -1,14 +1,16 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed in one pass. The element subtrees outside its prose are hashed and counted by host in Spark, and
-subtrees that recur on many pages of their host are deleted, as are elements whose tag, role, class or id names them
-as furniture. What is left of the article, block by block, is the text.
+Every page is parsed once a pass, in time linear in its markup. The hash of an element's subtree rolls up from its
+tags and texts while it closes. Subtrees are counted by host in Spark, and those that recur on many pages of their
+host are deleted. Elements whose tag, role, class or id names them as furniture go as well, for a menu or an advert
+may be on one page only. What is left of the article, block by block, is the text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import pandas as pd
@@ -18,18 +20,22 @@ from xxhash import xxh64_intdigest
 
 from .common import stored
 
-#: Subtrees on at least so many pages of a host, and on at least this share of them, belong to its template.
-MIN_PAGES, MIN_SHARE = 3, 0.3
-#: A subtree with more characters outside links is no template, however often it recurs.
-LONGEST_TEMPLATE = 500
+#: A template subtree is on at least so many pages that have text of their own besides it, on at least this share of its
+#: host's, which bounds a host's list of templates to (candidates of a page) / MIN_SHARE, and this share of the pages
+#: it is on have such text: copies of one story are no template.
+MIN_PAGES, MIN_SHARE, OWN_SHARE = 3, 0.005, 0.2
+#: A block whose windows are on so many pages of a host is not a page's own.
+RECURRING = 3
 
 # Names that HTML or common usage gives to blocks, void elements, raw text and page furniture.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dt dd td th tr tbody thead tfoot caption figcaption summary legend address hr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object canvas audio video select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+EMBEDDED = frozenset("svg object canvas audio video select template noscript annotation annotation-xml".split())
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu search datalist input label fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 LAYOUT_WORDS = frozenset("sidebar header nav navbar navigation menu banner masthead".split())
@@ -38,10 +44,19 @@ NOISE_WORDS = LAYOUT_WORDS | frozenset(
     "notice notices newsletter subscribe subscription signup popup modal overlay comment comments commentlist disqus replies respond related "
     "recommended recommendations share sharing social widget widgets toolbar pagination pager login skip alert disclaimer copyright outbrain taboola toc".split()
 )
+#: Words that say where or how, not what: a name of these and at least one word above is furniture.
+PLAIN_WORDS = frozenset(
+    "site page global main top bottom left right inner outer upper lower first last primary secondary mobile desktop sticky fixed floating inline "
+    "box block container wrapper wrap holder panel pane area region section zone slot unit row col column content body group item items list links link "
+    "bar buttons button icons icon form thread title label text media post posts article articles story stories entry to us on by the and your our "
+    "js id div v2 x large small wide narrow hidden visible show open closed active responsive container-fluid".split()
+)
 #: An open element of the first kind ends where one of the second kind starts; the search for it stops at the third.
 IMPLIED_ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
-IMPLIED_ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED_ENDS.items()}
-P_SCOPE = frozenset("table td th caption button object html".split())
+IMPLIED_ENDS = {k: (a.split(), b.split()) for k, (a, b) in IMPLIED_ENDS.items()}
+P_SCOPE = "table td th caption button object html".split()
+#: HTML elements that end an open drawing.
+BREAK_OUT = BLOCKS | frozenset("b big br code em embed i img s small span strike strong sub sup tt u var".split())
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+|[^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTES = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?=[\s=/]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -49,21 +64,36 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
+_MASK, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_TAG_HASH: dict[str, int] = {}
+
+
+def noise_names(names: str) -> set[str]:
+    """The furniture words of the names that say nothing but furniture: `share-buttons` does, `share-price` does not."""
+    found: set[str] = set()
+    for name in names.split():
+        words = [w.lower() for w in NAME_PARTS.findall(name)]
+        own = NOISE_WORDS.intersection(words)
+        if own and all(w in own or w in PLAIN_WORDS or w.isdigit() for w in words):
+            found |= own
+    return found
+
 
-def furniture(tag: str, attributes: str, in_article: bool) -> str | None:
+def attributes_of(source: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTES.finditer(source)} if source else {}
+
+
+def furniture(tag: str, found: dict[str, str], in_article: bool) -> str | None:
     """Why an element is page furniture: "layout" if only its layout name says so, else "noise"; None if it is not."""
     if tag in NOISE_TAGS or tag == "header" and not in_article:
         return "noise"
-    if not attributes or tag in ("html", "body", "main"):
-        return None
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTES.finditer(attributes)}
-    if not found:
+    if not found or tag in ("html", "body", "main"):
         return None
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
         return "noise"
     if found.get("role", "").lower() in NOISE_ROLES:
         return "noise"
-    words = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")} & NOISE_WORDS
+    words = noise_names(f"{found.get('class', '')} {found.get('id', '')}")
     if in_article:
         words -= LAYOUT_WORDS - {"sidebar", "nav", "navigation", "menu", "navbar"}
     if tag == "article" and words <= LAYOUT_WORDS:
@@ -71,18 +101,34 @@ def furniture(tag: str, attributes: str, in_article: bool) -> str | None:
     return None if not words else "layout" if words <= LAYOUT_WORDS else "noise"
 
 
-def parse(html: str, doomed: frozenset[int] = frozenset(), want_hashes: bool = False) -> tuple[list[tuple[str, int]], set[int]]:
-    """The blocks of a page, each with 2 inside an article, 1 inside main, else 0; and the hashes of its template candidates.
+@dataclass
+class Page:
+    """What parsing finds: blocks, each a text with 2 inside an article, 1 inside main, else 0; and candidates.
 
-    Candidates are the block elements with text that lie outside article and main, and inside those that are mostly
-    links. A candidate whose hash is doomed is deleted, with all the blocks it holds.
+    A candidate is an element that may be a template: the hash of its subtree and the blocks [lo, hi) it holds. It is
+    furniture by its name if it holds none.
     """
-    blocks: list[tuple[str, int]] = []
-    hashes: set[int] = set()
+
+    blocks: list[tuple[str, int]] = field(default_factory=list)
+    candidates: list[tuple[int, int, int]] = field(default_factory=list)
+
+
+def parse(html: str, names: bool = True) -> Page:
+    """Blocks and template candidates of a page. names=False: no element is furniture by its name.
+
+    Candidates are the block elements with text, whatever their length and level. Only the bare paragraphs, headings,
+    items and cells of an article are none: a story may quote a passage that others quote, while what a site puts into
+    its stories comes in an element of its own.
+    """
+    page = Page()
+    blocks, candidates = page.blocks, page.candidates
     parts: list[str] = []
-    # An open element: tag, start, why it is left out, level, and characters, linked characters and blocks before it.
-    stack: list[tuple[str, int, str | None, int, int, int, int]] = []
-    why, level, chars, linked, anchors, at = None, 0, 0, 0, 0, 0
+    # An open element: tag, why it is left out, level, blocks before it, and the hash of what is closed inside it so far.
+    stack: list[list] = []
+    open_at: dict[str, list[int]] = {}  # places of the open elements of each tag
+    open_blocks: list[int] = []
+    last_end: dict[str, int] = {}
+    why, level, at, top = None, 0, 0, 0  # top: the hash of the innermost open element's inside
 
     def flush() -> None:
         if parts:
@@ -91,163 +137,219 @@ def parse(html: str, doomed: frozenset[int] = frozenset(), want_hashes: bool = F
             if text:
                 blocks.append((text, level))
 
-    def close(to: int, end: int) -> None:
+    def say(text: str) -> None:
+        nonlocal top
+        bare = text.strip()
+        if bare:
+            top = (top * _STEP + xxh64_intdigest(bare)) & _MASK
+        if why is None:
+            parts.append(unescape(text) if "&" in text else text)
+
+    def close(to: int) -> None:
         """Close the open elements from number `to` on."""
-        nonlocal why, level, anchors
+        nonlocal why, level, top
         while len(stack) > to:
-            tag, start, _, _, chars_before, linked_before, n_blocks = stack.pop()
+            tag, own, here, n_blocks, outside = stack.pop()
+            open_at[tag].pop()
+            before = stack[-1] if stack else None
             if tag in BLOCKS:
+                open_blocks.pop()
                 flush()
-                inside, in_links = chars - chars_before, linked - linked_before
-                prose = inside - in_links > LONGEST_TEMPLATE
-                if inside and not prose and (level == 0 and tag not in ("html", "body", "main", "article") or level and 2 * in_links >= inside):
-                    h = xxh64_intdigest(html[start:end])
-                    if want_hashes:
-                        hashes.add(h)
-                    if h in doomed:
-                        del blocks[n_blocks:]
-            elif tag == "a":
-                anchors = max(0, anchors - 1)
-            why, level = (stack[-1][2], stack[-1][3]) if stack else (None, 0)
-
-    def find(wanted, stops) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in wanted:
-                return i
-            if stack[i][0] in stops:
-                return -1
-        return -1
+                # Inside furniture only its root is a candidate.
+                if top and tag not in ("html", "body", "main", "article") and (len(blocks) > n_blocks and (here < 2 or tag not in PROSE) or own == "noise" and (before is None or before[1] != "noise")):
+                    candidates.append(((top ^ _tag_hash(tag)) * _STEP & _MASK, n_blocks, len(blocks)))
+            if top:
+                outside = (outside * _STEP + (top ^ _tag_hash(tag))) & _MASK
+            top = outside
+            why, level = (before[1], before[2]) if before else (None, 0)
+
+    def last(tags) -> int:
+        """The place of the innermost open element of some tags."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
+    def ends_ahead(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>]|\Z)", html, re.I)), default=-1)
+        return last_end[tag] >= at
 
     m = TOKEN.search(html)
     while m:
         if m.start() > at:
-            text = html[at : m.start()]
-            n = len(text.strip())
-            chars += n
-            if anchors:
-                linked += n
-            if why is None:
-                parts.append(unescape(text) if "&" in text else text)
+            say(html[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             pass
         elif m[1]:
             tag = name.lower()
-            if tag in ("p", "body", "html") and tag != "p":
+            i = last((tag,))
+            if tag in ("body", "html"):
                 pass
-            elif (i := find((tag,), () if tag in BLOCKS else BLOCKS)) >= 0:
-                close(i, at)
+            elif i >= 0 and (tag in BLOCKS or tag in EMBEDDED or i > (open_blocks[-1] if open_blocks else -1)):
+                close(i)
             elif tag in BLOCKS:
                 flush()
         else:
             tag = name.lower()
+            alone = m[3].endswith("/")
+            if open_at.get("svg") and tag in BREAK_OUT and last(("svg",)) > last(("foreignobject",)):
+                close(open_at["svg"][0])
             if tag in RAW:
-                end = RAW_END[tag].search(html, at)
-                if not m[3].endswith("/") or tag in ("script", "style", "textarea", "title"):
+                if not alone or tag in ("script", "style", "textarea", "title"):
+                    end = RAW_END[tag].search(html, at)
                     at = end.end() if end else len(html)
             elif tag == "br":
                 parts.append(" ")
             elif tag in VOID:
                 if tag == "hr":
                     flush()
+            elif tag in EMBEDDED and (alone or not ends_ahead(tag)):
+                pass  # nothing inside, or never closed: what follows is the page's
             else:
                 if tag in BLOCKS:
-                    if (i := find(("p",), P_SCOPE)) >= 0:
-                        close(i, m.start())
+                    i = last(("p",))
+                    if i >= 0 and i > last(P_SCOPE):
+                        close(i)
                     if tag in IMPLIED_ENDS:
                         ends, stops = IMPLIED_ENDS[tag]
-                        while (i := find(ends, stops)) >= 0:
-                            close(i, m.start())
+                        while (i := last(ends)) >= 0 and i > last(stops):
+                            close(i)
                     flush()
-                elif tag == "a":
-                    anchors += 1
-                own = furniture(tag, m[3], level == 2)
-                if tag in ("article", "main") and own is None and why == "layout":
+                found = attributes_of(m[3]) if names or level < 2 else {}
+                role = found.get("role", "").lower()
+                own = "noise" if tag in EMBEDDED else furniture(tag, found, level == 2) if names else None
+                story = tag == "article" or role == "article" or found.get("itemprop", "").lower() == "articlebody"
+                if (story or tag == "main") and own is None and why == "layout":
                     why = None
                 if own is None:
                     own = why
                 elif why == "noise":
                     own = "noise"
                 here = level
-                if own is None and tag == "article":
+                if own is None and story:
                     here = 2
-                elif own is None and tag == "main":
+                elif own is None and (tag == "main" or role == "main"):
                     here = max(level, 1)
-                stack.append((tag, m.start(), own, here, chars, linked, len(blocks)))
-                why, level = own, here
+                stack.append([tag, own, here, len(blocks), top])
+                open_at.setdefault(tag, []).append(len(stack) - 1)
+                if tag in BLOCKS:
+                    open_blocks.append(len(stack) - 1)
+                why, level, top = own, here, 0
         m = TOKEN.search(html, at)
     if at < len(html):
-        text = html[at:]
-        chars += len(text.strip())
-        if why is None:
-            parts.append(unescape(text) if "&" in text else text)
-    close(0, len(html))
+        say(html[at:])
+    close(0)
     flush()
-    return blocks, hashes
+    return page
+
+
+def _tag_hash(tag: str) -> int:
+    h = _TAG_HASH.get(tag)
+    if h is None:
+        h = xxh64_intdigest(tag)
+        if len(_TAG_HASH) < 10_000:
+            _TAG_HASH[tag] = h
+    return h
+
+
+def without(page: Page, doomed: frozenset[int]) -> tuple[list[tuple[str, int]], int]:
+    """The blocks outside all doomed subtrees, and the number of the outermost of these."""
+    gone = bytearray(len(page.blocks))
+    n, inner = 0, len(page.blocks)
+    for h, lo, hi in reversed(page.candidates):  # parents close after their children
+        if h in doomed:
+            n += not (lo < hi and lo >= inner)
+            inner = min(inner, lo) if lo < hi else inner
+            gone[lo:hi] = b"\1" * (hi - lo)
+    return [b for b, g in zip(page.blocks, gone, strict=True) if not g], n
 
 
 def main_text(blocks: list[tuple[str, int]]) -> str:
-    """The blocks of the article, or of main, or of the page, whichever first holds a fair part of the text; joined by line feeds."""
-    size = [sum(len(t) for t, v in blocks if v >= k) for k in range(3)]
-    least = 2 if size[2] * 5 >= size[0] * 2 and size[2] else 1 if size[1] * 4 >= size[0] and size[1] else 0
+    """The blocks of the articles if there are any, else of main, else of the page, joined by line feeds."""
+    least = max((v for _, v in blocks), default=0)
     return "\n".join(t for t, v in blocks if v >= least)
 
 
+def block_keys(text: str) -> tuple[int, int]:
+    """The least and the greatest hash of a block's three-word windows: a near copy has mostly one of them at least, another text hardly ever."""
+    w = text.split()
+    hashes = [xxh64_intdigest(text)] if len(w) < 3 else [*map(xxh64_intdigest, map(" ".join, zip(w, w[1:], w[2:], strict=False)))]
+    return min(hashes), max(hashes)
+
+
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the subtrees on at least min_pages pages and min_share of the pages of each host.
+def templates(
+    pages: DataFrame,
+    url_col: str = "url",
+    html_col: str = "html",
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+    own_share: float = OWN_SHARE,
+    names: bool = True,
+) -> DataFrame:
+    """host, hashes: the template subtrees of each host.
 
-    Pages are told apart by their markup, so copies of a page vote once. Votes are counted where they are cast before
-    they are shuffled. A host has at most (candidates of a page) / min_share hashes, so its list is bounded.
+    A page votes for a subtree if it has a block of its own outside it: one whose windows do not recur on the host. So
+    stories that are copied, with small changes or without, cast no votes, and a notice that is longer than the stories
+    loses none. A subtree is a template if it has min_pages votes, from min_share of the host's pages and own_share of
+    the pages that it is on. All that is shuffled is hashes and places; counts are summed before they are shuffled.
     """
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
 
-    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hosts, found, pages = [], [], []
-            for host, html in zip(batch["host"], batch["html"], strict=True):
-                own = parse(html, want_hashes=True)[1] if html else set()
-                hosts += [host] * (len(own) + 1)
-                found += [signed(h) for h in own] + [None]
-                pages += [signed(xxh64_intdigest(html or ""))] * (len(own) + 1)
-            yield pd.DataFrame({"host": hosts, "hash": pd.array(found, dtype="Int64"), "page": pages})
+            keys, found = [], []
+            for html in batch["html"]:
+                page = parse(html or "", names)
+                keys.append([[signed(k) for k in block_keys(t)] for t, _ in page.blocks])
+                found.append([[signed(h), lo, hi] for h, lo, hi in set(page.candidates)])
+            yield pd.DataFrame({"host": batch["host"], "keys": keys, "found": found})
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("host <> ''")
-    cast = rows.mapInPandas(votes, "host string, hash long, page long").distinct()
-    counts = cast.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "votes")
-    total = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("hash IS NOT NULL").join(total, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    seen = rows.mapInPandas(parsed, "host string, keys array<array<long>>, found array<array<long>>")
+    seen = stored(seen.withColumn("page", F.monotonically_increasing_id()), "subtrees")
+    key = seen.select("page", "host", F.posexplode("keys").alias("block", "both")).select("page", "host", "block", F.explode("both").alias("key"))
+    often = key.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURRING).select("host", "key")
+    shared = key.join(often, ["host", "key"]).groupBy("page").agg(F.collect_set("block").alias("shared"))
+    every = F.when(F.size("keys") > 0, F.sequence(F.lit(0), F.size("keys") - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.array_except(every, F.coalesce("shared", F.array().cast("array<int>")))
+    judged = seen.join(shared, "page", "left").select("host", "found", F.array_min(own).alias("first"), F.array_max(own).alias("last"))
+    each = judged.select("host", "first", "last", F.explode("found").alias("f"))
+    vote = (F.col("first") < F.col("f")[1]) | (F.col("last") >= F.col("f")[2])
+    counts = each.groupBy("host", F.col("f")[0].alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.count_if(vote).alias("votes"))
+    counts = counts.where((F.col("votes") >= min_pages) & (F.col("votes") >= F.col("n") * own_share))
+    total = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return counts.join(total, "host").where(F.col("votes") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
-    """id, url, text, n_chars of every page.
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True, **options) -> DataFrame:
+    """id, url, text, n_chars and n_templates (template subtrees deleted, the outermost ones) of every page.
 
     A null or empty page has an empty text, as has one without content; a page without a host has no template. Rows
-    that repeat are extracted each, and vote each. An empty table gives an empty one; other columns are ignored.
-    Templates are joined by host; Spark sends them to all tasks only if they are small, else it splits hot hosts.
+    that repeat are extracted each. An empty table gives an empty one; other columns are
+    ignored. Templates are joined by host; Spark sends them to all tasks only if they are small, else it splits hot hosts.
     """
     kind = pages.schema[id_col].dataType
-    found = stored(templates(pages, id_col, url_col, html_col, **options), "templates")
+    found = stored(templates(pages, url_col, html_col, names=names, **options), "templates")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = rows.join(found, "host", "left").select("id", "url", "html", "host", "hashes")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, frozenset[int]] = {}
         for batch in batches:
-            out = []
+            out, n = [], []
             for host, html, hashes in zip(batch["host"], batch["html"], batch["hashes"], strict=True):
                 if host not in known:
-                    if len(known) > 10_000:
+                    if len(known) > 1000:
                         known.clear()
-                    known[host] = frozenset(int(h) & ((1 << 64) - 1) for h in hashes) if hashes is not None else frozenset()
-                out.append(main_text(parse(html, known[host])[0]) if html else "")
-            yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
+                    known[host] = frozenset(int(h) & _MASK for h in hashes) if hashes is not None else frozenset()
+                blocks, gone = without(parse(html or "", names), known[host])
+                out.append(main_text(blocks))
+                n.append(gone)
+            yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out], "n_templates": n})
 
-    result = joined.mapInPandas(texts, "id string, url string, text string, n_chars long")
-    return result.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    result = joined.mapInPandas(texts, "id string, url string, text string, n_chars long, n_templates int")
+    return result.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_templates")

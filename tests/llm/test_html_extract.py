@@ -1,31 +1,56 @@
 from html import escape
+from time import process_time
 
 from pagemill.llm import html_extract as H
 
 SITE = "<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{}</body></html>"
 
 
+STORIES = ["Rain fell on the hills.", "A ship left at dawn with salt.", "Nobody saw the fox again.", "Prices of tin rose twice.", "Her letter came in May.", "They built it of clay and straw."]
+
+
 def page(n, body):
     chrome = "<div><p>All our towns</p><p>Write to us</p></div>"
     return SITE.format(f"<div class='top'>Daily {chrome}</div>{body}<div><a href='/'>home</a> <a href='/x'>more</a></div>")
 
 
 def test_template_subtrees_go_where_no_tag_names_them(spark):
-    rows = [(i, f"http://news.example/{i}", page(i, f"<div><p>Story {i} has its own words.</p><p>And {i} more of them.</p></div>")) for i in range(6)]
+    rows = [(i, f"http://news.example/{i}", page(i, f"<div><p>{STORIES[i]}</p><p>{i} more to come.</p></div>")) for i in range(6)]
     rows += [(9, "http://other.example/", page(9, "<div><p>Alone here.</p></div>")), (10, None, page(10, "<p>No host.</p>"))]
     got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(6):
-        assert got[i].text == f"Story {i} has its own words.\nAnd {i} more of them."
+        assert got[i].text == f"{STORIES[i]}\n{i} more to come."
     assert "All our towns" in got[9].text and "All our towns" in got[10].text  # nothing recurs there
 
 
-def test_copies_and_prose_are_no_template(spark):
-    story = "<div><p>" + "A long story in its own words. " * 30 + "</p></div><div><p>Short end.</p></div>"
-    rows = [(i, "http://copy.example/", SITE.format(story)) for i in range(9)] + [(20 + i, "http://copy.example/", SITE.format(story + f"<div><p>Note {i}.</p></div>")) for i in range(1)]
-    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(t.endswith("own words.\nShort end.") for i, t in got.items() if i < 20) and got[20].endswith("Short end.\nNote 0.")
-    rows = [(i, "http://near.example/", SITE.format(story + f"<div><p>Note {i}.</p></div>")) for i in range(9)]
-    assert all(r.text.startswith("A long story") for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+def extracted(spark, rows, **options):
+    return {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_a_long_notice_goes_and_so_does_an_advert_on_a_fifth_of_the_pages(spark):
+    notice = "<div><p>" + "We keep your data for the purposes that our partners name. " * 20 + "</p></div>"  # longer than every story
+    advert = "<section><p>Two mattresses for one.</p></section>"
+    told = lambda i: " ".join(f"{w}{i}" for w in "rain ship fox tin letter clay".split())
+    story = lambda i: f"<div><h1>Title {i}</h1><p>{told(i)}.</p></div>"
+    rows = [(i, "http://soup.example/", SITE.format(notice + story(i) + (advert if i % 5 == 0 else ""))) for i in range(30)]
+    rows += [(100 + i, "http://article.example/", SITE.format(f"<article>{story(i)}{advert if i % 5 == 0 else ''}<p>The end.</p></article>{notice}")) for i in range(30)]
+    got = extracted(spark, rows)
+    for i in range(30):
+        assert got[i].text == f"Title {i}\n{told(i)}." and got[i].n_templates == 1 + (i % 5 == 0)
+        assert got[100 + i].text == f"Title {i}\n{told(i)}.\nThe end."  # the bare paragraph stays
+    off = extracted(spark, rows, min_pages=10**6)  # no templates: their text stays
+    assert all("partners" in off[i].text for i in range(30)) and "mattresses" in off[100].text and off[5].n_templates == 0
+
+
+def test_copies_and_near_copies_of_a_story_are_no_template(spark):
+    words = [f"word{i * i % 997}" for i in range(240)]
+    paragraphs = lambda w: "".join(f"<div><p>{' '.join(w[k : k + 40])}</p></div>" for k in range(0, len(w), 40))
+    rows = [(i, "http://copy.example/", SITE.format(f"<div>{paragraphs(words)}</div>")) for i in range(12)]
+    for i in range(20):  # one word in sixty differs
+        near = [f"edit{i}x{k}" if (k + 7 * i) % 60 == 0 else w for k, w in enumerate(words)]
+        rows.append((50 + i, "http://near.example/", SITE.format(f"<div>{paragraphs(near)}</div>")))
+    got = extracted(spark, rows)
+    assert all(r.text.count("\n") == 5 and len(r.text.split()) == 240 and r.n_templates == 0 for r in got.values())
 
 
 def test_whole_table_against_the_articles(spark):
@@ -41,7 +66,7 @@ def test_whole_table_against_the_articles(spark):
 
 
 def test_furniture_and_markup():
-    text = lambda h: H.main_text(H.parse(h)[0])
+    text = lambda h: H.main_text(H.parse(h).blocks)
     body = "<nav>n</nav><header>h</header><div class='cookie-banner'>c</div><article><h1>A &amp; B</h1><p>x<br>y&nbsp;z <b>q</b>r<p>s<aside>a</aside><form>f</form><div id='comments'><p>bad</p></div><div class='ad'>ad</div></article><div class=sidebar>s</div><footer>f</footer><!-- c --"
     assert text(body) == "A & B\nx y z qr\ns"
     assert text("<main><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></main><p>out</p>") == "a\nb\nc\nd"
@@ -52,6 +77,25 @@ def test_furniture_and_markup():
     assert text("<p>" + escape("1 < 2 & 3") + "</p>") == "1 < 2 & 3"
 
 
+def test_embedded_elements_and_names():
+    text = lambda h: H.main_text(H.parse(h).blocks)
+    assert text("<article><p>a</p><svg><path><p>b</p>") == "a\nb"
+    assert text("<article><p>a</p><video><p>b</p></article>") == "a\nb"
+    assert text("<article><p>a<svg><svg><text>t</text></svg><text>u</text></svg>b</p><video><p>no video</p></video></article>") == "ab"
+    assert text("<article><p>a<svg><path></svg><p>b<svg/>c<svg><circle><p>d</article>") == "a\nbc\nd"
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> be.") == "Let x=1 be."
+    assert text("<article><div class='share-price'>1</div><div id='social-history'>2</div><div class='notice-of-motion'>3</div><div class='share-buttons'>x</div><div class='ad ad-slot-3'>y</div></article>") == "1\n2\n3"
+    assert text("<noscript><p>on?</p></noscript><p>a<select><option>o</select>b") == "ab"
+    assert text("<div role='main'>a</div>b") == "a" and text("<div itemprop='articleBody'>a</div><main>b</main>") == "a"
+
+
+def test_time_is_linear_in_the_markup():
+    for html in ("<div>" * 100_000 + "x", "<b><i>" * 50_000 + "x" + "</b>" * 50_000, "<div><span>" * 50_000 + "x" + "</span></div>" * 50_000, "<svg>" * 100_000, "<li>x" * 100_000, "<table><tr><td>" * 30_000 + "x"):
+        begun = process_time()
+        H.parse(html)
+        assert process_time() - begun < 2  # a third of that alone; quadratic code took minutes
+
+
 def test_edges(spark):
     rows = [(1, "http://h/", None), (2, None, ""), (None, "http://h/", "<p>a</p>"), (3, "bad url", "<p>b"), (3, "bad url", "<p>b"), (4, "http://h/", "<p>" + "w " * 300_000 + "</p>"), (5, "http://h/", "<" * 5000), (6, "http://h/", "<div>" * 3000 + "deep")]
     pages = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, host string, hashes int")
