@@ -3,7 +3,9 @@
 Each vector is cut in two halves, and each half is quantised by a codebook of its own, so two codes name one of K * K
 cells. A query ranks the centroids of either half by distance and walks the pairs in the order of summed distance with
 a heap, until the cells it has named hold enough vectors; the entries of those cells are reranked by their exact
-inner products. The index is a table: every vector under its cell, cells cut into blocks of bounded size.
+inner products. Distance is what the search minimises, the negative inner product, so a pair's summed distance is that
+to the two centroids set side by side. The index is a table: every vector under its cell, cells cut into blocks of
+bounded size. Queries are sent to the blocks that hold their cells.
 """
 
 from __future__ import annotations
@@ -12,27 +14,26 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors the codebooks are fitted on at most; Lloyd steps; rows in a block; query rows that meet a block at once.
-SAMPLE, STEPS, BLOCK_ROWS, QUERY_ROWS = 10_000, 12, 8192, 4096
-#: The share of all vectors, and their least number, that the cells of a query hold.
-PROBED, LEAST = 0.5, 2000
+#: Vectors the codebooks are fitted on at most; Lloyd steps; rows in a block; queries that share one copy of a block.
+SAMPLE, STEPS, BLOCK_ROWS, QUERY_ROWS = 10_000, 12, 8192, 65_536
+#: The share of all vectors that the cells of a query hold, at every number of vectors.
+PROBED = 0.45
 #: Centroids of each half at most; a walk visits up to their square in cells.
-BOOK = 64
+BOOK = 128
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str, size: int | None = None) -> DataFrame:
-    """id and v (array<double>) of the vectors that are not null, zero, of another size, or holding null or non-finite components."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id and v (array<double>) of the vectors that are not null, zero, or holding null or non-finite components."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    return rows.where(F.size("v") == size) if size else rows
+    return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
 def codebook(points: np.ndarray, k: int, steps: int = STEPS, seed: int = 3) -> np.ndarray:
@@ -56,21 +57,35 @@ def codes(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return parts[0] * len(books[1]) + parts[1]
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-    """Cells in the order of first[i] + second[j] until their counts reach `enough`. first, second: distances to the centroids."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, found, total = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and total < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(b) + int(b[j])
-        if counts[cell]:
+def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int) -> tuple[list[int], float]:
+    """Cells with entries in the order of first[i] + second[j] until their counts reach `enough`, and the last such sum; ties with that are taken.
+
+    first, second: distances to the centroids. The heap holds one pair of each first centroid that has been reached; the
+    next first centroid enters when the one before it is first visited.
+    """
+    a, b = np.argsort(first, kind="stable").tolist(), np.argsort(second, kind="stable").tolist()
+    x, y = first[a].tolist(), second[b].tolist()
+    width, n = len(b), counts.tolist() if isinstance(counts, np.ndarray) else counts
+    heap, found, total, at = [(x[0] + y[0], 0, 0)], [], 0, -np.inf
+    while heap and (total < enough or heap[0][0] <= at):
+        at, i, j = heap[0]
+        cell = a[i] * width + b[j]
+        held = n[cell]
+        if held:
             found.append(cell)
-            total += int(counts[cell])
-        for i2, j2 in ((i + 1, j), (i, j + 1)):
-            if i2 < len(a) and j2 < len(b) and (i2, j2) not in seen:
-                seen.add((i2, j2))
-                heapq.heappush(heap, (first[a[i2]] + second[b[j2]], i2, j2))
-    return found
+            total += held
+        if j + 1 < width:
+            heapq.heapreplace(heap, (x[i] + y[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(a):
+            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+    return found, at
+
+
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    """The vectors of an array column, all of `size` components, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
 def nearest(
@@ -80,38 +95,38 @@ def nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     probed: float = PROBED,
-    least: int = LEAST,
     book: int = BOOK,
     block_rows: int = BLOCK_ROWS,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query among the other rows.
 
     Vectors that are null, zero, of another size than most, or with null or non-finite components take no part, nor do
     rows without an id; ties go to the smaller vec_id. Rows that repeat an id are one candidate each for other ids, and
-    none for their own; a query id that repeats asks with its smallest vector. The codebooks are fitted on at most SAMPLE vectors; every vector is indexed. Empty tables give
-    an empty result; other columns are ignored.
+    none for their own; a query id that repeats asks with its smallest vector. A walk goes on until its cells hold k vectors
+    besides the query even where the share is less. The codebooks are fitted on at most SAMPLE vectors; every vector is
+    indexed. Empty tables give an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    sizes = usable(vectors, id_col, vec_col).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
+    base = stored(usable(vectors, id_col, vec_col), "vectors")
+    sizes = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], schema)
     size, total = sizes["d"], sizes["count"]
-    base = usable(vectors, id_col, vec_col, size)
-    drawn = base.where(F.xxhash64("id", "v") / F.lit(float(2**64)) + 0.5 < min(1.0, 1.1 * SAMPLE / total)).orderBy(F.xxhash64("id", "v")).limit(SAMPLE)
-    drawn = drawn.collect()
-    sample, sample_ids = np.array([r.v for r in drawn], dtype=np.float64).reshape(-1, size), np.array([r.id for r in drawn], dtype=np.int64)
+    base = base.where(F.size("v") == size)
+    drawn = base.where(F.xxhash64("id", "v") / F.lit(float(2**64)) + 0.5 < min(1.0, 1.1 * SAMPLE / total)).orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toArrow().combine_chunks()
+    sample, sample_ids = matrix(pa.concat_arrays(drawn["v"].chunks), size), drawn["id"].to_numpy()
     half = size // 2
-    number = int(np.clip(round((total / 2) ** 0.5), 2, book))
+    number = int(np.clip(total // 4, 2, book))
     books = (codebook(sample[:, :half], number), codebook(sample[:, half:], number))
-    cells = len(books[0]) * len(books[1])
+    cells, width = len(books[0]) * len(books[1]), len(books[1])
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch["v"].tolist(), dtype=np.float64).reshape(-1, size)
-            yield batch.assign(cell=codes(x, books))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes(matrix(batch.column(1), size), books))], ["id", "v", "cell"])
 
-    index = stored(base.mapInPandas(coded, "id long, v array<double>, cell long"), "multi-index")
+    index = stored(base.mapInArrow(coded, "id long, v array<double>, cell long"), "multi-index")
     held = index.groupBy("cell").count().collect()  # at most book ** 2 rows
     counts = np.zeros(cells, dtype=np.int64)
     for r in held:
@@ -127,68 +142,102 @@ def nearest(
             block, room = block + n_blocks[c], block_rows
         else:
             room -= counts[c]
-    enough = max(least, int(np.ceil(probed * total)))
+    enough = max(k + 1, int(np.ceil(probed * total)))
     # The sample's vectors are entries too: the k-th best of those in a query's cells bounds what can be among its k nearest found.
     known = spark.sparkContext.broadcast((sample, sample_ids, codes(sample, books)))  # SAMPLE vectors at most
+    columns = ["block", "shard", "query", "id", "v", "cell", "reach", "bound"]
+    kinds = "block long, shard long, query boolean, id long, v array<double>, cell long, reach double, bound double"
+
+    def distances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return -(x[:, :half] @ books[0].T), -(x[:, half:] @ books[1].T)
 
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row_batch(block, shard, query, ids, x, cell, reach, bound) -> pa.RecordBatch:
+        n = len(ids)
+        full = lambda value, kind: pa.array(np.full(n, value, dtype=kind)) if np.ndim(value) == 0 else pa.array(value)
+        v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.ascontiguousarray(x).ravel()))
+        return pa.RecordBatch.from_arrays([full(block, np.int64), full(shard, np.int64), full(query, bool), pa.array(ids), v, full(cell, np.int64), full(reach, np.float64), full(bound, np.float64)], columns)
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, vector_ids, cell = known.value
+        n = counts.tolist()
         for batch in batches:
-            x = np.array(batch["v"].tolist(), dtype=np.float64).reshape(-1, size)
-            near = [(b * b).sum(axis=1) - 2 * (h @ b.T) for h, b in zip((x[:, :half], x[:, half:]), books, strict=True)]
-            out: list[tuple] = []
-            vectors, ids, cell = known.value
-            for row in range(len(x)):
-                by_block: dict[int, list[int]] = {}
-                found = np.zeros(cells, dtype=bool)
-                for c in walk(near[0][row], near[1][row], counts, enough):
-                    found[c] = True
-                    for b in range(first_block[c], first_block[c] + n_blocks[c]):
-                        by_block.setdefault(b, []).append(c)
-                s = (vectors @ x[row])[found[cell] & (ids != batch["id"].iat[row])]
-                bound = float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else -np.inf
-                out += [(batch["id"].iat[row], batch["v"].iat[row], b, cs, bound) for b, cs in by_block.items()]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["id", "v", "block", "cells", "bound"])
-                    out = []
-            yield pd.DataFrame(out, columns=["id", "v", "block", "cells", "bound"])
-
-    asked = usable(queries, id_col, vec_col, size).groupBy("id").agg(F.min("v").alias("v"))
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                x, ids, shard = matrix(part.column(1), size), part.column(0).to_numpy(), part.column(2).to_numpy()
+                near = distances(x)
+                scores = x @ vectors.T
+                blocks, bounds, reaches = [], [], []
+                for row in range(len(x)):
+                    found, reach = walk(near[0][row], near[1][row], n, enough)
+                    seen = np.zeros(cells, dtype=bool)
+                    seen[found] = True
+                    s = scores[row, seen[cell] & (vector_ids != ids[row])]
+                    bounds.append(float(np.partition(s, len(s) - k)[len(s) - k]) if len(s) >= k else -np.inf)
+                    reaches.append(reach)
+                    own = np.unique(first_block[found])
+                    large = [c for c in found if n_blocks[c] > 1]
+                    blocks.append(np.concatenate([own, *[np.arange(first_block[c] + 1, first_block[c] + n_blocks[c]) for c in large]]))
+                of = np.repeat(np.arange(len(x)), [len(b) for b in blocks])
+                yield row_batch(np.concatenate(blocks), shard[of], True, ids[of], x[of], -1, np.array(reaches)[of], np.array(bounds)[of])
+
+    asked = stored(usable(queries, id_col, vec_col).where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v")), "queries")
     n_queries = asked.count()
-    shards = max(1, -(-n_queries // QUERY_ROWS))
-    asked = asked.repartition(max(1, -(-n_queries // 256)), "id")  # walks are the work: spread them, however few bytes the queries have
-    spread = lambda df: df.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
+    shards = max(1, -(-n_queries // query_rows))
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard")
+    spread = asked.select("id", "v", shard).repartition(max(1, -(-n_queries // 256)), "id")  # walks are the work: spread them, however few bytes the queries have
+    wanted = spread.mapInArrow(probes, kinds)
 
-    def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            x = matrix(batch.column(1), size)
+            for s in range(shards):
+                yield row_batch(first_block[c] + salt % n_blocks[c], s, False, ids, x, c, 0.0, 0.0)
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block in turn, first the entries, which are held, then the queries, which pass by."""
+        at, gathered, x, ids, cell = None, [], None, None, None
         for batch in batches:
-            c = batch["cell"].to_numpy()
-            salt = (batch["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            yield batch.assign(block=first_block[c] + salt % n_blocks[c])
-
-    entries = index.mapInPandas(located, "id long, v array<double>, cell long, block long")
-    entries = entries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    wanted = spread(asked.select("id", "v").mapInPandas(probes, "id long, v array<double>, block long, cells array<long>, bound double"))
-
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            x = np.array(left["v"].tolist(), dtype=np.float64)
-            ids, cell = left["id"].to_numpy(), left["cell"].to_numpy()
-            for at in range(0, len(right), 512):
-                part = right.iloc[at : at + 512]
-                scores = np.array(part["v"].tolist(), dtype=np.float64) @ x.T
-                for row, (q, cs, bound) in enumerate(zip(part["id"].to_numpy(), part["cells"], part["bound"].to_numpy(), strict=True)):
-                    use = np.flatnonzero(np.isin(cell, np.asarray(cs)) & (ids != q) & (scores[row] >= bound - 1e-9))
+            place = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(place)], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if tuple(place[lo, :2]) != at:
+                    at, gathered, x = tuple(place[lo, :2]), [], None
+                if not place[lo, 2]:
+                    gathered.append(tuple(np.array(c) for c in (part.column(3).to_numpy(), matrix(part.column(4), size), part.column(5).to_numpy())))
+                    continue
+                if x is None and gathered:
+                    ids, x, cell = (np.concatenate(c) for c in zip(*gathered, strict=True))
+                    gathered = []
+                if x is not None:
+                    yield from best(part, ids, x, cell)
+
+    def best(part: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, part.num_rows, 256):
+            few = part.slice(lo, 256)
+            q, v, reach, bound = few.column(3).to_numpy(), matrix(few.column(4), size), few.column(6).to_numpy(), few.column(7).to_numpy()
+            near = distances(v)
+            scores = v @ x.T
+            # The cells of a walk are those within its last sum; sums are added anew here, so up to rounding.
+            ok = (near[0][:, cell // width] + near[1][:, cell % width] <= reach[:, None] + 1e-9) & (scores >= bound[:, None] - 1e-9) & (ids[None, :] != q[:, None])
+            out = []
+            for row in range(len(q)):
+                use = np.flatnonzero(ok[row])
+                if len(use) > k:  # all that may be among the k nearest
                     s = scores[row, use]
-                    if len(use) > k:  # all that may be among the k nearest
-                        use = use[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
-                    # The same order of additions wherever a pair meets, so equal vectors have equal scores.
-                    exact = (x[use] * np.asarray(part["v"].iat[row])).cumsum(axis=1)[:, -1]
-                    best = np.lexsort((ids[use], -exact))[:k]
-                    out["query_id"].append(np.full(len(best), q))
-                    out["vec_id"].append(ids[use][best])
-                    out["score"].append(exact[best])
-        return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()})
-
-    found = entries.groupBy("block", "shard").cogroup(wanted.groupBy("block", "shard")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+                    use = use[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
+                # The same order of additions wherever a pair meets, so equal vectors have equal scores.
+                exact = (x[use] * v[row]).cumsum(axis=1)[:, -1]
+                top = np.lexsort((ids[use], -exact))[:k]
+                out.append((np.full(len(top), q[row]), ids[use][top], exact[top]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    entries = index.mapInArrow(located, kinds)
+    met = entries.unionByName(wanted).repartition("block", "shard").sortWithinPartitions("block", "shard", "query")
+    found = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
