@@ -21,34 +21,36 @@ from .common import stored
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID, LENGTH = 2, 1024
-#: Above this many characters the tokenizer's own encoder is used; both give the same ids.
-LONG_TEXT = 1_000_000
+#: Pieces in a sequence at most, and the weights of the residual tokens, documents and attention cost in the choice of a bin.
+MAX_DOCUMENTS, WEIGHTS = 256, (1.0, 1.0, 1.0)
 
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
-    """The byte-level BPE of a tokenizers file, as a function from text to ids.
+    """The encoding of a tokenizers file of byte-level BPE, as a function from text to ids: those of
+    Tokenizer.from_file(path).encode(text, add_special_tokens=False), strings of added tokens included.
 
-    Ids of such a file rank its merges, so the vocabulary alone defines the encoding. Texts of special tokens are
-    ordinary text.
+    Ids of such a file rank its merges, so the vocabulary and the added tokens define the encoding, and a faster encoder
+    is built of them. Its pattern engine gives up on some runs of white space; such texts go to the library's own.
     """
     import tiktoken
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        spec = json.load(f)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-    ranks = {bytes(chars[c] for c in token): i for token, i in vocab.items() if all(c in chars for c in token) and token != "<|endoftext|>"}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
 
     def encode(text: str) -> np.ndarray:
-        if len(text) > LONG_TEXT:
+        try:
+            return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
+        except ValueError:
             return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
     return encode
 
@@ -122,9 +124,9 @@ def pack_documents(
     text_col: str = "text",
     length: int = LENGTH,
     end_id: int = END_ID,
-    max_documents: int | None = None,
+    max_documents: int = MAX_DOCUMENTS,
     max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.001, 0.001),
+    weights: tuple[float, float, float] = WEIGHTS,
     score: str = "norm",
     group_pieces: int = 16_384,
 ) -> DataFrame:
@@ -132,11 +134,11 @@ def pack_documents(
 
     A document is its ids followed by end_id; a null text is empty, so its document is end_id alone. Documents of
     more than `length` ids are cut into pieces of `length`, the first of which may be shorter. max_documents bounds
-    the pieces in a sequence (default: length) and max_cost the sum of their squared lengths (default: length
-    squared); under the defaults only the token capacity binds. A group has about group_pieces pieces, however many there are
+    the pieces in a sequence and max_cost the sum of their squared lengths (default: length squared, which one full
+    piece needs and no sequence within `length` tokens exceeds). All three residuals enter the choice by their weights. A group has about group_pieces pieces, however many there are
     in all and however often a row repeats. Rows that repeat an id are packed each for itself, also where the id is null. An empty table gives an empty one.
     """
-    capacity = (length, max_documents or length, max_cost or length * length)
+    capacity = (length, max_documents, max_cost or length * length)
     pieces = stored(token_pieces(docs, id_col, text_col, tokenizer, length, end_id), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
