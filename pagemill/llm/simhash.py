@@ -4,7 +4,9 @@ A text's fingerprint has 64 bits, each the majority of that bit over the hashes
 are one node. Nodes are dealt to buckets so that any two within `max_bits` share one: the 64 bits are cut into
 max_bits + 2 bands, and two fingerprints that differ in max_bits bits at most agree on two bands or more. In a bucket,
 the Hamming distances of every node to the reference fingerprints (the pivots) are a table; a pair whose distances
-differ by more than max_bits at any pivot is discarded, and the survivors are verified. Connected components follow.
+differ by more than max_bits at any pivot is discarded, and the survivors are verified. A bucket that is too long for
+a task is dealt again by bands of its other bits, and what is still too long by the words between two neighbours.
+Connected components follow.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .components import components
 SHINGLE, SEED, MAX_BITS, PIVOTS = 4, 42, 4, 16
 #: Runs of one bucket up to this length are compared pair by pair; longer ones are searched outward from each node.
 SHORT_RUN = 48
+#: Buckets beyond this length are dealt again, so that no task gathers more.
+LONG_RUN = 16_384
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -62,13 +66,28 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def bands(max_bits: int = MAX_BITS) -> list[list[int]]:
-    """The masks of every pair of bands, of which max_bits + 2 cut the word evenly, as unsigned integers."""
-    cuts = [round(64 * i / (max_bits + 2)) for i in range(max_bits + 3)]
-    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+def band_pairs(bits: list[int], max_bits: int) -> list[int]:
+    """The masks of every pair of bands, of which max_bits + 2 cut the given bits evenly."""
+    cuts = [round(len(bits) * i / (max_bits + 2)) for i in range(max_bits + 3)]
+    masks = [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     return [a | b for a, b in combinations(masks, 2)]
 
 
+def bands(max_bits: int = MAX_BITS) -> list[int]:
+    """The masks of every pair of bands of the whole word."""
+    return band_pairs(list(range(64)), max_bits)
+
+
+def finer_bands(mask: int, max_bits: int = MAX_BITS) -> list[int]:
+    """Masks that add to a mask every pair of bands of the other bits: two words within max_bits that agree on the mask agree on one of these."""
+    return [mask | m for m in band_pairs([b for b in range(64) if not mask >> b & 1], max_bits)]
+
+
+def flips(radius: int) -> np.ndarray:
+    """All words of at most `radius` bits."""
+    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(64), r)], dtype=np.uint64)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -101,63 +120,116 @@ def run_links(fps: np.ndarray, max_bits: int, references: np.ndarray) -> list[tu
     return links
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS) -> DataFrame:
-    """(a, b) over distinct fp: every component of the graph of pairs within max_bits is connected by these links."""
-    masks = bands(max_bits)
-    buckets = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("band", "key")
-    dealt = nodes.select("fp", buckets).repartition("band", "key").sortWithinPartitions("band", "key", "fp")
-    unsigned = np.array(masks, dtype=np.uint64)
-    references = pivots(n_pivots)
+def compared(dealt: DataFrame, max_bits: int, references: np.ndarray, masks: list[int] | None, long_run: int | None) -> DataFrame:
+    """dealt (fp, band, key) -> (a, b, band): links that connect each bucket (band, key) as all links within it do.
+
+    masks: those of the bands, if every node is in the bucket of each; a link is then told in the first of its buckets
+    if that is short. A bucket of more than long_run nodes gives a row (fp, null, band) for each of them in place of links.
+    """
+    unsigned = np.array(masks, dtype=np.uint64) if masks else None
+
+    def out(a: np.ndarray, b: np.ndarray | None, band: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(b.view(np.int64)) if b is not None else pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), ends, pa.array(band.astype(np.int32))], ["a", "b", "band"])
+
+    def whole_runs(fp: np.ndarray, band: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]))))
+        lengths = np.diff(np.append(starts, len(fp)))
+        run = np.repeat(np.arange(len(starts)), lengths)
+        words = fp.view(np.uint64)
+        at = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
+        table = np.bitwise_count(words[at][:, None] ^ references[None, :]).astype(np.int16)
+        w, r, b = words[at], run[at], band[at]
+        for d in range(1, min(SHORT_RUN, len(at))):
+            same = np.flatnonzero(r[d:] == r[:-d])
+            if not len(same):
+                break
+            near = same[(np.abs(table[same + d] - table[same]) <= max_bits).all(axis=1)]
+            near = near[np.bitwise_count(w[near] ^ w[near + d]) <= max_bits]
+            if unsigned is not None:
+                near = near[np.argmax((unsigned[None, :] & (w[near] ^ w[near + d])[:, None]) == 0, axis=1) == b[near]]
+            if len(near):
+                yield out(w[near], w[near + d], b[near])
+        for k in np.flatnonzero(lengths > SHORT_RUN):
+            own = words[starts[k] : starts[k] + lengths[k]]
+            if long_run is not None and lengths[k] > long_run:
+                yield out(own, None, np.full(len(own), band[starts[k]]))
+            elif found := run_links(own, max_bits, references):
+                both = np.array(found, dtype=np.uint64)
+                yield out(both[:, 0].copy(), both[:, 1].copy(), np.full(len(both), band[starts[k]]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        def whole_runs(fp: np.ndarray, band: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]))))
-            lengths = np.diff(np.append(starts, len(fp)))
-            run = np.repeat(np.arange(len(starts)), lengths)
-            words = fp.view(np.uint64)
-            small = np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths)
-            at = np.flatnonzero(small)
-            table = np.bitwise_count(words[at][:, None] ^ references[None, :]).astype(np.int16)
-            w, r, b = words[at], run[at], band[at]
-            for d in range(1, min(SHORT_RUN, len(at))):
-                same = np.flatnonzero(r[d:] == r[:-d])
-                if not len(same):
-                    break
-                near = same[(np.abs(table[same + d] - table[same]) <= max_bits).all(axis=1)]
-                differ = w[near] ^ w[near + d]
-                near = near[np.bitwise_count(differ) <= max_bits]
-                # Told once: in the first bucket that the two share.
-                first = np.argmax((unsigned[None, :] & (w[near] ^ w[near + d])[:, None]) == 0, axis=1)
-                near = near[first == b[near]]
-                if len(near):
-                    yield out(list(zip(w[near].tolist(), w[near + d].tolist(), strict=True)))
-            for k in np.flatnonzero(lengths > SHORT_RUN):
-                yield out(run_links(words[starts[k] : starts[k] + lengths[k]], max_bits, references))
-
+        passed = None  # a bucket known to be too long, whose nodes pass by
         for batch in batches:
             now = tuple(np.asarray(batch.column(i)) for i in range(3))
             if not len(now[0]):
                 continue
+            if passed is not None:
+                n = int(((now[1] == passed[0]) & (now[2] == passed[1])).sum())
+                yield out(now[0][:n].view(np.uint64), None, now[1][:n])
+                now = tuple(x[n:] for x in now)
+                if not len(now[0]):
+                    continue
+                passed = None
             if held and (held[-1][1][-1], held[-1][2][-1]) == (now[1][-1], now[2][-1]):  # all of one run: gathered without copying
                 held.append(now)
-                continue
-            held.append(now)
-            fp, band, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = np.flatnonzero((band != band[-1]) | (key != key[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from whole_runs(fp[:cut], band[:cut], key[:cut])
-            held = [(fp[cut:], band[cut:], key[cut:])]
+            else:
+                held.append(now)
+                fp, band, key = (np.concatenate(x) for x in zip(*held, strict=True))
+                last = np.flatnonzero((band != band[-1]) | (key != key[-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield from whole_runs(fp[:cut], band[:cut], key[:cut])
+                held = [(fp[cut:], band[cut:], key[cut:])]
+            # All that is held is one run but for the first part's beginning, which whole_runs has taken.
+            if long_run is not None and sum(len(x[0]) for x in held) > long_run and held[0][1][0] == held[-1][1][-1] and held[0][2][0] == held[-1][2][-1]:
+                passed = (held[-1][1][-1], held[-1][2][-1])
+                for x in held:
+                    yield out(x[0].view(np.uint64), None, x[1])
+                held = []
         if held:
             yield from whole_runs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.select("fp", "band", "key").mapInArrow(compare, "a long, b long")
+    met = dealt.select("fp", F.col("band").cast("int").alias("band"), "key").repartition("band", "key").sortWithinPartitions("band", "key", "fp")
+    return met.mapInArrow(compare, "a long, b long, band int")
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS, long_run: int = LONG_RUN) -> DataFrame:
+    """(a, b) over distinct fp: every component of the graph of pairs within max_bits is connected by these links.
+
+    No task gathers more than long_run nodes of a bucket. Longer ones are dealt again by pairs of bands of the bits in
+    which their nodes may differ. A group so dense that this leaves long buckets is dealt by the words within half of
+    max_bits of each node: two neighbours share one, and each has at most as many nodes as there are words around it.
+    """
+    masks, references = bands(max_bits), pivots(n_pivots)
+    first = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("band", "key")
+    found = stored(compared(nodes.select("fp", first), max_bits, references, masks, long_run), "links")
+    told = found.where("b IS NOT NULL").select("a", "b")
+    long = found.where("b IS NULL")
+    if not long.limit(1).count():
+        return told
+    finer = [finer_bands(m, max_bits) for m in masks]
+    again = F.array(*[F.array(*[F.lit(signed(m)) for m in ms]) for ms in finer])[F.col("band")]
+    second = long.select(F.col("a").alias("fp"), "band", F.posexplode(again).alias("sub", "mask"))
+    second = second.select("fp", (F.col("band") * len(finer[0]) + F.col("sub")).alias("band"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    found = stored(compared(second, max_bits, references, None, long_run), "links")
+    told = told.union(found.where("b IS NOT NULL").select("a", "b"))
+    long = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    if not long.limit(1).count():
+        return told
+    around = flips(-(-max_bits // 2)).view(np.int64)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.asarray(batch.column(0))
+            for lo in range(0, len(fps), 32):
+                some = fps[lo : lo + 32]
+                keys = (some[:, None] ^ around[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(around))), pa.array(np.zeros(len(keys), dtype=np.int32)), pa.array(keys)], ["fp", "band", "key"])
+
+    third = long.mapInArrow(neighbours, "fp long, band int, key long")
+    return told.union(compared(third, max_bits, references, None, None).select("a", "b"))
 
 
 def memberships(rows: DataFrame, max_bits: int) -> DataFrame:

@@ -43,9 +43,9 @@ def test_whole_table_against_brute_force(spark):
     assert {tuple(r) for r in simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id").collect()} == want
 
 
-@pytest.mark.parametrize("cluster", [0, 3000])
-def test_links_connect_as_brute_force(spark, cluster, monkeypatch):
-    """Random, chained and dense fingerprints; the dense ones fill runs beyond SHORT_RUN."""
+@pytest.mark.parametrize(("cluster", "long_run"), [(0, 10**6), (250, 10**6), (250, 100), (250, 60), (0, 49)])
+def test_links_connect_as_brute_force(spark, cluster, long_run):
+    """Random, chained and dense fingerprints; the dense ones fill runs beyond SHORT_RUN, and beyond long_run on every level."""
     rng = random.Random(7)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for start in list(fps)[:30]:
@@ -55,7 +55,7 @@ def test_links_connect_as_brute_force(spark, cluster, monkeypatch):
                 x ^= 1 << b
             fps.add(x)
     centre = rng.getrandbits(64)
-    for _ in range(cluster and 250):
+    for _ in range(cluster):
         x = centre
         for b in rng.sample(range(64), rng.randint(0, 6)):
             x ^= 1 << b
@@ -63,15 +63,30 @@ def test_links_connect_as_brute_force(spark, cluster, monkeypatch):
     fps = sorted(fps)
     sign = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = spark.createDataFrame([(sign(x),) for x in fps], "fp long")
-    found = {tuple(r) for r in simhash.links(nodes).collect()}
+    links = simhash.links(nodes, long_run=long_run).cache()
+    found = {tuple(r) for r in links.collect()}
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in found)
     from pagemill.llm.components import components
 
-    root = {r.node: r.root for r in components(simhash.links(nodes)).collect()}
+    root = {r.node: r.root for r in components(links).collect()}
     want = brute_components([sign(x) for x in fps], fps)
     assert [root.get(sign(x), sign(x)) for x in fps] == want
 
 
+def test_long_buckets_pass_in_small_batches(spark):
+    """A bucket of many batches is told to be long as a whole, its neighbours in the table are searched as ever."""
+    rng = random.Random(5)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(sign(rng.getrandbits(64)), 1, k) for k in (1, 2, 3) for _ in range(5000 if k == 2 else 100)]
+    rows += [(sign(rng.getrandbits(61) << 3 | 5), 0, 9) for _ in range(30)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("64", "1000", "100000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = simhash.compared(spark.createDataFrame(rows, "fp long, band int, key long").coalesce(1), 4, simhash.pivots(), None, 3000).where("b IS NULL").collect()
+        assert {r.a for r in got} == {r[0] for r in rows if r[2] == 2} and len(got) == 5000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "Ä one"), (4, "Ä one"), (5, "ä one"), (None, "x y z w v " * 50), (7, "lone")]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, fp string")
