@@ -1,9 +1,11 @@
 """Mix sources to target weights by hash-random order and distributed prefix sums.
 
-Every row gets a hash-random key. Within a source, rows are ranged by that key into buckets of equal key width
-(keys are uniform, so buckets are even and need no sampling); bucket sums are prefix-summed per source, rows are
-prefix-summed inside their bucket, and each source is cut at its exact budget. A budget beyond one pass over the
-source repeats whole epochs first. No step gathers a source in one task: only bucket sums do, one row a bucket.
+Every row gets a hash-random key. Within a source, rows are ranged by that key into buckets of equal key width, as
+many as its rows need (keys are uniform, so buckets are even and need no sampling). Sums are prefixed on three levels:
+rows inside their bucket, buckets inside groups of BUCKETS_PER_GROUP, and groups inside their source; each source is
+cut at its exact budget. A budget beyond one pass over the source repeats whole epochs first. No step gathers a source
+in one task but for the sums of its groups, a row for every half million of the source's. Sources themselves are taken to be few:
+their targets are dealt in one window.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from .common import WORD, stored, unused
 #: Weights dealt to the sources in the order of their code points, null last, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2, "mix-1"
+ROWS_PER_BUCKET, BUCKETS_PER_GROUP = 512, 1024
 
 
 def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -27,13 +30,14 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     n = (F.row_number().over(by_name) - 1) % len(weights)
     t = totals.withColumn("w", F.get(F.array(*[F.lit(int(w)).cast("long") for w in weights]), n)).withColumn("cap", F.col("source_size") * max_epochs)
-    before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    filling = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
+    before = filling.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(1))
     t = t.withColumn("total", F.sum("source_size").over(every)).withColumn("all_w", F.sum("w").over(every))
     t = t.withColumn("level", (F.col("total") * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0))))
-    # Levels of sources that stay below their cap agree; the first of them is the highest rank that still holds.
-    t = t.withColumn("open", F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("cap") / F.col("w")))
-    t = t.withColumn("level", F.min(F.when(F.col("open").isNotNull(), F.struct("open", "level"))).over(every)["level"])
+    # The level is that of the first source, in the order in which they fill up, that it does not fill.
+    t = t.withColumn("rank", F.row_number().over(filling))
+    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("rank", "level"))).over(every)["level"])
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double")))
     return t.select("src", "source", "source_size", target.alias("target"))
 
@@ -47,7 +51,8 @@ def mix_sources(
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
-    rows_per_bucket: int = 1024,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets_per_group: int = BUCKETS_PER_GROUP,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken, passes.
@@ -74,13 +79,17 @@ def mix_sources(
         ),
         "mix-sizes",
     )
-    buckets = max(1, -(-sizes.count() // rows_per_bucket))
-    sizes = sizes.withColumn("bucket", F.floor(F.col("key") / F.lit(float(16**15)) * buckets))
-    sums = sizes.groupBy("src", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    totals = sums.groupBy("src", "source").agg(F.sum("bucket_size").alias("source_size"))
+    counts = sizes.groupBy("src").agg(F.count(F.lit(1)).alias("n_rows"))
+    place = F.floor(F.col("key") / F.lit(float(16**15)) * F.ceil(F.col("n_rows") / F.lit(rows_per_bucket)))
+    sizes = sizes.join(counts, "src").withColumn("bucket", place).drop("n_rows")
+    sums = sizes.groupBy("src", "source", "bucket").agg(F.sum("size").alias("bucket_size"), F.floor(F.first("bucket") / F.lit(buckets_per_group)).alias("part"))
+    parts = sums.groupBy("src", "source", "part").agg(F.sum("bucket_size").alias("part_size"))
+    totals = parts.groupBy("src", "source").agg(F.sum("part_size").alias("source_size"))
     targets = source_targets(totals, weights, share, max_epochs).drop("source")
-    ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size", "source").join(targets, "src")
+    ahead = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("part_start", F.coalesce(F.sum("part_size").over(ahead("part", "src")), F.lit(0))).select("src", "part", "part_start")
+    within = F.coalesce(F.sum("bucket_size").over(ahead("bucket", "src", "part")), F.lit(0))
+    starts = sums.withColumn("within", within).join(parts, ["src", "part"]).select("src", "bucket", (F.col("part_start") + F.col("within")).alias("start")).join(targets, "src")
     inside = Window.partitionBy("src", "bucket").orderBy("key", "id", "size", *(["row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, 0)
     rows = sizes.join(starts, ["src", "bucket"]).withColumn("before", F.col("start") + F.sum("size").over(inside) - F.col("size"))
     budget = F.floor(F.col("target") + 0.5)
@@ -121,7 +130,7 @@ r AS (SELECT *, CASE (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 l AS (SELECT *, cap / CAST(w AS DOUBLE) AS ratio,
              (1.5::DOUBLE * SUM(source_size) OVER () - COALESCE(SUM(cap) OVER b, 0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER b, 0))::DOUBLE AS level
       FROM r WINDOW b AS (ORDER BY cap / CAST(w AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m AS (SELECT level AS lev FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
+m AS (SELECT level AS lev FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
 t AS (SELECT src, source_size, LEAST(cap::DOUBLE, COALESCE((SELECT lev FROM m) * w, cap::DOUBLE)) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              SUM(size) OVER (PARTITION BY d.src ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead,
