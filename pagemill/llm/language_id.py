@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, rows_by_text
-from .textfeat import Words, sample_by, tables, words_of
+from .textfeat import Words, sample_by, short_enough, tables, words_of
 
 GRAMS, BITS, LEXICON_BITS = (2, 3, 4), 15, 16
 #: Bounds of the training sample: documents of each language and in all; sequences and words in each; epochs.
@@ -186,9 +186,9 @@ def train(texts: list[str], languages: list[str], epochs: int = EPOCHS, seed: in
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: int = 3, held_out: int = 1) -> tuple[list[str], list[str]]:
-    """Texts and languages of about PER_LANGUAGE documents each (MOST_DOCUMENTS in all), none of the held-out fold."""
+    """Texts (up to SAMPLE_CHARS each) and languages of about PER_LANGUAGE documents each (MOST_DOCUMENTS in all), none of the held-out fold."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where((fold_remainder(F.col("id"), modulus) != held_out) & F.col("text").isNotNull())
+    rows = rows.where((fold_remainder(F.col("id"), modulus) != held_out) & short_enough("text"))
     got = sample_by(rows, "lang", PER_LANGUAGE, F.struct("id", "text"), MOST_DOCUMENTS).collect()
     return [r.text for r in got], [r.lang for r in got]
 

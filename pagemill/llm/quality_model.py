@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_by_text
-from .textfeat import Words, sample_by, tables
+from .common import fold_remainder, rows_by_text
+from .textfeat import Words, sample_by, short_enough, tables
 
 WORD_BITS, GRAM_BITS, GRAM = 15, 15, 3
 #: Bounds of the training sample: rows of each grade and in all; passes over it.
 PER_GRADE, MOST_ROWS, EPOCHS = 1200, 4000, 60
+#: The rows whose crc32(id as text) mod the first is the second are never learned from.
+HELD_OUT = (5, 0)
 
 
 class Ordinal:
@@ -109,15 +111,18 @@ def train(texts: list[str], grades: list[int], epochs: int = EPOCHS) -> Ordinal:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, grade_expr: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+def training_sample(
+    docs: DataFrame, labels: DataFrame, grade_expr: str, id_col: str = "doc_id", text_col: str = "text", modulus: int = HELD_OUT[0], held_out: int = HELD_OUT[1]
+) -> tuple[list[str], list[int]]:
     """Texts and grades of about PER_GRADE labelled rows of each grade, MOST_ROWS in all.
 
-    Of rows of labels that repeat an id the highest grade counts. grade_expr is SQL over labels; where it is null a
+    Rows of the held-out fold and texts beyond SAMPLE_CHARS are left out. Of rows of labels that repeat an id the highest grade counts. grade_expr is SQL over labels; where it is null a
     row has no label.
     """
     graded = labels.select(F.col(id_col).alias("__id"), F.expr(grade_expr).cast("int").alias("__grade")).groupBy("__id").agg(F.max("__grade").alias("__grade"))
-    picked = sample_by(graded.where("__id IS NOT NULL"), "__grade", PER_GRADE, F.col("__id"), MOST_ROWS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    graded = graded.where(F.col("__id").isNotNull() & (fold_remainder(F.col("__id"), modulus) != held_out))
+    picked = sample_by(graded, "__grade", PER_GRADE, F.col("__id"), MOST_ROWS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(short_enough("text"))
     got = rows.join(F.broadcast(picked), F.col("id") == F.col("__id")).orderBy(F.xxhash64("id", "text")).limit(MOST_ROWS).collect()
     return [r.text for r in got], [r["__grade"] for r in got]
 

@@ -51,7 +51,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality_model.train(*quality_model.training_sample(docs, read_table(spark, sf_dir, "labels"), quality_model.GRADES))
     found = quality_model.score_documents(docs, model, tail_grade=quality_model.SELECT_GRADE)
-    return found.withColumn("kept", F.col("tail_prob") >= quality_model.SELECT_PROB)
+    modulus, remainder = quality_model.HELD_OUT
+    return found.withColumn("held_out", fold_remainder(F.col("doc_id"), modulus) == remainder).withColumn("kept", F.col("tail_prob") >= quality_model.SELECT_PROB)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are taken together up to so many bytes; a longer text is taken alone.
 TABLE_BYTES = 1 << 20
+#: Training samples hold texts of up to so many characters, and the most frequent labels up to this number: with the bound
+#: on rows this bounds the bytes that a sample brings to the driver.
+SAMPLE_CHARS, MOST_LABELS = 32_768, 256
 
 
 @dataclass
@@ -108,18 +111,23 @@ def tables(texts: list[str | None], lower: bool = True, most: int = TABLE_BYTES)
         yield lo, len(texts), words_of(texts[lo:], lower)
 
 
-def sample_by(rows: DataFrame, label: str, per_label: int, key: Column, most: int) -> DataFrame:
+def short_enough(text_col: str, most: int = SAMPLE_CHARS) -> Column:
+    """Whether a row's text may be in a training sample: it is not null and not beyond `most` characters."""
+    return F.col(text_col).isNotNull() & (F.length(text_col) <= most)
+
+
+def sample_by(rows: DataFrame, label: str, per_label: int, key: Column, most: int, most_labels: int = MOST_LABELS) -> DataFrame:
     """About per_label rows of each label by the hash of key, and `most` in all; rows without a label are left out.
 
-    Labels are counted first, so the sample's size is bounded. A row's place among its label's is told from its hash
-    and the count; where labels together exceed `most`, the farthest places go, so that frequent labels are cut to one
-    length and rare ones stay whole.
+    Labels are counted first, so the sample's size is bounded; beyond most_labels labels the rarest have no rows in it. A
+    row's place among its label's is told from its hash and the count; where labels together exceed `most`, the farthest
+    places go, so that frequent labels are cut to one length and rare ones stay whole.
     """
     rows = rows.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
     if not counts:
         return rows.limit(0)
     number = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, float(n))])
     hashed = (F.xxhash64(key) / F.lit(float(2**64)) + 0.5).alias("__hash")
-    placed = rows.withColumn("__hash", hashed).withColumn("__place", F.col("__hash") * F.element_at(number, F.col(label)))
+    placed = rows.withColumn("__hash", hashed).withColumn("__place", F.col("__hash") * F.try_element_at(number, F.col(label)))
     return placed.where(F.col("__place") < 1.1 * per_label).orderBy("__place").limit(most).orderBy("__hash").drop("__place", "__hash")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder
-from .textfeat import Words, sample_by, tables, words_of
+from .textfeat import Words, sample_by, short_enough, tables, words_of
 
 BITS, WIDTH, FILTERS, SPANS, PREFIXES = 16, 12, 12, (1, 2, 3), (4, 5)
 #: Bounds of the training sample: rows of each label and in all; epochs and rows in a step; the part kept to calibrate.
@@ -189,13 +189,13 @@ def calibrate(model: Classifier, texts: list[str], y: np.ndarray, odds: float) -
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", modulus: int = 5, held_out: int = 0) -> tuple[list[str], list[int], list[str | None], float]:
     """Texts, labels and languages of about PER_LABEL labelled rows of either label (MOST_ROWS in all), and the odds.
 
-    Rows of the held-out fold are left out. Of rows of labels that repeat an id, label 1 counts.
+    Rows of the held-out fold and texts beyond SAMPLE_CHARS are left out. Of rows of labels that repeat an id, label 1 counts.
     """
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__label").isin(0, 1))
     marked = marked.where((fold_remainder(F.col("__id"), modulus) != held_out) & F.col("__id").isNotNull()).groupBy("__id").agg(F.max("__label").alias("__label"))
     counts = {r[0]: r[1] for r in marked.groupBy("__label").count().collect()}
     picked = sample_by(marked, "__label", PER_LABEL, F.col("__id"), MOST_ROWS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(short_enough("text"))
     got = rows.join(F.broadcast(picked), F.col("id") == F.col("__id")).orderBy(F.xxhash64("id", "text")).limit(MOST_ROWS).collect()
     y = [r["__label"] for r in got]
     odds = (counts.get(0, 0) / max(1, y.count(0))) / max(1e-9, counts.get(1, 0) / max(1, y.count(1))) if counts.get(1) else 1.0

@@ -83,16 +83,101 @@ def test_toxicity_held_out(labelled):
     assert all(r.predicted == (r.score >= 0.5) for r in rows)
 
 
-def test_quality_on_rows_outside_the_sample(labelled):
+def test_quality_held_out(labelled):
     docs, labels = labelled
     texts, grades = Q.training_sample(docs, labels, Q.GRADES)
     model = Q.train(texts, grades)
-    assert model.grades == [0, 1, 2] and model.thresholds[0] <= model.thresholds[1]
-    known = set(texts)
-    rows = [r for r in Q.score_documents(docs, model).join(docs.select("doc_id", "text"), "doc_id").join(labels, "doc_id").collect() if r.text not in known]
-    junk, sound = [r.tail_prob for r in rows if r.quality == 0], [r.tail_prob for r in rows if r.quality == 1]
-    assert np.mean(np.array(sound) > 0.5) > 0.98 and (not junk or np.mean(np.array(junk) < 0.5) > 0.9)
+    assert model.grades == [0, 1, 2] and model.thresholds[0] <= model.thresholds[1] and len(texts) <= Q.MOST_ROWS
+    rows = [r for r in Q.score_documents(docs, model).join(labels, "doc_id").collect() if fold(r.doc_id, 5) == 0]
+    junk, sound = np.array([r.tail_prob for r in rows if r.quality == 0]), np.array([r.tail_prob for r in rows if r.quality == 1])
+    assert len(junk) > 50 and len(sound) > 300
+    assert (sound >= 0.5).mean() > 0.98 and (junk < 0.5).mean() > 0.95
     assert all(0 <= r.expected_grade <= 2 for r in rows)
+    toxic, clean = (np.mean([r.expected_grade for r in rows if r.quality == 1 and r.toxic == t]) for t in (1, 0))
+    assert np.mean([r.expected_grade for r in rows if r.quality == 0]) < toxic < clean  # the grades are in order
+
+
+WHITE = " \t\n\v\f\r"
+ODD = ["", "   ", "one", "one one one two", "a bb ccc", "Ünï\tcode\n\nwörds a", "same same\nsame a b", "long " + "longer words here " * 40]
+
+
+def brute_words(text):
+    out, word = [], b""
+    for byte in text.encode() + b" ":
+        if chr(byte) in WHITE:
+            out, word = out + [word] * bool(word), b""
+        else:
+            word += bytes([byte])
+    return out
+
+
+def brute_hash(word, n=None):
+    total, power = 0, 1
+    for byte in word[:n]:
+        power = power * 0x9E3779B97F4A7C15 % 2**64
+        total = (total + (byte + 1) * power) % 2**64
+    total ^= total >> 31
+    total = total * 0xBF58476D1CE4E5B9 % 2**64
+    return total ^ total >> 29
+
+
+def brute_gram(window, bits):
+    h = 0
+    for byte in window:
+        h = (h * 0x01000193 + byte) % 2**32
+    h ^= h >> 15
+    h = h * 0x85EBCA6B % 2**32
+    return 1 + ((h ^ h >> 13) & ((1 << bits) - 1))
+
+
+def test_quality_scores_against_loops(spark):
+    """Word by word and gram by gram, with the definitions of the features written out."""
+    model = Q.train(["good clean text here", "bad!! BAD!! bad!!", "mid text", "more good words", "bad bad"] * 4, [2, 0, 1, 2, 0] * 4, epochs=20)
+    want = {}
+    for i, text in enumerate(ODD):
+        data, words, score = b" " + text.encode() + b" ", brute_words(text), 0.0
+        grams = [data[k : k + 3] for k in range(len(data) - 2) if chr(data[k + 1]) not in WHITE and not (chr(data[k]) in WHITE and chr(data[k + 2]) in WHITE)]
+        if words:
+            score += sum(model.words[brute_hash(w) % 2**Q.WORD_BITS] for w in words) / len(words)
+            score += model.repeat * sum(x == y for x, y in zip(words, words[1:], strict=False)) / len(words)
+        if grams:
+            score += sum(model.grams[brute_gram(g, Q.GRAM_BITS)] for g in grams) / len(grams)
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        want[i] = (sum(above), above[0])
+    table = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    for r in Q.score_documents(table, model).collect():
+        assert np.allclose((r.expected_grade, r.tail_prob), want[r.doc_id], atol=1e-9)
+
+
+def test_toxicity_scores_against_loops(spark):
+    """Word by word, filter by filter and span by span, with each language's threshold."""
+    texts = ["bad word here", "das ist bad hier", "good one there", "das ist gut hier"] * 25
+    model = T.train(texts, [1, 1, 0, 0] * 25, ["en", "de", "en", "de"] * 25, epochs=3)
+    model.shift = np.array([0.3, -0.7])  # so that the language matters
+    want = {}
+    for i, text in enumerate(ODD):
+        words = brute_words(text.lower())
+        x = [sum(t[brute_hash(w, n) % 2**T.BITS].astype(float) for t, n in zip(model.tables, (None, *T.PREFIXES), strict=True)) for w in words]
+        logit, at = float(model.bias), 0
+        for span, filters, bias in zip(T.SPANS, model.filters, model.biases, strict=True):
+            for f in range(T.FILTERS):
+                found = [sum(float(x[s + k] @ filters[k][:, f]) for k in range(span)) + float(bias[f]) for s in range(len(x) - span + 1)]
+                logit += float(model.out[at]) * max([0.0, *found])
+                at += 1
+        sums = [sum(float(model.language_words[brute_hash(w) % 2**T.LANGUAGE_BITS, j]) for w in words) for j in range(2)]
+        want[i] = 1 / (1 + np.exp(model.shift[int(sums[1] > sums[0])] - logit))
+    table = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    for r in T.score_documents(table, model).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-4 and r.predicted == (r.score >= 0.5)
+
+
+def test_samples_are_bounded_in_bytes_and_labels(spark, messy):
+    labels = spark.createDataFrame([(i, 1, 0, "z", 7) for i in range(10)], "doc_id long, quality int, toxic int, text string, id int")  # columns that clash
+    for texts in (Q.training_sample(messy, labels, Q.GRADES)[0], T.training_sample(messy, labels)[0], L.training_sample(messy, "doc_id", "text", "lang")[0]):
+        assert texts and max(map(len, texts)) <= 32_768
+    rows = spark.createDataFrame([(f"l{i}", i * 100 + k) for i in range(300) for k in range(1 + (i < 3))], "lang string, id long")
+    got = sample_by(rows, "lang", 5, F.col("id"), 1000, most_labels=10).collect()
+    assert len({r.lang for r in got}) == 10 and {"l0", "l1", "l2"} <= {r.lang for r in got}
 
 
 def test_edges(spark, messy):
@@ -108,7 +193,7 @@ def test_edges(spark, messy):
         assert Q.score_documents(messy, model).count() == n and Q.score_documents(messy.limit(0), model).count() == 0
         assert Q.select_documents(messy, model, 1, 0.5).columns == messy.columns
     labels = spark.createDataFrame([(4, 1, 1), (4, 0, 0), (None, 1, 1), (5, None, None), (8, 1, 0)], "doc_id long, quality int, toxic int")
-    assert sorted(Q.training_sample(messy, labels, Q.GRADES)[1]) == [1, 1, 2]
+    assert sorted(Q.training_sample(messy, labels, Q.GRADES, held_out=9)[1]) == [1, 1, 2]
     assert T.training_sample(messy, labels.limit(0))[0] == [] and L.training_sample(messy.limit(0), "doc_id", "text", "lang") == ([], [])
 
 
