@@ -29,11 +29,14 @@ class QueryResult:
         return "\n".join([line(self.columns), line(["---"] * len(self.columns)), *map(line, self.rows)])
 
 
-def query(spark: SparkSession, sql: str, most: int | None = 10_000) -> QueryResult:
-    """Run SQL over the registered views; a failure is told in the result. `most` bounds the rows that reach the driver."""
+def query(spark: SparkSession, sql: str, most: int | None = None) -> QueryResult:
+    """Run SQL over the registered views; a failure is told in the result. All rows reach the driver, or an error beyond `most`."""
     try:
         df = spark.sql(sql)
-        return QueryResult(df.columns, [tuple(r) for r in (df.limit(most) if most else df).collect()])
+        rows = [tuple(r) for r in (df if most is None else df.limit(most + 1)).collect()]
+        if most is not None and len(rows) > most:
+            return QueryResult(df.columns, error=f"more than {most} rows")
+        return QueryResult(df.columns, rows)
     except Exception as e:  # noqa: BLE001  the caller asked for errors as values
         return QueryResult(error=str(e))
 

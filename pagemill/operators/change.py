@@ -13,9 +13,9 @@ NOISE_TAGS = ("script", "style", "noscript", "iframe", "svg", "path", "meta", "l
 HIGH_TAGS = ("table", "tr", "td", "th", "ul", "ol", "li", "article", "section", "main", "h1", "h2", "h3", "h4", "p", "a")
 MEDIUM_TAGS = ("div", "span", "form", "nav", "header", "footer", "aside")
 LOW_TAGS = ("br", "hr", "img", "picture", "source", "figure", "figcaption")
-#: Tags that have a letter of their own in sequences; others share one.
-LETTERS = ("html", "body", "title", *HIGH_TAGS, *MEDIUM_TAGS, *LOW_TAGS, "h5", "h6", "b", "i", "em", "strong", "small", "code", "pre", "blockquote", "label", "input", "button", "select", "option", "dl", "dt", "dd", "thead", "tbody")
-ALPHABET = "".join(chr(c) for c in range(48, 127))
+#: Letters for the distinct tags of two sequences, more than two cut ones can have.
+MOST_TAGS = 500
+ALPHABET = "".join(chr(0x4E00 + i) for i in range(2 * MOST_TAGS))
 IGNORED_FIELDS = ("_id", "timestamp", "crawl_id")
 
 
@@ -25,16 +25,17 @@ def tags_of(html: Column, noise: tuple[str, ...] = NOISE_TAGS) -> Column:
     return F.filter(found, lambda t: ~t.isin(*noise))
 
 
-def tag_letters(tags: Column) -> Column:
-    """A sequence of tags as a string, a letter each, so that string distances are distances of sequences."""
-    names = F.array(*[F.lit(t) for t in LETTERS])
-    return F.array_join(F.transform(tags, lambda t: F.substring(F.lit(ALPHABET), F.array_position(names, t).cast("int") + 1, F.lit(1))), "")
+def tag_letters(tags: Column, names: Column) -> Column:
+    """A sequence of tags as a string, for each the letter of its place in names, so that string distances are distances of sequences."""
+    return F.array_join(F.transform(tags, lambda t: F.substring(F.lit(ALPHABET), F.array_position(names, t).cast("int"), F.lit(1))), "")
 
 
-def structural_distance(a: Column, b: Column, most: int = 500) -> Column:
-    """Edit distance of two tag sequences, each cut to `most`, over the longer one's whole length, at most 1."""
-    cut = lambda t: tag_letters(F.slice(t, 1, most))
-    return F.least(F.lit(1.0), F.levenshtein(cut(a), cut(b)) / F.greatest(F.size(a), F.size(b), F.lit(1)))
+def structural_distance(a: Column, b: Column, most: int = MOST_TAGS) -> Column:
+    """Edit distance of two tag sequences, each cut to `most` (MOST_TAGS at most), over the longer one's whole length, at most 1."""
+    x, y = F.slice(a, 1, most), F.slice(b, 1, most)
+    # The names of the pair are made once a row, not once a tag.
+    letters = F.transform(F.array(F.array_distinct(F.concat(x, y))), lambda names: F.levenshtein(tag_letters(x, names), tag_letters(y, names)))
+    return F.least(F.lit(1.0), F.get(letters, F.lit(0)) / F.greatest(F.size(a), F.size(b), F.lit(1)))
 
 
 def tag_significance(tag: Column) -> Column:

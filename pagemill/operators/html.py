@@ -7,6 +7,7 @@ pre <= n.pre <= post. Everything after is joins and aggregates within a page.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -224,29 +225,27 @@ def top_blocks(blocks: DataFrame, key: str = "page_id", k: int = 10) -> DataFram
     return blocks.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pre"))).where(F.col("place") <= k)
 
 
-def _equals(value: str):
-    return lambda w: w == value
+def relevant_blocks(blocks: DataFrame, query: str, key: str = "page_id", k: int = 10, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """The k best blocks of each page for a query: 0.6 of the block's score and 0.4 of its BM25, divided by the page's largest if that is above 0.
 
-
-def relevant_blocks(blocks: DataFrame, query: str, key: str = "page_id", k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best blocks of each page for a query: 0.6 of the block's score and 0.4 of its BM25, divided by the page's largest.
-
-    The corpus of a page is its blocks, so all statistics are within a page.
+    The corpus of a page is its blocks, so all statistics are within a page. A word in more than half of the blocks has
+    `floor` times the mean inverse frequency of the page's words; a word that the query repeats counts each time.
     """
-    terms = sorted({w for w in query.lower().split() if w})
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    page = Window.partitionBy(key)
-    rows = blocks.withColumn("__w", words).withColumn("__n", F.size("__w"))
-    rows = rows.withColumn("__mean", F.avg("__n").over(page)).withColumn("__docs", F.count(F.lit(1)).over(page))
-    total = F.lit(0.0)
-    for i, term in enumerate(terms):
-        rows = rows.withColumn(f"__t{i}", F.size(F.filter("__w", _equals(term))))
-        rows = rows.withColumn(f"__d{i}", F.count_if(F.col(f"__t{i}") > 0).over(page))
-        idf = F.greatest(F.log((F.col("__docs") - F.col(f"__d{i}") + 0.5) / (F.col(f"__d{i}") + 0.5)), F.lit(0.0))
-        total = total + idf * F.col(f"__t{i}") * (k1 + 1) / (F.col(f"__t{i}") + k1 * (1 - b + b * F.col("__n") / F.col("__mean")))
-    rows = rows.withColumn("__bm25", total)
-    norm = F.coalesce(F.try_divide(F.col("__bm25"), F.max("__bm25").over(page)), F.lit(0.0))
-    return top_blocks(rows.withColumn("score", 0.6 * F.col("score") + 0.4 * norm).select(*blocks.columns), key, k)
+    asked = Counter(query.lower().split())
+    sized = blocks.select(key, "pre", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
+    tf = sized.select(key, "pre", F.size("w").alias("n"), F.explode("w").alias("word")).groupBy(key, "pre", "n", "word").agg(F.count(F.lit(1)).alias("tf"))
+    stats = sized.groupBy(key).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
+    raw = tf.groupBy(key, "word").agg(F.count(F.lit(1)).alias("df")).join(stats, key).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    page = raw.groupBy(key).agg(F.avg("raw").alias("mean_idf"), F.first("mean").alias("mean"))
+    hit = F.col("word").isin(*asked) if asked else F.lit(False)
+    idf = raw.where(hit).select(key, "word", "raw").join(page, key).withColumn("idf", F.when(F.col("raw") < 0, floor * F.col("mean_idf")).otherwise(F.col("raw")))
+    times = F.element_at(F.create_map(*[F.lit(x) for w in asked.items() for x in w]), F.col("word")) if asked else F.lit(0)
+    part = times * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    scores = tf.where(hit).join(idf, [key, "word"]).groupBy(key, "pre").agg(F.sum(part).alias("__bm25"))
+    rows = blocks.join(scores, [key, "pre"], "left").withColumn("__bm25", F.coalesce("__bm25", F.lit(0.0)))
+    most = F.max("__bm25").over(Window.partitionBy(key))
+    rows = rows.withColumn("score", 0.6 * F.col("score") + 0.4 * F.col("__bm25") / F.when(most > 0, most).otherwise(1.0))
+    return top_blocks(rows.select(*blocks.columns), key, k)
 
 
 def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3, shortest: int = 20, deepest: int = 10) -> DataFrame:
@@ -346,33 +345,31 @@ def markdown_of(rows: list[list], citations: bool = True) -> str:
     def squeeze(text: str) -> str:
         return re.sub(r"\s+", " ", text)
 
-    def inside(row: list) -> str:
-        return squeeze(row[7]) + "".join(render(c) + squeeze(c[8]) for c in children.get(row[0], ()))
-
-    def table(row: list) -> str:
-        cells = []
-        todo = [row]
+    def cells_of(row: list) -> list[list[list]]:
+        """The cells of a table, by row; rows inside cells are the cells' own."""
+        found, todo = [], [row]
         while todo:
-            node = todo.pop(0)
+            node = todo.pop()
             if node[5] == "tr":
-                cells.append([inside(c).strip().replace("|", "\\|") for c in children.get(node[0], ()) if c[5] in ("td", "th")])
+                found.append([c for c in children.get(node[0], ()) if c[5] in ("td", "th")])
             else:
-                todo = children.get(node[0], []) + todo
+                todo += reversed(children.get(node[0], []))
+        return found
+
+    def table(cells: list[list[str]]) -> str:
         if not cells:
             return ""
         width = max(map(len, cells))
         lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in cells]
         return "\n\n" + "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) + "\n\n"
 
-    def render(row: list) -> str:
+    def finished(row: list, text: str) -> str:
+        """An element whose inside is rendered."""
         tag, attrs = row[5], row[6]
         if tag in ("br", "hr"):
             return "\n" if tag == "br" else "\n\n---\n\n"
         if tag == "img":
             return f"![{attrs.get('alt', '')}]({attrs.get('src', '')})"
-        if tag == "table":
-            return table(row)
-        text = inside(row)
         if tag == "a" and attrs.get("href") and text.strip():
             if not citations:
                 return f"[{text.strip()}]({attrs['href']})"
@@ -384,6 +381,31 @@ def markdown_of(rows: list[list], citations: bool = True) -> str:
             return f"{end}{BLOCK_MARKS.get(tag, '')}{text.strip(' ')}{end}" if text.strip() else ""
         return text
 
+    def render(root: list) -> str:
+        """An element and all it holds, with a stack of its own: markup may be nested deeper than calls."""
+        grids: dict[int, list[list[list]]] = {}
+        whole: dict[int, str] = {}
+        stack = [(root, False)]
+        while stack:
+            row, opened = stack.pop()
+            if not opened:
+                if row[5] == "table":
+                    grids[row[0]] = cells_of(row)
+                    inner = [c for line in grids[row[0]] for c in line]
+                else:
+                    inner = children.get(row[0], [])
+                stack.append((row, True))
+                stack += [(c, False) for c in reversed(inner)]
+            elif row[5] == "table":
+                whole[row[0]] = table([[(squeeze(c[7]) + parts.pop(c[0], "")).strip().replace("|", "\\|") for c in line] for line in grids.pop(row[0])])
+            else:
+                inner = "".join(whole.pop(c[0]) + squeeze(c[8]) for c in children.get(row[0], ()) if c[0] in whole)
+                if row[5] in ("td", "th"):
+                    parts[row[0]] = inner
+                whole[row[0]] = finished(row, squeeze(row[7]) + inner)
+        return whole[root[0]]
+
+    parts: dict[int, str] = {}  # what cells hold, before they are set in their table
     body = "".join(render(r) + squeeze(r[8]) for r in children.get(-1, ()))
     body = re.sub(r"\n{3,}", "\n\n", "\n".join(x.strip(" ") for x in body.split("\n"))).strip()
     return body + ("\n\n" + "\n".join(f"[{n}]: {u}" for u, n in links.items()) if links else "")

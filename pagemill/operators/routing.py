@@ -63,15 +63,19 @@ def cascade_order(registry: DataFrame, start: str = "local") -> DataFrame:
     return kept.withColumn("place", F.row_number().over(Window.orderBy("rank", "usd_in", "seq"))).drop("rank")
 
 
-def estimated_cost(calls: DataFrame, registry: DataFrame, model: str = "model", tokens_in: str = "tokens_in", tokens_out: str = "tokens_out") -> DataFrame:
-    """calls with cost_usd; an unknown model is priced as the first of its provider in the registry, else 0."""
-    provider = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
-    exact = registry.select(F.col("model_id").alias(model), F.col("usd_in").alias("__in"), F.col("usd_out").alias("__out"))
-    first = registry.groupBy(provider(F.col("model_id")).alias("__provider")).agg(F.min_by("usd_in", "seq").alias("__pin"), F.min_by("usd_out", "seq").alias("__pout"))
-    priced = calls.withColumn("__provider", provider(F.col(model))).join(F.broadcast(exact), model, "left").join(F.broadcast(first), "__provider", "left")  # a handful of models
-    price = lambda a, b: F.coalesce(F.col(a), F.col(b), F.lit(0.0))
-    cost = (F.col(tokens_in) * price("__in", "__pin") + F.col(tokens_out) * price("__out", "__pout")) / 1_000_000
-    return priced.withColumn("cost_usd", cost).drop("__in", "__out", "__pin", "__pout", "__provider")
+def estimated_cost(calls: DataFrame, prices: DataFrame, model: str = "model", tokens_in: str = "tokens_in", tokens_out: str = "tokens_out") -> DataFrame:
+    """calls with cost_usd. prices: seq, model_id (provider/name), usd_in, usd_out.
+
+    A model without a price of its own is priced as the first in order whose provider its name begins with, else at 0.
+    The price table is gathered into one row and sent to all tasks: it is a list of models, not data.
+    """
+    listed = prices.agg(F.array_sort(F.collect_list(F.struct("seq", "model_id", "usd_in", "usd_out"))).alias("__prices"))
+    own = F.filter("__prices", lambda p: p["model_id"] == F.col(model))
+    kin = F.filter("__prices", lambda p: F.startswith(F.col(model), F.split_part(p["model_id"], F.lit("/"), F.lit(1))))
+    priced = calls.crossJoin(F.broadcast(listed)).withColumn("__price", F.coalesce(F.get(own, F.lit(0)), F.get(kin, F.lit(0))))
+    price = lambda name: F.coalesce(F.col("__price")[name], F.lit(0.0))
+    cost = (F.col(tokens_in) * price("usd_in") + F.col(tokens_out) * price("usd_out")) / 1_000_000
+    return priced.withColumn("cost_usd", cost).drop("__prices", "__price")
 
 
 def cascade_outcome(attempts: DataFrame, key: str, ceiling: float = 0.10, accept: float = 0.5) -> DataFrame:

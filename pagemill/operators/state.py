@@ -16,7 +16,7 @@ CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
 
 def fold(rows: DataFrame, key: str, at: str, order: list[str], columns: list[str], schema: str, start: Callable[[], dict], step: Callable[[dict, float, tuple], tuple]) -> DataFrame:
-    """key, *order and what step(state, seconds, values) returns for every row, in the order of (at, *order) within each key."""
+    """key, *order and what step(state, seconds, values) returns for every row, in the order of (at, *order) within each key; null is a key of its own."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = [key, *order]
     out_names = [p.strip().split()[0] for p in schema.split(",")]
@@ -32,7 +32,7 @@ def fold(rows: DataFrame, key: str, at: str, order: list[str], columns: list[str
                 out.append(step(state, t, values))
             yield pd.concat([batch[names], pd.DataFrame(out, columns=out_names)], axis=1)
 
-    ready = rows.select(*dict.fromkeys([*names, *columns]), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), F.unix_micros(F.col(at).cast("timestamp")).alias("__us"))
+    ready = rows.select(*dict.fromkeys([*names, *columns]), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("__key"), F.unix_micros(F.col(at).cast("timestamp")).alias("__us"))
     ready = ready.withColumn("__at", F.col("__us") / 1e6).repartition("__key").sortWithinPartitions("__key", "__us", *order)
     return ready.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", " + schema)
 

@@ -55,7 +55,7 @@ def rates(rows: DataFrame, by: str, success: Column, blocked: Column) -> DataFra
 
 def bars(rows: DataFrame, value: str) -> DataFrame:
     """Each value as a share of the largest."""
-    return rows.withColumn("bar", F.try_divide(F.col(value), F.max(value).over(Window.partitionBy(F.lit(1)))))
+    return rows.crossJoin(F.broadcast(rows.agg(F.max(value).alias("__most")))).withColumn("bar", F.try_divide(F.col(value), F.col("__most"))).drop("__most")  # one row
 
 
 def extraction_health(results: DataFrame, ok: Column, elapsed: str, cost: str) -> DataFrame:

@@ -103,6 +103,29 @@ def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "seq int, model_id string, tier string, context_window int, usd_in double, usd_out double, latency_ms int")
 
 
+# Dollars per million tokens in and out, by model, in the order in which a provider's first is looked for.
+PRICES = (
+    ("gemini/gemini-2.5-pro", 1.25, 10.0),
+    ("gemini/gemini-2.5-flash", 0.15, 0.60),
+    ("gemini/gemini-2.0-flash", 0.10, 0.40),
+    ("openai/gpt-4o", 2.50, 10.0),
+    ("openai/gpt-4o-mini", 0.15, 0.60),
+    ("openai/o3-mini", 1.10, 4.40),
+    ("anthropic/claude-sonnet-4-20250514", 3.0, 15.0),
+    ("anthropic/claude-haiku-3.5", 0.80, 4.0),
+    ("ollama/qwen3:32b", 0.0, 0.0),
+    ("ollama/qwen3:8b", 0.0, 0.0),
+    ("ollama/llama4-scout", 0.0, 0.0),
+    ("ollama/phi-4", 0.0, 0.0),
+    ("ollama/gemma3:27b", 0.0, 0.0),
+)
+
+
+def prices(spark: SparkSession) -> DataFrame:
+    """The price table, apart from the registry: it has models that no cascade tries."""
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(PRICES)], "seq int, model_id string, usd_in double, usd_out double")
+
+
 #: The same relation in ANSI SQL, for queries that run elsewhere.
 MODELS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{m[0]}', '{m[1]}', {m[2]}, CAST({m[3]} AS DOUBLE), CAST({m[4]} AS DOUBLE), {m[5]})" for i, m in enumerate(MODELS)) + ") AS m(seq, model_id, tier, context_window, usd_in, usd_out, latency_ms))"
 

@@ -260,8 +260,10 @@ def test_routing(spark):
     assert rows[0].repeats == 7 and rows[1].tier == "vision" and rows[2].structure == 1.0 and rows[3].tier == "frontier" and rows[3].complexity == pytest.approx(0.65)
     order = [r.model_id for r in routing.cascade_order(sources.models(spark), "fast").orderBy("place").collect()]
     assert order == ["gemini/gemini-2.0-flash", "gemini/gemini-2.5-flash", "gemini/gemini-2.5-pro"]
-    calls = spark.createDataFrame([("gemini/new", 1_000_000, 0), ("other", 5, 5)], "model string, tokens_in long, tokens_out long")
-    assert {r.model: r.cost_usd for r in routing.estimated_cost(calls, sources.models(spark)).collect()} == {"gemini/new": 0.15, "other": 0.0}
+    want = {"gemini/new": (1_000_000, 0, 1.25), "other": (5, 5, 0.0), "openai/gpt-4o": (1000, 1000, 0.0125), "openai/gpt-4o-mini": (10**6, 10**6, 0.75), "openai-like/x": (10**6, 0, 2.5), "anthropic/new": (0, 10**6, 15.0), "anthropic/claude-haiku-3.5": (10**6, 10**6, 4.8), "ollama/x": (9, 9, 0.0)}
+    calls = spark.createDataFrame([(m, *v[:2]) for m, v in want.items()] + [(None, 1, 1)], "model string, tokens_in long, tokens_out long")
+    got = {r.model: r.cost_usd for r in routing.estimated_cost(calls, sources.prices(spark)).collect()}
+    assert got == {**{m: pytest.approx(v[2]) for m, v in want.items()}, None: 0.0}
     a = spark.createDataFrame([(1, 1, "a", 0.2, 0.06), (1, 2, "b", 0.4, 0.06), (1, 3, "c", 0.9, 0.01), (2, 1, "a", 0.6, 0.0), (2, 2, "b", 0.9, 0.0)], "k int, place int, model_id string, confidence double, cost_usd double")
     got = {r.k: (r.attempts, r.final_model, r.all_failed) for r in routing.cascade_outcome(a, "k").collect()}
     assert got == {1: (2, "b", True), 2: (1, "a", False)}
