@@ -1,10 +1,10 @@
 """Mix sources to target weights by hash-random order and distributed prefix sums.
 
-Every row gets a hash-random key. Within a source, rows are ranged by that key into buckets of equal key width, as
-many as its rows need (keys are uniform, so buckets are even and need no sampling). Sums are prefixed on three levels:
+Every row gets a hash-random key. Within a source, rows are ranged by that key into buckets of equal key width (keys
+are uniform, so a source's buckets are even and need no sampling, and none has more than about ROWS_PER_BUCKET rows). Sums are prefixed on three levels:
 rows inside their bucket, buckets inside groups of BUCKETS_PER_GROUP, and groups inside their source; each source is
 cut at its exact budget. A budget beyond one pass over the source repeats whole epochs first. No step gathers a source
-in one task but for the sums of its groups, a row for every half million of the source's. Sources themselves are taken to be few:
+in one task but for the sums of its groups, a row for every quarter million of all rows. Sources themselves are taken to be few:
 their targets are dealt in one window.
 """
 
@@ -18,7 +18,7 @@ from .common import WORD, stored, unused
 #: Weights dealt to the sources in the order of their code points, null last, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2, "mix-1"
-ROWS_PER_BUCKET, BUCKETS_PER_GROUP = 512, 1024
+ROWS_PER_BUCKET, BUCKETS_PER_GROUP = 256, 1024
 
 
 def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -79,9 +79,8 @@ def mix_sources(
         ),
         "mix-sizes",
     )
-    counts = sizes.groupBy("src").agg(F.count(F.lit(1)).alias("n_rows"))
-    place = F.floor(F.col("key") / F.lit(float(16**15)) * F.ceil(F.col("n_rows") / F.lit(rows_per_bucket)))
-    sizes = sizes.join(counts, "src").withColumn("bucket", place).drop("n_rows")
+    buckets = max(1, -(-sizes.count() // rows_per_bucket))
+    sizes = sizes.withColumn("bucket", F.floor(F.col("key") / F.lit(float(16**15)) * buckets))
     sums = sizes.groupBy("src", "source", "bucket").agg(F.sum("size").alias("bucket_size"), F.floor(F.first("bucket") / F.lit(buckets_per_group)).alias("part"))
     parts = sums.groupBy("src", "source", "part").agg(F.sum("bucket_size").alias("part_size"))
     totals = parts.groupBy("src", "source").agg(F.sum("part_size").alias("source_size"))
