@@ -67,18 +67,48 @@ def read_blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("ref"), "content")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context names it.
+
+    Where neither is set, a session on one machine gets a new temporary folder; on a cluster that is an error, for each
+    executor would write to a disk of its own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+#: Folders that this process has written, oldest first.
+STORED: list[str] = []
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the folder that driver and executors share (spark.checkpoint.dir, else a new one) and read back."""
+    """df, written once to the shared folder and read back. The folder stays until forget() or the caller removes it."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of any file system that Spark reaches."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Remove what materialised() has stored from number `since` on; tables read from there can no longer be read."""
+    remove(spark, STORED[since:])
+    del STORED[since:]
+
+
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     """A parquet table in folders by some columns, one file a folder and task group."""
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,14 @@ def topic_stream(spark: SparkSession, servers: str, topics: str, starting: str =
     return reader.load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "topic", "timestamp")
 
 
+def malformed(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """The lines that messages() leaves out, to be counted or kept."""
+    parsed = F.from_json(F.col(value).cast("string"), schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.where(parsed.isNull() | parsed["_corrupt"].isNotNull())
+
+
 def messages(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
-    """JSON messages as columns; malformed ones are left out."""
+    """JSON messages as columns; malformed ones are left out (malformed() has them)."""
     parsed = F.from_json(F.col(value).cast("string"), schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     return lines.select(parsed.alias("m")).where(F.col("m").isNotNull() & F.col("m._corrupt").isNull()).select("m.*").drop("_corrupt")
 
@@ -69,19 +76,42 @@ def once(rows: DataFrame, keys: list[str], at: str = "ts", late: str = "1 hour")
     return rows.dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
 
 
-def failures_in_a_row(rows: DataFrame, key: str, failed: str, order: str) -> DataFrame:
-    """A stream's longest and current run of failures of each key, updated as rows come. State: two numbers a key."""
+def failures_in_a_row(rows: DataFrame, key: str, failed: str, order: str, idle: int | None = None) -> DataFrame:
+    """A stream's longest and current run of failures of each key, updated as rows come. State: two numbers a key.
+
+    Of a micro-batch a key's rows are held as two arrays, its order and its outcomes, and runs are told apart by array
+    operations. idle: keys without rows for so long (in milliseconds of processing time) are forgotten and start anew.
+    """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         longest, current = state.get if state.exists else (0, 0)
-        for x in pd.concat(list(batches)).sort_values(order)[failed]:
-            current = current + 1 if x else 0
-            longest = max(longest, current)
+        parts = [(b[order].to_numpy(), b[failed].to_numpy(dtype=bool)) for b in batches]
+        bad = np.concatenate([f for _, f in parts])[np.argsort(np.concatenate([o for o, _ in parts]), kind="stable")]
+        stops = np.flatnonzero(~bad)  # successes; a run is what lies between two
+        runs = np.diff(np.concatenate(([-1 - current], stops, [len(bad)]))) - 1
+        longest, current = max(longest, int(runs.max())), int(runs[-1])
         state.update((longest, current))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame({key: [k[0]], "longest": [longest], "current": [current]})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, failed, order).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, longest int, current int", "longest int, current int", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.select(key, failed, order).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, longest int, current int", "longest int, current int", "update", timeout)
+
+
+def attempts_of_jobs(jobs: DataFrame, attempts: DataFrame, key: str = "job_id", at: str = "ts", wait: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Each job with its attempts that come within `wait` of it, from two streams (or two tables): key, job_at, attempt_at and the other columns.
+
+    Both sides are kept no longer than the wait and their watermarks need. A job without an attempt is told once none can come any more.
+    """
+    left = timed(jobs, at, late).withColumnRenamed(at, "job_at")
+    right = timed(attempts, at, late).select(F.col(key).alias("__key"), F.col(at).alias("attempt_at"), *[c for c in attempts.columns if c not in (key, at)])
+    near = (F.col(key) == F.col("__key")) & (F.col("attempt_at") >= F.col("job_at")) & (F.col("attempt_at") <= F.col("job_at") + F.expr(f"INTERVAL {wait}"))
+    return left.join(right, near, "left").drop("__key")
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -91,7 +121,15 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.table(name)
 
 
-def write_stream(stream: DataFrame, path: str, checkpoint: str, by: list[str] | None = None):
-    """A stream into a parquet table, in folders by some columns; starts and returns the query."""
+def write_stream(stream: DataFrame, path: str, checkpoint: str, by: list[str] | None = None, every: str | None = None):
+    """A stream into a parquet table, in folders by some columns; starts and returns the query. every: a trigger by processing time ("30 seconds")."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.partitionBy(*by) if by else writer).start()
+    writer = writer.partitionBy(*by) if by else writer
+    return (writer.trigger(processingTime=every) if every else writer).start()
+
+
+def write_topic(stream: DataFrame, servers: str, topic: str, checkpoint: str, every: str | None = None):
+    """keyed_messages() of a stream into a topic; needs Spark's connector for the message log. Acknowledged by all replicas, duplicates suppressed."""
+    writer = stream.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+    writer = writer.option("kafka.acks", "all").option("kafka.enable.idempotence", "true")
+    return (writer.trigger(processingTime=every) if every else writer).start()

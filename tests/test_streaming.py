@@ -59,3 +59,26 @@ def test_sink(spark, stream, batch, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_stream_stream_join_gives_what_the_batch_gives(spark, stream, batch, tmp_path):
+    side = lambda df, kind: df.where(F.col("event_type") == kind).select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias(f"{kind}_id"))
+    joined = lambda df: S.attempts_of_jobs(side(df, "view"), side(df, "click"), wait="6 hours")
+    got = S.run_once(joined(stream), "ss", str(tmp_path)).collect()
+    want = joined(batch).collect()
+    paired = lambda found: sorted((r.view_id, r.click_id) for r in found if r.click_id is not None)
+    assert paired(got) == paired(want) and len(paired(want)) > 0
+    assert {r.view_id for r in got if r.click_id is None} <= {r.view_id for r in want if r.click_id is None}
+
+
+def test_malformed_lines_are_kept_apart(spark):
+    lines = spark.createDataFrame([('{"job_id": "a"}',), ("{bad",), (None,), ("[]",)], "value string")
+    good, bad = S.messages(lines, S.CRAWL_RESULT), S.malformed(lines, S.CRAWL_RESULT)
+    assert good.count() + bad.count() == 4 and good.first().job_id == "a"
+
+
+def test_processing_time_trigger(spark, stream, tmp_path):
+    q = S.write_stream(stream.select("event_id", "event_type"), str(tmp_path / "out"), str(tmp_path / "cp"), ["event_type"], every="1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{PATH}/events.parquet").count()

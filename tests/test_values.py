@@ -65,3 +65,28 @@ def test_query_returns_every_row_or_says_so(spark):
 def test_bars(spark):
     got = telemetry.bars(spark.createDataFrame([("a", 1.0), ("b", 4.0), ("c", None)], "k string, v double"), "v").collect()
     assert {r.k: r.bar for r in got} == {"a": 0.25, "b": 1.0, "c": None}
+
+
+def test_stored_folders_can_be_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from pagemill import sources
+
+    before = len(sources.STORED)
+    df = sources.materialised(spark.range(3), "x")
+    path = Path(sources.STORED[-1].removeprefix("file://").removeprefix("file:"))
+    assert df.count() == 3 and path.is_dir()
+    sources.forget(spark, before)
+    assert not path.exists() and len(sources.STORED) == before
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from pagemill import sources
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+        with pytest.raises(ValueError, match="shared|share"):
+            sources.shared_folder(session)
