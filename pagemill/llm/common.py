@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import STORED, materialised, shared_folder
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,23 +19,20 @@ find_words = re.compile(WORD).findall
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; set to a new one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder that driver and executors share."""
+    return shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder there; sources.forget() removes it with the others."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    STORED.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: later uses neither recompute it nor depend on the executor that made it."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialised(df, name)
 
 
 def word_array(text: Column) -> Column:
