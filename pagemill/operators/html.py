@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import strip_currency, strip_whitespace
+from ..sources import materialised
 
 # What pruning removes by tag, role, class or id, and style; what it may remove if empty.
 STRIP_TAGS = ("script", "style", "noscript", "link", "meta", "iframe", "object", "embed", "applet", "svg", "canvas", "video", "audio", "source", "track", "template", "slot")
@@ -122,34 +123,39 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(F.col(key).alias("k"), F.col(html).alias("html")).mapInPandas(parse, f"k {kind}, {NODES}").withColumnRenamed("k", key)
 
 
-def _spans(all_nodes: DataFrame, key: str, opens: Column, closes: Column) -> tuple[DataFrame, DataFrame]:
-    """Each page as one string, with what every node writes where it opens and where it closes.
+def _once(value: Column, body) -> Column:
+    """body(value), with value computed once a row even where body uses it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Returns (key, whole) and (key, pre, start, end): a node's subtree is whole[start:end], its own closing left out.
-    Everything is partitioned by page, so there is one shuffle, and the work is linear in the nodes.
+
+def _slices(all_nodes: DataFrame, key: str, tops: Column | DataFrame | None, opens: Column, closes: Column) -> DataFrame:
+    """key, pre and text of the subtrees of `tops`: what their nodes write where they open and close, their own closing left out.
+
+    A page becomes one row, with its pieces in the order of opening and closing and the places of its tops among them, so
+    a text is put together from its own pieces alone. Everything is partitioned by page: one shuffle.
     """
-    ends = F.array(
-        F.struct(F.col("pre").alias("at"), F.lit(0).alias("n"), opens.alias("t"), F.lit(True).alias("opening")),
-        F.struct(F.col("post").alias("at"), (1_000_001 - F.col("depth")).alias("n"), closes.alias("t"), F.lit(False).alias("opening")),
-    )
-    placed = all_nodes.select(key, "pre", F.explode(ends).alias("p")).select(key, "pre", "p.*")
-    before = Window.partitionBy(key).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
-    place = lambda opening: F.max(F.when(F.col("opening") == opening, F.col("offset")))
-    spans = placed.groupBy(key, "pre").agg(place(True).alias("start"), place(False).alias("end"))
-    whole = placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "t"))), lambda x: x["t"]), "").alias("whole"))
-    return whole, spans
-
-
-def _slices(all_nodes: DataFrame, key: str, tops: DataFrame | None, opens: Column, closes: Column) -> DataFrame:
-    whole, spans = _spans(all_nodes, key, opens, closes)
-    if tops is not None:
-        spans = spans.join(tops.select(key, "pre"), [key, "pre"], "left_semi")
-    return spans.join(whole, key).select(key, "pre", F.substring("whole", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"))
-
-
-def subtree_text(all_nodes: DataFrame, key: str = "page_id", tops: DataFrame | None = None) -> DataFrame:
-    """key, pre and the text, trimmed, of the subtrees of `tops` (default: every node)."""
+    if isinstance(tops, DataFrame):
+        all_nodes = all_nodes.join(tops.select(key, "pre", F.lit(True).alias("__top")), [key, "pre"], "left")
+        tops = F.col("__top")
+    wanted = F.coalesce(tops, F.lit(False)) if tops is not None else F.lit(True)
+    end = lambda at, n, text, opening: F.struct(at.alias("at"), n.alias("n"), F.col("pre"), text.alias("t"), wanted.alias("top"), F.lit(opening).alias("opening"))
+    ends = F.array(end(F.col("pre"), F.lit(0), opens, True), end(F.col("post"), 1_000_001 - F.col("depth"), closes, False))
+    rows = all_nodes.select(key, F.explode(ends).alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("ends"))
+
+    def places(ends: Column, opening: bool) -> Column:
+        of = F.filter(F.transform(ends, lambda e, i: F.struct(e["pre"].alias("pre"), i.alias("i"), (e["top"] & (e["opening"] == opening)).alias("ok"))), lambda e: e["ok"])
+        return F.array_sort(of)
+
+    def texts(ends: Column) -> Column:
+        joined = lambda pieces, s: F.array_join(F.slice(pieces, s["o"]["i"] + 1, s["c"]["i"] - s["o"]["i"]), "")
+        spans = F.arrays_zip(places(ends, True).alias("o"), places(ends, False).alias("c"))
+        return _once(F.transform(ends, lambda e: e["t"]), lambda pieces: F.transform(spans, lambda s: F.struct(s["o"]["pre"].alias("pre"), joined(pieces, s).alias("text"))))
+
+    return rows.select(key, F.explode(_once(F.col("ends"), texts)).alias("s")).select(key, "s.pre", "s.text")
+
+
+def subtree_text(all_nodes: DataFrame, key: str = "page_id", tops: Column | DataFrame | None = None) -> DataFrame:
+    """key, pre and the text, trimmed, of the subtrees of `tops` (a condition, or some of the nodes; default: every node)."""
     return _slices(all_nodes, key, tops, F.col("own_text"), F.col("tail_text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
@@ -190,7 +196,7 @@ def prune(all_nodes: DataFrame, key: str = "page_id") -> DataFrame:
     left = without(all_nodes, F.col("tag").isin(*STRIP_TAGS), key)
     named = F.rlike(F.concat(attribute("class"), F.lit(" "), attribute("id")), F.lit(f"(?i)({BOILERPLATE_NAMES})"))
     certain = F.col("tag").isin(*BOILERPLATE_TAGS) | F.lower(attribute("role")).isin(*BOILERPLATE_ROLES)
-    short = subtree_text(left, key, left.where(named & ~certain)).where(F.length("text") < SUBSTANTIAL).select(key, "pre", F.lit(True).alias("__short"))
+    short = subtree_text(left, key, named & ~certain).where(F.length("text") < SUBSTANTIAL).select(key, "pre", F.lit(True).alias("__short"))
     left = without(left.join(short, [key, "pre"], "left"), certain | F.col("__short"), key).drop("__short")
     left = without(left, F.rlike(attribute("style"), F.lit(HIDDEN_STYLES)) | (F.lower(attribute("aria-hidden")) == "true"), key)
     childless = F.coalesce(F.lead("parent").over(Window.partitionBy(key).orderBy("pre")) != F.col("pre"), F.lit(True))
@@ -199,7 +205,7 @@ def prune(all_nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def page_text(all_nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    return subtree_text(all_nodes, key, all_nodes.where("parent = -1")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return subtree_text(all_nodes, key, F.col("parent") == -1).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
 def scored_blocks(all_nodes: DataFrame, key: str = "page_id", shortest: int = 25) -> DataFrame:
@@ -207,9 +213,10 @@ def scored_blocks(all_nodes: DataFrame, key: str = "page_id", shortest: int = 25
 
     Half the share of text in markup, less 0.3 of the share of text in links, plus bonuses for tag and length, within 0 and 1.
     """
-    tops = all_nodes.where(F.col("tag").isin(*SCORED_TAGS))
-    texts = subtree_text(all_nodes, key, tops).where(F.length("text") >= shortest).withColumn("n_chars", F.length("text"))
-    links = subtree_text(all_nodes, key, all_nodes.where("tag = 'a'")).select(key, "pre", F.length("text").alias("linked"))
+    scored = F.col("tag").isin(*SCORED_TAGS)
+    tops = all_nodes.where(scored)
+    texts = subtree_text(all_nodes, key, scored).where(F.length("text") >= shortest).withColumn("n_chars", F.length("text"))
+    links = subtree_text(all_nodes, key, F.col("tag") == "a").select(key, "pre", F.length("text").alias("linked"))
     measured = all_nodes.join(links, [key, "pre"], "left")
     sums = subtree_sums(measured, {"linked": F.coalesce(F.col("linked"), F.lit(0)), "inner": F.col("size") + F.length("own_text") + F.length("tail_text")}, key)
     both = texts.join(sums, [key, "pre"]).join(tops.select(key, "pre", "tag", (F.col("size") + F.length("own_text")).alias("outer")), [key, "pre"])
@@ -253,9 +260,10 @@ def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3
 
     A structure is the hash of the tags of a subtree, nested as they are, and of the depth it lies at.
     """
-    tops = all_nodes.where(~F.col("tag").isin("html", "body", "head") & (F.col("depth") <= deepest))
-    texts = subtree_text(all_nodes, key, tops).where(F.length("text") >= shortest)
-    shapes = _slices(all_nodes, key, tops, F.concat(F.lit("("), F.col("tag")), F.lit(")")).withColumnRenamed("text", "shape")
+    inner = ~F.col("tag").isin("html", "body", "head") & (F.col("depth") <= deepest)
+    tops = all_nodes.where(inner)
+    texts = subtree_text(all_nodes, key, inner).where(F.length("text") >= shortest)
+    shapes = _slices(all_nodes, key, inner, F.concat(F.lit("("), F.col("tag")), F.lit(")")).withColumnRenamed("text", "shape")
     both = texts.join(shapes, [key, "pre"]).join(tops.select(key, "pre", "depth"), [key, "pre"])
     structure = F.substring(F.md5(F.concat_ws(":", "depth", "shape")), 1, 12).alias("structure")
     found = both.groupBy(key, structure).agg(F.count(F.lit(1)).alias("count"), F.min("pre").alias("first_pre"), F.substring(F.min_by("text", "pre"), 1, 500).alias("sample"))
@@ -322,8 +330,8 @@ def extract_field(all_nodes: DataFrame, selector: str, kind: str = "text", attr:
 
 
 def extract(pages: DataFrame, fields: dict[str, dict], key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """key and a column for each field of a schema: {name: {selector, kind?, attr?, transform?, multiple?}}."""
-    parsed = nodes(pages, key, html)
+    """key and a column for each field of a schema: {name: {selector, kind?, attr?, transform?, multiple?}}. Pages are parsed once."""
+    parsed = materialised(nodes(pages, key, html), "nodes")
     out = pages.select(key, url)
     for name, config in fields.items():
         out = out.join(extract_field(parsed, urls=pages.select(key, url), key=key, **config).withColumnRenamed("value", name), key, "left")

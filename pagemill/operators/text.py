@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grams, jaccard, token_estimate
+from ..sources import materialised
 
 HEADING = r"^(#{1,6})\s+(.+)$"
 
@@ -45,21 +46,25 @@ def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, k: int = 10) -> DataFrame:
     """The k best documents of each query by Okapi BM25 on lower-case words: query_key, key, score, place.
 
-    Words are counted within documents before they are shuffled. The inverse document frequency of a word in more than
-    half of the documents is `floor` times the mean over the vocabulary, so every word's frequency is needed. Queries are
-    matched on words: no pair without a common word is made.
+    The inverse document frequency of a word in more than half of the documents is `floor` times the mean over the
+    vocabulary, so every word's frequency is needed: the first pass counts them, and documents and words in all, before it
+    shuffles, and its table, a row a word, is stored. The second keeps only words that a query asks for, by a join that
+    Spark sends to all tasks while the asked words are small, so common words that nobody asks for are never shuffled.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     asked = queries.select(query_key, F.explode(words(F.col(query_text))).alias("word")).groupBy(query_key, "word").agg(F.count(F.lit(1)).alias("times"))
     base = docs.select(key, words(F.col(text)).alias("w"))
-    sized = base.select(key, F.size("w").alias("n"))
-    stats = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    tf = base.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).groupBy("word", key, "n").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row of statistics
-    raw = df.withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    # The row without a word stands for the document itself.
+    seen = base.select(F.size("w").alias("n"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string")))).alias("word"))
+    df = materialised(seen.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("words")), "word-counts")
+    stats = df.where("word IS NULL").select(F.col("df").alias("docs"), (F.col("words") / F.col("df")).alias("mean"))
+    raw = df.where("word IS NOT NULL").crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of statistics
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("word", "mean", F.when(F.col("raw") < 0, floor * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    hit = tf.join(asked, "word").join(idf, "word")
+    wanted = asked.select("word").distinct().join(idf, "word")
+    tf = base.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(wanted, "word")
+    tf = tf.groupBy("word", key, "n", "mean", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    hit = tf.join(asked, "word")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     scored = hit.groupBy(query_key, key).agg(F.sum(part).alias("score"))
     place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key))

@@ -95,7 +95,7 @@ def h1_extract(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT page_id, LEN(REGEXP_EXTRACT_ALL(html, '<li><a href=\"([^\"]*)\"', 1)) AS n FROM pages")
 def navigation_links(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
-    links = html.extract_field(html.nodes(pages), "nav li > a[href]", kind="attribute", attr="href", multiple=True)
+    links = html.extract_field(node_table(spark, d), "nav li > a[href]", kind="attribute", attr="href", multiple=True)
     return pages.select("page_id").join(links, "page_id", "left").select("page_id", F.coalesce(F.size("value"), F.lit(0)).alias("n"))
 
 

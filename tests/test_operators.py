@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -195,6 +196,21 @@ def test_chunks_hold_all_text(parts, most):
     found = chunk.chunk_text(body, max_tokens=most, overlap=0)
     assert "".join("".join(c["content"].split()) for c in found) == "".join(body.split())
     assert all(c["tokens"] == int((c["end"] - c["start"]) / 4) for c in found)
+    if len(found) > 1:
+        # A paragraph's end counts the break after it, which may be that of the next section.
+        assert all(body[c["start"] : c["end"]].strip().startswith(c["content"]) for c in found)
+        assert all(a["end"] <= b["start"] + 2 for a, b in zip(found, found[1:], strict=False))
+    heads = re.findall(r"(?m)^#{1,6}\s+(.+)$", body)
+    assert {c["section"] for c in found} <= {None, "", *(h.strip() for h in heads)}
+
+
+def test_tables_stay_whole_where_they_nearly_fit():
+    table = "# Data\n\n" + "| a | b |\n" * 12  # 128 characters
+    whole = chunk.chunk_text("# Intro\nsome words.\n" + table + "# End\nwords.\n", max_tokens=25, overlap=0)
+    assert [(c["section"], c["has_table"]) for c in whole] == [("Intro", False), ("Data", True), ("End", False)] and whole[1]["content"] == table.strip()
+    assert [c["tokens"] for c in whole] == [5, 32, 3]
+    alone = chunk.chunk_text(table + "# End\nwords.\n", max_tokens=25, overlap=0)  # nothing is open before it, so it is cut at blank lines
+    assert [c["content"].count("|") for c in alone] == [0, 36, 0]
 
 
 def test_chunk_overlap_and_fast_path(spark):
