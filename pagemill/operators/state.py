@@ -101,7 +101,7 @@ def token_bucket(rows: DataFrame, key: str, at: str, order: list[str], rate: flo
     return fold(rows, key, at, order, [], "allowed boolean, tokens double", lambda: {"tokens": 0.0, "at": None}, step)
 
 
-def router_stats(states: DataFrame, key: str, order: str) -> DataFrame:
-    """The last state of each key's replay."""
-    last = states.groupBy(key).agg(F.max_by(F.struct("tier", "circuit_open", "success_rate"), order).alias("s"), F.count(F.lit(1)).alias("total"))
+def router_stats(states: DataFrame, key: str, order: str | list[str]) -> DataFrame:
+    """The last state of each key's replay, by one column or several in turn."""
+    last = states.groupBy(key).agg(F.max_by(F.struct("tier", "circuit_open", "success_rate"), F.struct(order)).alias("s"), F.count(F.lit(1)).alias("total"))
     return last.select(key, F.col("s.tier").alias("tier"), F.col("s.circuit_open").alias("circuit_open"), F.round("s.success_rate", 3).alias("success_rate"), "total")

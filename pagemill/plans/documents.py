@@ -534,7 +534,14 @@ def largest_boxes(spark: SparkSession, d: str) -> DataFrame:
     return geometry.largest(boxes(spark, d), "page_id", ["n"], 5).select("page_id", "n")
 
 
-@query()
+NEAR = "SQRT(POW(GREATEST(0, xs[j] - xs[i] - ws[i], xs[i] - xs[j] - ws[j]), 2) + POW(GREATEST(0, ys[j] - ys[i] - hs[i], ys[i] - ys[j] - hs[j]), 2)) <= 50"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, LIST(x ORDER BY n) AS xs, LIST(y ORDER BY n) AS ys, LIST(width ORDER BY n) AS ws, LIST(height ORDER BY n) AS hs FROM ({BOXES}) GROUP BY 1),
+  r AS (SELECT page_id, xs, ys, ws, hs, 1 AS i, 0 AS groups, LIST_TRANSFORM(RANGE(20), lambda k: -1) AS g FROM p
+    UNION ALL
+    SELECT page_id, xs, ys, ws, hs, i + 1, groups + CASE WHEN g[i] < 0 THEN 1 ELSE 0 END, CASE WHEN g[i] >= 0 THEN g ELSE LIST_TRANSFORM(RANGE(1, 21), lambda j: CASE WHEN j >= i AND g[j] < 0 AND {NEAR} THEN groups ELSE g[j] END) END FROM r WHERE i <= 20)
+  SELECT page_id, UNNEST(RANGE(20)) AS n, UNNEST(g) AS grp FROM r WHERE i = 21""")
 def box_groups(spark: SparkSession, d: str) -> DataFrame:
     return geometry.group_by_nearness(boxes(spark, d), "page_id", "n")
 
@@ -544,26 +551,51 @@ def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunks(markdown_docs(spark, d), "doc_id", "md", max_tokens=400)
 
 
+# The replays' own rules, row by row in recursive SQL.
+OUTCOMES = """e AS (SELECT user_id, event_id, EPOCH_US(ts) / 1e6 AS t, event_type IN ('error', 'view') AS bad, event_type = 'error' AS blocked, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""
+CIRCUIT = f"""WITH RECURSIVE {OUTCOMES},
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 'closed' AS state, 0 AS failures, CAST(0 AS DOUBLE) AS failed_at, 0 AS tried, FALSE AS allowed FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN refused THEN s WHEN NOT bad THEN 'closed' WHEN failures + 1 >= 5 THEN 'open' ELSE s END, CASE WHEN refused THEN failures WHEN bad THEN failures + 1 ELSE 0 END,
+    CASE WHEN bad AND NOT refused THEN t ELSE failed_at END, CASE WHEN NOT refused AND s = 'half_open' THEN tr + 1 ELSE tr END, NOT refused
+  FROM (SELECT *, s = 'open' OR s = 'half_open' AND tr >= 1 AS refused FROM (SELECT e.user_id, e.i, e.event_id, e.t, e.bad, r.failures, r.failed_at,
+    CASE WHEN r.state = 'open' AND e.t - r.failed_at >= 3600 THEN 'half_open' ELSE r.state END AS s, CASE WHEN r.state = 'open' AND e.t - r.failed_at >= 3600 THEN 0 ELSE r.tried END AS tr
+    FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1)))
+SELECT user_id, event_id, allowed, state, failures FROM r WHERE i > 0"""
+TIERS = f"""WITH RECURSIVE {OUTCOMES},
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 0 AS tier, FALSE AS circuit_open, CAST(0 AS DOUBLE) AS opened_at, 0 AS failures, 0 AS n_ok FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN bad AND blocked AND NOT now_open THEN LEAST(2, now_tier + 1) ELSE now_tier END, now_open, CASE WHEN now_open AND NOT circuit_open THEN t ELSE opened_at END, now_failures, n_ok + CASE WHEN bad THEN 0 ELSE 1 END
+  FROM (SELECT *, bad AND (circuit_open OR now_failures >= 5) AS now_open FROM (SELECT e.user_id, e.i, e.event_id, e.t, e.bad, e.blocked, r.circuit_open, r.opened_at, r.n_ok,
+    CASE WHEN r.circuit_open AND e.t - r.opened_at > 60 THEN 2 ELSE r.tier END AS now_tier, CASE WHEN e.bad THEN r.failures + 1 ELSE 0 END AS now_failures FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1)))"""
+BUCKET = f"""WITH RECURSIVE {OUTCOMES},
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS at, CAST(3 AS DOUBLE) AS tokens, FALSE AS allowed FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, i, event_id, t, CASE WHEN full_tokens >= 1 THEN full_tokens - 1 ELSE full_tokens END, full_tokens >= 1
+  FROM (SELECT e.user_id, e.i, e.event_id, e.t, LEAST(3.0::DOUBLE, r.tokens + COALESCE(e.t - r.at, 0) * 0.0001::DOUBLE) AS full_tokens FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, allowed, ROUND(tokens, 6) AS tokens FROM r WHERE i > 0"""
+
+
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     bad = F.col("event_type").isin("error", "view")
     return table(spark, d, "events").select("user_id", "ts", "event_id", bad.alias("failed"), (~bad).alias("ok"), (F.col("event_type") == "error").alias("blocked"))
 
 
-@query()
+@query(CIRCUIT)
 def circuit_replay(spark: SparkSession, d: str) -> DataFrame:
     return state.circuit_breaker(_outcomes(spark, d), "user_id", "ts", ["event_id"], "failed", recovery=3600.0)
 
 
-@query()
+@query(TIERS + " SELECT user_id, event_id, tier, circuit_open, failures, n_ok / i::DOUBLE AS success_rate FROM r WHERE i > 0")
 def tier_replay(spark: SparkSession, d: str) -> DataFrame:
     return state.domain_tiers(_outcomes(spark, d), "user_id", "ts", ["event_id"], "ok", "blocked")
 
 
-@query()
+@query(TIERS + " SELECT user_id, ARG_MAX(tier, i) AS tier, ARG_MAX(circuit_open, i) AS circuit_open, ROUND(ARG_MAX(n_ok, i) / MAX(i)::DOUBLE, 3) AS success_rate, MAX(i) AS total FROM r WHERE i > 0 GROUP BY 1")
 def tier_stats(spark: SparkSession, d: str) -> DataFrame:
-    return state.router_stats(state.domain_tiers(_outcomes(spark, d), "user_id", "ts", ["event_id"], "ok", "blocked"), "user_id", "event_id")
+    return state.router_stats(state.domain_tiers(_outcomes(spark, d), "user_id", "ts", ["ts", "event_id"], "ok", "blocked"), "user_id", ["ts", "event_id"])
 
 
-@query()
+@query(BUCKET)
 def token_bucket_replay(spark: SparkSession, d: str) -> DataFrame:
-    return state.token_bucket(_outcomes(spark, d), "user_id", "ts", ["event_id"], rate=0.0001, burst=3)
+    return state.token_bucket(_outcomes(spark, d), "user_id", "ts", ["event_id"], rate=0.0001, burst=3).withColumn("tokens", F.round("tokens", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import streaming
@@ -318,9 +318,33 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.5).alias("p50"), F.percentile("l_extendedprice", 0.95).alias("p95"), F.countDistinct("l_suppkey").alias("suppliers"))
 
 
-@query()
+@query("SELECT l_returnflag, COUNT(DISTINCT l_orderkey) AS orders, TRUE AS orders_close, TRUE AS median_close FROM lineitem GROUP BY 1")
 def approximate_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey").alias("orders"), F.approx_percentile("l_extendedprice", 0.5).alias("p50"))
+    """Approximate counts and medians, with whether they are within 5 % and between the 45th and 55th percentile of the exact ones."""
+    price = F.col("l_extendedprice").cast("double")
+    rows = table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_orderkey", 0.02).alias("about"), F.count_distinct("l_orderkey").alias("orders"),
+        F.approx_percentile(price, 0.5).alias("p50"), F.percentile(price, F.array(F.lit(0.45), F.lit(0.55))).alias("bounds"),
+    )
+    return rows.select("l_returnflag", "orders", close("about", "orders").alias("orders_close"), F.col("p50").between(F.col("bounds")[0], F.col("bounds")[1]).alias("median_close"))
+
+
+def close(a: str, b: str, share: float = 0.05) -> Column:
+    return F.abs(F.col(a) - F.col(b)) <= share * F.col(b)
+
+
+@query("SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users, TRUE AS users_close, TRUE AS median_close FROM events GROUP BY 1")
+def merged_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches by type and day, as a rollup would store them, merged by type: distinct users (HLL) and the median value (KLL).
+
+    Told as whether they are within 5 % and between the 45th and 55th percentile of the exact ones.
+    """
+    rows = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", F.col("value").cast("double").alias("value"))
+    daily = rows.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("user_id").alias("users"), F.kll_sketch_agg_double("value").alias("values"))
+    merged = daily.groupBy("event_type").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("about"), F.kll_merge_agg_double("values").alias("values"))
+    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.45), F.lit(0.55))).alias("bounds"))
+    both = merged.join(exact, "event_type").withColumn("p50", F.kll_sketch_get_quantile_double("values", F.lit(0.5)))
+    return both.select("event_type", "n", "users", close("about", "users").alias("users_close"), F.col("p50").between(F.col("bounds")[0], F.col("bounds")[1]).alias("median_close"))
 
 
 @query("""SELECT c_custkey, o_orderkey, RANK() OVER w AS r, DENSE_RANK() OVER w AS dr, NTILE(4) OVER (PARTITION BY c_custkey ORDER BY o_totalprice, o_orderkey) AS q,
