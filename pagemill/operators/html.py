@@ -94,6 +94,11 @@ class _Builder(HTMLParser):
             self.rows[self.last][8] += data
         elif self.open:
             self.rows[self.open[-1]][7] += data
+        elif self.rows or data.strip():  # text before the first element, in a node of its own
+            at = len(self.rows)
+            self.rows.append([at, at, -1, 0, 0, "#text", {}, data, "", 0])
+            self.children.append(0)
+            self.last = at
 
     def done(self) -> list[list]:
         self.close()
@@ -205,7 +210,11 @@ def prune(all_nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def page_text(all_nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    return subtree_text(all_nodes, key, F.col("parent") == -1).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    """key and text of each page: its elements outside all others, and what follows them, a line each, trimmed."""
+    tail = F.when(F.col("parent") == -1, F.concat("tail_text", F.lit("\n"))).otherwise(F.col("tail_text"))
+    ends = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("n"), F.col("own_text").alias("t")), F.struct(F.col("post").alias("at"), (1_000_001 - F.col("depth")).alias("n"), tail.alias("t")))
+    rows = all_nodes.select(key, F.explode(ends).alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return rows.select(key, F.regexp_replace(F.array_join(F.transform("e", lambda e: e["t"]), ""), r"^\s+|\s+$", "").alias("text"))
 
 
 def scored_blocks(all_nodes: DataFrame, key: str = "page_id", shortest: int = 25) -> DataFrame:

@@ -110,12 +110,29 @@ def node_table(spark: SparkSession, d: str, pruned: bool = False) -> DataFrame:
     return materialised(html.prune(rows), "pruned") if pruned else rows
 
 
-@query()
+# The pages are regular: what pruning leaves of them can be said by patterns.
+def _resolved(sql: str) -> str:
+    for name, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "CHR(34)"), ("#x27", "CHR(39)"), ("middot", "CHR(183)"), ("amp", "'&'")):
+        sql = f"REGEXP_REPLACE({sql}, '&{name};?', {char}, 'g')"
+    return sql
+
+
+LEFT = "REGEXP_REPLACE(html, '(?s)<style>.*?</style>|<script>.*?</script>|<nav>.*?</nav>|<footer>.*?(</footer>|$)|<!--.*?-->', '', 'g')"
+TRIMMED = "REGEXP_REPLACE({}, '^\\s+|\\s+$', '', 'g')"
+BARE = "REGEXP_REPLACE({}, '<[^>]*>', '', 'g')"
+BREAKS = "CHR(10) || CHR(10)"
+MARKED_UP = f"REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE({LEFT}, '\\s+', ' ', 'g'), '<p><b> *', {BREAKS} || '**', 'g'), ' *<br>', '**', 'g')"
+MARKED_UP = f"REGEXP_REPLACE(REGEXP_REPLACE({MARKED_UP}, '<h1>', {BREAKS} || '# ', 'g'), '</?(p|h1|div|article|body)( [^>]*)?>', {BREAKS}, 'g')"
+MARKED_UP = TRIMMED.format(f"REGEXP_REPLACE(REGEXP_REPLACE({_resolved(BARE.format(MARKED_UP))}, '(?m)^ +| +$', '', 'g'), '\\n{{3,}}', {BREAKS}, 'g')")
+
+
+@query(f"SELECT page_id, {TRIMMED.format(_resolved(BARE.format(LEFT)))} AS text FROM pages")
 def pruned_text(spark: SparkSession, d: str) -> DataFrame:
     return html.page_text(html.prune(node_table(spark, d)))
 
 
-@query()
+@query(f"""SELECT *, LENGTH(markdown) AS markdown_chars, raw_chars / GREATEST(LENGTH(markdown), 1)::DOUBLE AS ratio, SHA256(markdown) AS hash
+  FROM (SELECT page_id, LENGTH(html) AS raw_chars, {MARKED_UP} AS markdown FROM pages)""")
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return html.preprocess(table(spark, d, "pages"), parsed=node_table(spark, d))
 
