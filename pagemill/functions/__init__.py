@@ -19,6 +19,11 @@ def domain_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^https?://([^/]+)", 1)
 
 
+def netloc(url: Column) -> Column:
+    """The authority of a URL of any scheme, user and port included, '' if there is none (null: null)."""
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+
+
 def is_empty(value: Column) -> Column:
     """Whether an extracted string says nothing: null or one of EMPTY_VALUES, case and outer space aside."""
     return F.coalesce(F.lower(F.trim(value)).isin(*EMPTY_VALUES), F.lit(True))

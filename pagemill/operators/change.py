@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,11 +52,42 @@ def tag_changes(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return changed.withColumn("change", F.when(F.col("n_new") > F.col("n_old"), "added").otherwise("removed")).withColumn("significance", tag_significance(F.col("tag")))
 
 
-def field_changes(old: DataFrame, new: DataFrame, key: str, tolerance: float = 0.01) -> DataFrame:
+def nested_equal(tolerance: float):
+    """Whether two JSON values agree: numbers within the tolerance, strings but for case and outer space, lists and objects member by member."""
+
+    def same(x, y) -> bool:
+        todo = [(x, y)]
+        while todo:
+            x, y = todo.pop()
+            number = isinstance(x, (int, float)) and isinstance(y, (int, float))
+            if x == y or number and abs(x - y) / max(abs(x), abs(y), 1e-10) <= tolerance or isinstance(x, str) and isinstance(y, str) and x.strip().lower() == y.strip().lower():
+                continue
+            if isinstance(x, list) and isinstance(y, list) and len(x) == len(y):
+                todo += zip(x, y, strict=True)
+            elif isinstance(x, dict) and isinstance(y, dict) and x.keys() == y.keys():
+                todo += [(x[k], y[k]) for k in x]
+            else:
+                return False
+        return True
+
+    @F.pandas_udf(T.BooleanType())
+    def equal(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y) -> bool:
+            try:
+                return x == y or x is not None and y is not None and same(json.loads(x), json.loads(y))
+            except ValueError:
+                return False
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    return equal
+
+
+def field_changes(old: DataFrame, new: DataFrame, key: str, tolerance: float = 0.01, nested: bool = True) -> DataFrame:
     """Differences of entities, from long tables (key, pos, field, type, value): key, pos, field, change, significance.
 
     Entities are paired by position. Values differ in type, or by more than the tolerance for numbers, or beyond case
-    and outer space for strings; lists and objects arrive as JSON and differ if their texts do.
+    and outer space for strings; lists and objects arrive as JSON and are compared member by member by the same rules.
     """
     keep = lambda df, n: df.where(~F.col("field").isin(*IGNORED_FIELDS)).select(key, "pos", "field", F.col("type").alias(f"t{n}"), F.col("value").alias(f"v{n}"))
     both = keep(old, 0).join(keep(new, 1), [key, "pos", "field"], "full_outer")
@@ -62,6 +95,9 @@ def field_changes(old: DataFrame, new: DataFrame, key: str, tolerance: float = 0
     x, y = F.col("v0").try_cast("double"), F.col("v1").try_cast("double")
     close = F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-10)) <= tolerance
     equal = (F.col("v0") == F.col("v1")) | F.when(numeric, F.coalesce(close, F.lit(False))).when(F.col("t0") == "str", F.lower(F.trim("v0")) == F.lower(F.trim("v1"))).otherwise(F.lit(False))
+    if nested:  # a column of its own: only such tables need Python
+        both = both.withColumn("__same", nested_equal(tolerance)(F.when(F.col("t0").isin("list", "dict"), F.col("v0")), F.when(F.col("t0").isin("list", "dict"), F.col("v1"))))
+        equal = equal | F.col("t0").isin("list", "dict") & F.col("__same")
     change = F.when(F.col("t0").isNull(), "added").when(F.col("t1").isNull(), "removed").when(F.col("t0") != F.col("t1"), "type_changed").when(~equal, "modified").otherwise("unchanged")
     names = F.lower("field")
     has = lambda words: F.rlike(names, F.lit("|".join(words)))
@@ -124,6 +160,52 @@ def structural_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.LongType())
+def perceptual_hash(pixels: pd.Series) -> pd.Series:
+    """64 bits of a grey 32 x 32 picture (array of 1,024): which of its 8 x 8 lowest frequencies exceed their median, the lowest first; null for other sizes."""
+    k, n = np.arange(8)[:, None], np.arange(32)[None, :]
+    waves = np.cos(np.pi * k * (2 * n + 1) / 64)
+
+    def one(x) -> int | None:
+        if x is None or len(x) != 1024:
+            return None
+        low = waves @ np.asarray(x, dtype=float).reshape(32, 32) @ waves.T
+        bits = (low > np.median(low)).ravel()
+        return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+
+    return pd.Series([one(x) for x in pixels], dtype="Int64")
+
+
+def perceptual_similarity(a: Column, b: Column) -> Column:
+    """Share of equal bits of two perceptual hashes."""
+    return 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0
+
+
+def windowed_similarity(width: int, window: int = 7):
+    """SSIM of two grey pictures of some width: the mean over all windows inside, with sample covariances; -1 where sizes differ or no window fits."""
+
+    def means(x: np.ndarray) -> np.ndarray:
+        s = np.pad(x.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+        return (s[window:, window:] - s[:-window, window:] - s[window:, :-window] + s[:-window, :-window]) / window**2
+
+    @F.pandas_udf(T.DoubleType())
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+        sample = window**2 / (window**2 - 1)
+
+        def one(x, y) -> float:
+            if x is None or y is None or len(x) != len(y) or len(x) % width or min(width, len(x) // width) < window:
+                return -1.0
+            x, y = (np.asarray(v, dtype=float).reshape(-1, width) for v in (x, y))
+            mx, my = means(x), means(y)
+            vx, vy, vxy = sample * (means(x * x) - mx * mx), sample * (means(y * y) - my * my), sample * (means(x * y) - mx * my)
+            return float(((2 * mx * my + c1) * (2 * vxy + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+    return similarity
+
+
 def visual_similarity(hash_score: Column, ssim: Column) -> Column:
     """0.3 of the hash's and 0.7 of the structural similarity; the hash's alone where the other is negative."""
     return F.when(ssim < 0, hash_score).otherwise(0.3 * hash_score + 0.7 * ssim)

@@ -33,6 +33,13 @@ def field_completeness(metrics: DataFrame, keys: list[str], order: list, fields:
     return found.withColumn("value", F.when(F.col("samples") >= MIN_SAMPLES, F.col("value")).otherwise(0)).withColumn("triggered", F.col("value") >= DROPPED_FIELDS)
 
 
+def recent_hashes(metrics: DataFrame, keys: list[str], order: list[str], n: int = 10) -> DataFrame:
+    """keys and the content hashes of the last n records of each, the latest first."""
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    rows = metrics.select(*keys, "content_hash", back.alias("back")).where(F.col("back") <= n)
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("back", "content_hash"))), lambda x: x["content_hash"]).alias("hashes"))
+
+
 def content_similarity(metrics: DataFrame, keys: list[str], order: list, content_hash: str = "content_hash") -> DataFrame:
     """The latest record against the one before: 1 if their contents agree, else 0.5; triggered under SIMILARITY."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])

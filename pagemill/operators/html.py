@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import strip_currency, strip_whitespace
+from ..functions import strip_currency, strip_whitespace, unescaped
 from ..sources import materialised
 
 # What pruning removes by tag, role, class or id, and style; what it may remove if empty.
@@ -265,7 +265,7 @@ def relevant_blocks(blocks: DataFrame, query: str, key: str = "page_id", k: int
 
 
 def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3, shortest: int = 20, deepest: int = 10) -> DataFrame:
-    """Structures that recur on a page: key, structure, count, first_pre, sample (500 characters of the first).
+    """Structures that recur on a page: key, structure, count, first_pre, sample (500 characters of the first), place (the most frequent first).
 
     A structure is the hash of the tags of a subtree, nested as they are, and of the depth it lies at.
     """
@@ -276,42 +276,170 @@ def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3
     both = texts.join(shapes, [key, "pre"]).join(tops.select(key, "pre", "depth"), [key, "pre"])
     structure = F.substring(F.md5(F.concat_ws(":", "depth", "shape")), 1, 12).alias("structure")
     found = both.groupBy(key, structure).agg(F.count(F.lit(1)).alias("count"), F.min("pre").alias("first_pre"), F.substring(F.min_by("text", "pre"), 1, 500).alias("sample"))
-    return found.where(F.col("count") >= least)
-
-
-STEP = re.compile(r"\s*([>+]?)\s*((?:[\w*-]+)?(?:[.#][\w-]+|\[[^\]]+\])*)")
-PART = re.compile(r"([.#])([\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]")
+    return found.where(F.col("count") >= least).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "first_pre")))
+
+
+NAME = r"[\w-]+"
+#: One piece of a compound CSS selector, and one predicate of an XPath step.
+PIECE = re.compile(
+    rf"""(?P<tag>^(?:\*|{NAME}))|\.(?P<cls>{NAME})|\#(?P<id>{NAME})|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[\w.-]+))\s*)?\]|:(?P<pseudo>{NAME})(?:\(\s*(?P<arg>[^()]*?)\s*\))?""",
+    re.X,
+)
+PREDICATE = re.compile(
+    r"""\[\s*(?:(?P<n>\d+)|(?P<last>last\(\))|(?P<has>@[\w:-]+)|(?P<left>@[\w:-]+|text\(\)|\.)\s*=\s*(?P<q>["'])(?P<value>.*?)(?P=q)|contains\(\s*(?P<part>@[\w:-]+|text\(\)|\.)\s*,\s*(?P<r>["'])(?P<piece>.*?)(?P=r)\s*\))\s*\]"""
+)
+RELATIONS = {" ": "inside", ">": "child", "+": "next", "~": "later"}
+
+
+def _tokens(selector: str, pattern: str) -> list[str]:
+    """selector cut at the matches of pattern outside brackets and quotes; the matches are kept."""
+    out, held, depth, quote, at = [], "", 0, "", 0
+    cut = re.compile(pattern)
+    while at < len(selector):
+        c = selector[at]
+        m = None if depth or quote else cut.match(selector, at)
+        if m:
+            out += [held, m[0]]
+            held, at = "", m.end()
+            continue
+        quote = "" if c == quote else quote or (c if c in "\"'" else "")
+        depth += 0 if quote else (c in "[(") - (c in "])")
+        held, at = held + c, at + 1
+    return [*out, held]
+
+
+def _nth(argument: str) -> Column:
+    """Whether a node's place among its siblings is one that `argument` (n, odd, even, an+b) names."""
+    text = {"odd": "2n+1", "even": "2n"}.get(argument.replace(" ", ""), argument.replace(" ", ""))
+    m = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?|(\d+)", text)
+    if not m:
+        raise ValueError(f"not understood: :nth-child({argument})")
+    place = F.col("sib") + 1
+    if m[3]:
+        return place == int(m[3])
+    step, first = int(m[1] + "1") if m[1] in ("", "+", "-") else int(m[1]), int(m[2] or 0)
+    return place == first if step == 0 else (F.pmod(place - first, F.lit(abs(step))) == 0) & (place >= first if step > 0 else place <= first)
+
+
+def _compound(text: str) -> Column:
+    """What a compound CSS selector asks of a node."""
+    keep, at = F.lit(True), 0
+    while at < len(text):
+        m = PIECE.match(text, at)
+        if not m or m.end() == at:
+            raise ValueError(f"not understood: {text[at:]!r} in a selector")
+        g, at = m.groupdict(), m.end()
+        if g["tag"] is not None:
+            keep = keep if g["tag"] == "*" else keep & (F.col("tag") == g["tag"].lower())
+        elif g["cls"] is not None:
+            keep = keep & F.array_contains(F.split(attribute("class"), r"\s+"), g["cls"])
+        elif g["id"] is not None:
+            keep = keep & (attribute("id") == g["id"])
+        elif g["attr"] is not None:
+            value, held, has = next((g[v] for v in ("v1", "v2", "v3") if g[v] is not None), None), attribute(g["attr"]), F.map_contains_key("attrs", g["attr"])
+            tests = {None: has, "=": has & (held == value), "^=": F.startswith(held, F.lit(value)), "$=": F.endswith(held, F.lit(value)), "*=": F.contains(held, F.lit(value))}
+            tests |= {"~=": F.array_contains(F.split(held, r"\s+"), value), "|=": has & ((held == value) | F.startswith(held, F.lit(f"{value}-")))}
+            keep = keep & tests[g["op"]] & F.lit(value != "" or g["op"] in (None, "=", "|="))
+        elif g["pseudo"] in ("first-child", "last-child", "only-child") and g["arg"] is None:
+            first, last = F.col("sib") == 0, F.col("__last")
+            keep = keep & {"first-child": first, "last-child": last, "only-child": first & last}[g["pseudo"]]
+        elif g["pseudo"] == "nth-child" and g["arg"] is not None:
+            keep = keep & _nth(g["arg"])
+        elif g["pseudo"] == "not" and g["arg"]:
+            keep = keep & ~_compound(g["arg"])
+        else:
+            raise ValueError(f"not understood: :{g['pseudo']} in a selector")
+    return keep
+
+
+def _css(selector: str) -> list[list[tuple[str, Column]]]:
+    """Alternatives, each a chain of (relation to the step before, condition)."""
+    chains = []
+    for alternative in _tokens(selector, r"\s*,\s*")[::2]:
+        parts = _tokens(alternative.strip(), r"\s*[>+~]\s*|\s+")
+        if not all(parts[::2]):
+            raise ValueError(f"not understood: {alternative!r}")
+        relations = ["inside", *(RELATIONS[x.strip() or " "] for x in parts[1::2])]
+        chains.append([(r, _compound(c)) for r, c in zip(relations, parts[::2], strict=True)])
+    return chains
+
+
+def _xpath(path: str) -> list[tuple[str, Column]]:
+    """Steps of an XPath of /tag and //tag with predicates [n], [last()], [@a], [@a='v'], [text()='v'] and [contains(...)]."""
+    parts = _tokens(path, r"//?")
+    if parts[0] or not all(parts[2::2]):
+        raise ValueError(f"not understood: {path!r}")
+    chain = []
+    for number, (slash, step) in enumerate(zip(parts[1::2], parts[2::2], strict=True)):
+        name = re.match(rf"\*|{NAME}", step)
+        if not name:
+            raise ValueError(f"not understood: {step!r} in {path!r}")
+        keep, at, numbered = F.lit(True) if name[0] == "*" else F.col("tag") == name[0].lower(), name.end(), False
+        while at < len(step):
+            m = PREDICATE.match(step, at)
+            if not m or numbered or (m["n"] or m["last"]) and (name[0] == "*" or at > name.end()):
+                raise ValueError(f"not understood: {step[at:]!r} in {path!r}")
+            at = m.end()
+            of = lambda x: F.col("own_text") if x in ("text()", ".") else attribute(x[1:])
+            numbered = bool(m["n"] or m["last"])
+            if m["n"]:
+                keep = keep & (F.col("__nth") == int(m["n"]))
+            elif m["last"]:
+                keep = keep & F.col("__last_of_tag")
+            elif m["has"]:
+                keep = keep & F.map_contains_key("attrs", m["has"][1:])
+            elif m["left"]:
+                keep = keep & (of(m["left"]) == m["value"])
+            else:
+                keep = keep & F.contains(of(m["part"]), F.lit(m["piece"]))
+        chain.append(("inside" if slash == "//" else "child" if number else "root", keep))
+    return chain
 
 
 def selected(all_nodes: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
-    """The nodes a CSS selector (tag, .class, #id, [attr], descendant, > child, + next) or an XPath of //tag steps names."""
-    if selector.startswith(("/", "(")):
-        selector = re.sub(r"^\(?/+", "", selector).rstrip(")")
-        selector = re.sub(r"//", " ", selector)
-        selector = re.sub(r"/", " > ", selector)
-        selector = re.sub(r"\[@([\w-]+)=(['\"])(.*?)\2\]", r"[\1=\3]", selector)
-        selector = re.sub(r"\[@([\w-]+)\]", r"[\1]", selector)
-    found: DataFrame | None = None
-    for relation, compound in (m.groups() for m in STEP.finditer(selector) if m[2]):
-        tag = re.match(r"[\w*-]+", compound)
-        keep = F.lit(True)
-        if tag and tag[0] != "*":
-            keep = keep & (F.col("tag") == tag[0].lower())
-        for sign, name, attr, value in PART.findall(compound):
-            if sign == ".":
-                keep = keep & F.array_contains(F.split(attribute("class"), r"\s+"), name)
-            elif sign == "#":
-                keep = keep & (attribute("id") == name)
-            else:
-                keep = keep & (attribute(attr) == value if value else F.map_contains_key("attrs", attr))
-        now = all_nodes.where(keep)
-        if found is not None:
-            up = found.select(F.col(key).alias("__k"), F.col("pre").alias("__pre"), F.col("post").alias("__post"), F.col("parent").alias("__parent"), F.col("sib").alias("__sib"))
-            same = F.col(key) == F.col("__k")
-            link = {"": (F.col("pre") > F.col("__pre")) & (F.col("pre") <= F.col("__post")), ">": F.col("parent") == F.col("__pre"), "+": (F.col("parent") == F.col("__parent")) & (F.col("sib") == F.col("__sib") + 1)}[relation]
-            now = now.join(up, same & link, "left_semi")
-        found = now
-    return found if found is not None else all_nodes.limit(0)
+    """The nodes a CSS selector names, or an XPath if it begins with / or (.
+
+    CSS: lists, descendants, > + ~, tags, classes, ids, attributes with all operators, :first-child, :last-child,
+    :only-child, :nth-child() and :not(). XPath: see _xpath, and (path)[n] for the n-th in the page. Anything else raises a
+    ValueError; nothing is passed over.
+    """
+    place = None
+    if whole := re.fullmatch(r"\((.*)\)(?:\[(\d+)\])?", selector.strip(), re.S):
+        selector, place = whole[1], whole[2] and int(whole[2])
+    chains = [_xpath(selector.strip())] if selector.strip().startswith("/") else _css(selector)
+    siblings, same_tag = Window.partitionBy(key, "parent").orderBy("pre"), Window.partitionBy(key, "parent", "tag").orderBy("pre")
+    marks = {"__last": (r"(last|only)-child", F.lead("pre").over(siblings).isNull()), "__nth": (r"\[\s*\d", F.row_number().over(same_tag)), "__last_of_tag": (r"last\(", F.lead("pre").over(same_tag).isNull())}
+    marked = all_nodes.withColumns({n: v for n, (sign, v) in marks.items() if re.search(sign, selector)})
+    found = None
+    for chain in chains:
+        hits = None
+        for relation, keep in chain:
+            now = marked.where(keep & (F.col("parent") == -1) if relation == "root" else keep)
+            if hits is not None:
+                up = hits.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in ("pre", "post", "parent", "sib")])
+                brother = F.col("parent") == F.col("__parent")
+                link = {
+                    "inside": (F.col("pre") > F.col("__pre")) & (F.col("pre") <= F.col("__post")), "child": F.col("parent") == F.col("__pre"),
+                    "next": brother & (F.col("sib") == F.col("__sib") + 1), "later": brother & (F.col("sib") > F.col("__sib")),
+                }[relation]
+                now = now.join(up, (F.col(key) == F.col("__k")) & link, "left_semi")
+            hits = now
+        hits = hits.select(*all_nodes.columns)
+        found = hits if found is None else found.unionByName(hits).dropDuplicates([key, "pre"])
+    if place:
+        found = found.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy("pre"))).where(F.col("__place") == place).drop("__place")
+    return found
+
+
+def subtree_html(all_nodes: DataFrame, key: str = "page_id", tops: Column | DataFrame | None = None) -> DataFrame:
+    """key, pre and the markup, written anew, of the subtrees of `tops`, with the text that follows them."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    pairs = F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), F.replace(safe(e["value"]), F.lit('"'), F.lit("&quot;")), F.lit('"')))
+    opens = F.concat(F.lit("<"), "tag", F.array_join(pairs, ""), F.lit(">"), safe(F.col("own_text")))
+    end = F.when(F.col("tag").isin(*VOID), "").otherwise(F.concat(F.lit("</"), "tag", F.lit(">")))
+    closes = F.concat(end, safe(F.col("tail_text")))
+    inside = _slices(all_nodes, key, tops, opens, closes)
+    return inside.join(all_nodes.select(key, "pre", closes.alias("__end")), [key, "pre"]).select(key, "pre", F.concat("text", "__end").alias("text"))
 
 
 @F.pandas_udf(T.StringType())
@@ -320,13 +448,18 @@ def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
 
 
 def extract_field(all_nodes: DataFrame, selector: str, kind: str = "text", attr: str | None = None, transform: str | None = None, multiple: bool = False, urls: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """key and value: the first element's text or attribute, or all of them as an array without empty ones.
+    """key and value: the first element's text, html or attribute (kind), or all of them as an array without empty ones.
 
     transform: strip_currency, strip_whitespace, parse_date (trims), or to_absolute_url, for which urls has key and url.
     Pages without a match are absent; join from the pages to give them null.
     """
     hits = selected(all_nodes, selector, key)
-    values = hits.select(key, "pre", F.element_at("attrs", F.lit(attr)).alias("value")) if kind == "attribute" else subtree_text(all_nodes, key, hits).withColumnRenamed("text", "value")
+    if kind not in ("text", "html", "attribute"):
+        raise ValueError(f"not a kind of value: {kind!r}")
+    if kind == "attribute":
+        values = hits.select(key, "pre", F.element_at("attrs", F.lit(attr)).alias("value"))
+    else:
+        values = (subtree_html if kind == "html" else subtree_text)(all_nodes, key, hits).withColumnRenamed("text", "value")
     if transform == "to_absolute_url":
         values = values.join(urls.select(key, "url"), key).withColumn("value", absolute_url(F.col("url"), F.col("value")))
     elif transform:
@@ -449,13 +582,31 @@ def markdown(all_nodes: DataFrame, key: str = "page_id", citations: bool = True)
     return pages.mapInPandas(render, f"k {kind}, markdown string").withColumnRenamed("k", key)
 
 
+# The keys of page metadata and the names of the meta elements that hold them, the first found first.
+METADATA = {
+    "author": ("author", "article:author"), "date": ("article:published_time", "date", "dc.date"), "description": ("description", "og:description"),
+    "sitename": ("og:site_name",), "categories": ("article:section",), "tags": ("article:tag", "keywords"),
+}
+
+
 def metadata(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """title, lang, description, canonical from the head, by expressions; '' where absent."""
-    get = lambda p: F.trim(F.regexp_extract(F.col(html), p, 1))
-    return pages.select(
-        key, get(r"(?is)<title[^>]*>(.*?)</title>").alias("title"), get(r'(?is)<html[^>]*\blang="([^"]*)"').alias("lang"),
-        get(r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"').alias("description"), get(r'(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"').alias("canonical"),
-    )
+    """title, author, date, description, sitename, categories, tags, language and url from the head; '' where absent.
+
+    Attributes may come in any order, in either kind of quotes or in none; character references are resolved.
+    """
+    quoted = lambda tag, name, form: F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*{form}", 1), F.lit(""))
+    value = lambda tag, name: F.coalesce(*[quoted(tag, name, form) for form in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")])
+    every = lambda tag: F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
+    rows = pages.select(key, html, every("meta").alias("__meta"), every("link").alias("__link"))
+
+    def first(tags: str, name: str, wanted: str, content: str) -> Column:
+        return value(F.get(F.filter(tags, lambda t: F.rlike(t, F.lit(rf"""(?is)\b{name}\s*=\s*["']?{wanted}(?=["'\s/>])"""))), F.lit(0)), content)
+
+    found = {k: F.coalesce(*[F.nullif(first("__meta", "(?:name|property)", w.replace(".", r"\."), "content"), F.lit("")) for w in names]) for k, names in METADATA.items()}
+    found["title"] = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    found["language"] = value(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), "lang")
+    found["url"] = F.coalesce(F.nullif(first("__link", "rel", "canonical", "href"), F.lit("")), first("__meta", "property", "og:url", "content"))
+    return rows.select(key, *[F.trim(unescaped(F.coalesce(v, F.lit("")))).alias(k) for k, v in found.items()])
 
 
 def preprocess(pages: DataFrame, key: str = "page_id", html: str = "html", parsed: DataFrame | None = None) -> DataFrame:

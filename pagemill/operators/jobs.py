@@ -86,3 +86,9 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: s
     w = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(marks).withColumn("__value", F.last("__value", ignorenulls=True).over(w))
     return both.where("side = 1").select(key, F.col("at").alias(left_at), *columns, F.col("__value").alias(f"last_{value}"))
+
+
+def ordered_attempts(attempts: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """key and its attempts as an array of structs, the first first. An array holds one job's attempts."""
+    rows = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("attempts"))
+    return rows

@@ -111,3 +111,11 @@ def time_to_live(records: DataFrame, key: str, at: str, now: Column, seconds: in
     out = records.groupBy(key).agg(F.max(at).alias("last_at"), (F.count(F.lit(1)) - 1).alias("refreshes"))
     age = F.unix_timestamp(now) - F.unix_timestamp(F.col("last_at").cast("timestamp"))
     return out.withColumn("age", age).withColumn("expired", F.col("age") > seconds).withColumn("due", F.col("age") > 0.8 * seconds)
+
+
+def batches(rows: DataFrame, by: list[str], order: list[str], size: int = 100) -> DataFrame:
+    """Rows of a log as the batches an exporter sends: by, batch, n and rows (JSON, in order), at most `size` rows each."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    numbered = rows.withColumn("batch", F.floor((place - 1) / size).cast("int")).withColumn("__json", F.to_json(F.struct(*rows.columns)))
+    out = numbered.groupBy(*by, "batch").agg(F.array_sort(F.collect_list(F.struct(*order, "__json"))).alias("r"))
+    return out.select(*by, "batch", F.size("r").alias("n"), F.transform("r", lambda x: x["__json"]).alias("rows"))

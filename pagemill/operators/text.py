@@ -91,3 +91,20 @@ def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.groupBy(F.sha2(F.col(text), 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_key")).where("n > 1")
 
 
+def tfidf_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, most_terms: int = 5000, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """keys and similarity: the cosine of the two texts' tf-idf vectors, fitted on the two alone.
+
+    Terms are runs of two or more letters, digits or underscores in lower case, without stop words (a list of the
+    caller's); of a pair's terms the most_terms most frequent count, ties by code point. idf = ln(3 / (1 + texts with the
+    term)) + 1. Pairs without a term in either text have 0. Terms are counted for each pair in Spark.
+    """
+    side = lambda c, n: pairs.select(*keys, F.explode(F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"), F.lit(n).alias("second"))
+    terms = side(a, 0).union(side(b, 1))
+    terms = terms.where(~F.col("term").isin(*stop_words)) if stop_words else terms
+    counts = terms.groupBy(*keys, "term").agg(F.sum(1 - F.col("second")).alias("x"), F.sum("second").alias("y"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy((F.col("x") + F.col("y")).desc(), "term"))
+    idf = F.log(3.0 / (1 + F.when((F.col("x") > 0) & (F.col("y") > 0), 2).otherwise(1))) + 1
+    kept = counts.withColumn("place", place).where(F.col("place") <= most_terms).select(*keys, (F.col("x") * idf).alias("x"), (F.col("y") * idf).alias("y"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))
+    scores = kept.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), norm), F.lit(0.0)).alias("__s"))
+    return pairs.select(*keys).join(scores, keys, "left").select(*keys, F.least(F.lit(1.0), F.coalesce("__s", F.lit(0.0))).alias("similarity"))

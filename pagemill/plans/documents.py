@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clean_markdown, cosine, domain_of, fenced_json, is_empty, strip_currency, strip_whitespace
+from ..functions import clean_markdown, confidence, cosine, domain_of, fenced_json, is_empty, strip_currency, strip_whitespace
 from ..operators import change, chunk, classify, discover, drift, geometry, html, merge, routing, state, text
 from ..sources import MODELS_SQL, materialised, models, prices, table
 
@@ -99,11 +99,6 @@ def navigation_links(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id").join(links, "page_id", "left").select("page_id", F.coalesce(F.size("value"), F.lit(0)).alias("n"))
 
 
-@query("""SELECT page_id, TRIM(REGEXP_EXTRACT(html, '<title[^>]*>(.*?)</title>', 1, 's')) AS title, REGEXP_EXTRACT(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, '' AS description, '' AS canonical FROM pages""")
-def page_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return html.metadata(table(spark, d, "pages"))
-
-
 def node_table(spark: SparkSession, d: str, pruned: bool = False) -> DataFrame:
     """The pages' nodes as a table: parsed once, read by every step."""
     rows = materialised(html.nodes(table(spark, d, "pages")), "nodes")
@@ -126,6 +121,23 @@ MARKED_UP = f"REGEXP_REPLACE(REGEXP_REPLACE({MARKED_UP}, '<h1>', {BREAKS} || '#
 MARKED_UP = TRIMMED.format(f"REGEXP_REPLACE(REGEXP_REPLACE({_resolved(BARE.format(MARKED_UP))}, '(?m)^ +| +$', '', 'g'), '\\n{{3,}}', {BREAKS}, 'g')")
 
 
+@query(f"""SELECT page_id, TRIM({_resolved("REGEXP_EXTRACT(html, '<title[^>]*>(.*?)</title>', 1, 's')")}) AS title, REGEXP_EXTRACT(html, '<html[^>]*lang="([^"]*)"', 1) AS language,
+  '' AS author, '' AS date, '' AS description, '' AS sitename, '' AS categories, '' AS tags, '' AS url FROM pages""")
+def page_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return html.metadata(table(spark, d, "pages"))
+
+
+# Synthetic: meta elements with attributes in either order and either kind of quotes.
+
+
+@query("SELECT page_id, 'P' || page_id AS author, 'S ' || page_id % 5 AS sitename, 'http://c/' || page_id AS url FROM pages")
+def page_authors(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<meta content="P'), i, F.lit("\" name=\"author\"><meta property='og:site_name' content='S "), (F.col("page_id") % 5).cast("string"), F.lit("'><link href=\"http://c/"), i, F.lit('" rel="canonical"><title>'))
+    pages = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<title>"), head))
+    return html.metadata(pages).select("page_id", "author", "sitename", "url")
+
+
 @query(f"SELECT page_id, {TRIMMED.format(_resolved(BARE.format(LEFT)))} AS text FROM pages")
 def pruned_text(spark: SparkSession, d: str) -> DataFrame:
     return html.page_text(html.prune(node_table(spark, d)))
@@ -350,14 +362,14 @@ def entities(spark: SparkSession, d: str, side: int, gap: int) -> DataFrame:
 
 @query(ENTITY_DIFF + " SELECT * FROM e")
 def entity_diff(spark: SparkSession, d: str) -> DataFrame:
-    return change.field_changes(entities(spark, d, 0, 0), entities(spark, d, 1, 3), "conv_id")
+    return change.field_changes(entities(spark, d, 0, 0), entities(spark, d, 1, 3), "conv_id", nested=False)
 
 
 @query(ENTITY_DIFF + """, f AS (SELECT conv_id, field, COUNT(*) FILTER (WHERE change = 'unchanged') AS same, COUNT(*) FILTER (WHERE change = 'added') AS added, COUNT(*) FILTER (WHERE change = 'removed') AS removed, COUNT(*) FILTER (WHERE change IN ('modified', 'type_changed')) AS changed FROM e GROUP BY ALL),
   t AS (SELECT conv_id, SUM(CASE WHEN added + removed + changed = 0 THEN same ELSE 0 END) AS unchanged, SUM(changed) AS changed, SUM(added) AS added, SUM(removed) AS removed FROM f GROUP BY 1)
   SELECT *, COALESCE(unchanged / NULLIF(unchanged + changed + added + removed, 0)::DOUBLE, 1.0) AS similarity FROM t""")
 def entity_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return change.entity_similarity(change.field_changes(entities(spark, d, 0, 0), entities(spark, d, 1, 3), "conv_id"), "conv_id")
+    return change.entity_similarity(change.field_changes(entities(spark, d, 0, 0), entities(spark, d, 1, 3), "conv_id", nested=False), "conv_id")
 
 
 @query("""SELECT user_id, COUNT(*) AS samples, COUNT(*) FILTER (WHERE event_type = 'error') AS failures, COUNT(*) FILTER (WHERE event_type = 'error') / COUNT(*)::DOUBLE AS value,
@@ -616,3 +628,92 @@ def tier_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(BUCKET)
 def token_bucket_replay(spark: SparkSession, d: str) -> DataFrame:
     return state.token_bucket(_outcomes(spark, d), "user_id", "ts", ["event_id"], rate=0.0001, burst=3).withColumn("tokens", F.round("tokens", 6))
+
+
+@query("""WITH p AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+  t AS (SELECT conv_id, turn, term, SUM(1 - second) AS x, SUM(second) AS y FROM (SELECT conv_id, turn, UNNEST(REGEXP_EXTRACT_ALL(LOWER(a), '[\\p{L}\\p{N}_]{2,}')) AS term, 0 AS second FROM p
+    UNION ALL SELECT conv_id, turn, UNNEST(REGEXP_EXTRACT_ALL(LOWER(b), '[\\p{L}\\p{N}_]{2,}')), 1 FROM p) GROUP BY ALL),
+  w AS (SELECT conv_id, turn, x * i AS x, y * i AS y FROM (SELECT *, LN(3.0 / (CASE WHEN x > 0 AND y > 0 THEN 3 ELSE 2 END)) + 1 AS i, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY x + y DESC, term) AS place FROM t) WHERE place <= 5000),
+  s AS (SELECT conv_id, turn, SUM(x * y) / NULLIF(SQRT(SUM(x * x)) * SQRT(SUM(y * y)), 0) AS s FROM w GROUP BY ALL)
+  SELECT p.conv_id, p.turn, ROUND(LEAST(1.0, COALESCE(s, 0.0)), 9) AS similarity FROM p LEFT JOIN s USING (conv_id, turn)""")
+def tfidf_similarity(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    pairs = c.select("conv_id", "turn", F.col("text").alias("a")).join(after, ["conv_id", "turn"])
+    return text.tfidf_similarity(pairs, ["conv_id", "turn"], "a", "b").withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""WITH i AS (SELECT page_id, REGEXP_EXTRACT_ALL(html, '<li><a href="([^"]*)">', 1) AS links FROM pages)
+  SELECT page_id, links[1] AS first, links[LEN(links)] AS last, links[2] AS second, LEN(links) + 1 AS listed, REGEXP_EXTRACT(html, '<h1>([^<]*)</h1>', 1) = TRIM(REGEXP_EXTRACT(html, '<h1>([^<]*)</h1>', 1)) AS plain FROM i JOIN pages USING (page_id) WHERE LEN(links) > 1""")
+def selector_positions(spark: SparkSession, d: str) -> DataFrame:
+    rows = node_table(spark, d)
+    link = lambda selector, name, **k: html.extract_field(rows, selector, kind="attribute", attr="href", **k).withColumnRenamed("value", name)
+    out = link("nav li:first-child > a", "first").join(link("//nav//li[last()]/a", "last"), "page_id").join(link("nav li:nth-child(2) a", "second"), "page_id")
+    listed = html.selected(rows, "nav li a[href], h1").groupBy("page_id").agg(F.count(F.lit(1)).alias("listed"))
+    title = html.extract_field(rows, "head ~ body h1", kind="text").select("page_id", "value")
+    raw = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    plain = title.join(raw, "page_id").select("page_id", (F.col("h1") == F.trim("h1")).alias("plain"))
+    return out.join(listed, "page_id").join(plain, "page_id")
+
+
+@query("SELECT page_id, REGEXP_EXTRACT(html, '<h1>[^<]*</h1>') AS head FROM pages")
+def heading_markup(spark: SparkSession, d: str) -> DataFrame:
+    return html.extract_field(node_table(spark, d), "h1", kind="html").withColumn("head", F.replace("value", F.lit('"'), F.lit("&quot;"))).select("page_id", "head")
+
+
+@query("SELECT p_partkey, CAST((p_size <> 3)::INT + 1 + (p_size % 4 <> 0)::INT AS DOUBLE) / 3 AS confidence, CASE WHEN p_size % 3 < p_size % 2 THEN 'second' ELSE 'first' END AS chosen, ((p_size <> 3)::INT + 1 + (p_size % 4 <> 0)::INT) / 3.0::DOUBLE < 0.5 AS vision, CASE p_size % 4 WHEN 0 THEN 0.005 WHEN 1 THEN 0.004 WHEN 2 THEN 0.001 ELSE 0.003 END::DOUBLE AS usd FROM part")
+def extraction_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence, the better of two attempts, the need for a picture model, and what a challenge costs."""
+    size = F.col("p_size")
+    values = [F.when(size == 3, "N/A").otherwise("x"), F.lit("unknown"), F.when(size % 4 == 0, F.lit(None).cast("string")).otherwise("y")]
+    kind = F.get(F.array(*[F.lit(x) for x in ("funcaptcha", "geetest", "text_math", "other")]), (size % 4).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", confidence(values).alias("confidence"), routing.reattempt(size % 2, size % 3, F.lit("first"), F.lit("second")).alias("chosen"), routing.challenge_cost(kind).alias("usd"))
+    return rows.withColumn("vision", routing.needs_vision(F.col("confidence")))
+
+
+@query(f"SELECT page_id, n, label FROM (SELECT page_id, n, {LABEL} AS label, n % 10 / 10.0::DOUBLE AS confidence FROM (SELECT page_id, n, y / h::DOUBLE AS ry, x / w::DOUBLE AS rx, width / w::DOUBLE AS rw, height / h::DOUBLE AS rh, width / height::DOUBLE AS a FROM ({BOXES}))) WHERE confidence >= 0.3 AND label NOT IN ('nav_item', 'header', 'footer', 'sidebar', 'advertisement', 'breadcrumb', 'pagination')")
+def content_boxes(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    labelled = boxes(spark, d).withColumn("label", geometry.box_label(c("x"), c("y"), c("width"), c("height"), c("w"), c("h"))).withColumn("confidence", c("n") % 10 / 10.0)
+    return geometry.content_only(labelled).select("page_id", "n", "label")
+
+
+@query("SELECT p_partkey, p_size AS size, CASE WHEN p_size % 2 = 0 THEN p_size / 2.0::DOUBLE END AS half, CAST(NULL AS BOOLEAN) AS missing, p_brand AS brand FROM part")
+def enforced_schema(spark: SparkSession, d: str) -> DataFrame:
+    half = F.when(F.col("p_size") % 2 == 0, (F.col("p_size") / 2).cast("string")).otherwise("odd")
+    rows = table(spark, d, "part").select("p_partkey", F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("half"), half, F.lit("brand"), F.col("p_brand")).alias("v"))
+    return merge.enforce_schema(rows, {"size": "int", "half": "double", "missing": "boolean", "brand": "string"}, "p_partkey", "v")
+
+
+# Synthetic: an embedding as a picture of 8 x 8 pixels.
+@query("""WITH e AS (SELECT vec_id, LIST_TRANSFORM(embedding, lambda v: ROUND(128 + 100 * v::DOUBLE)) AS p FROM embeddings), h AS (SELECT vec_id, LIST_TRANSFORM(p, lambda v: v > LIST_SUM(p) / 64) AS bits FROM e)
+  SELECT a.vec_id, LEN(LIST_FILTER(RANGE(1, 65), lambda i: a.bits[i] = b.bits[i])) / 64.0::DOUBLE AS similarity FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""")
+def picture_similarity(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(128 + 100 * v.cast("double"))).alias("p"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
+    return e.join(after, "vec_id").select("vec_id", change.hash_similarity(F.col("p"), F.col("q")).alias("similarity"))
+
+
+HISTORY = "SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS version, 'f' || p_size % 5 AS f, CASE WHEN p_size % 2 = 0 THEN 'int' ELSE 'str' END AS kind FROM part"
+
+
+def schema_versions(spark: SparkSession, d: str) -> DataFrame:
+    schema = F.create_map(F.concat(F.lit("f"), (F.col("p_size") % 5).cast("string")), F.lit("str"), F.lit("id"), F.when(F.col("p_size") % 2 == 0, "int").otherwise("str"))
+    rows = table(spark, d, "part").select("p_brand", "p_partkey", schema.alias("schema_data"), F.lit("edit").alias("change_type"))
+    return drift.versions(rows, ["p_brand"], ["p_partkey"])
+
+
+@query(f"SELECT p_brand, STRING_AGG('v' || version || ' [edit] ' || p_partkey || ': ' || f || ', id', CHR(10) ORDER BY version) AS timeline FROM ({HISTORY}) GROUP BY 1")
+def schema_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return drift.timeline(schema_versions(spark, d), ["p_brand"], "p_partkey")
+
+
+@query(f"""WITH h AS ({HISTORY}), b AS (SELECT p_brand, version, p_partkey, f, kind, 'edit' AS change_type FROM h UNION ALL SELECT p_brand, (SELECT MAX(version) FROM h x WHERE x.p_brand = h.p_brand) + 1, p_partkey, f, kind, 'rollback' FROM h WHERE version = 2)
+  SELECT p_brand, version, p_partkey, change_type, SUBSTR(SHA256(f || '=str,id=' || kind), 1, 16) AS hash FROM b""")
+def schema_rollback(spark: SparkSession, d: str) -> DataFrame:
+    return drift.rollback(schema_versions(spark, d), ["p_brand"], 2).select("p_brand", "version", "p_partkey", "change_type", "hash")
+
+
+@query("SELECT user_id, STRING_AGG(SHA256(event_type), ',' ORDER BY back) AS hashes FROM (SELECT user_id, event_type, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 10 GROUP BY 1")
+def recent_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return drift.recent_hashes(_metrics(spark, d), ["user_id"], ["ts", "event_id"]).select("user_id", F.array_join("hashes", ",").alias("hashes"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..functions import backoff_seconds, domain_of, http_class
+from ..functions import backoff_seconds, domain_of, http_class, netloc, png_size
 from ..operators import analytics, jobs, telemetry
-from ..sources import EXTRACTION_RESULTS_SQL, extraction_results, parse_reference, register, table
+from ..sources import EXTRACTION_RESULTS_SQL, STORED, extraction_results, load_json, load_records, parse_reference, register, shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -355,3 +357,50 @@ def window_functions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("c_custkey")
     moving = F.sum("o_totalprice").over(w.orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0))
     return rows.select("c_custkey", "o_orderkey", F.rank().over(w.orderBy("o_totalprice")).alias("r"), F.dense_rank().over(w.orderBy("o_totalprice")).alias("dr"), F.ntile(4).over(w.orderBy("o_totalprice", "o_orderkey")).alias("q"), moving.alias("moving"))
+
+
+@query("SELECT region_key, name FROM (SELECT r_regionkey AS region_key, r_name AS name FROM region)")
+def json_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read back under a name."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    STORED.append(path)
+    table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("region_key"), F.col("r_name").alias("name")).write.json(path)
+    return load_json(spark, "regions_as_json", path, "region_key long, name string")
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (CAST(2 AS BIGINT), NULL)) AS t(id, name)")
+def records_scan(spark: SparkSession, d: str) -> DataFrame:
+    return load_records(spark, "records", [{"id": 1, "name": "a"}, {"id": 2, "name": None}], "id long, name string")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = (SELECT MIN(o_orderkey) FROM orders)")
+def job_get(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return jobs.get(orders, o_orderkey=orders.agg(F.min("o_orderkey")).first()[0])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1920 ELSE 100 + p_size END AS width, CASE WHEN p_partkey % 3 = 0 THEN 1080 ELSE p_size * 300 END AS height FROM part")
+def png_sizes(spark: SparkSession, d: str) -> DataFrame:
+    word = lambda c: F.lpad(F.hex(c), 8, "0")
+    head = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(100 + F.col("p_size")), word(F.col("p_size") * 300)))
+    size = png_size(F.when(F.col("p_partkey") % 3 == 0, F.lit("no picture").cast("binary")).otherwise(head))
+    return table(spark, d, "part").select("p_partkey", size.alias("s")).select("p_partkey", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
+
+
+@query("SELECT l_orderkey, STRING_AGG(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_shipdate, l_linenumber) AS attempts FROM lineitem GROUP BY 1")
+def attempts_in_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = jobs.ordered_attempts(table(spark, d, "lineitem"), "l_orderkey", ["l_shipdate", "l_linenumber"], ["l_returnflag"])
+    return rows.select("l_orderkey", F.array_join(F.transform("attempts", lambda a: F.concat(a["l_linenumber"].cast("string"), F.lit(":"), a["l_returnflag"])), ",").alias("attempts"))
+
+
+@query("SELECT event_type, CAST(FLOOR((r - 1) / 100) AS INT) AS batch, COUNT(*) AS n, MIN(event_id) AS least FROM (SELECT event_type, event_id, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) GROUP BY 1, 2")
+def export_batches(spark: SparkSession, d: str) -> DataFrame:
+    rows = telemetry.batches(table(spark, d, "events").select("event_type", "ts", "event_id"), ["event_type"], ["ts", "event_id"])
+    least = F.array_min(F.transform("rows", lambda r: F.get_json_object(r, "$.event_id").cast("long")))
+    return rows.select("event_type", "batch", "n", least.alias("least"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN REGEXP_EXTRACT(url, '^https?://([^/]+)', 1) WHEN 1 THEN 'me@h:21' ELSE '' END AS netloc FROM pages")
+def netlocs(spark: SparkSession, d: str) -> DataFrame:
+    url = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, "ftp://me@h:21?x=/").otherwise("mailto:a@b")
+    return table(spark, d, "pages").select("page_id", netloc(url).alias("netloc"))

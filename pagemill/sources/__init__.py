@@ -109,6 +109,18 @@ def forget(spark: SparkSession, since: int = 0) -> None:
     del STORED[since:]
 
 
+def store_blobs(rows: DataFrame, path: str, ref: str = "ref", content: str = "content") -> None:
+    """Payloads (screenshots, markup) as a table of ref and content that resolve_references() joins: many small blobs in few files."""
+    rows.select(F.col(ref).alias("ref"), F.col(content).cast("binary").alias("content")).write.mode("append").parquet(path)
+
+
+def store_results(rows: DataFrame, path: str, key: str = "job_id") -> DataFrame:
+    """Extraction results as JSON payloads under a reference each, stored as blobs; returns rows with result_ref."""
+    refs = rows.withColumn("result_ref", F.concat(F.lit("minio://extraction-results/results/"), F.col(key).cast("string"), F.lit(".json")))
+    store_blobs(refs.select(F.col("result_ref").alias("ref"), F.to_json(F.struct(*rows.columns)).alias("content")), path)
+    return refs
+
+
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     """A parquet table in folders by some columns, one file a folder and task group."""
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -90,3 +90,105 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
         session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
         with pytest.raises(ValueError, match="shared|share"):
             sources.shared_folder(session)
+
+
+TREE = "<body><div id=a class='x y'><p>one</p><p data-k='v-1'>two</p><h2>t</h2><p>three</p></div><div><p>four <i>i</i> &lt;</p><img src=s><ul><li>1<li>2<li>3<li>4</ul></div></body>"
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return html.nodes(spark.createDataFrame([(1, TREE), (2, "<p>alone</p>")], "page_id long, html string")).cache()
+
+
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [
+        ("p, h2", ["one", "two", "t", "three", "four i <", "alone"]), ("h2, p:first-child", ["one", "t", "four i <", "alone"]), ("p ~ p", ["two", "three"]), ("h2 ~ p", ["three"]), ("p + h2", ["t"]),
+        ("li:nth-child(odd)", ["1", "3"]), ("li:nth-child(2n)", ["2", "4"]), ("li:nth-child(3)", ["3"]), ("li:nth-child(-n+2)", ["1", "2"]), ("li:last-child", ["4"]), ("div.x.y > p:not([data-k])", ["one", "three"]),
+        ("[data-k^=v]", ["two"]), ("[data-k$='1']", ["two"]), ("p[data-k*='-']", ["two"]), ("[class~=y] h2", ["t"]), ("[data-k|=v]", ["two"]), ("#a > p:last-child", ["three"]), ("i:only-child", ["i"]),
+        ("//div/p[1]", ["one", "four i <"]), ("//p[2]", ["two"]), ("//li[last()]", ["4"]), ("//p[@data-k='v-1']", ["two"]), ("//p[contains(@data-k, 'v')]", ["two"]), ("//p[text()='three']", ["three"]), ("//p[contains(text(), 'our')]", ["four i <"]),
+        ("(//p)[2]", ["two"]), ("/p", ["alone"]), ("/body//li[3]", ["3"]), ("//div[@id]/h2", ["t"]), ("p, p, #a p", ["one", "two", "three", "four i <", "alone"]),
+    ],
+)
+def test_selectors(tree, selector, want):
+    hits = html.selected(tree, selector)
+    got = html.subtree_text(tree, "page_id", hits).orderBy("page_id", "pre").collect()
+    assert [r.text for r in got] == want
+
+
+@pytest.mark.parametrize("selector", ["p:hover", "p >", "> p", "p,,q", "p{", "li:nth-child(x)", "//p[position() > 1]", "//p/text()", "//p/@id", "p/../q", "", "a:has(b)", "//*[1]", "[a=", "p::before"])
+def test_unknown_selectors_are_errors(tree, selector):
+    with pytest.raises(ValueError, match="not understood"):
+        html.selected(tree, selector)
+
+
+def test_markup_of_elements(tree):
+    got = html.extract_field(tree, "div:last-child > p, ul", kind="html", multiple=True).collect()
+    assert [r.value for r in got] == [["<p>four <i>i</i> &lt;</p>", "<ul><li>1</li><li>2</li><li>3</li><li>4</li></ul>"]]
+    with pytest.raises(ValueError, match="kind"):
+        html.extract_field(tree, "p", kind="table")
+
+
+def test_pictures_against_loops(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 256, (9, 12)).astype(float), rng.integers(0, 256, (9, 12)).astype(float)
+    values = []
+    for i in range(9 - 6):
+        for j in range(12 - 6):
+            x, y = a[i : i + 7, j : j + 7].ravel(), b[i : i + 7, j : j + 7].ravel()
+            c = np.cov(x, y)
+            values.append((2 * x.mean() * y.mean() + 6.5025) * (2 * c[0, 1] + 58.5225) / ((x.mean() ** 2 + y.mean() ** 2 + 6.5025) * (c[0, 0] + c[1, 1] + 58.5225)))
+    df = spark.createDataFrame([(a.ravel().tolist(), b.ravel().tolist()), (a.ravel().tolist(), a.ravel().tolist()), ([1.0], [1.0]), (None, [1.0])], "a array<double>, b array<double>")
+    got = [r.s for r in df.select(change.windowed_similarity(12)("a", "b").alias("s")).collect()]
+    assert got[0] == pytest.approx(np.mean(values)) and got[1:] == [pytest.approx(1.0), -1.0, -1.0]
+    picture = rng.integers(0, 256, (32, 32)).astype(float)
+    waves = [[sum(picture[y, x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+    middle = np.median(waves)
+    want = sum(1 << (8 * u + v) for u in range(8) for v in range(8) if waves[u][v] > middle)
+    rows = spark.createDataFrame([(picture.ravel().tolist(), (255 - picture).ravel().tolist())], "a array<double>, b array<double>").select(change.perceptual_hash("a").alias("a"), change.perceptual_hash("b").alias("b"))
+    r = rows.select("a", change.perceptual_similarity(F.col("a"), F.col("a")).alias("same"), change.perceptual_similarity(F.col("a"), F.col("b")).alias("s")).first()
+    assert r.a & (2**64 - 1) == want and r.same == 1.0 and r.s < 0.2
+
+
+def test_nested_values(spark):
+    rows = [("[1, 2.005]", "[1.0, 2]", True), ('{"a": [" X "], "b": 1}', '{"b": 1.001, "a": ["x"]}', True), ("[1]", "[1, 2]", False), ('{"a": 1}', '{"b": 1}', False), ('["x"]', "[1]", False), ("[null]", "[null]", True), ("{bad", "{bad", True), ("{bad", "[]", False), ("[" * 3000 + "]" * 3000, "[" * 2999 + "]" * 2999, False)]
+    kinds = lambda i: spark.createDataFrame([(1, n, "f", "list" if r[0][0] == "[" else "dict", r[i]) for n, r in enumerate(rows[:8])], "k int, pos int, field string, type string, value string")
+    same = change.field_changes(kinds(0), kinds(1).withColumn("type", F.when(F.col("pos").isin(1, 3, 6), "dict").when(F.col("pos") == 7, "dict").otherwise("list")), "k").collect()
+    assert {r.pos: r.change == "unchanged" for r in same} == {n: r[2] for n, r in enumerate(rows[:8])}
+
+
+def test_tfidf_against_loops(spark):
+    import re
+
+    texts = [("The cat sat on the mat", "the cat sat, on a mat!"), ("one two", "three four"), ("", "x"), ("same words same", "same words same"), ("a b c", "é è")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "k int, a string, b string")
+    from pagemill.operators import text as T
+
+    got = {r.k: r.similarity for r in T.tfidf_similarity(df, ["k"], "a", "b", stop_words=("on",)).collect()}
+    for i, pair in enumerate(texts):
+        x, y = (Counter(w for w in re.findall(r"\w\w+", t.lower()) if w != "on") for t in pair)
+        idf = {w: math.log(3 / (1 + (w in x) + (w in y))) + 1 for w in {*x, *y}}
+        norm = math.sqrt(sum((x[w] * v) ** 2 for w, v in idf.items())) * math.sqrt(sum((y[w] * v) ** 2 for w, v in idf.items()))
+        assert got[i] == pytest.approx(sum(x[w] * y[w] * v * v for w, v in idf.items()) / norm if norm else 0.0)
+
+
+def test_results_are_stored_under_references(spark, tmp_path):
+    from pagemill import sources
+
+    rows = spark.createDataFrame([("j1", 0.5), ("j2", None)], "job_id string, confidence double")
+    refs = sources.store_results(rows, str(tmp_path / "blobs"))
+    sources.store_blobs(spark.createDataFrame([("minio://shots/j1.png", b"\x89PNG")], "ref string, content binary"), str(tmp_path / "blobs"))
+    blobs = spark.read.parquet(str(tmp_path / "blobs"))
+    found = {r.job_id: bytes(r.content).decode() for r in sources.resolve_references(refs, blobs, "result_ref").collect()}
+    assert found == {"j1": '{"job_id":"j1","confidence":0.5}', "j2": '{"job_id":"j2"}'} and blobs.count() == 3
+    assert sources.read_blobs(spark, str(tmp_path / "blobs"), "*.parquet").count() > 0
+
+
+def test_metadata_in_any_order(spark):
+    page = """<html class="x" lang='de'><head><title>A &amp; B</title><meta content="Me &mdash; you" name="author"><meta property='article:published_time' content='2024-01-02'>
+    <META NAME="Keywords" CONTENT="k, l"><meta name=description content="d"><link href="http://c/x" rel="canonical"><meta property="og:description" content="og"></head></html>"""
+    r = html.metadata(spark.createDataFrame([(1, page), (2, "<p>"), (3, None)], "page_id long, html string")).orderBy("page_id").collect()
+    assert (r[0].title, r[0].author, r[0].description, r[0].date, r[0].tags, r[0].language, r[0].url, r[0].sitename) == ("A & B", "Me \u2014 you", "d", "2024-01-02", "k, l", "de", "http://c/x", "")
+    assert all(v == "" for v in list(r[1])[1:]) and all(v == "" for v in list(r[2])[1:])
