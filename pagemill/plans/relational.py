@@ -387,7 +387,7 @@ def png_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", size.alias("s")).select("p_partkey", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
 
 
-@query("SELECT l_orderkey, STRING_AGG(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_shipdate, l_linenumber) AS attempts FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, STRING_AGG(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_shipdate, l_linenumber, l_returnflag) AS attempts FROM lineitem GROUP BY 1")
 def attempts_in_order(spark: SparkSession, d: str) -> DataFrame:
     rows = jobs.ordered_attempts(table(spark, d, "lineitem"), "l_orderkey", ["l_shipdate", "l_linenumber"], ["l_returnflag"])
     return rows.select("l_orderkey", F.array_join(F.transform("attempts", lambda a: F.concat(a["l_linenumber"].cast("string"), F.lit(":"), a["l_returnflag"])), ",").alias("attempts"))
