@@ -35,7 +35,10 @@ CURRENT = 3
 
 
 def repeated_words(words: Column) -> Column:
-    """The number of positions that lie in a window of three words found at least twice (windows compared by 64-bit hash)."""
+    """The number of positions that lie in a window of three words found at least twice.
+
+    Windows whose 64-bit hashes all differ all differ; where some agree, windows are ordered and compared by their words too.
+    """
 
     def windows(w: Column) -> Column:
         return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
@@ -44,15 +47,18 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)
 
     def places(ranked: Column) -> Column:
-        alike = lambda e, o: F.coalesce(e["h"] == o["h"], F.lit(False))
+        alike = lambda e, o: F.coalesce((e["h"] == o["h"]) & (e["w"] == o["w"]), F.lit(False))
         kept = F.transform(ranked, lambda e, i: F.when(alike(e, F.get(ranked, i - 1)) | alike(e, F.get(ranked, i + 1)), e["i"]))
         return F.sort_array(F.array_compact(kept))
 
-    def count(h: Column) -> Column:
-        ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(ranked, places), covered))
+    def count(w: Column) -> Column:
+        def of(h: Column) -> Column:
+            named = F.transform(h, lambda x, i: F.struct(x.alias("h"), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(F.sort_array(named), places), covered))
+
+        return let(windows(w), of)
 
-    return let(let(words, windows), count)
+    return let(words, count)
 
 
 def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
