@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder
-from .textfeat import Words, sample_by, short_enough, tables, words_of
+from .textfeat import Words, sample_by, short_enough, tables
 
 BITS, WIDTH, FILTERS, SPANS, PREFIXES = 16, 12, 12, (1, 2, 3), (4, 5)
 #: Bounds of the training sample: rows of each label and in all; epochs and rows in a step; the part kept to calibrate.
@@ -89,6 +89,11 @@ def train(texts: list[str], labels: list[int], languages: list[str | None], odds
         model.bias = 10.0 if set(labels) == {1} else -10.0
         model.out[:] = 0
         return model
+    hashed: list[np.ndarray] = []  # each text's features, hashed once
+    for lo, hi, words in tables(texts):
+        starts, n = words.text_spans()
+        both = np.stack(model.features(words)).astype(np.min_scalar_type((1 << BITS) - 1))
+        hashed += [both[:, starts[t] : starts[t] + n[t]].copy() for t in range(hi - lo)]
     squares = [np.full(t.shape, 1e-3, dtype=np.float32) for t in model.tables]
     f2, b2 = [np.full(f.shape, 1e-3) for f in model.filters], [np.full(FILTERS, 1e-3) for _ in SPANS]
     o2, c2, rate = np.full(model.out.shape, 1e-3), 1e-3, 0.05
@@ -96,15 +101,14 @@ def train(texts: list[str], labels: list[int], languages: list[str | None], odds
     for _ in range(epochs):
         for lo in range(0, len(learn), STEP):
             rows = rng.permutation(learn)[:STEP] if lo + STEP > len(learn) else learn[lo : lo + STEP]
-            words = words_of([texts[i] for i in rows])
-            starts, n = words.text_spans()
-            some = np.flatnonzero(n)
+            n = np.array([hashed[i].shape[1] for i in rows])
+            starts, some = np.cumsum(n) - n, np.flatnonzero(n)
             if not len(some):
                 continue
-            features = model.features(words)
+            features = list(np.concatenate([hashed[i] for i in rows], axis=1).astype(np.int64))
             x = model.embed(features)
             pooled, places = np.zeros((len(rows), len(model.out))), np.zeros((len(rows), len(model.out)), dtype=np.int64)
-            for i, r in enumerate(model.responses(x, words.text)):
+            for i, r in enumerate(model.responses(x, np.repeat(np.arange(len(rows)), n))):
                 for t in some:
                     block = r[starts[t] : starts[t] + n[t]]
                     at = block.argmax(axis=0)
