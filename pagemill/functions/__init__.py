@@ -52,9 +52,14 @@ def token_estimate(text: Column, chars_per_token: float = 4.0) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """The set of n-character substrings."""
-    last = F.greatest(F.length(text) - n + 1, F.lit(0))
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """The set of n-character substrings, from the text's characters, which are told apart once: linear in the text."""
+
+    def of(chars: Column) -> Column:
+        last = F.size(chars) - n + 1
+        windows = F.transform(F.slice(chars, 1, F.greatest(last, F.lit(1))), lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+        return F.when(last > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -103,10 +103,10 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def forget(spark: SparkSession, since: int = 0) -> None:
-    """Remove what materialised() has stored from number `since` on; tables read from there can no longer be read."""
-    remove(spark, STORED[since:])
-    del STORED[since:]
+def forget(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Remove what materialised() has stored from number `since` on, up to but not including number `upto`; tables read from there can no longer be read."""
+    remove(spark, STORED[since:upto])
+    del STORED[since:upto]
 
 
 def store_blobs(rows: DataFrame, path: str, ref: str = "ref", content: str = "content") -> None:

@@ -192,3 +192,21 @@ def test_metadata_in_any_order(spark):
     r = html.metadata(spark.createDataFrame([(1, page), (2, "<p>"), (3, None)], "page_id long, html string")).orderBy("page_id").collect()
     assert (r[0].title, r[0].author, r[0].description, r[0].date, r[0].tags, r[0].language, r[0].url, r[0].sitename) == ("A & B", "Me \u2014 you", "d", "2024-01-02", "k, l", "de", "http://c/x", "")
     assert all(v == "" for v in list(r[1])[1:]) and all(v == "" for v in list(r[2])[1:])
+
+
+def test_grams_are_of_characters(spark):
+    from pagemill import functions as fn
+
+    texts = ["", "a", "ab", "abc", "aaaa", "añ日😀b😀", "x" * 2000, None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fn.grams(F.col("t"), 3).alias("g"), fn.grams(F.col("t"), 2).alias("h")).collect()
+    for r in got:
+        t = texts[r.i] or ""
+        assert sorted(r.g) == sorted({t[k : k + 3] for k in range(len(t) - 2)}) and sorted(r.h) == sorted({t[k : k + 2] for k in range(len(t) - 1)})
+
+
+def test_jobs_by_status_and_key(spark):
+    from pagemill.operators import jobs
+
+    rows = spark.createDataFrame([(1, "queued"), (2, "failed"), (3, "queued")], "job_id int, status string")
+    assert jobs.get(rows, job_id=2).first().status == "failed" and jobs.get(rows, job_id=9).count() == 0
+    assert {r.job_id for r in jobs.by_status(rows, "queued").collect()} == {1, 3}
