@@ -148,8 +148,9 @@ def _slices(all_nodes: DataFrame, key: str, tops: Column | DataFrame | None, ope
     rows = all_nodes.select(key, F.explode(ends).alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("ends"))
 
     def places(ends: Column, opening: bool) -> Column:
+        """The tops' places among the ends, in the order of the nodes, which is that of their openings."""
         of = F.filter(F.transform(ends, lambda e, i: F.struct(e["pre"].alias("pre"), i.alias("i"), (e["top"] & (e["opening"] == opening)).alias("ok"))), lambda e: e["ok"])
-        return F.array_sort(of)
+        return of if opening else F.array_sort(of)
 
     def texts(ends: Column) -> Column:
         joined = lambda pieces, s: F.array_join(F.slice(pieces, s["o"]["i"] + 1, s["c"]["i"] - s["o"]["i"]), "")
@@ -164,13 +165,14 @@ def subtree_text(all_nodes: DataFrame, key: str = "page_id", tops: Column | Data
     return _slices(all_nodes, key, tops, F.col("own_text"), F.col("tail_text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
-def subtree_sums(all_nodes: DataFrame, values: dict[str, Column], key: str = "page_id") -> DataFrame:
-    """key, pre and for each value its sum over the node's descendants, by running sums in the order of opening and closing."""
+def subtree_sums(all_nodes: DataFrame, values: dict[str, Column], key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, pre and for each value its sum over the node's descendants, by running sums in the order of opening and closing; and the node's own `carry` columns."""
     ends = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("n"), F.lit(True).alias("opening")), F.struct(F.col("post").alias("at"), (1_000_001 - F.col("depth")).alias("n"), F.lit(False).alias("opening")))
-    rows = all_nodes.select(key, "pre", *[v.alias(n) for n, v in values.items()], F.explode(ends).alias("p")).select("*", "p.*").drop("p")
+    rows = all_nodes.select(key, "pre", *[v.alias(n) for n, v in values.items()], *carry, F.explode(ends).alias("p")).select("*", "p.*").drop("p")
     so_far = Window.partitionBy(key).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({n: F.sum(F.when(F.col("opening"), F.col(n)).otherwise(0)).over(so_far) for n in values})
-    return rows.groupBy(key, "pre").agg(*[(F.max(F.when(~F.col("opening"), F.col(n))) - F.max(F.when(F.col("opening"), F.col(n)))).alias(n) for n in values])
+    sums = [(F.max(F.when(~F.col("opening"), F.col(n))) - F.max(F.when(F.col("opening"), F.col(n)))).alias(n) for n in values]
+    return rows.groupBy(key, "pre").agg(*sums, *[F.first(c).alias(c) for c in carry])
 
 
 def without(all_nodes: DataFrame, doomed: Column, key: str = "page_id") -> DataFrame:
@@ -223,12 +225,11 @@ def scored_blocks(all_nodes: DataFrame, key: str = "page_id", shortest: int = 25
     Half the share of text in markup, less 0.3 of the share of text in links, plus bonuses for tag and length, within 0 and 1.
     """
     scored = F.col("tag").isin(*SCORED_TAGS)
-    tops = all_nodes.where(scored)
-    texts = subtree_text(all_nodes, key, scored).where(F.length("text") >= shortest).withColumn("n_chars", F.length("text"))
-    links = subtree_text(all_nodes, key, F.col("tag") == "a").select(key, "pre", F.length("text").alias("linked"))
-    measured = all_nodes.join(links, [key, "pre"], "left")
-    sums = subtree_sums(measured, {"linked": F.coalesce(F.col("linked"), F.lit(0)), "inner": F.col("size") + F.length("own_text") + F.length("tail_text")}, key)
-    both = texts.join(sums, [key, "pre"]).join(tops.select(key, "pre", "tag", (F.col("size") + F.length("own_text")).alias("outer")), [key, "pre"])
+    texts = subtree_text(all_nodes, key, scored | (F.col("tag") == "a")).withColumn("n_chars", F.length("text"))
+    measured = all_nodes.join(texts, [key, "pre"], "left").withColumn("outer", F.col("size") + F.length("own_text"))
+    linked = F.when(F.col("tag") == "a", F.col("n_chars")).otherwise(0)
+    both = subtree_sums(measured, {"linked": linked, "inner": F.col("outer") + F.length("tail_text")}, key, ("tag", "text", "n_chars", "outer"))
+    both = both.where(scored & (F.col("n_chars") >= shortest))
     both = both.withColumn("markup", F.col("inner") + F.col("outer"))
     density = F.col("linked") / F.greatest(F.col("n_chars"), F.lit(1))
     bonus = F.when(F.col("tag").isin("article", "main"), 0.25).when(F.col("tag").isin("p", "blockquote"), 0.15).when(F.col("tag").isin("h1", "h2", "h3"), 0.10).otherwise(0.0)
