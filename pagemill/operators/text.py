@@ -61,12 +61,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     raw = df.where("word IS NOT NULL").crossJoin(F.broadcast(stats)).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of statistics
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("word", "mean", F.when(F.col("raw") < 0, floor * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    wanted = asked.select("word").distinct().join(idf, "word")
-    tf = base.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(wanted, "word")
-    tf = tf.groupBy("word", key, "n", "mean", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    hit = tf.join(asked, "word")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scored = hit.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    wanted = materialised(asked.select("word").distinct().join(idf, "word"), "asked-words")
+    tf = base.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(wanted.select("word"), "word", "left_semi")
+    tf = tf.groupBy("word", key, "n").agg(F.count(F.lit(1)).alias("tf"))
+    # A word's part in a document is computed once, not once a query.
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    weighed = tf.join(wanted, "word").select("word", key, part.alias("part"))
+    scored = weighed.join(asked, "word").groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("part")).alias("score"))
     place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key))
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
