@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import backoff_seconds, domain_of, http_class, netloc, png_size
 from ..operators import analytics, jobs, telemetry
-from ..sources import EXTRACTION_RESULTS_SQL, STORED, extraction_results, load_json, load_records, parse_reference, register, shared_folder, table
+from ..sources import EXTRACTION_RESULTS_SQL, extraction_results, fresh_folder, load_json, load_records, parse_reference, register, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -362,8 +361,7 @@ def window_functions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT region_key, name FROM (SELECT r_regionkey AS region_key, r_name AS name FROM region)")
 def json_scan(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as JSON lines and read back under a name."""
-    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
-    STORED.append(path)
+    path = fresh_folder(spark, "json")
     table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("region_key"), F.col("r_name").alias("name")).write.json(path)
     return load_json(spark, "regions_as_json", path, "region_key long, name string")
 

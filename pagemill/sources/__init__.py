@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,17 +85,35 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders that this process has written, oldest first.
+#: Folders that this process has written, oldest first; and the lists of those who asked, in this thread, for what is written meanwhile.
 STORED: list[str] = []
+_RECORDERS: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back. The folder stays until forget() or the caller removes it."""
-    spark = df.sparkSession
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The folders written inside the block, by this thread alone: what discard() may remove without touching another run's tables."""
+    paths: list[str] = []
+    token = _RECORDERS.set((*_RECORDERS.get(), paths))
+    try:
+        yield paths
+    finally:
+        _RECORDERS.reset(token)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    STORED.append(path)
+    for paths in (STORED, *_RECORDERS.get()):
+        paths.append(path)
+    return path
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back. The folder stays until discard(), forget() or the caller removes it."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -103,10 +124,17 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that recording() has named; tables read from there can no longer be read."""
+    remove(spark, paths)
+    for path in paths:
+        if path in STORED:
+            STORED.remove(path)
+
+
 def forget(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
-    """Remove what materialised() has stored from number `since` on, up to but not including number `upto`; tables read from there can no longer be read."""
-    remove(spark, STORED[since:upto])
-    del STORED[since:upto]
+    """Remove what this process has stored from number `since` on, up to but not including number `upto`; for a process with one run at a time."""
+    discard(spark, STORED[since:upto])
 
 
 def store_blobs(rows: DataFrame, path: str, ref: str = "ref", content: str = "content") -> None:

@@ -80,6 +80,33 @@ def test_stored_folders_can_be_removed(spark, tmp_path):
     assert not path.exists() and len(sources.STORED) == before
 
 
+def test_runs_in_two_threads_discard_their_own_tables_only(spark):
+    from threading import Barrier, Thread
+
+    from pagemill import sources
+
+    meet, made = Barrier(2), {}
+
+    def run(name):
+        with sources.recording() as paths:
+            sources.materialised(spark.range(3), name)
+            meet.wait()  # both have stored: places in one common list would be mixed
+            with sources.recording() as inner:
+                sources.materialised(spark.range(4), name)
+            made[name] = (list(paths), list(inner))
+        meet.wait()
+        if name == "a":
+            sources.discard(spark, paths)
+
+    threads = [Thread(target=run, args=(n,)) for n in "ab"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [len(x) for n in "ab" for x in made[n]] == [2, 1, 2, 1] and made["a"][0][1:] == made["a"][1]
+    assert not set(made["a"][0]) & (set(sources.STORED) | set(made["b"][0])) and set(made["b"][0]) <= set(sources.STORED)
+    assert [spark.read.parquet(p).count() for p in made["b"][0]] == [3, 4]
+    sources.discard(spark, made["b"][0])
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     from types import SimpleNamespace
 
