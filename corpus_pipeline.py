@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm import language_id, mixing, packing, quality_model, simhash
 from pagemill.llm.common import read_table, stored
-from pagemill.sources import STORED, forget
+from pagemill.sources import discard, recording
 
 #: A document goes if its language is unknown, or if no language has this share of its words' marginals and its words
 #: are not this far from unknown words in certainty either.
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn. What a stage has stored besides its rows, and the rows of the stage before it, go once its own are written."""
-    docs, since = read_table(spark, sf_dir, "documents"), len(STORED)
+    docs, rows = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        forget(spark, since, len(STORED) - 1)
+        with recording() as made:
+            found = stage(spark, docs, sf_dir)
+            with recording() as written:
+                docs = stored(found, name)
+        discard(spark, rows + [p for p in made if p not in written])
+        rows = written
     return STAGES[-1][1](spark, docs, sf_dir)

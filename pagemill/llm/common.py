@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import STORED, materialised, shared_folder
+from ..sources import fresh_folder, materialised, shared_folder
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,10 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder there; sources.forget() removes it with the others."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    STORED.append(path)
-    return path
+    """A new folder there; sources.discard() removes it with the others."""
+    return fresh_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

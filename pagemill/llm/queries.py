@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, mixing, multi_index, packing, quality_model, quality_rules, simhash, toxicity, warc
+from . import delta_lloyd, html_extract, language_id, mixing, multi_index, packed_ids, packing, phrase_tries, quality_model, quality_rules, simhash, toxicity, warc
 from .common import fold_remainder, read_table
 
 
@@ -63,6 +63,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.encode(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_tries.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = packed_ids.write_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packed_ids.TOKENIZER))
+    return packed_ids.read_ids(manifest)
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
@@ -74,6 +87,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_delta_lloyd": op11_delta_lloyd,
+    "op12_phrase_tries": op12_phrase_tries,
+    "op13_packed_ids": op13_packed_ids,
 }
 
 #: DuckDB SQL where it can express the operator.
@@ -81,4 +97,6 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op11_delta_lloyd": delta_lloyd.ORACLE,
+    "op12_phrase_tries": phrase_tries.ORACLE,
 }
