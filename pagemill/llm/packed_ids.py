@@ -31,7 +31,7 @@ from .common import fresh_path, stored
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Ids in a block; bytes of text that are encoded in one go; distinct word parts whose ids a task remembers.
-BLOCK_IDS, BYTES_AT_ONCE, REMEMBERED = 65_536, 8 << 20, 1_000_000
+BLOCK_IDS, BYTES_AT_ONCE, REMEMBERED = 65_536, 4 << 20, 1_000_000
 MAGIC, TAIL = b"IDBITS01", struct.Struct("<QQQQHI4x8s")  # index offset, ids, blocks, documents, bits, ids in a block
 #: The smallest document id stands for none; ids are not otherwise restricted.
 NO_ID = np.iinfo(np.int64).min
@@ -192,19 +192,20 @@ class PartEncoder:
             self.added = [t["content"].encode() for t in json.load(f)["added_tokens"]]
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.asarray(self.library.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
 
-    def parts(self, words: list[bytes]) -> list[np.ndarray]:
+    def parts(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each part, as little-endian 32-bit integers."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, words
         for lo in range(0, len(new), 10_000):
             some = new[lo : lo + 10_000]
             for word, found in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(found.ids, dtype="<u4")
+                self.known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
         return [self.known[w] for w in words]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -216,8 +217,8 @@ class PartEncoder:
             coded = words.dictionary_encode()
             found = self.parts(coded.dictionary.to_pylist())
             which = coded.indices.to_numpy()
-            sizes = np.array([len(f) for f in found] or [0], dtype=np.int64)
-            flat = np.concatenate(found) if found else np.empty(0, dtype="<u4")
+            sizes = np.array([len(f) // 4 for f in found] or [0], dtype=np.int64)
+            flat = np.frombuffer(b"".join(found), dtype="<u4")
             firsts, n = np.cumsum(sizes) - sizes, sizes[which] if len(which) else np.empty(0, dtype=np.int64)
             ends = np.cumsum(n)
             ids = flat[np.repeat(firsts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]

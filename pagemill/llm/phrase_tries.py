@@ -28,7 +28,7 @@ from .common import stored
 
 DEPTH, LEAST, TOP, MOST_INSIDE = 4, 30, 2000, 80
 #: Bytes of text in a shard; words in a prefix range, about, and ranges at most (then they grow instead).
-SHARD_BYTES, RANGE_WORDS, MOST_RANGES = 16 << 20, 1 << 20, 1_000_000
+SHARD_BYTES, RANGE_WORDS, MOST_RANGES = 8 << 20, 1 << 19, 1_000_000
 #: Paths drawn for each bound of a range, texts they are drawn from at most, and bytes looked at of each: they decide how even ranges are, and no result.
 DRAWN_PER_RANGE, SAMPLE_TEXTS, SAMPLE_BYTES = 64, 2000, 65_536
 #: Salts of a language while its first phrases are found.
