@@ -32,37 +32,47 @@ SCORED_TAGS = ("p", "article", "main", "section", "div", "td", "li", "blockquote
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that end where an element starts, and where the search for them stops.
-CLOSES = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select")}
+CLOSES = {
+    "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "option": (("option",), ("select",)),
+}
+P_STOPS = ("table", "td", "th", "button")
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 NODES = "pre int, post int, parent int, depth int, sib int, tag string, attrs map<string,string>, own_text string, tail_text string, size int"
 
 
 class _Builder(HTMLParser):
-    """Rows of the node relation in document order; void and implied ends as browsers have them."""
+    """Rows of the node relation in document order; void and implied ends as browsers have them.
+
+    Open elements are also kept by tag, so the innermost of some tags is found without walking through the others, and
+    texts are kept in pieces until the end: the time is linear in the markup, however deep or broken it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.depths: dict[str, list[int]] = {}  # by tag, where its open elements are among self.open
         self.children: list[int] = []
         self.last: int | None = None  # the node whose tail follows; None: text belongs to the open element
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
-            self._end({"p"}, {"table", "td", "th", "button"})
+            self._end(("p",), P_STOPS)
         if tag in CLOSES:
-            self._end(set(CLOSES[tag][0].split()), set(CLOSES[tag][1].split()))
+            self._end(*CLOSES[tag])
         parent = self.open[-1] if self.open else -1
         sib = self.children[parent] if parent >= 0 else 0
         if parent >= 0:
             self.children[parent] += 1
         at = len(self.rows)
-        self.rows.append([at, at, parent, len(self.open), sib, tag, {k: v or "" for k, v in attrs}, "", "", len(self.get_starttag_text() or "")])
+        self.rows.append([at, at, parent, len(self.open), sib, tag, {k: v or "" for k, v in attrs}, [], [], len(self.get_starttag_text() or "")])
         self.children.append(0)
         if tag in VOID:
             self.last = at
         else:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(at)
             self.last = None
 
@@ -71,38 +81,42 @@ class _Builder(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _end(self, tags: set[str], stops: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.rows[self.open[i]][5]
-            if name in tags:
-                return self._close(i)
-            if name in stops:
-                return None
-        return None
+    def _innermost(self, tags: tuple[str, ...]) -> int:
+        return max((places[-1] for t in tags if (places := self.depths.get(t))), default=-1)
+
+    def _end(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        """Close the innermost of `tags` and what is in it, unless one of `stops` lies between."""
+        at = self._innermost(tags)
+        if at >= 0 and at >= self._innermost(stops):
+            self._close(at)
 
     def _close(self, to: int) -> None:
         while len(self.open) > to:
             self.last = self.open.pop()
-            self.rows[self.last][1] = len(self.rows) - 1
-            self.rows[self.last][9] += len(self.rows[self.last][5]) + 3
+            row = self.rows[self.last]
+            row[1] = len(self.rows) - 1
+            row[9] += len(row[5]) + 3
+            self.depths[row[5]].pop()
 
     def handle_endtag(self, tag):
-        self._end({tag}, set())
+        self._end((tag,), ())
 
     def handle_data(self, data):
         if self.last is not None:
-            self.rows[self.last][8] += data
+            self.rows[self.last][8].append(data)
         elif self.open:
-            self.rows[self.open[-1]][7] += data
+            self.rows[self.open[-1]][7].append(data)
         elif self.rows or data.strip():  # text before the first element, in a node of its own
             at = len(self.rows)
-            self.rows.append([at, at, -1, 0, 0, "#text", {}, data, "", 0])
+            self.rows.append([at, at, -1, 0, 0, "#text", {}, [data], [], 0])
             self.children.append(0)
             self.last = at
 
     def done(self) -> list[list]:
         self.close()
         self._close(0)
+        for row in self.rows:
+            row[7], row[8] = "".join(row[7]), "".join(row[8])
         return self.rows
 
 

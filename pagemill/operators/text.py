@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +45,73 @@ def token_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, token_estimate(F.col(text)).alias("tokens"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, k: int = 10) -> DataFrame:
+#: Documents in a posting block, and in one of a small table; length classes at most; queries that share a copy of a block.
+BLOCK_DOCS, FEW_DOCS, CLASSES, QUERIES_AT_ONCE = 1024, 128, 64, 4096
+#: Blocks of each query, those with the highest bounds, that are searched before its threshold is known.
+SEED_BLOCKS = 3
+
+
+def best_of_block(words: dict[str, tuple[np.ndarray, np.ndarray]], asked: list[tuple[str, int]], docs: int, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Documents of a block that may be among a query's k best, their scores, and how many were scored of how many that share a word.
+
+    words: of each word its documents (numbers in the block, ascending) and its part in each. Words go by their largest
+    part in the block, largest first. Once what is left cannot lift a document that has none of the words so far to the
+    threshold, the rest is looked up for documents that may still reach it, and these get fewer with every word.
+    The threshold is the least score of a k best known so far; where there is none, k documents that lead after the first words set it.
+    """
+    terms = sorted(((n * max(0.0, float(words[w][1].max())), n, *words[w]) for w, n in asked if w in words), key=lambda t: -t[0])
+    left = np.append(np.cumsum([t[0] for t in terms][::-1])[::-1], 0.0)
+    score, seen, slack = np.zeros(docs), np.zeros(docs, dtype=bool), 1e-6
+
+    def add(chosen: np.ndarray, part: np.ndarray, term: tuple) -> np.ndarray:
+        at = np.minimum(np.searchsorted(term[2], chosen), len(term[2]) - 1)
+        return part + np.where(term[2][at] == chosen, term[1] * term[3][at], 0.0)
+
+    at, scored, ahead = 0, 0, threshold > -np.inf
+    while at < len(terms) and left[at] >= threshold - slack:
+        score[terms[at][2]] += terms[at][1] * terms[at][3]
+        seen[terms[at][2]] = True
+        at += 1
+        if not ahead and at < len(terms) and seen.sum() >= k and all(t[0] >= 0 and t[3].min() >= 0 for t in terms):
+            ahead = True
+            few = np.flatnonzero(seen)
+            few = few[np.argpartition(-score[few], k - 1)[:k]]
+            part = score[few]
+            for term in terms[at:]:
+                part = add(few, part, term)
+            scored += len(few)
+            threshold = max(threshold, float(part.min()))
+    chosen = np.flatnonzero(seen)
+    shared = seen.copy()
+    for term in terms[at:]:
+        shared[term[2]] = True
+    part = score[chosen]
+    for i in range(at, len(terms)):
+        ok = part + left[i] >= threshold - slack
+        chosen, part = chosen[ok], part[ok]
+        part = add(chosen, part, terms[i])
+    ok = part >= threshold - slack
+    return chosen[ok], part[ok], scored + len(chosen), int(shared.sum())
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, k: int = 10, work: list | None = None) -> DataFrame:
     """The k best documents of each query by Okapi BM25 on lower-case words: query_key, key, score, place.
 
     The inverse document frequency of a word in more than half of the documents is `floor` times the mean over the
     vocabulary, so every word's frequency is needed: the first pass counts them, and documents and words in all, before it
     shuffles, and its table, a row a word, is stored. The second keeps only words that a query asks for, by a join that
     Spark sends to all tasks while the asked words are small, so common words that nobody asks for are never shuffled.
+
+    These make an inverted index of posting blocks: documents of about one length share a block, so a word's largest part
+    in a block is a close bound of what it is worth there. A query first searches the blocks with the highest sums of
+    such bounds; its k-th best score is its threshold for the others, of which it meets only those whose sum reaches it.
+    Within a block best_of_block() scores the documents whose bound does. So no row stands for a query and a document
+    but for k of each block met. Documents that share key and length count as one; a null text is empty. work: takes, as a row, the pairs
+    scored, the pairs that share a word in the blocks met, the blocks met and all blocks with a word of the query.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     asked = queries.select(query_key, F.explode(words(F.col(query_text))).alias("word")).groupBy(query_key, "word").agg(F.count(F.lit(1)).alias("times"))
-    base = docs.select(key, words(F.col(text)).alias("w"))
+    base = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     # The row without a word stands for the document itself.
     seen = base.select(F.size("w").alias("n"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string")))).alias("word"))
     df = materialised(seen.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("words")), "word-counts")
@@ -62,14 +120,60 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("word", "mean", F.when(F.col("raw") < 0, floor * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     wanted = materialised(asked.select("word").distinct().join(idf, "word"), "asked-words")
+    lengths = base.agg(F.count(F.lit(1)).alias("docs"), F.percentile_approx(F.size("w"), [i / CLASSES for i in range(1, CLASSES)], 10_000).alias("cuts")).first()
+    number = max(1, min(CLASSES, lengths["docs"] // FEW_DOCS))
+    cuts = sorted({int(c) for i, c in enumerate(lengths["cuts"] or [], 1) if i * number % CLASSES < number}) or [0]
+    parts = max(1, -(-lengths["docs"] // (number * BLOCK_DOCS)))
+    length_class = sum(F.when(F.col("n") > c, 1).otherwise(0) for c in cuts)
     tf = base.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(wanted.select("word"), "word", "left_semi")
     tf = tf.groupBy("word", key, "n").agg(F.count(F.lit(1)).alias("tf"))
-    # A word's part in a document is computed once, not once a query.
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    weighed = tf.join(wanted, "word").select("word", key, part.alias("part"))
-    scored = weighed.join(asked, "word").groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("part")).alias("score"))
-    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    weighed = tf.join(wanted, "word").select("word", key, part.alias("part"), (length_class * parts + F.pmod(F.xxhash64(key, "n"), F.lit(parts))).cast("long").alias("block"))
+    index = weighed.groupBy("block", "word").agg(F.collect_list(F.struct(F.col(key).alias("key"), "part")).alias("postings"), F.greatest(F.max("part"), F.lit(0.0)).alias("top"))
+    index = materialised(index, "posting-blocks")  # a block's documents at most in a row
+
+    # The bound of each query in each block; a query's words as one row.
+    asks = materialised(asked.join(wanted.select("word"), "word").groupBy(query_key).agg(F.collect_list(F.struct("word", "times")).alias("asked")), "queries")
+    terms = asks.select(query_key, F.explode("asked").alias("a")).select(query_key, "a.word", "a.times")
+    bounds = index.select("block", "word", "top").join(terms, "word").groupBy(query_key, "block").agg(F.sum(F.col("times") * F.col("top")).alias("bound"))
+    bounds = materialised(bounds.withColumn("turn", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("bound"), "block"))), "block-bounds")
+    shards = max(1, -(-asks.count() // QUERIES_AT_ONCE))
+    key_kind, query_kind = docs.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    schema = f"q {query_kind}, key {key_kind}, score double, scored long, shared long"
+
+    def search(block: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        names = pd.factorize(pd.Series([p["key"] for ps in block["postings"] for p in ps], dtype=object), use_na_sentinel=False)
+        words, at = {}, 0
+        for word, ps in zip(block["word"], block["postings"], strict=True):
+            own = names[0][at : at + len(ps)]
+            order = np.argsort(own)
+            words[word] = (own[order], np.array([p["part"] for p in ps])[order])
+            at += len(ps)
+        out = []
+        for q, asked, threshold in zip(met["q"], met["asked"], met["threshold"], strict=True):
+            chosen, scores, scored, shared = best_of_block(words, [(a["word"], a["times"]) for a in asked], len(names[1]), k, threshold)
+            best = np.argsort(-np.round(scores, 9), kind="stable")
+            least = np.round(scores[best[k - 1]], 9) if len(best) >= k else -np.inf
+            out += [(q, names[1][chosen[i]], scores[i], 0, 0) for i in best if np.round(scores[i], 9) >= least]
+            out.append((q, None, None, scored, shared))
+        return pd.DataFrame(out, columns=["q", "key", "score", "scored", "shared"])
+
+    def searched(met: DataFrame, name: str) -> DataFrame:
+        """met: query_key, block and threshold."""
+        sent = met.join(asks, query_key).select(F.col(query_key).alias("q"), "block", "threshold", "asked", F.pmod(F.xxhash64(query_key), F.lit(shards)).alias("shard"))
+        copies = index.join(met.select("block").distinct(), "block", "left_semi").select("block", "word", "postings", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"))
+        return materialised(copies.groupBy("block", "shard").cogroup(sent.groupBy("block", "shard")).applyInPandas(search, schema), name)
+
+    place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "key"))
+    first = searched(bounds.where(F.col("turn") <= SEED_BLOCKS).withColumn("threshold", F.lit(float("-inf"))), "first-blocks")
+    known = first.where("score IS NOT NULL").withColumn("place", place("q")).where(F.col("place") == k).select(F.col("q").alias(query_key), F.col("score").alias("threshold"))
+    rest = bounds.where(F.col("turn") > SEED_BLOCKS).join(known, query_key, "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf"))))
+    found = first.union(searched(rest.where(F.col("bound") >= F.col("threshold") - 1e-6), "other-blocks"))
+    if work is not None:
+        met = found.where("score IS NULL").agg(F.sum("scored").alias("scored"), F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("met")).first()
+        work.append({**met.asDict(), "blocks": bounds.count()})
+    ranked = found.where("score IS NOT NULL").withColumn("place", place("q")).where(F.col("place") <= k)
+    return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "place")
 
 
 def text_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
