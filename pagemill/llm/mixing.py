@@ -10,7 +10,7 @@ their targets are dealt in one window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored, unused
@@ -42,6 +42,16 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max
     return t.select("src", "source", "source_size", target.alias("target"))
 
 
+def mixing_key(key: Column, text: Column, seed: str = SEED) -> Column:
+    """60 random bits of a row's id and text."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.floor(key / F.lit(float(16**15)) * buckets)
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -60,27 +70,26 @@ def mix_sources(
     size counts words (null text: 0). taken is the number of words the mix takes of the row, repeats counted; the row
     at the cut is taken in part, so the words taken of a source are exactly its target, rounded. passes is taken in
     whole copies, for mixes of whole documents: the row at the cut counts if at least half of it lies before the cut.
-    A null source is a source of its own; a null id is hashed as an empty text; rows that are alike in id and size
-    are ordered arbitrarily among themselves. An empty table gives an empty table. Other columns are ignored.
-    row_col: a column with a different long in every row. It is returned too and orders rows that are alike; rows
-    without an id are then hashed by their text, so that they are spread like others.
+    A null source is a source of its own. The key hashes id and text, so rows that share an id, or have none, are spread
+    like others as long as their texts differ; rows that are alike in both follow each other, ordered by row_col, or
+    arbitrarily. An empty table gives an empty table. Other columns are ignored.
+    row_col: a column with a different long in every row. It is returned too and orders rows that are alike.
     """
     source = F.col(source_col).cast("string")
-    nameless = F.concat(F.lit("\0"), F.xxhash64(text_col).cast("string")) if row_col else F.lit("")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), nameless)).cast("binary"))
+    key = mixing_key(F.col(id_col), F.col(text_col), seed)
     sizes = stored(
         docs.select(
             F.col(id_col).alias("id"),
             source.alias("source"),
             F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("src"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("key"),
+            key.alias("key"),
             *([F.col(row_col).alias("row")] if row_col else []),
         ),
         "mix-sizes",
     )
     buckets = max(1, -(-sizes.count() // rows_per_bucket))
-    sizes = sizes.withColumn("bucket", F.floor(F.col("key") / F.lit(float(16**15)) * buckets))
+    sizes = sizes.withColumn("bucket", bucket_of(F.col("key"), buckets))
     sums = sizes.groupBy("src", "source", "bucket").agg(F.sum("size").alias("bucket_size"), F.floor(F.first("bucket") / F.lit(buckets_per_group)).alias("part"))
     parts = sums.groupBy("src", "source", "part").agg(F.sum("bucket_size").alias("part_size"))
     totals = parts.groupBy("src", "source").agg(F.sum("part_size").alias("source_size"))
@@ -121,7 +130,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
          CAST(COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || SUBSTR(MD5('mix-1:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+         CAST('0x' || SUBSTR(MD5('mix-1:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(MD5(text), '')), 1, 15) AS BIGINT) AS key
   FROM documents),
 s AS (SELECT src, source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY src, source),
 r AS (SELECT *, CASE (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w,

@@ -70,3 +70,13 @@ def test_rows_without_an_id_or_with_a_common_one_are_mixed_one_by_one(spark):
     got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
     assert all(abs(got[s] - t) <= 7 for s, t in targets.items())  # whole rows, of 7 words at most
     assert mixed.groupBy("text").count().where("count > 2").count() == 0
+
+
+def test_rows_without_an_id_are_spread_over_buckets(spark, sql):
+    """With the query's settings: a third of the ids null, another third one id."""
+    docs = spark.range(30_000).selectExpr("CASE id % 3 WHEN 0 THEN id WHEN 1 THEN 7 END AS doc_id", "concat('word ', id) AS text", "'s' AS source")
+    buckets = -(-30_000 // M.ROWS_PER_BUCKET)
+    sizes = [r["count"] for r in docs.groupBy(M.bucket_of(M.mixing_key(F.col("doc_id"), F.col("text")), buckets).alias("b")).count().collect()]
+    assert len(sizes) == buckets and max(sizes) <= 4 * sorted(sizes)[buckets // 2]
+    rows = M.mix_sources(docs).agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).first()
+    assert rows.taken == int(rows.target + 0.5)
