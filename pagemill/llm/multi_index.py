@@ -5,7 +5,7 @@ cells. A query ranks the centroids of either half by distance and walks the pair
 a heap, until the cells it has named hold enough vectors; the entries of those cells are reranked by their exact
 inner products. Distance is what the search minimises, the negative inner product, so a pair's summed distance is that
 to the two centroids set side by side. The index is a table: every vector under its cell, cells cut into blocks of
-bounded size. Queries are sent to the blocks that hold their cells.
+bounded size. Queries are sent to the blocks that hold their cells, and there only the entries of those cells are scored.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors the codebooks are fitted on at most; Lloyd steps; rows in a block; queries that share one copy of a block.
-SAMPLE, STEPS, BLOCK_ROWS, QUERY_ROWS = 10_000, 12, 8192, 65_536
+#: Vectors the codebooks are fitted on at most; Lloyd steps; rows in a block.
+SAMPLE, STEPS, BLOCK_ROWS = 10_000, 12, 8192
 #: The share of all vectors that the cells of a query hold, at every number of vectors.
 PROBED = 0.45
 #: Centroids of each half at most; a walk visits up to their square in cells.
@@ -97,7 +97,7 @@ def nearest(
     probed: float = PROBED,
     book: int = BOOK,
     block_rows: int = BLOCK_ROWS,
-    query_rows: int = QUERY_ROWS,
+    work: list | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query among the other rows.
 
@@ -105,7 +105,8 @@ def nearest(
     rows without an id; ties go to the smaller vec_id. Rows that repeat an id are one candidate each for other ids, and
     none for their own; a query id that repeats asks with its smallest vector. A walk goes on until its cells hold k vectors
     besides the query even where the share is less. The codebooks are fitted on at most SAMPLE vectors; every vector is
-    indexed. Empty tables give an empty result; other columns are ignored.
+    indexed. Empty tables give an empty result; other columns are ignored. work: takes, as a row, the pairs scored, all
+    pairs, the visits of queries to blocks, and what they would be if each query met each block.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -145,17 +146,17 @@ def nearest(
     enough = max(k + 1, int(np.ceil(probed * total)))
     # The sample's vectors are entries too: the k-th best of those in a query's cells bounds what can be among its k nearest found.
     known = spark.sparkContext.broadcast((sample, sample_ids, codes(sample, books)))  # SAMPLE vectors at most
-    columns = ["block", "shard", "query", "id", "v", "cell", "reach", "bound"]
-    kinds = "block long, shard long, query boolean, id long, v array<double>, cell long, reach double, bound double"
+    columns = ["block", "query", "id", "v", "cell", "reach", "bound"]
+    kinds = "block long, query boolean, id long, v array<double>, cell long, reach double, bound double"
 
     def distances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return -(x[:, :half] @ books[0].T), -(x[:, half:] @ books[1].T)
 
-    def row_batch(block, shard, query, ids, x, cell, reach, bound) -> pa.RecordBatch:
+    def row_batch(block, query, ids, x, cell, reach, bound) -> pa.RecordBatch:
         n = len(ids)
         full = lambda value, kind: pa.array(np.full(n, value, dtype=kind)) if np.ndim(value) == 0 else pa.array(value)
         v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.ascontiguousarray(x).ravel()))
-        return pa.RecordBatch.from_arrays([full(block, np.int64), full(shard, np.int64), full(query, bool), pa.array(ids), v, full(cell, np.int64), full(reach, np.float64), full(bound, np.float64)], columns)
+        return pa.RecordBatch.from_arrays([full(block, np.int64), full(query, bool), pa.array(ids), v, full(cell, np.int64), full(reach, np.float64), full(bound, np.float64)], columns)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, vector_ids, cell = known.value
@@ -163,7 +164,7 @@ def nearest(
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                x, ids, shard = matrix(part.column(1), size), part.column(0).to_numpy(), part.column(2).to_numpy()
+                x, ids = matrix(part.column(1), size), part.column(0).to_numpy()
                 near = distances(x)
                 scores = x @ vectors.T
                 blocks, bounds, reaches = [], [], []
@@ -178,66 +179,72 @@ def nearest(
                     large = [c for c in found if n_blocks[c] > 1]
                     blocks.append(np.concatenate([own, *[np.arange(first_block[c] + 1, first_block[c] + n_blocks[c]) for c in large]]))
                 of = np.repeat(np.arange(len(x)), [len(b) for b in blocks])
-                yield row_batch(np.concatenate(blocks), shard[of], True, ids[of], x[of], -1, np.array(reaches)[of], np.array(bounds)[of])
+                yield row_batch(np.concatenate(blocks), True, ids[of], x[of], -1, np.array(reaches)[of], np.array(bounds)[of])
 
     asked = stored(usable(queries, id_col, vec_col).where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v")), "queries")
     n_queries = asked.count()
-    shards = max(1, -(-n_queries // query_rows))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard")
-    spread = asked.select("id", "v", shard).repartition(max(1, -(-n_queries // 256)), "id")  # walks are the work: spread them, however few bytes the queries have
+    spread = asked.select("id", "v").repartition(max(1, -(-n_queries // 256)), "id")  # walks are the work: spread them, however few bytes the queries have
     wanted = spread.mapInArrow(probes, kinds)
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            x = matrix(batch.column(1), size)
-            for s in range(shards):
-                yield row_batch(first_block[c] + salt % n_blocks[c], s, False, ids, x, c, 0.0, 0.0)
+            yield row_batch(first_block[c] + salt % n_blocks[c], False, ids, matrix(batch.column(1), size), c, 0.0, 0.0)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each block in turn, first the entries, which are held, then the queries, which pass by."""
-        at, gathered, x, ids, cell = None, [], None, None, None
+        at, gathered, held = None, [], None
         for batch in batches:
-            place = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            place = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)], axis=1)
             cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(place)], strict=True):
                 if lo == hi:
                     continue
                 part = batch.slice(lo, hi - lo)
-                if tuple(place[lo, :2]) != at:
-                    at, gathered, x = tuple(place[lo, :2]), [], None
-                if not place[lo, 2]:
-                    gathered.append(tuple(np.array(c) for c in (part.column(3).to_numpy(), matrix(part.column(4), size), part.column(5).to_numpy())))
+                if place[lo, 0] != at:
+                    at, gathered, held = place[lo, 0], [], None
+                if not place[lo, 1]:
+                    gathered.append(tuple(np.array(c) for c in (part.column(2).to_numpy(), matrix(part.column(3), size), part.column(4).to_numpy())))
                     continue
-                if x is None and gathered:
+                if held is None and gathered:
                     ids, x, cell = (np.concatenate(c) for c in zip(*gathered, strict=True))
-                    gathered = []
-                if x is not None:
-                    yield from best(part, ids, x, cell)
+                    order = np.argsort(cell, kind="stable")
+                    held, gathered = (ids[order], x[order], *np.unique(cell, return_counts=True)), []
+                if held is not None:
+                    yield from best(part, *held)
 
-    def best(part: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def best(part: pa.RecordBatch, ids: np.ndarray, x: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """own: the cells of the block; sizes: their entries, which follow each other."""
         for lo in range(0, part.num_rows, 256):
             few = part.slice(lo, 256)
-            q, v, reach, bound = few.column(3).to_numpy(), matrix(few.column(4), size), few.column(6).to_numpy(), few.column(7).to_numpy()
+            q, v, reach, bound = few.column(2).to_numpy(), matrix(few.column(3), size), few.column(5).to_numpy(), few.column(6).to_numpy()
             near = distances(v)
-            scores = v @ x.T
             # The cells of a walk are those within its last sum; sums are added anew here, so up to rounding.
-            ok = (near[0][:, cell // width] + near[1][:, cell % width] <= reach[:, None] + 1e-9) & (scores >= bound[:, None] - 1e-9) & (ids[None, :] != q[:, None])
-            out = []
+            walked = near[0][:, own // width] + near[1][:, own % width] <= reach[:, None] + 1e-9
+            out, scored = [], 0
             for row in range(len(q)):
-                use = np.flatnonzero(ok[row])
+                use = np.flatnonzero(np.repeat(walked[row], sizes))
+                scored += len(use)
+                s = x[use] @ v[row]
+                ok = (s >= bound[row] - 1e-9) & (ids[use] != q[row])
+                use, s = use[ok], s[ok]
                 if len(use) > k:  # all that may be among the k nearest
-                    s = scores[row, use]
                     use = use[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9]
                 # The same order of additions wherever a pair meets, so equal vectors have equal scores.
                 exact = (x[use] * v[row]).cumsum(axis=1)[:, -1]
                 top = np.lexsort((ids[use], -exact))[:k]
                 out.append((np.full(len(top), q[row]), ids[use][top], exact[top]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(q)]), pa.array([None], pa.int64()), pa.array([float(scored)])], ["query_id", "vec_id", "score"])
 
     entries = index.mapInArrow(located, kinds)
-    met = entries.unionByName(wanted).repartition("block", "shard").sortWithinPartitions("block", "shard", "query")
+    met = entries.unionByName(wanted).repartition("block").sortWithinPartitions("block", "query")
     found = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
+    if work is not None:
+        found = stored(found, "found")
+        done = found.where("vec_id IS NULL").agg(F.sum("score").cast("long").alias("scored"), F.sum("query_id").alias("visits")).first()
+        work.append({**done.asDict(), "pairs": n_queries * total, "all_visits": n_queries * int(first_block.max() + n_blocks[first_block.argmax()])})
+    found = found.where("vec_id IS NOT NULL")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
