@@ -34,7 +34,7 @@ def largest(boxes: DataFrame, key: str, order: list, most: int = 50) -> DataFram
 
 
 def box_label(x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
-    """What a region is by its place and shape; the first rule that holds."""
+    """What a region is by its place and shape; the first rule that holds. Labels and bounds, in order."""
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     ry, rx, rw, rh = share(y, page_h), share(x, page_w), share(w, page_w), share(h, page_h)
     aspect = F.coalesce(F.try_divide(w.cast("double"), h.cast("double")), F.lit(1.0))
@@ -73,30 +73,51 @@ def box_distance(a: str, b: str) -> Column:
     return F.sqrt((F.pow(gap("x", "width"), F.lit(2)) + F.pow(gap("y", "height"), F.lit(2))).cast("double"))
 
 
+def near_pairs(boxes: DataFrame, key: str, order: str, threshold: float = 50.0) -> DataFrame:
+    """key, i, j: the boxes of a page within `threshold` of each other, i before j in order.
+
+    Boxes lie on a grid of cells of the threshold's width, or of the page's mean box size if that is more; two boxes are
+    compared where one, widened by the threshold, shares a cell with the other, and only in the first such cell.
+    """
+    size = boxes.groupBy(key).agg(F.greatest(F.lit(float(threshold)), F.lit(1.0), F.avg(F.greatest("width", "height").cast("double"))).alias("cell")).withColumnRenamed(key, "__page")
+    rows = boxes.join(size, F.col(key).eqNullSafe(F.col("__page"))).select(key, F.col(order).alias("o"), "x", "y", "width", "height", "cell")
+    at = lambda v: F.floor(v / F.col("cell")).cast("int")
+
+    def on_grid(side: str, wide: float) -> DataFrame:
+        span = lambda p, n: (at(F.col(p) - wide), at(F.col(p) + F.col(n) + wide))
+        (x0, x1), (y0, y1) = span("x", "width"), span("y", "height")
+        cells = rows.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1)))
+        return cells.select(*[F.col(c).alias(f"{side}_{c}") for c in ("o", "x", "y", "width", "height", "cx", "cy", "cell")], F.col(key).alias(f"{side}_key"), x0.alias(f"{side}_x0"), y0.alias(f"{side}_y0"))
+
+    a, b = on_grid("a", float(threshold)), on_grid("b", 0.0)
+    met = a.join(b, F.col("a_key").eqNullSafe(F.col("b_key")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & (F.col("a_o") < F.col("b_o")))
+    first = (F.col("a_cx") == F.greatest("a_x0", "b_x0")) & (F.col("a_cy") == F.greatest("a_y0", "b_y0"))
+    near = met.where(first & (box_distance("a_", "b_") <= threshold))
+    return near.select(F.col("a_key").alias(key), F.col("a_o").alias("i"), F.col("b_o").alias("j"))
+
+
 def group_by_nearness(boxes: DataFrame, key: str, order: str, threshold: float = 50.0) -> DataFrame:
     """Greedy groups of a page's boxes: each box not yet taken opens a group and takes all later ones near it. key, order, grp.
 
-    The fold is within one page, whose boxes are few.
+    Pairs come from near_pairs(); the fold in order sees a page's boxes and its near pairs, not all pairs.
     """
+    pairs = near_pairs(boxes, key, order, threshold).groupBy(key, "j").agg(F.array_sort(F.collect_list("i")).alias("before"))
+    pairs = pairs.select(F.col(key).alias("__page"), "j", "before")
+    rows = boxes.select(key, order).join(pairs, F.col(key).eqNullSafe(F.col("__page")) & (F.col(order) == F.col("j")), "left").select(key, order, "before")
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(order, ignore_index=True)
-        group = [-1] * len(page)
-        rows = page[["x", "y", "width", "height"]].to_numpy(dtype=float)
-        n = 0
-        for i in range(len(rows)):
-            if group[i] >= 0:
-                continue
-            for j in range(i, len(rows)):
-                if group[j] < 0:
-                    d = [max(0.0, rows[j][k] - rows[i][k] - rows[i][k + 2], rows[i][k] - rows[j][k] - rows[j][k + 2]) for k in (0, 1)]
-                    if (d[0] ** 2 + d[1] ** 2) ** 0.5 <= threshold:
-                        group[j] = n
-            n += 1
+        opened: dict = {}  # the group that a box has opened
+        group = []
+        for box, before in zip(page[order], page["before"], strict=True):
+            own = next((opened[i] for i in (before if before is not None else ()) if i in opened), None)
+            if own is None:
+                own = opened[box] = len(opened)
+            group.append(own)
         return page[[key, order]].assign(grp=group)
 
     schema = f"{key} {boxes.schema[key].dataType.simpleString()}, {order} {boxes.schema[order].dataType.simpleString()}, grp int"
-    return boxes.groupBy(key).applyInPandas(fold, schema)
+    return rows.groupBy(key).applyInPandas(fold, schema)
 
 
 def assemble(grouped: DataFrame, key: str, label: str, value: str, order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 # Upper bounds of histogram buckets by metric.
 BUCKETS = {
     "crawl_seconds": (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0),
@@ -113,9 +115,9 @@ def time_to_live(records: DataFrame, key: str, at: str, now: Column, seconds: in
     return out.withColumn("age", age).withColumn("expired", F.col("age") > seconds).withColumn("due", F.col("age") > 0.8 * seconds)
 
 
-def batches(rows: DataFrame, by: list[str], order: list[str], size: int = 100) -> DataFrame:
-    """Rows of a log as the batches an exporter sends: by, batch, n and rows (JSON, in order), at most `size` rows each."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    numbered = rows.withColumn("batch", F.floor((place - 1) / size).cast("int")).withColumn("__json", F.to_json(F.struct(*rows.columns)))
-    out = numbered.groupBy(*by, "batch").agg(F.array_sort(F.collect_list(F.struct(*order, "__json"))).alias("r"))
+def batches(rows: DataFrame, by: list[str], order: list[str], size: int = 100, ranges: int | None = None) -> DataFrame:
+    """Rows of a log as the batches an exporter sends: by, batch, n and rows (JSON, in order), at most `size` rows each; a key's rows are numbered in ranges."""
+    placed = numbered(rows, by, order, "__place", ranges)
+    tagged = placed.withColumn("batch", F.floor((F.col("__place") - 1) / size).cast("int")).withColumn("__json", F.to_json(F.struct(*rows.columns)))
+    out = tagged.groupBy(*by, "batch").agg(F.array_sort(F.collect_list(F.struct(*order, "__json"))).alias("r"))
     return out.select(*by, "batch", F.size("r").alias("n"), F.transform("r", lambda x: x["__json"]).alias("rows"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_markdown, confidence, cosine, domain_of, fenced_json, is_empty, strip_currency, strip_whitespace
-from ..operators import change, chunk, classify, discover, drift, geometry, html, merge, routing, state, text
+from ..operators import change, chunk, classify, discover, drift, geometry, html, merge, pictures, ranges, routing, state, text, xpath
 from ..sources import MODELS_SQL, materialised, models, prices, table
 
 QUERIES: dict = {}
@@ -50,8 +50,7 @@ def page_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each page with the one before it on its host: the tags and the first headings of both; no markup is shuffled."""
     title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
     pages = table(spark, d, "pages").select("page_id", domain_of(F.col("url")).alias("host"), change.tags_of(F.col("html")).alias("tags"), title.alias("title"))
-    w = Window.partitionBy("host").orderBy("page_id")
-    return pages.withColumns({f"old_{c}": F.lag(c if c != "id" else "page_id").over(w) for c in ("id", "tags", "title")}).where("old_id IS NOT NULL")
+    return ranges.looked_back(pages, ["host"], ["page_id"], ["page_id", "tags", "title"]).withColumnRenamed("old_page_id", "old_id").where("old_id IS NOT NULL")
 
 
 DISTANCE = f"LEAST(1.0, LEVENSHTEIN({SEQUENCE.replace('SLICE(tags', 'SLICE(old_tags')}, {SEQUENCE}) / GREATEST(LEN(old_tags), LEN(tags), 1)::DOUBLE)"
@@ -151,7 +150,9 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def scored_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return html.top_blocks(html.scored_blocks(node_table(spark, d, pruned=True)))
+    """Every block of a page with its place."""
+    blocks = html.scored_blocks(node_table(spark, d, pruned=True))
+    return blocks.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "pre")))
 
 
 @query()
@@ -575,6 +576,35 @@ def box_groups(spark: SparkSession, d: str) -> DataFrame:
     return geometry.group_by_nearness(boxes(spark, d), "page_id", "n")
 
 
+LINKS = """SELECT page_id, html, REGEXP_EXTRACT_ALL(html, '<li><a href="([^"]*)">', 1) AS refs, REGEXP_EXTRACT_ALL(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS names FROM pages"""
+
+
+@query(f"""SELECT page_id, refs[1] AS first, names[LEN(names) - 1] AS last_but_one, LEN(refs) - 2 AS between,
+  REGEXP_EXTRACT(html, '<h1>([^<]*)</h1>', 1) = REGEXP_EXTRACT(html, '<title>([^<]*)</title>', 1) AS titled FROM ({LINKS}) WHERE LEN(refs) > 2""")
+def xpath_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Links named by their places among siblings and ancestors."""
+    rows = node_table(spark, d)
+    value = lambda path, name: xpath.xpath(rows, path).select("page_id", F.col("value").alias(name))
+    out = value("//nav//a[not(../preceding-sibling::li)]/@href", "first")
+    out = out.join(value("//li[ancestor::nav][position() = last()]/preceding-sibling::li[1]/a/text()", "last_but_one"), "page_id")
+    between = xpath.xpath(rows, "//nav/ul/li[preceding-sibling::li and following-sibling::li]").groupBy("page_id").agg(F.count(F.lit(1)).alias("between"))
+    heads = value("//article/h1/text()", "h1").join(value("/html/head/title/text()", "title"), "page_id").select("page_id", (F.col("h1") == F.col("title")).alias("titled"))
+    return out.join(between, "page_id").join(heads, "page_id")
+
+
+GREY = "LIST_TRANSFORM(embedding, lambda x: CAST(FLOOR(LEAST(GREATEST(x::DOUBLE + 1, 0), 1.99) * 128) AS BIGINT))"
+
+
+@query(f"""SELECT vec_id, LIST_SUM(g) AS total, ROUND(LIST_SUM(g[1:2] || g[9:10]) / 4.0, 6) AS corner, LIST_MIN(g) AS least, LIST_MAX(g) AS most FROM (SELECT vec_id, {GREY} AS g FROM embeddings WHERE LEN(embedding) = 64)""")
+def picture_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors drawn as 8 x 8 PNG files, which are read back: sums of their pixels, and the first of their 4 x 4 area means."""
+    grey = F.transform("embedding", lambda x: F.floor(F.least(F.greatest(x.cast("double") + 1, F.lit(0.0)), F.lit(1.99)) * 128))
+    files = table(spark, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", pictures.png_files(8)(grey).alias("png"))
+    read = files.select("vec_id", pictures.grey_pixels()("png").alias("g"), pictures.grey_pixels(4)("png").alias("small"))
+    total = F.aggregate("g", F.lit(0.0), lambda a, x: a + x).cast("long")
+    return read.select("vec_id", total.alias("total"), F.round(F.col("small")[0], 6).alias("corner"), F.array_min("g").cast("long").alias("least"), F.array_max("g").cast("long").alias("most"))
+
+
 @query()
 def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunks(markdown_docs(spark, d), "doc_id", "md", max_tokens=400)
