@@ -279,18 +279,22 @@ def relevant_blocks(blocks: DataFrame, query: str, key: str = "page_id", k: int
     return top_blocks(rows.select(*blocks.columns), key, k)
 
 
-def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3, shortest: int = 20, deepest: int = 10) -> DataFrame:
-    """Structures that recur on a page: key, structure, count, first_pre, sample (500 characters of the first), place (the most frequent first).
-
-    A structure is the hash of the tags of a subtree, nested as they are, and of the depth it lies at.
-    """
+def structures(all_nodes: DataFrame, key: str = "page_id", shortest: int = 20, deepest: int = 10) -> DataFrame:
+    """key, pre, structure and text of the subtrees with some text: the hash of their tags, nested as they are, and of the depth they lie at."""
     inner = ~F.col("tag").isin("html", "body", "head") & (F.col("depth") <= deepest)
-    tops = all_nodes.where(inner)
     texts = subtree_text(all_nodes, key, inner).where(F.length("text") >= shortest)
     shapes = _slices(all_nodes, key, inner, F.concat(F.lit("("), F.col("tag")), F.lit(")")).withColumnRenamed("text", "shape")
-    both = texts.join(shapes, [key, "pre"]).join(tops.select(key, "pre", "depth"), [key, "pre"])
-    structure = F.substring(F.md5(F.concat_ws(":", "depth", "shape")), 1, 12).alias("structure")
-    found = both.groupBy(key, structure).agg(F.count(F.lit(1)).alias("count"), F.min("pre").alias("first_pre"), F.substring(F.min_by("text", "pre"), 1, 500).alias("sample"))
+    both = texts.join(shapes, [key, "pre"]).join(all_nodes.where(inner).select(key, "pre", "depth"), [key, "pre"])
+    return both.select(key, "pre", F.substring(F.md5(F.concat_ws(":", "depth", "shape")), 1, 12).alias("structure"), "text")
+
+
+def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3, shortest: int = 20, deepest: int = 10, told: DataFrame | None = None) -> DataFrame:
+    """Structures that recur on a page: key, structure, count, first_pre, sample (500 characters of the first), place (the most frequent first).
+
+    told: structures() of the nodes, if it is at hand.
+    """
+    both = structures(all_nodes, key, shortest, deepest) if told is None else told
+    found = both.groupBy(key, "structure").agg(F.count(F.lit(1)).alias("count"), F.min("pre").alias("first_pre"), F.substring(F.min_by("text", "pre"), 1, 500).alias("sample"))
     return found.where(F.col("count") >= least).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "first_pre")))
 
 

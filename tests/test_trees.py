@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pagemill.operators import discover, html
 
 SF = "/root/testdata/sf0.001"
@@ -156,3 +158,26 @@ def test_parsing_is_linear():
         rows = html.parse_nodes(page)
         assert time.process_time() - began < 8, name  # under 2 s alone on the machine; it was minutes
         assert sum(len(r[7]) + len(r[8]) for r in rows) == (0 if name in ("nested", "closed", "unmatched") else n)
+
+
+def test_selectors_of_discovered_fields_return_the_cluster(spark, nodes):
+    """Every selector names the elements of its structure (or their leaves at one place) and nothing else of the page."""
+    cards = '<div class="top"><p class="price">9</p></div>' + "".join(f'<div class="card c{i}"><h3>Title number {i}</h3><span class="price">{i}.50</span><p>some words {i}</p></div>' for i in range(4))
+    plain = "".join(f"<div><h3>Title number {i}</h3><b>{i} and more words</b></div>" for i in range(4)) + "<div><i>alone</i></div>"
+    odd = html.nodes(spark.createDataFrame([(990001, f"<body>{cards}</body>"), (990002, f"<body><section>{plain}</section></body>")], "page_id long, html string"))
+    both = nodes.unionByName(odd).cache()
+    told = {(r.page_id, r.pre): r.structure for r in html.structures(both).collect()}
+    found = {r.page_id: r for r in discover.discover(both).collect()}
+    assert found[990001].selector == "div.card" and [(f.name, f.type, f.selector) for f in found[990001].fields] == [("h3", "str", "h3"), ("price", "float", "span"), ("p", "str", "div.card > p")]
+    assert found[990002].selector is None and [f.selector for f in found[990002].fields] == ["h3", "b"]  # one more div is not to be told apart
+    checked = 0
+    for page, r in found.items():
+        own = both.where(F.col("page_id") == page)
+        elements = sorted(pre for (k, pre), s in told.items() if (k, s) == (page, r.structure))
+        assert len(elements) == r["count"]
+        for selector, at in [(r.selector, 0)] + [(f.selector, None) for f in r.fields]:
+            if selector and checked < 24:
+                got = sorted(n.pre for n in html.selected(own, selector).collect())
+                assert len(got) == len(elements) and len({g - e for g, e in zip(got, elements, strict=True)}) == 1, selector
+                checked += 1
+    assert checked > 5
