@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 FAILURE_RATE, DROPPED_FIELDS, SIMILARITY, DIVERGENCE, MIN_SAMPLES, HISTORY = 0.30, 3, 0.80, 0.20, 5, 100
 
 
+def metric_rows(records: DataFrame, keep: list[str], fields: dict[str, Column], required: set[str], confidence: Column, content: Column) -> DataFrame:
+    """A metric row for each extraction, appended to a log rather than counted up: keep, passed, confidence, field_status, content_hash.
+
+    field_status: map of field name to whether it was filled (not null, not blank). passed: all required fields are.
+    content_hash: of the content, null for an empty or missing one, which has none. Windows over the log take the last
+    HISTORY rows of a key.
+    """
+    filled = {n: F.coalesce(F.trim(c.cast("string")) != "", F.lit(False)) for n, c in fields.items()}
+    status = F.create_map(*[x for n, c in filled.items() for x in (F.lit(n), c)])
+    passed = F.lit(True)
+    for name in sorted(required):
+        passed = passed & filled[name]
+    hashed = F.when(content != "", F.sha2(content, 256))
+    return records.select(*keep, passed.alias("passed"), confidence.cast("double").alias("confidence"), status.alias("field_status"), hashed.alias("content_hash"))
+
+
 def validation_failures(metrics: DataFrame, keys: list[str], passed: str = "passed") -> DataFrame:
     """Failure rate over all records of a key; triggered above FAILURE_RATE from MIN_SAMPLES on."""
     out = metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.count_if(~F.col(passed)).alias("failures"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import grams, jaccard, token_estimate
+from ..functions import cosine, grams, jaccard, token_estimate
 from ..sources import materialised
 
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -213,3 +213,23 @@ def tfidf_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, most_ter
     norm = F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))
     scores = kept.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), norm), F.lit(0.0)).alias("__s"))
     return pairs.select(*keys).join(scores, keys, "left").select(*keys, F.least(F.lit(1.0), F.coalesce("__s", F.lit(0.0))).alias("similarity"))
+
+
+def similarity_chain(pairs: DataFrame, keys: list[str], a: str, b: str, vec_a: str, vec_b: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """keys, similarity and the method that each pair took: the first of four that applies.
+
+    hash_match: equal texts (nulls are empty), 1. embedding: the cosine of the two vectors, cut to 0 and 1, where both
+    are there, of one length and not zero. tfidf: where a text has a term. jaccard: of lower-case character trigrams.
+    Each step is computed for the pairs that come to it. keys tell pairs apart.
+    """
+    full = pairs.withColumns({a: F.coalesce(a, F.lit("")), b: F.coalesce(b, F.lit(""))})
+    usable = lambda v: F.col(v).isNotNull() & F.exists(v, lambda x: x != 0)
+    vectors = F.coalesce(usable(vec_a) & usable(vec_b) & (F.size(vec_a) == F.size(vec_b)), F.lit(False))
+    terms = F.rlike(F.concat_ws(" ", a, b), F.lit(r"[\p{L}\p{N}_]{2,}"))
+    method = F.when(F.col(a) == F.col(b), "hash_match").when(vectors, "embedding").when(terms, "tfidf").otherwise("jaccard")
+    told = full.withColumn("method", method)
+    by_terms = tfidf_similarity(told.where("method = 'tfidf'").select(*keys, a, b), keys, a, b, stop_words=stop_words).withColumnRenamed("similarity", "__t")
+    by_vectors = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col(vec_a), F.col(vec_b))))
+    by_grams = jaccard(grams(F.lower(F.col(a)), 3), grams(F.lower(F.col(b)), 3))
+    score = F.when(F.col("method") == "hash_match", 1.0).when(F.col("method") == "embedding", by_vectors).when(F.col("method") == "tfidf", F.col("__t")).otherwise(by_grams)
+    return told.join(by_terms, keys, "left").select(*keys, score.alias("similarity"), "method")

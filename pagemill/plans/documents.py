@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_markdown, confidence, cosine, domain_of, fenced_json, is_empty, strip_currency, strip_whitespace
 from ..operators import change, chunk, classify, discover, drift, geometry, html, merge, pictures, ranges, routing, state, text, xpath
-from ..sources import MODELS_SQL, materialised, models, prices, table
+from ..sources import EXTRACTION_RESULTS_SQL, MODELS_SQL, extraction_results, materialised, models, prices, register, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -747,3 +747,33 @@ def schema_rollback(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, STRING_AGG(SHA256(event_type), ',' ORDER BY back) AS hashes FROM (SELECT user_id, event_type, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 10 GROUP BY 1")
 def recent_hashes(spark: SparkSession, d: str) -> DataFrame:
     return drift.recent_hashes(_metrics(spark, d), ["user_id"], ["ts", "event_id"]).select("user_id", F.array_join("hashes", ",").alias("hashes"))
+
+
+CHAIN = """SELECT c.conv_id, c.turn, CASE WHEN c.conv_id % 4 = 1 AND c.turn % 3 = 1 THEN CONCAT('? ', c.turn % 10, '!') ELSE c.text END AS a,
+  CASE WHEN (c.conv_id + c.turn) % 5 = 0 THEN (CASE WHEN c.conv_id % 4 = 1 AND c.turn % 3 = 1 THEN CONCAT('? ', c.turn % 10, '!') ELSE c.text END)
+       WHEN c.conv_id % 4 = 1 AND c.turn % 3 = 1 THEN CONCAT('! ', c.turn % 10, '!') ELSE n.text END AS b, x.embedding AS va, y.embedding AS vb
+  FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
+  LEFT JOIN embeddings x ON x.vec_id = c.conv_id AND c.turn % 3 = 0 LEFT JOIN embeddings y ON y.vec_id = c.conv_id + 1"""
+
+
+@query(f"""WITH p AS ({CHAIN}), m AS (SELECT *, CASE WHEN a = b THEN 'hash_match' WHEN va IS NOT NULL AND vb IS NOT NULL THEN 'embedding' WHEN REGEXP_MATCHES(a || ' ' || b, '[\\p{{L}}\\p{{N}}_]{{2,}}') THEN 'tfidf' ELSE 'jaccard' END AS method FROM p),
+  t AS (SELECT conv_id, turn, term, SUM(1 - second) AS x, SUM(second) AS y FROM (SELECT conv_id, turn, UNNEST(REGEXP_EXTRACT_ALL(LOWER(a), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term, 0 AS second FROM m
+    UNION ALL SELECT conv_id, turn, UNNEST(REGEXP_EXTRACT_ALL(LOWER(b), '[\\p{{L}}\\p{{N}}_]{{2,}}')), 1 FROM m) GROUP BY ALL),
+  w AS (SELECT conv_id, turn, x * i AS x, y * i AS y FROM (SELECT *, LN(3.0 / (CASE WHEN x > 0 AND y > 0 THEN 3 ELSE 2 END)) + 1 AS i, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY x + y DESC, term) AS place FROM t) WHERE place <= 5000),
+  s AS (SELECT conv_id, turn, SUM(x * y) / NULLIF(SQRT(SUM(x * x)) * SQRT(SUM(y * y)), 0) AS s FROM w GROUP BY ALL)
+  SELECT m.conv_id, m.turn, method, ROUND(CASE method WHEN 'hash_match' THEN 1.0 WHEN 'embedding' THEN GREATEST(0.0, LEAST(1.0, LIST_COSINE_SIMILARITY(va::DOUBLE[], vb::DOUBLE[])))
+    WHEN 'tfidf' THEN LEAST(1.0, COALESCE(s, 0.0)) ELSE {JACCARD.format('a', 'b')} END, 9) AS similarity FROM m LEFT JOIN s USING (conv_id, turn)""")
+def similarity_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring turns, some made equal or without words and some with vectors, each by the first step that applies."""
+    register(spark, d, ("conversations", "embeddings"))
+    out = text.similarity_chain(spark.sql(CHAIN), ["conv_id", "turn"], "a", "b", "va", "vb")
+    return out.withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""SELECT page_id, title <> '' AND heading <> '' AS passed, confidence, TRIM(title) <> '' AS has_title, TRIM(paragraph) <> '' AS has_paragraph,
+  CASE WHEN paragraph <> '' THEN SHA256(paragraph) END AS content_hash FROM ({EXTRACTION_RESULTS_SQL})""")
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    r = extraction_results(spark, d)
+    fields = {n: F.col(n) for n in ("title", "heading", "lang", "paragraph")}
+    rows = drift.metric_rows(r, ["page_id"], fields, {"title", "heading"}, F.col("confidence"), F.col("paragraph"))
+    return rows.select("page_id", "passed", "confidence", F.col("field_status")["title"].alias("has_title"), F.col("field_status")["paragraph"].alias("has_paragraph"), "content_hash")
