@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import strip_currency, strip_whitespace, unescaped
+from ..functions import strip_currency, strip_whitespace
 from ..sources import materialised
 
 # What pruning removes by tag, role, class or id, and style; what it may remove if empty.
@@ -608,24 +608,29 @@ METADATA = {
 }
 
 
-def metadata(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """title, author, date, description, sitename, categories, tags, language and url from the head; '' where absent.
+def metadata(pages: DataFrame, key: str = "page_id", html: str = "html", parsed: DataFrame | None = None) -> DataFrame:
+    """title, author, date, description, sitename, categories, tags, language and url from a page's elements; '' where absent.
 
-    Attributes may come in any order, in either kind of quotes or in none; character references are resolved.
+    The first element that names a thing tells it. What stands in comments, scripts and texts is no element. parsed: the
+    pages' nodes, if they are at hand.
     """
-    quoted = lambda tag, name, form: F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*{form}", 1), F.lit(""))
-    value = lambda tag, name: F.coalesce(*[quoted(tag, name, form) for form in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")])
-    every = lambda tag: F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
-    rows = pages.select(key, html, every("meta").alias("__meta"), every("link").alias("__link"))
-
-    def first(tags: str, name: str, wanted: str, content: str) -> Column:
-        return value(F.get(F.filter(tags, lambda t: F.rlike(t, F.lit(rf"""(?is)\b{name}\s*=\s*["']?{wanted}(?=["'\s/>])"""))), F.lit(0)), content)
-
-    found = {k: F.coalesce(*[F.nullif(first("__meta", "(?:name|property)", w.replace(".", r"\."), "content"), F.lit("")) for w in names]) for k, names in METADATA.items()}
-    found["title"] = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    found["language"] = value(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), "lang")
-    found["url"] = F.coalesce(F.nullif(first("__link", "rel", "canonical", "href"), F.lit("")), first("__meta", "property", "og:url", "content"))
-    return rows.select(key, *[F.trim(unescaped(F.coalesce(v, F.lit("")))).alias(k) for k, v in found.items()])
+    rows = nodes(pages, key, html) if parsed is None else parsed
+    heads = rows.where(F.col("tag").isin("meta", "link", "title", "html"))
+    kept = {n: attribute(n) for n in ("name", "property", "rel", "content", "href", "lang")}
+    each = heads.select(key, F.struct("pre", "tag", F.col("own_text").alias("text"), *[c.alias(n) for n, c in kept.items()]).alias("e"))
+    # A page without such elements has a row too.
+    whole = each.unionByName(pages.select(key), allowMissingColumns=True).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
+
+    def first(value: str, test) -> Column:
+        return F.nullif(F.get(F.transform(F.filter("es", test), lambda e: e[value]), F.lit(0)), F.lit(""))
+
+    meta = lambda w, *by: first("content", lambda e: (e["tag"] == "meta") & F.array_contains(F.array(*[F.lower(F.trim(e[n])) for n in by]), w))
+    found = {k: F.coalesce(*[meta(w, "name", "property") for w in names]) for k, names in METADATA.items()}
+    found["title"] = first("text", lambda e: e["tag"] == "title")
+    found["language"] = first("lang", lambda e: e["tag"] == "html")
+    canonical = first("href", lambda e: (e["tag"] == "link") & F.array_contains(F.split(F.lower(e["rel"]), r"\s+"), "canonical"))
+    found["url"] = F.coalesce(canonical, meta("og:url", "property"))
+    return whole.select(key, *[F.trim(F.coalesce(v, F.lit(""))).alias(k) for k, v in found.items()])
 
 
 def preprocess(pages: DataFrame, key: str = "page_id", html: str = "html", parsed: DataFrame | None = None) -> DataFrame:

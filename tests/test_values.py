@@ -221,6 +221,13 @@ def test_metadata_in_any_order(spark):
     assert all(v == "" for v in list(r[1])[1:]) and all(v == "" for v in list(r[2])[1:])
 
 
+def test_metadata_is_told_by_elements_alone(spark):
+    page = """<!-- <meta name=author content=Comment> --><script>var m = '<meta name="author" content="Script">';</script><body><p>&lt;title&gt;no&lt;/title&gt;</p>
+    <svg><a></svg><meta name=AUTHOR content="Element"><title>First</title><title>Second</title><link rel="alternate CANONICAL" href=/u>"""
+    r = html.metadata(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
+    assert (r.author, r.title, r.url) == ("Element", "First", "/u")
+
+
 def test_grams_are_of_characters(spark):
     from pagemill import functions as fn
 
