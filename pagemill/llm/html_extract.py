@@ -1,6 +1,6 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed once a pass, in time linear in its markup. The hash of an element's subtree rolls up from its
+Every page is parsed once, in time linear in its markup. The hash of an element's subtree rolls up from its
 tags and texts while it closes. Subtrees are counted by host in Spark, and those that recur on many pages of their
 host are deleted. Elements whose tag, role, class or id names them as furniture go as well, for a menu or an advert
 may be on one page only. What is left of the article, block by block, is the text.
@@ -13,16 +13,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from .common import stored
 
 #: A template subtree is on at least so many pages that have text of their own besides it, on at least this share of its
-#: host's, which bounds a host's list of templates to (candidates of a page) / MIN_SHARE, and this share of the pages
-#: it is on have such text: copies of one story are no template.
+#: host's, and this share of the pages it is on have such text: copies of one story are no template.
 MIN_PAGES, MIN_SHARE, OWN_SHARE = 3, 0.005, 0.2
 #: A block whose windows are on so many pages of a host is not a page's own.
 RECURRING = 3
@@ -252,16 +253,16 @@ def _tag_hash(tag: str) -> int:
     return h
 
 
-def without(page: Page, doomed: frozenset[int]) -> tuple[list[tuple[str, int]], int]:
-    """The blocks outside all doomed subtrees, and the number of the outermost of these."""
-    gone = bytearray(len(page.blocks))
-    n, inner = 0, len(page.blocks)
-    for h, lo, hi in reversed(page.candidates):  # parents close after their children
-        if h in doomed:
-            n += not (lo < hi and lo >= inner)
-            inner = min(inner, lo) if lo < hi else inner
+def without(n_blocks: int, places: list[tuple[int, int]]) -> tuple[bytearray, int]:
+    """For each block whether it is in one of the places [lo, hi), and the number of the outermost places."""
+    gone, n, end = bytearray(n_blocks), 0, 0
+    for lo, hi in sorted(places, key=lambda at: (at[0], -at[1])):  # parents before their children
+        if lo == hi:
+            n += 1
+        elif lo >= end:
+            n, end = n + 1, hi
             gone[lo:hi] = b"\1" * (hi - lo)
-    return [b for b, g in zip(page.blocks, gone, strict=True) if not g], n
+    return gone, n
 
 
 def main_text(blocks: list[tuple[str, int]]) -> str:
@@ -281,75 +282,103 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(
-    pages: DataFrame,
-    url_col: str = "url",
-    html_col: str = "html",
-    min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
-    own_share: float = OWN_SHARE,
-    names: bool = True,
-) -> DataFrame:
-    """host, hashes: the template subtrees of each host.
-
-    A page votes for a subtree if it has a block of its own outside it: one whose windows do not recur on the host. So
-    stories that are copied, with small changes or without, cast no votes, and a notice that is longer than the stories
-    loses none. A subtree is a template if it has min_pages votes, from min_share of the host's pages and own_share of
-    the pages that it is on. All that is shuffled is hashes and places; counts are summed before they are shuffled.
+def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, names: bool = True) -> DataFrame:
+    """What one parse of every page finds, stored: all later steps read the columns they need of it.
+
+    page (a number of the row), id, url, host, text (all blocks, joined by line feeds), levels (a byte a block), keys (two
+    hashes a block), found (the candidates, each hash with its first place) and again (their other places).
     """
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.select("id", "url", host_of(F.col("url")).alias("host"), "html")
+    place = "array<struct<hash: bigint, lo: int, hi: int>>"
+    more = StructType.fromDDL(f"text string, levels binary, keys array<bigint>, found {place}, again {place}")
+    kind = StructType(rows.drop("html").schema.fields + more.fields)
+    at = pa.list_(pa.struct([("hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            for html in batch["html"]:
-                page = parse(html or "", names)
-                keys.append([[signed(k) for k in block_keys(t)] for t, _ in page.blocks])
-                found.append([[signed(h), lo, hi] for h, lo, hi in set(page.candidates)])
-            yield pd.DataFrame({"host": batch["host"], "keys": keys, "found": found})
-
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("host <> ''")
-    seen = rows.mapInPandas(parsed, "host string, keys array<array<long>>, found array<array<long>>")
-    seen = stored(seen.withColumn("page", F.monotonically_increasing_id()), "subtrees")
-    key = seen.select("page", "host", F.posexplode("keys").alias("block", "both")).select("page", "host", "block", F.explode("both").alias("key"))
+            text, levels, keys, found, again = [], [], [], [], []
+            for html in batch.column(3):
+                page = parse(html.as_py() or "", names)
+                first: dict[int, tuple[int, int, int]] = {}
+                others = []
+                for h, lo, hi in page.candidates:
+                    spot = (signed(h), lo, hi)
+                    if first.setdefault(h, spot) != spot:
+                        others.append(spot)
+                text.append("\n".join(t for t, _ in page.blocks))
+                levels.append(bytes(v for _, v in page.blocks))
+                keys.append([signed(k) for t, _ in page.blocks for k in block_keys(t)])
+                found.append(list(first.values()))
+                again.append(others)
+            made = [pa.array(text, pa.string()), pa.array(levels, pa.binary()), pa.array(keys, pa.list_(pa.int64())), spots(found), spots(again)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=kind.names)
+
+    def spots(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
+        flat = np.array([s for r in rows for s in r], np.int64).reshape(-1, 3)
+        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        inner = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))], fields=list(at.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends), inner)
+
+    return stored(rows.mapInArrow(parsed, kind).withColumn("page", F.monotonically_increasing_id()), "parsed_pages")
+
+
+def templates(seen: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, own_share: float = OWN_SHARE) -> DataFrame:
+    """host, hash: the template subtrees of each host, from parsed_pages().
+
+    A page votes once for a subtree, if it has a block of its own outside it: one whose windows do not recur on the host.
+    So stories that are copied, with small changes or without, cast no votes, a notice that is longer than the stories
+    loses none, and a subtree that one page repeats has one. A subtree is a template if it has min_pages votes, from
+    min_share of the host's pages and own_share of the pages that it is on. All that is shuffled is hashes and places;
+    counts are summed before they are shuffled.
+    """
+    seen = seen.where("host <> ''")
+    key = seen.select("page", "host", F.posexplode("keys").alias("at", "key")).select("page", "host", F.shiftright("at", 1).alias("block"), "key")
     often = key.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURRING).select("host", "key")
     shared = key.join(often, ["host", "key"]).groupBy("page").agg(F.collect_set("block").alias("shared"))
-    every = F.when(F.size("keys") > 0, F.sequence(F.lit(0), F.size("keys") - 1)).otherwise(F.array().cast("array<int>"))
+    blocks = F.shiftright(F.size("keys"), 1)
+    every = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
     own = F.array_except(every, F.coalesce("shared", F.array().cast("array<int>")))
     judged = seen.join(shared, "page", "left").select("host", "found", F.array_min(own).alias("first"), F.array_max(own).alias("last"))
-    each = judged.select("host", "first", "last", F.explode("found").alias("f"))
-    vote = (F.col("first") < F.col("f")[1]) | (F.col("last") >= F.col("f")[2])
-    counts = each.groupBy("host", F.col("f")[0].alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.count_if(vote).alias("votes"))
+    each = judged.select("host", "first", "last", F.inline("found"))
+    vote = (F.col("first") < F.col("lo")) | (F.col("last") >= F.col("hi"))
+    counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.count_if(vote).alias("votes"))
     counts = counts.where((F.col("votes") >= min_pages) & (F.col("votes") >= F.col("n") * own_share))
     total = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(total, "host").where(F.col("votes") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    return counts.join(total, "host").where(F.col("votes") >= F.col("pages") * min_share).select("host", "hash")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True, **options) -> DataFrame:
-    """id, url, text, n_chars and n_templates (template subtrees deleted, the outermost ones) of every page.
+    """id, url, text, n_chars, n_templates (template subtrees deleted, the outermost ones) and what became of the blocks
+    of every page: n_deleted went with templates, then n_outside with the rule of the article.
 
     A null or empty page has an empty text, as has one without content; a page without a host has no template. Rows
-    that repeat are extracted each. An empty table gives an empty one; other columns are
-    ignored. Templates are joined by host; Spark sends them to all tasks only if they are small, else it splits hot hosts.
+    that repeat are extracted each. An empty table gives an empty one; other columns are ignored. Pages are parsed once;
+    a page is joined with its own candidates that are templates, and with no other template of its host.
     """
-    kind = pages.schema[id_col].dataType
-    found = stored(templates(pages, url_col, html_col, names=names, **options), "templates")
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(found, "host", "left").select("id", "url", "html", "host", "hashes")
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, frozenset[int]] = {}
+    seen = parsed_pages(pages, id_col, url_col, html_col, names)
+    found = stored(templates(seen, **options), "templates")
+    mine = seen.where("host <> ''").select("page", "host", F.inline("found")).join(found, ["host", "hash"]).groupBy("page").agg(F.collect_list("hash").alias("doomed"))
+    joined = seen.select("page", "id", "url", "text", "levels", "found", "again").join(mine, "page", "left").drop("page")
+    more = StructType.fromDDL("text string, n_chars bigint, n_templates int, n_deleted int, n_outside int")
+    kind = StructType(joined.select("id", "url").schema.fields + more.fields)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n = [], []
-            for host, html, hashes in zip(batch["host"], batch["html"], batch["hashes"], strict=True):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = frozenset(int(h) & _MASK for h in hashes) if hashes is not None else frozenset()
-                blocks, gone = without(parse(html or "", names), known[host])
-                out.append(main_text(blocks))
-                n.append(gone)
-            yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out], "n_templates": n})
-
-    result = joined.mapInPandas(texts, "id string, url string, text string, n_chars long, n_templates int")
-    return result.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_templates")
+            out, counts = [], []
+            for text, levels, found, again, doomed in zip(*batch.columns[2:], strict=True):
+                levels, places = levels.as_py(), []
+                if doomed.is_valid:
+                    hashes = set(doomed.as_py())
+                    places = [(c["lo"], c["hi"]) for c in found.as_py() + again.as_py() if c["hash"] in hashes]
+                gone, n = without(len(levels), places)
+                blocks = list(zip(text.as_py().split("\n"), levels, strict=False))  # the text of no block is one empty line
+                kept = [b for b, g in zip(blocks, gone, strict=False) if not g]
+                out.append(main_text(kept))
+                counts.append((len(out[-1]), n, len(levels) - len(kept), len(kept) - (out[-1].count("\n") + 1 if out[-1] else 0)))
+            made = [pa.array([c[i] for c in counts], pa.int64() if i == 0 else pa.int32()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string()), *made], names=kind.names)
+
+    result = joined.mapInArrow(texts, kind)
+    return result.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_templates", "n_deleted", "n_outside")

@@ -102,3 +102,49 @@ def test_edges(spark):
     got = sorted(((r.page_id, r.text[:9], r.n_chars) for r in H.extract(pages).collect()), key=str)
     assert got == sorted([(1, "", 0), (2, "", 0), (None, "a", 1), (3, "b", 1), (3, "b", 1), (4, "w w w w w", 599_999), (5, "<" * 9, 5000), (6, "deep", 4)], key=str)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def brute_templates(rows, names, min_pages=H.MIN_PAGES, min_share=H.MIN_SHARE, own_share=H.OWN_SHARE):
+    """The votes written out: (host, hash as long) of (host, html) rows, page against page."""
+    from collections import Counter, defaultdict
+
+    by_host = defaultdict(list)
+    for host, html in rows:
+        by_host[host].append(H.parse(html or "", names))
+    found = set()
+    for host, pages in by_host.items():
+        often = Counter(k for p in pages for t, _ in p.blocks for k in H.block_keys(t))
+        on, votes = Counter(), Counter()
+        for p in pages:
+            own = [i for i, (t, _) in enumerate(p.blocks) if all(often[k] < H.RECURRING for k in H.block_keys(t))]
+            seen = {}
+            for h, lo, hi in p.candidates:
+                seen.setdefault(h, (lo, hi))
+            for h, (lo, hi) in seen.items():
+                on[h] += 1
+                votes[h] += any(i < lo or i >= hi for i in own)
+        found |= {(host, h - (h >> 63 << 64)) for h in on if votes[h] >= max(min_pages, min_share * len(pages), own_share * on[h])}
+    return found
+
+
+def test_votes_of_a_whole_table_against_a_loop(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [tuple(r) for r in pages.select(H.host_of(pages.url), "html").collect()]
+    for names, options in ((True, {}), (False, {}), (False, {"min_pages": 2, "min_share": 0.3, "own_share": 0.6})):
+        seen = H.parsed_pages(pages, "page_id", "url", "html", names)
+        got = {tuple(r) for r in H.templates(seen, **options).collect()}
+        assert got == brute_templates(rows, names, **options) and got
+
+
+def test_a_subtree_that_one_page_repeats_has_one_vote(spark):
+    ad = "<div><p>Two for one.</p></div>"
+    rows = [(i, "http://shop.example/", SITE.format(f"<div><p>{STORIES[i]}</p></div>" + ad * (3 if i == 0 else 0))) for i in range(6)]
+    assert extracted(spark, rows)[0].text == "\n".join([STORIES[0]] + ["Two for one."] * 3)
+    rows = [(i, u, SITE.format(f"<div><p>{STORIES[i]}</p></div>" + ad * (i + 1))) for i, u in enumerate(["http://shop.example/"] * 4)]
+    got = extracted(spark, rows)
+    assert all(got[i].text == STORIES[i] and (got[i].n_templates, got[i].n_deleted, got[i].n_outside) == (i + 1, i + 1, 0) for i in range(4))
+
+
+def test_places_that_nest():
+    gone, n = H.without(6, [(1, 2), (0, 3), (0, 3), (4, 5), (5, 5)])
+    assert list(gone) == [1, 1, 1, 0, 1, 0] and n == 3
