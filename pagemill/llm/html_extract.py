@@ -27,6 +27,8 @@ from .common import stored
 MIN_PAGES, MIN_SHARE, OWN_SHARE = 3, 0.005, 0.2
 #: A block whose windows are on so many pages of a host is not a page's own.
 RECURRING = 3
+#: So many templates, of 8 bytes each, are sent to all tasks at most.
+MOST_SENT = 500_000
 
 # Names that HTML or common usage gives to blocks, void elements, raw text and page furniture.
 BLOCKS = frozenset(
@@ -168,6 +170,10 @@ def parse(html: str, names: bool = True) -> Page:
         """The place of the innermost open element of some tags."""
         return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
 
+    def innermost(tag: str) -> int:
+        places = open_at.get(tag)
+        return places[-1] if places else -1
+
     def ends_ahead(tag: str) -> bool:
         if tag not in last_end:
             last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>]|\Z)", html, re.I)), default=-1)
@@ -183,7 +189,7 @@ def parse(html: str, names: bool = True) -> Page:
             pass
         elif m[1]:
             tag = name.lower()
-            i = last((tag,))
+            i = innermost(tag)
             if tag in ("body", "html"):
                 pass
             elif i >= 0 and (tag in BLOCKS or tag in EMBEDDED or i > (open_blocks[-1] if open_blocks else -1)):
@@ -193,7 +199,7 @@ def parse(html: str, names: bool = True) -> Page:
         else:
             tag = name.lower()
             alone = m[3].endswith("/")
-            if open_at.get("svg") and tag in BREAK_OUT and last(("svg",)) > last(("foreignobject",)):
+            if open_at.get("svg") and tag in BREAK_OUT and innermost("svg") > innermost("foreignobject"):
                 close(open_at["svg"][0])
             if tag in RAW:
                 if not alone or tag in ("script", "style", "textarea", "title"):
@@ -208,7 +214,7 @@ def parse(html: str, names: bool = True) -> Page:
                 pass  # nothing inside, or never closed: what follows is the page's
             else:
                 if tag in BLOCKS:
-                    i = last(("p",))
+                    i = innermost("p")
                     if i >= 0 and i > last(P_SCOPE):
                         close(i)
                     if tag in IMPLIED_ENDS:
@@ -349,18 +355,24 @@ def templates(seen: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     return counts.join(total, "host").where(F.col("votes") >= F.col("pages") * min_share).select("host", "hash")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True, **options) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True, most_sent: int = MOST_SENT, **options) -> DataFrame:
     """id, url, text, n_chars, n_templates (template subtrees deleted, the outermost ones) and what became of the blocks
     of every page: n_deleted went with templates, then n_outside with the rule of the article.
 
     A null or empty page has an empty text, as has one without content; a page without a host has no template. Rows
-    that repeat are extracted each. An empty table gives an empty one; other columns are ignored. Pages are parsed once;
-    a page is joined with its own candidates that are templates, and with no other template of its host.
+    that repeat are extracted each. An empty table gives an empty one; other columns are ignored. Pages are parsed once
+    and told which of their own candidates are templates: up to most_sent templates are sent to all tasks and no text is
+    shuffled; if there are more, candidates are joined with templates by hash, and pages with what is found by page.
     """
     seen = parsed_pages(pages, id_col, url_col, html_col, names)
     found = stored(templates(seen, **options), "templates")
-    mine = seen.where("host <> ''").select("page", "host", F.inline("found")).join(found, ["host", "hash"]).groupBy("page").agg(F.collect_list("hash").alias("doomed"))
-    joined = seen.select("page", "id", "url", "text", "levels", "found", "again").join(mine, "page", "left").drop("page")
+    if found.count() <= most_sent:
+        lists = F.broadcast(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")))
+        joined = seen.join(lists, "host", "left").withColumn("doomed", F.array_intersect(F.col("found.hash"), "hashes"))
+    else:
+        each = seen.where("host <> ''").select("page", "host", F.inline("found")).join(found, ["host", "hash"])
+        joined = seen.join(each.groupBy("page").agg(F.collect_list("hash").alias("doomed")), "page", "left")
+    joined = joined.select("id", "url", "text", "levels", "found", "again", "doomed")
     more = StructType.fromDDL("text string, n_chars bigint, n_templates int, n_deleted int, n_outside int")
     kind = StructType(joined.select("id", "url").schema.fields + more.fields)
 

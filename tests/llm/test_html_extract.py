@@ -104,6 +104,14 @@ def test_edges(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def brute_keys(text):
+    from xxhash import xxh64_intdigest
+
+    w = text.split()
+    hashes = [xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))]
+    return min(hashes), max(hashes)
+
+
 def brute_templates(rows, names, min_pages=H.MIN_PAGES, min_share=H.MIN_SHARE, own_share=H.OWN_SHARE):
     """The votes written out: (host, hash as long) of (host, html) rows, page against page."""
     from collections import Counter, defaultdict
@@ -113,10 +121,10 @@ def brute_templates(rows, names, min_pages=H.MIN_PAGES, min_share=H.MIN_SHARE, o
         by_host[host].append(H.parse(html or "", names))
     found = set()
     for host, pages in by_host.items():
-        often = Counter(k for p in pages for t, _ in p.blocks for k in H.block_keys(t))
+        often = Counter(k for p in pages for t, _ in p.blocks for k in brute_keys(t))
         on, votes = Counter(), Counter()
         for p in pages:
-            own = [i for i, (t, _) in enumerate(p.blocks) if all(often[k] < H.RECURRING for k in H.block_keys(t))]
+            own = [i for i, (t, _) in enumerate(p.blocks) if all(often[k] < H.RECURRING for k in brute_keys(t))]
             seen = {}
             for h, lo, hi in p.candidates:
                 seen.setdefault(h, (lo, hi))
@@ -145,6 +153,12 @@ def test_a_subtree_that_one_page_repeats_has_one_vote(spark):
     assert all(got[i].text == STORIES[i] and (got[i].n_templates, got[i].n_deleted, got[i].n_outside) == (i + 1, i + 1, 0) for i in range(4))
 
 
+def test_templates_sent_or_joined_delete_the_same(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    sent, joined = (sorted(map(tuple, H.extract(pages, names=False, most_sent=n).collect())) for n in (H.MOST_SENT, 0))
+    assert sent == joined and len(sent) == pages.count() and any(r[4] for r in sent)
+
+
 def test_places_that_nest():
     gone, n = H.without(6, [(1, 2), (0, 3), (0, 3), (4, 5), (5, 5)])
     assert list(gone) == [1, 1, 1, 0, 1, 0] and n == 3
