@@ -45,3 +45,23 @@ def looked_back(rows: DataFrame, by: list[str], order: list[str], columns: list[
     own = dealt.withColumn("__own", F.row_number().over(w)).withColumn("__lag", F.lag(F.struct(*columns)).over(w))
     joined = own.join(carried, _same(by)).withColumn("__old", F.when(F.col("__own") == 1, F.col("carried")).otherwise(F.col("__lag")))
     return joined.select(*rows.columns, *[F.col("__old")[c].alias(f"{prefix}{c}") for c in columns])
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], name: str = "quantiles", ranges: int | None = None) -> DataFrame:
+    """Each key's exact quantiles of a number, interpolated, as an array in the order of shares; null is a key, null values do not count.
+
+    A key's values are numbered over ranges and only those at the wanted places are kept, so no task holds a key's values.
+    A key without values has no row.
+    """
+    kept = rows.select(*by, F.col(value).cast("double").alias("__value")).where("__value IS NOT NULL")
+    placed = numbered(kept, by, ["__value"], "__place", ranges)
+    at = F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1) * (F.col("n") - 1)
+    ask = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(shares) - 1)))).withColumn("at", at)
+    low = F.floor("at")
+    spots = F.array(F.struct((low + 1).alias("spot"), (1 - (F.col("at") - low)).alias("weight")), F.struct((low + 2).alias("spot"), (F.col("at") - low).alias("weight")))
+    spots = ask.select(*[F.col(c).alias(f"__by_{c}") for c in by], "i", F.inline(spots)).where("weight > 0")
+    same = F.col("__place") == F.col("spot")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    found = placed.join(spots, same).groupBy(*by, "i").agg(F.sum(F.col("weight") * F.col("__value")).alias("v"))
+    return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias(name))

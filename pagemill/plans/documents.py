@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_markdown, confidence, cosine, domain_of, fenced_json, is_empty, strip_currency, strip_whitespace
 from ..operators import change, chunk, classify, discover, drift, geometry, html, merge, pictures, ranges, routing, state, text, xpath
+from ..sources import TIERS as LADDER
 from ..sources import EXTRACTION_RESULTS_SQL, MODELS_SQL, extraction_results, materialised, models, prices, register, table
 
 QUERIES: dict = {}
@@ -276,9 +279,17 @@ def cascade_start(spark: SparkSession, d: str) -> DataFrame:
 ORDERED_MODELS = f"SELECT model_id, ROW_NUMBER() OVER (ORDER BY CASE tier WHEN 'local' THEN 0 WHEN 'fast' THEN 1 ELSE 2 END, usd_in, seq) AS place, usd_in, usd_out FROM {MODELS_SQL} WHERE tier <> 'vision'"
 
 
-@query(f"SELECT model_id, place FROM ({ORDERED_MODELS})")
+RANK_SQL = "CASE {} WHEN 'local' THEN 0 WHEN 'fast' THEN 1 WHEN 'frontier' THEN 2 ELSE 3 END"
+
+
+@query(COMPLEXITY + f""", s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'frontier' ELSE tier END AS start FROM k), m AS (SELECT *, {RANK_SQL.format('tier')} AS r FROM {MODELS_SQL})
+  SELECT doc_id, start, STRING_AGG(model_id, ',' ORDER BY r, usd_in, seq) AS models FROM s LEFT JOIN m ON r >= {RANK_SQL.format('start')} AND (m.tier <> 'vision' OR start = 'vision') GROUP BY 1, 2""")
 def cascade_order(spark: SparkSession, d: str) -> DataFrame:
-    return routing.cascade_order(models(spark)).select("model_id", "place")
+    """The models that each document's cascade would try, from the tier it starts at."""
+    ladders = [routing.cascade_order(models(spark), tier).select(F.lit(tier).alias("start"), "place", "model_id") for tier in LADDER]
+    every = reduce(DataFrame.union, ladders).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "model_id"))).alias("all"))  # four rows
+    ladder = every.select("start", F.array_join("all.model_id", ",").alias("models"))
+    return cascade_start(spark, d).join(F.broadcast(ladder), "start", "left")
 
 
 @query(f"""WITH a AS (SELECT doc_id, place, model_id, ((doc_id * 7 + place * 13) % 100) / 100.0::DOUBLE AS confidence, (LENGTH(text) / 4.0 * usd_in + 4000 * usd_out) / 1000000 AS cost_usd FROM documents, ({ORDERED_MODELS})),

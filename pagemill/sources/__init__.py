@@ -109,10 +109,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back. The folder stays until discard(), forget() or the caller removes it."""
+def materialised(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written once to the shared folder (with options of the writer) and read back. The folder stays until discard(), forget() or the caller removes it."""
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -126,3 +126,29 @@ def test_area_means_and_the_hashes_behind_them(spark):
     assert a == b != c
     close = small.alias("x").crossJoin(small.alias("y")).where("x.i = 1").select("y.i", change.perceptual_similarity(F.col("x.h"), F.col("y.h")).alias("s"))
     assert {r.i: r.s for r in close.collect()}[2] == 1.0
+
+
+def test_quantiles_are_those_of_one_buffer(spark):
+    rows = [(k, v) for k, n in (("a", 1), ("b", 2), (None, 101), ("hot", 4000)) for v in [float(i * 7919 % 997) for i in range(n)]] + [("none", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.25, 0.5, 0.95, 1.0]
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect() if r.q}
+    for n in (1, 8):
+        got = {r.k: r.q for r in ranges.quantiles(df, ["k"], "v", shares, "q", n).collect()}
+        assert got.keys() == want.keys() == {"a", "b", None, "hot"}
+        assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+    assert ranges.quantiles(df.limit(0), ["k"], "v", shares).count() == 0
+
+
+def test_sketches_against_exact_aggregates(spark):
+    from pagemill.plans import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    exact = lambda t, by, key, v: {r[0]: r for r in spark.read.parquet(f"{d}/{t}.parquet").groupBy(by).agg(F.count_distinct(key), F.percentile(v, F.array(F.lit(0.45), F.lit(0.55)))).collect()}
+    for name, of, column in (("approximate_distinct", ("lineitem", "l_returnflag", "l_orderkey", "l_extendedprice"), "orders"), ("merged_sketches", ("events", "event_type", "user_id", "value"), "users")):
+        want = exact(*of)
+        got = QUERIES[name](spark, d).collect()
+        assert len(got) == len(want)
+        for r in got:
+            _, n, (low, high) = want[r[0]]
+            assert abs(r[column] - n) <= 0.06 * n and low <= r.p50 <= high
