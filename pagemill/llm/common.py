@@ -27,9 +27,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return fresh_folder(spark, name)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: later uses neither recompute it nor depend on the executor that made it."""
-    return materialised(df, name)
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written once to the shared folder (with options of the writer) and read back: later uses neither recompute it nor depend on the executor that made it."""
+    return materialised(df, name, **options)
 
 
 def word_array(text: Column) -> Column:

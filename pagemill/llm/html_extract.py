@@ -327,7 +327,7 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, nam
         inner = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))], fields=list(at.value_type))
         return pa.ListArray.from_arrays(pa.array(ends), inner)
 
-    return stored(rows.mapInArrow(parsed, kind).withColumn("page", F.monotonically_increasing_id()), "parsed_pages")
+    return stored(rows.mapInArrow(parsed, kind).withColumn("page", F.monotonically_increasing_id()), "parsed_pages", compression="zstd")
 
 
 def templates(seen: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, own_share: float = OWN_SHARE) -> DataFrame:
