@@ -361,7 +361,7 @@ def json_scan(spark: SparkSession, d: str) -> DataFrame:
 LANGUAGES = {"de": "German", "en": "English", "es": "Spanish", "fr": None}
 
 
-@query("""SELECT t.name AS language, COUNT(*) AS n, SUM(LENGTH(text)) AS chars FROM documents LEFT JOIN (VALUES ('de', 'German'), ('en', 'English'), ('es', 'Spanish'), ('fr', NULL)) AS t(lang, name) USING (lang) GROUP BY 1""")
+@query("""SELECT t.name AS language, COUNT(*) AS n, CAST(SUM(LENGTH(text)) AS BIGINT) AS chars FROM documents LEFT JOIN (VALUES ('de', 'German'), ('en', 'English'), ('es', 'Spanish'), ('fr', NULL)) AS t(lang, name) USING (lang) GROUP BY 1""")
 def records_scan(spark: SparkSession, d: str) -> DataFrame:
     """Records in memory, registered as a view that SQL joins with a table."""
     load_records(spark, "language_names", [{"lang": k, "name": v} for k, v in LANGUAGES.items()], "lang string, name string")
