@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -120,23 +121,39 @@ class _Builder(HTMLParser):
         return self.rows
 
 
-def parse_nodes(html: str | None) -> list[list]:
-    builder = _Builder()
-    builder.feed(html or "")
-    return builder.done()
+REFERENCE = re.compile(r"&(#\d+;|#[xX][0-9a-fA-F]+;|\w+;)?")
+#: Code points that no text has; one stands for an ampersand that is to be kept.
+NO_CHARACTERS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def parse_nodes(html: str | None, references: str = "all") -> list[list]:
+    """The rows of a page. references: which are resolved, all (as browsers do), closed (by a semicolon), or none."""
+    if references not in ("all", "closed", "none"):
+        raise ValueError(f"not a choice of references: {references!r}")
+    html, builder, held = html or "", _Builder(), ""
+    if references != "all" and "&" in html:
+        held = next(c for c in NO_CHARACTERS if c not in html)
+        known = lambda name: references == "closed" and name and (name[0] == "#" or name in html5)
+        html = REFERENCE.sub(lambda m: m[0] if known(m[1]) else held + (m[1] or ""), html)
+    builder.feed(html)
+    rows = builder.done()
+    for row in rows if held else ():
+        row[5], row[7], row[8] = (row[i].replace(held, "&") for i in (5, 7, 8))
+        row[6] = {k.replace(held, "&"): v.replace(held, "&") for k, v in row[6].items()}
+    return rows
+
+
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", references: str = "all") -> DataFrame:
     """key and one row per element: pre, post, parent, depth, sib, tag, attrs, own_text, tail_text, size.
 
     own_text comes before the first child, tail_text follows the element inside its parent, size is the length of its
-    own markup. A null or empty page has no nodes.
+    own markup. A null or empty page has no nodes. references: see parse_nodes.
     """
     kind = pages.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [[k, *row] for k, html in zip(batch["k"], batch["html"], strict=True) for row in parse_nodes(html)]
+            rows = [[k, *row] for k, html in zip(batch["k"], batch["html"], strict=True) for row in parse_nodes(html, references)]
             yield pd.DataFrame(rows, columns=["k", "pre", "post", "parent", "depth", "sib", "tag", "attrs", "own_text", "tail_text", "size"])
 
     return pages.select(F.col(key).alias("k"), F.col(html).alias("html")).mapInPandas(parse, f"k {kind}, {NODES}").withColumnRenamed("k", key)
@@ -450,9 +467,9 @@ def selected(all_nodes: DataFrame, selector: str, key: str = "page_id") -> DataF
     return found
 
 
-def subtree_html(all_nodes: DataFrame, key: str = "page_id", tops: Column | DataFrame | None = None) -> DataFrame:
-    """key, pre and the markup, written anew, of the subtrees of `tops`, with the text that follows them."""
-    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def subtree_html(all_nodes: DataFrame, key: str = "page_id", tops: Column | DataFrame | None = None, written: bool = False) -> DataFrame:
+    """key, pre and the markup, written anew, of the subtrees of `tops`, with the text that follows them; written: texts and attributes are markup already."""
+    safe = lambda c: c if written else F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     pairs = F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), F.replace(safe(e["value"]), F.lit('"'), F.lit("&quot;")), F.lit('"')))
     opens = F.concat(F.lit("<"), "tag", F.array_join(pairs, ""), F.lit(">"), safe(F.col("own_text")))
     end = F.when(F.col("tag").isin(*VOID), "").otherwise(F.concat(F.lit("</"), "tag", F.lit(">")))
@@ -469,16 +486,18 @@ def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
 def extract_field(all_nodes: DataFrame, selector: str, kind: str = "text", attr: str | None = None, transform: str | None = None, multiple: bool = False, urls: DataFrame | None = None, key: str = "page_id") -> DataFrame:
     """key and value: the first element's text, html or attribute (kind), or all of them as an array without empty ones.
 
+    kind written: html of nodes whose references are not resolved (references="none"), with texts and attributes as the page has them.
     transform: strip_currency, strip_whitespace, parse_date (trims), or to_absolute_url, for which urls has key and url.
     Pages without a match are absent; join from the pages to give them null.
     """
     hits = selected(all_nodes, selector, key)
-    if kind not in ("text", "html", "attribute"):
+    if kind not in ("text", "html", "written", "attribute"):
         raise ValueError(f"not a kind of value: {kind!r}")
     if kind == "attribute":
         values = hits.select(key, "pre", F.element_at("attrs", F.lit(attr)).alias("value"))
     else:
-        values = (subtree_html if kind == "html" else subtree_text)(all_nodes, key, hits).withColumnRenamed("text", "value")
+        found = subtree_text(all_nodes, key, hits) if kind == "text" else subtree_html(all_nodes, key, hits, kind == "written")
+        values = found.withColumnRenamed("text", "value")
     if transform == "to_absolute_url":
         values = values.join(urls.select(key, "url"), key).withColumn("value", absolute_url(F.col("url"), F.col("value")))
     elif transform:
@@ -490,9 +509,9 @@ def extract_field(all_nodes: DataFrame, selector: str, kind: str = "text", attr:
     return values.groupBy(key).agg(F.min_by("value", "pre").alias("value"))
 
 
-def extract(pages: DataFrame, fields: dict[str, dict], key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """key and a column for each field of a schema: {name: {selector, kind?, attr?, transform?, multiple?}}. Pages are parsed once."""
-    parsed = materialised(nodes(pages, key, html), "nodes")
+def extract(pages: DataFrame, fields: dict[str, dict], key: str = "page_id", html: str = "html", url: str = "url", references: str = "all") -> DataFrame:
+    """key and a column for each field of a schema: {name: {selector, kind?, attr?, transform?, multiple?}}. Pages are parsed once; references: see parse_nodes."""
+    parsed = materialised(nodes(pages, key, html, references), "nodes")
     out = pages.select(key, url)
     for name, config in fields.items():
         out = out.join(extract_field(parsed, urls=pages.select(key, url), key=key, **config).withColumnRenamed("value", name), key, "left")

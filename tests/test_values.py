@@ -156,6 +156,34 @@ def test_markup_of_elements(tree):
         html.extract_field(tree, "p", kind="table")
 
 
+CUT = '<head><script>a && b &amp; c</script></head><h1 title="x&ampy">R &amp;&lt; &amp</h1><p>&#65;&quo</p><h1>two</h1>'
+
+
+def test_closed_references_alone_are_resolved(spark):
+    pages = spark.createDataFrame([(1, "u", CUT), (2, "u", None)], "page_id int, url string, html string")
+    for references, want in (("all", "R &< &"), ("closed", "R &< &amp"), ("none", "R &amp;&lt; &amp")):
+        got = {r.page_id: r.title for r in html.extract(pages, {"title": {"selector": "h1"}}, references=references).collect()}
+        assert got == {1: want, 2: None}
+    rows = html.parse_nodes(CUT, "closed")
+    assert [r[7] for r in rows if r[5] in ("script", "p")] == ["a && b &amp; c", "A&quo"]
+    with pytest.raises(ValueError, match="references"):
+        html.parse_nodes("", "some")
+
+
+def test_headings_with_a_cut_reference_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from pagemill.plans import ORACLES, QUERIES
+
+    heads = ["a &amp; b &amp", "c &am", "&quot;d&quot; &", "e", "f &amp;amp;"]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<html><body><h1>{h}</h1></body></html>") for i, h in enumerate(heads)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("h1_extract",):
+        want = {tuple(map(str, r)) for r in duckdb.sql(ORACLES[name]).fetchall()}
+        assert {tuple(map(str, r)) for r in QUERIES[name](spark, str(tmp_path)).collect()} == want and len(want) == 5
+
+
 def test_pictures_against_loops(spark):
     import numpy as np
 
