@@ -62,6 +62,11 @@ def grams(text: Column, n: int) -> Column:
     return F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
 
 
+def upper_by_character(text: Column) -> Column:
+    """The text in upper case, a character for each: those that would become several (ß) stay, as in SQL engines that map characters singly."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of the sets of character bigrams."""
     x, y = grams(a, 2), grams(b, 2)

@@ -107,6 +107,16 @@ def test_merge_labels(spark):
     assert merge.merge_fields(h, v, prefer_html=False).where("field = 'e'").first().source == "conflict_vision"
 
 
+def test_titles_with_sharp_s_agree(spark, tmp_path):
+    from pagemill.plans import QUERIES
+
+    pages = [(1, "http://h/1", "<h1>Chß Chß Chß</h1>"), (2, "http://h/2", "<h1>été</h1>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["merge_fields"](spark, str(tmp_path)).where("field = 'title'").collect()
+    assert {(r.item_id, r.merged, r.source) for r in got} == {(1, "Chß Chß Chß", "agreed"), (2, "été", "agreed")}
+    assert {r.agreed for r in QUERIES["merge_summary"](spark, str(tmp_path)).collect()} == {1}
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
