@@ -152,3 +152,12 @@ def test_sketches_against_exact_aggregates(spark):
         for r in got:
             _, n, (low, high) = want[r[0]]
             assert abs(r[column] - n) <= 0.06 * n and low <= r.p50 <= high
+
+
+def test_sketches_stand_beside_exact_results(spark):
+    from pagemill.plans import ORACLES, QUERIES
+
+    for name, by, count in (("approximate_distinct", "l_returnflag", "orders"), ("merged_sketches", "event_type", "users")):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert name in ORACLES and {by, count, f"{count}_close", "median_close", "p50"} <= set(rows.columns)
+        assert all(r[f"{count}_close"] and r.median_close for r in rows.collect())
