@@ -51,6 +51,18 @@ def token_estimate(text: Column, chars_per_token: float = 4.0) -> Column:
     return F.floor(F.length(text) / F.lit(chars_per_token)).cast("long")
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once a row even where body uses it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def counted(values: Column) -> Column:
+    """The distinct values of an array in order, with how often each occurs: structs of value and n. One sort, then linear."""
+    starts = lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)), lambda i: i.isNotNull())
+    runs = lambda a: once(starts(a), lambda s: F.transform(s, lambda at, i: F.struct(F.get(a, at).alias("value"), (F.coalesce(F.get(s, i + 1), F.size(a)) - at).alias("n"))))
+    return once(F.array_sort(values), runs)
+
+
 def grams(text: Column, n: int) -> Column:
     """The set of n-character substrings, from the text's characters, which are told apart once: linear in the text."""
 

@@ -277,3 +277,17 @@ def test_jobs_by_status_and_key(spark):
     rows = spark.createDataFrame([(1, "queued"), (2, "failed"), (3, "queued")], "job_id int, status string")
     assert jobs.get(rows, job_id=2).first().status == "failed" and jobs.get(rows, job_id=9).count() == 0
     assert {r.job_id for r in jobs.by_status(rows, "queued").collect()} == {1, 3}
+
+
+def test_terms_are_counted_in_their_pair(spark):
+    from pagemill.operators import text
+
+    pairs = spark.createDataFrame([(1, "aa bb aa", "aa cc"), (2, None, "x"), (3, "dd", "dd"), (3, "ee", "dd")], "k int, a string, b string")
+    found = text.tfidf_similarity(pairs, ["k"], "a", "b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    rare = 1 + math.log(1.5)
+    third = 2 / math.sqrt(1 + rare**2) / 2  # dd once and twice, ee once
+    assert sorted((r.k, round(r.similarity, 9)) for r in found.collect()) == [(1, round(2 / math.sqrt(4 + rare**2) / math.sqrt(1 + rare**2), 9)), (2, 0.0), (3, round(third, 9)), (3, round(third, 9))]
+    few = text.tfidf_similarity(pairs.where("k = 1"), ["k"], "a", "b", most_terms=1)
+    assert few.first().similarity == pytest.approx(1.0)
