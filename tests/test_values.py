@@ -291,3 +291,12 @@ def test_terms_are_counted_in_their_pair(spark):
     assert sorted((r.k, round(r.similarity, 9)) for r in found.collect()) == [(1, round(2 / math.sqrt(4 + rare**2) / math.sqrt(1 + rare**2), 9)), (2, 0.0), (3, round(third, 9)), (3, round(third, 9))]
     few = text.tfidf_similarity(pairs.where("k = 1"), ["k"], "a", "b", most_terms=1)
     assert few.first().similarity == pytest.approx(1.0)
+
+
+def test_records_meet_sums_not_texts(spark):
+    import re
+
+    from pagemill.plans import QUERIES
+
+    plan = QUERIES["records_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftOuter(.*\n)+?.*Aggregate \[lang", plan)
