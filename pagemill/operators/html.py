@@ -14,11 +14,12 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import strip_currency, strip_whitespace
+from ..functions import once, strip_currency, strip_whitespace
 from ..sources import materialised
 
 # What pruning removes by tag, role, class or id, and style; what it may remove if empty.
@@ -150,18 +151,36 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", references
     own markup. A null or empty page has no nodes. references: see parse_nodes.
     """
     kind = pages.schema[key].dataType.simpleString()
+    return pages.select(F.col(key).alias("k"), F.col(html).alias("html")).mapInArrow(lambda batches: _parsed(batches, references), f"k {kind}, {NODES}").withColumnRenamed("k", key)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [[k, *row] for k, html in zip(batch["k"], batch["html"], strict=True) for row in parse_nodes(html, references)]
-            yield pd.DataFrame(rows, columns=["k", "pre", "post", "parent", "depth", "sib", "tag", "attrs", "own_text", "tail_text", "size"])
 
-    return pages.select(F.col(key).alias("k"), F.col(html).alias("html")).mapInPandas(parse, f"k {kind}, {NODES}").withColumnRenamed("k", key)
+#: A task parses or renders pages one by one and hands on what it has at this many nodes or characters, so its memory does not grow with its batch.
+NODES_AT_ONCE, CHARS_AT_ONCE = 8192, 1 << 22
 
 
-def _once(value: Column, body) -> Column:
-    """body(value), with value computed once a row even where body uses it many times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _parsed(batches: Iterator[pa.RecordBatch], references: str) -> Iterator[pa.RecordBatch]:
+    """Batches of key and html as batches of nodes."""
+    for batch in batches:
+        at, held, size = [], [], 0
+        for i in range(batch.num_rows):
+            text = batch.column(1)[i].as_py()
+            rows = parse_nodes(text, references)
+            at += [i] * len(rows)
+            held += rows
+            size += len(text or "")
+            if held and (len(held) >= NODES_AT_ONCE or size >= CHARS_AT_ONCE):
+                yield _node_batch(batch.column(0), at, held)
+                at, held, size = [], [], 0
+        if held:
+            yield _node_batch(batch.column(0), at, held)
+
+
+def _node_batch(keys: pa.Array, at: list[int], rows: list[list]) -> pa.RecordBatch:
+    """Rows of parse_nodes as a batch; `at` tells the place of each one's page among the keys."""
+    *numbers, tags, attrs, own, tails, sizes = zip(*rows, strict=True)
+    arrays = [pa.array(c, pa.int32()) for c in numbers] + [pa.array(tags, pa.string()), pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string()))]
+    arrays += [pa.array(own, pa.string()), pa.array(tails, pa.string()), pa.array(sizes, pa.int32())]
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *arrays], ["k", *(c.split()[0] for c in NODES.split(", "))])
 
 
 def _slices(all_nodes: DataFrame, key: str, tops: Column | DataFrame | None, opens: Column, closes: Column) -> DataFrame:
@@ -186,9 +205,9 @@ def _slices(all_nodes: DataFrame, key: str, tops: Column | DataFrame | None, ope
     def texts(ends: Column) -> Column:
         joined = lambda pieces, s: F.array_join(F.slice(pieces, s["o"]["i"] + 1, s["c"]["i"] - s["o"]["i"]), "")
         spans = F.arrays_zip(places(ends, True).alias("o"), places(ends, False).alias("c"))
-        return _once(F.transform(ends, lambda e: e["t"]), lambda pieces: F.transform(spans, lambda s: F.struct(s["o"]["pre"].alias("pre"), joined(pieces, s).alias("text"))))
+        return once(F.transform(ends, lambda e: e["t"]), lambda pieces: F.transform(spans, lambda s: F.struct(s["o"]["pre"].alias("pre"), joined(pieces, s).alias("text"))))
 
-    return rows.select(key, F.explode(_once(F.col("ends"), texts)).alias("s")).select(key, "s.pre", "s.text")
+    return rows.select(key, F.explode(once(F.col("ends"), texts)).alias("s")).select(key, "s.pre", "s.text")
 
 
 def subtree_text(all_nodes: DataFrame, key: str = "page_id", tops: Column | DataFrame | None = None) -> DataFrame:
@@ -599,25 +618,30 @@ def markdown_of(rows: list[list], citations: bool = True) -> str:
     return body + ("\n\n" + "\n".join(f"[{n}]: {u}" for u, n in links.items()) if links else "")
 
 
+def _rendered(batches: Iterator[pa.RecordBatch], citations: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of key and nodes as batches of key and Markdown."""
+    for batch in batches:
+        done, texts, size = 0, [], 0
+        for i in range(batch.num_rows):
+            rows = [list(r.values()) for r in batch.column(1)[i].as_py()]
+            known = {r[0] for r in rows}
+            for r in rows:
+                r[2] = r[2] if r[2] in known else -1
+                r[6] = {e["key"]: e["value"] for e in r[6]} if r[6] is not None else {}
+            texts.append(markdown_of(rows, citations))
+            size += len(texts[-1])
+            if size >= CHARS_AT_ONCE or i == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), pa.array(texts, pa.string())], ["k", "markdown"])
+                done, texts, size = i + 1, [], 0
+
+
 def markdown(all_nodes: DataFrame, key: str = "page_id", citations: bool = True) -> DataFrame:
     """key and markdown of each page, from its (pruned) nodes. A page is rendered by one task, which holds that page alone."""
     kind = all_nodes.schema[key].dataType.simpleString()
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for page in batch["rows"]:
-                rows = [list(r.values()) for r in page]
-                known = {r[0] for r in rows}
-                for r in rows:
-                    r[2] = r[2] if r[2] in known else -1
-                    r[6] = {e["key"]: e["value"] for e in r[6]} if r[6] is not None else {}
-                texts.append(markdown_of(rows, citations))
-            yield pd.DataFrame({"k": batch["k"], "markdown": texts})
-
     node = F.struct("pre", "post", "parent", "depth", "sib", "tag", F.map_entries("attrs").alias("attrs"), "own_text", "tail_text", "size")
     pages = all_nodes.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(node)).alias("rows"))
-    return pages.mapInPandas(render, f"k {kind}, markdown string").withColumnRenamed("k", key)
+    return pages.mapInArrow(lambda batches: _rendered(batches, citations), f"k {kind}, markdown string").withColumnRenamed("k", key)
 
 
 # The keys of page metadata and the names of the meta elements that hold them, the first found first.

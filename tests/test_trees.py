@@ -181,3 +181,22 @@ def test_selectors_of_discovered_fields_return_the_cluster(spark, nodes):
                 assert len(got) == len(elements) and len({g - e for g, e in zip(got, elements, strict=True)}) == 1, selector
                 checked += 1
     assert checked > 5
+
+
+def test_tasks_hand_on_nodes_and_texts_before_their_batch_ends(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(html, "NODES_AT_ONCE", 10)
+    monkeypatch.setattr(html, "CHARS_AT_ONCE", 100)
+    pages = ["<p>a<b>c</b></p>", None, "<p>x</p>" * 4] * 50
+    whole = [(k, *r) for k, page in enumerate(pages) for r in html.parse_nodes(page)]
+    out = list(html._parsed(iter([pa.record_batch({"k": pa.array(range(150)), "html": pa.array(pages)})]), "all"))
+    assert max(b.num_rows for b in out) < 10 + 4
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert [(*r[:7], dict(r[7]), *r[8:]) for r in got] == whole
+    names = ("pre", "post", "parent", "depth", "sib", "tag", "attrs", "own_text", "tail_text", "size")
+    kind = pa.list_(pa.struct([(n, pa.string() if n.endswith("text") or n == "tag" else pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])) if n == "attrs" else pa.int32()) for n in names]))
+    held = [[dict(zip(names, [*r[:6], [], *r[7:]], strict=True)) for r in html.parse_nodes(page)] for page in pages]
+    texts = list(html._rendered(iter([pa.record_batch({"k": pa.array(range(150)), "rows": pa.array(held, kind)})]), True))
+    assert len(texts) > 5 and [r["k"] for b in texts for r in b.to_pylist()] == list(range(150))
+    assert [r["markdown"] for b in texts for r in b.to_pylist()] == [html.markdown_of(html.parse_nodes(page)) for page in pages]
