@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import once, strip_currency, strip_whitespace
+from ..functions import counted, once, strip_currency, strip_whitespace
 from ..sources import materialised
 
 # What pruning removes by tag, role, class or id, and style; what it may remove if empty.
@@ -295,24 +295,38 @@ def top_blocks(blocks: DataFrame, key: str = "page_id", k: int = 10) -> DataFram
 def relevant_blocks(blocks: DataFrame, query: str, key: str = "page_id", k: int = 10, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """The k best blocks of each page for a query: 0.6 of the block's score and 0.4 of its BM25, divided by the page's largest if that is above 0.
 
-    The corpus of a page is its blocks, so all statistics are within a page. A word in more than half of the blocks has
-    `floor` times the mean inverse frequency of the page's words; a word that the query repeats counts each time.
+    The corpus of a page is its blocks, so all statistics are within a page, and a page's blocks become one row: no row
+    stands for a word. A word in more than half of the blocks has `floor` times the mean inverse frequency of the page's
+    words; a word that the query repeats counts each time.
     """
     asked = Counter(query.lower().split())
-    sized = blocks.select(key, "pre", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
-    tf = sized.select(key, "pre", F.size("w").alias("n"), F.explode("w").alias("word")).groupBy(key, "pre", "n", "word").agg(F.count(F.lit(1)).alias("tf"))
-    stats = sized.groupBy(key).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
-    raw = tf.groupBy(key, "word").agg(F.count(F.lit(1)).alias("df")).join(stats, key).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    page = raw.groupBy(key).agg(F.avg("raw").alias("mean_idf"), F.first("mean").alias("mean"))
-    hit = F.col("word").isin(*asked) if asked else F.lit(False)
-    idf = raw.where(hit).select(key, "word", "raw").join(page, key).withColumn("idf", F.when(F.col("raw") < 0, floor * F.col("mean_idf")).otherwise(F.col("raw")))
-    times = F.element_at(F.create_map(*[F.lit(x) for w in asked.items() for x in w]), F.col("word")) if asked else F.lit(0)
-    part = times * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scores = tf.where(hit).join(idf, [key, "word"]).groupBy(key, "pre").agg(F.sum(part).alias("__bm25"))
-    rows = blocks.join(scores, [key, "pre"], "left").withColumn("__bm25", F.coalesce("__bm25", F.lit(0.0)))
-    most = F.max("__bm25").over(Window.partitionBy(key))
-    rows = rows.withColumn("score", 0.6 * F.col("score") + 0.4 * F.col("__bm25") / F.when(most > 0, most).otherwise(1.0))
-    return top_blocks(rows.select(*blocks.columns), key, k)
+    names = [c for c in blocks.columns if c != key]
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    often = lambda w, a: F.size(F.filter(w, lambda x: x == a))
+    told = once(words, lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("words"), F.array(*[often(w, a) for a in asked]).cast("array<int>").alias("tf")))
+    pages = blocks.select(key, F.struct(F.struct(*names).alias("block"), told.alias("own")).alias("b")).groupBy(key).agg(F.collect_list("b").alias("bs"))
+    docs = F.size("bs")
+    raw = lambda df: F.log((docs - df + 0.5) / (df + 0.5))
+    mean = F.aggregate("bs", F.lit(0.0), lambda s, x: s + x["own"]["n"]) / docs
+    every = counted(F.flatten(F.transform("bs", lambda x: x["own"]["words"])))
+    mean_idf = once(F.transform(every, lambda w: raw(w["n"])), lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x) / F.size(r))
+    own_idf = lambda i, m: once(raw(F.size(F.filter("bs", lambda x: x["own"]["tf"][i] > 0))), lambda r: F.when(r < 0, floor * m).otherwise(r))
+    page = once(mean_idf, lambda m: F.struct(mean.alias("mean"), F.array(*[own_idf(i, m) for i in range(len(asked))]).cast("array<double>").alias("idf")))
+
+    def worth(own: Column, of: Column) -> Column:
+        part = lambda i, times: times * of["idf"][i] * own["tf"][i] * (k1 + 1) / (own["tf"][i] + k1 * (1 - b + b * own["n"] / of["mean"]))
+        return sum((F.when(own["tf"][i] > 0, part(i, times)).otherwise(0.0) for i, times in enumerate(asked.values())), F.lit(0.0))
+
+    weighed = once(page, lambda of: F.transform("bs", lambda x: F.struct(x["block"].alias("block"), worth(x["own"], of).alias("bm25"))))
+
+    def ranked(rows: Column, most: Column) -> Column:
+        score = lambda x: 0.6 * x["block"]["score"] + 0.4 * x["bm25"] / F.when(most > 0, most).otherwise(1.0)
+        found = F.transform(rows, lambda x: F.struct((-score(x)).alias("order"), x["block"]["pre"].alias("pre"), score(x).alias("score"), x["block"].alias("block")))
+        return F.slice(F.array_sort(found), 1, k)
+
+    best = once(weighed, lambda rows: once(F.array_max(F.transform(rows, lambda x: x["bm25"])), lambda most: ranked(rows, most)))
+    rows = pages.select(key, F.posexplode(best).alias("at", "b"))
+    return rows.select(*[F.col(key) if c == key else F.col("b.score" if c == "score" else f"b.block.{c}").alias(c) for c in blocks.columns], (F.col("at") + 1).alias("place"))
 
 
 def structures(all_nodes: DataFrame, key: str = "page_id", shortest: int = 20, deepest: int = 10) -> DataFrame:

@@ -200,3 +200,10 @@ def test_tasks_hand_on_nodes_and_texts_before_their_batch_ends(monkeypatch):
     texts = list(html._rendered(iter([pa.record_batch({"k": pa.array(range(150)), "rows": pa.array(held, kind)})]), True))
     assert len(texts) > 5 and [r["k"] for b in texts for r in b.to_pylist()] == list(range(150))
     assert [r["markdown"] for b in texts for r in b.to_pylist()] == [html.markdown_of(html.parse_nodes(page)) for page in pages]
+
+
+def test_words_of_blocks_are_not_shuffled(spark):
+    rows = [(1, 2, "p", "the a", 5, 0.0, 0.5), (1, 3, "p", "b b", 3, 0.0, 0.5), (1, 4, "p", "", 0, 0.0, 0.5)]
+    found = html.relevant_blocks(spark.createDataFrame(rows, "page_id int, pre int, tag string, text string, n_chars int, link_density double, score double"), "b")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [(r.pre, r.place, round(r.score, 9)) for r in found.orderBy("place").collect()] == [(3, 1, 0.7), (2, 2, 0.3), (4, 3, 0.3)]
