@@ -101,7 +101,7 @@ def discover(all_nodes: DataFrame, key: str = "page_id", least: int = 3) -> Data
     structure's elements and no others; a field has one that names its leaf of every element, at the same place in
     each, and nothing else. They are null where no selector of up to three child steps does that.
     """
-    told = materialised(html.structures(all_nodes, key), "structures")
+    told = materialised(html.structures(all_nodes, key, least=least), "structures")
     found = html.repeated_subtrees(all_nodes, key, least, told=told)
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "first_pre"))
     top = found.withColumn("place", best).where("place = 1").withColumn("confidence", F.least(F.lit(1.0), F.col("count") / 10 + HYBRID_BONUS)).where(F.col("confidence") > ACCEPT)

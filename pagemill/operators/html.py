@@ -183,36 +183,39 @@ def _node_batch(keys: pa.Array, at: list[int], rows: list[list]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *arrays], ["k", *(c.split()[0] for c in NODES.split(", "))])
 
 
-def _slices(all_nodes: DataFrame, key: str, tops: Column | DataFrame | None, opens: Column, closes: Column) -> DataFrame:
+def _slices(all_nodes: DataFrame, key: str, tops: Column | DataFrame | None, pieces: dict[str, tuple[Column, Column]], told=lambda texts, depth: texts["text"]) -> DataFrame:
     """key, pre and text of the subtrees of `tops`: what their nodes write where they open and close, their own closing left out.
 
     A page becomes one row, with its pieces in the order of opening and closing and the places of its tops among them, so
-    a text is put together from its own pieces alone. Everything is partitioned by page: one shuffle.
+    a text is put together from its own pieces alone. Everything is partitioned by page: one shuffle. pieces: what nodes
+    write, by the name of a text; told: what is kept, as text, of a top's texts and its depth, so that no row holds more.
     """
     if isinstance(tops, DataFrame):
         all_nodes = all_nodes.join(tops.select(key, "pre", F.lit(True).alias("__top")), [key, "pre"], "left")
         tops = F.col("__top")
     wanted = F.coalesce(tops, F.lit(False)) if tops is not None else F.lit(True)
-    end = lambda at, n, text, opening: F.struct(at.alias("at"), n.alias("n"), F.col("pre"), text.alias("t"), wanted.alias("top"), F.lit(opening).alias("opening"))
-    ends = F.array(end(F.col("pre"), F.lit(0), opens, True), end(F.col("post"), 1_000_001 - F.col("depth"), closes, False))
+    end = lambda at, n, side: F.struct(at.alias("at"), n.alias("n"), F.col("pre"), F.col("depth"), *[p[side].alias(f"t_{name}") for name, p in pieces.items()], wanted.alias("top"), F.lit(side == 0).alias("opening"))
+    ends = F.array(end(F.col("pre"), F.lit(0), 0), end(F.col("post"), 1_000_001 - F.col("depth"), 1))
     rows = all_nodes.select(key, F.explode(ends).alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("ends"))
 
     def places(ends: Column, opening: bool) -> Column:
         """The tops' places among the ends, in the order of the nodes, which is that of their openings."""
-        of = F.filter(F.transform(ends, lambda e, i: F.struct(e["pre"].alias("pre"), i.alias("i"), (e["top"] & (e["opening"] == opening)).alias("ok"))), lambda e: e["ok"])
+        of = F.filter(F.transform(ends, lambda e, i: F.struct(e["pre"].alias("pre"), i.alias("i"), e["depth"].alias("depth"), (e["top"] & (e["opening"] == opening)).alias("ok"))), lambda e: e["ok"])
         return of if opening else F.array_sort(of)
 
     def texts(ends: Column) -> Column:
         joined = lambda pieces, s: F.array_join(F.slice(pieces, s["o"]["i"] + 1, s["c"]["i"] - s["o"]["i"]), "")
+        written = lambda name: F.transform(ends, lambda e: e[f"t_{name}"]).alias(name)
         spans = F.arrays_zip(places(ends, True).alias("o"), places(ends, False).alias("c"))
-        return once(F.transform(ends, lambda e: e["t"]), lambda pieces: F.transform(spans, lambda s: F.struct(s["o"]["pre"].alias("pre"), joined(pieces, s).alias("text"))))
+        kept = lambda p, s: told({name: joined(p[name], s) for name in pieces}, s["o"]["depth"])
+        return once(F.struct(*map(written, pieces)), lambda p: F.transform(spans, lambda s: F.struct(s["o"]["pre"].alias("pre"), kept(p, s).alias("text"))))
 
     return rows.select(key, F.explode(once(F.col("ends"), texts)).alias("s")).select(key, "s.pre", "s.text")
 
 
 def subtree_text(all_nodes: DataFrame, key: str = "page_id", tops: Column | DataFrame | None = None) -> DataFrame:
     """key, pre and the text, trimmed, of the subtrees of `tops` (a condition, or some of the nodes; default: every node)."""
-    return _slices(all_nodes, key, tops, F.col("own_text"), F.col("tail_text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    return _slices(all_nodes, key, tops, {"text": (F.col("own_text"), F.col("tail_text"))}).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
 def subtree_sums(all_nodes: DataFrame, values: dict[str, Column], key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -329,22 +332,33 @@ def relevant_blocks(blocks: DataFrame, query: str, key: str = "page_id", k: int
     return rows.select(*[F.col(key) if c == key else F.col("b.score" if c == "score" else f"b.block.{c}").alias(c) for c in blocks.columns], (F.col("at") + 1).alias("place"))
 
 
-def structures(all_nodes: DataFrame, key: str = "page_id", shortest: int = 20, deepest: int = 10) -> DataFrame:
-    """key, pre, structure and text of the subtrees with some text: the hash of their tags, nested as they are, and of the depth they lie at."""
-    inner = ~F.col("tag").isin("html", "body", "head") & (F.col("depth") <= deepest)
-    texts = subtree_text(all_nodes, key, inner).where(F.length("text") >= shortest)
-    shapes = _slices(all_nodes, key, inner, F.concat(F.lit("("), F.col("tag")), F.lit(")")).withColumnRenamed("text", "shape")
-    both = texts.join(shapes, [key, "pre"]).join(all_nodes.where(inner).select(key, "pre", "depth"), [key, "pre"])
-    return both.select(key, "pre", F.substring(F.md5(F.concat_ws(":", "depth", "shape")), 1, 12).alias("structure"), "text")
+def structures(all_nodes: DataFrame, key: str = "page_id", shortest: int = 20, least: int = 3) -> DataFrame:
+    """key, pre, structure and sample (500 characters of the text) of the subtrees with some text that may recur `least` times on their page, at any depth.
+
+    A structure is the hash of a subtree's tags, nested as they are, and of the depth it lies at. Equal structures have as
+    many nodes, so a subtree without enough others of its depth, tag and size can't recur: what wraps a deep page is never put
+    together. A page is one row of one shuffle, and of a text only its sample outlasts the row.
+    """
+    alike = F.count(F.lit(1)).over(Window.partitionBy(key, "depth", "tag", F.col("post") - F.col("pre")))
+    rows = all_nodes.select(key, "pre", "post", "depth", "tag", "own_text", "tail_text").repartition(key).withColumn("__alike", alike)
+    pieces = {"text": (F.col("own_text"), F.col("tail_text")), "shape": (F.concat(F.lit("("), F.col("tag")), F.lit(")"))}
+
+    def told(texts: dict[str, Column], depth: Column) -> Column:
+        structure = F.substring(F.md5(F.concat_ws(":", depth, texts["shape"])), 1, 12)
+        found = lambda t: F.when(F.length(t) >= shortest, F.struct(structure.alias("structure"), F.substring(t, 1, 500).alias("sample")))
+        return once(F.btrim(texts["text"], F.lit(" \t\n\x0b\f\r")), found)
+
+    found = _slices(rows, key, ~F.col("tag").isin("html", "body", "head") & (F.col("__alike") >= least), pieces, told)
+    return found.where("text IS NOT NULL").select(key, "pre", "text.structure", "text.sample")
 
 
-def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3, shortest: int = 20, deepest: int = 10, told: DataFrame | None = None) -> DataFrame:
+def repeated_subtrees(all_nodes: DataFrame, key: str = "page_id", least: int = 3, shortest: int = 20, told: DataFrame | None = None) -> DataFrame:
     """Structures that recur on a page: key, structure, count, first_pre, sample (500 characters of the first), place (the most frequent first).
 
     told: structures() of the nodes, if it is at hand.
     """
-    both = structures(all_nodes, key, shortest, deepest) if told is None else told
-    found = both.groupBy(key, "structure").agg(F.count(F.lit(1)).alias("count"), F.min("pre").alias("first_pre"), F.substring(F.min_by("text", "pre"), 1, 500).alias("sample"))
+    both = structures(all_nodes, key, shortest, least) if told is None else told
+    found = both.groupBy(key, "structure").agg(F.count(F.lit(1)).alias("count"), F.min("pre").alias("first_pre"), F.min_by("sample", "pre").alias("sample"))
     return found.where(F.col("count") >= least).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "first_pre")))
 
 
@@ -507,7 +521,7 @@ def subtree_html(all_nodes: DataFrame, key: str = "page_id", tops: Column | Data
     opens = F.concat(F.lit("<"), "tag", F.array_join(pairs, ""), F.lit(">"), safe(F.col("own_text")))
     end = F.when(F.col("tag").isin(*VOID), "").otherwise(F.concat(F.lit("</"), "tag", F.lit(">")))
     closes = F.concat(end, safe(F.col("tail_text")))
-    inside = _slices(all_nodes, key, tops, opens, closes)
+    inside = _slices(all_nodes, key, tops, {"text": (opens, closes)})
     return inside.join(all_nodes.select(key, "pre", closes.alias("__end")), [key, "pre"]).select(key, "pre", F.concat("text", "__end").alias("text"))
 
 

@@ -1,6 +1,7 @@
 """The relation of nodes against trees that are walked node by node, over whole tables."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -132,6 +133,27 @@ def test_repeated_subtrees(nodes):
     assert dict(got) == want and len(want) > 10
 
 
+def test_structures_recur_at_any_depth(spark):
+    """Nested deeper than ten: against trees walked node by node, a page without a key, and the schema of such a page."""
+    rng = random.Random(4)
+
+    def branch(left):
+        inner = "".join(branch(left - 1) for _ in range(rng.choice([1, 1, 2]))) if left else rng.choice(["", "a ", " some words", "\n"])
+        return f"<div>{inner}</div>" + rng.choice(["", "tail "]) if rng.random() < 0.9 else f"<span>{inner}</span>"
+
+    pages = [(k, "<div>" * 9 + "".join(branch(6) for _ in range(5))) for k in range(8)]
+    cards = "<section>" * 14 + "".join(f"<article><b>Title number {i}</b> and words</article>" for i in range(4))
+    deep = html.nodes(spark.createDataFrame([*pages, (98, cards), (None, "<div>" * 12 + "<p>a</p>" * 3)], "page_id long, html string")).cache()
+    got = defaultdict(dict)
+    for r in html.repeated_subtrees(deep, shortest=1).collect():
+        got[r.page_id][r.structure] = (r["count"], r.first_pre, r["sample"])
+    walked = {k: (t, s) for k, t in trees(deep).items() if (s := structures(t, 3, 1, deepest=99))}
+    assert dict(got) == {k: s for k, (_, s) in walked.items()}
+    assert sum(t.rows[first].depth > 10 for t, s in walked.values() for _, first, _ in s.values()) > 20
+    assert got[None] == {hashlib.md5(b"12:(p").hexdigest()[:12]: (3, 12, "a")}
+    assert {r.page_id: (r["count"], r.selector) for r in discover.discover(deep).collect()}[98] == (4, "article")
+
+
 def test_discovered_schemas_follow_the_most_frequent_structure(nodes):
     for r in discover.discover(nodes).collect():
         t = trees(nodes.where(f"page_id = {r.page_id}"))[r.page_id]
