@@ -161,3 +161,23 @@ def test_sketches_stand_beside_exact_results(spark):
         rows = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert name in ORACLES and {by, count, f"{count}_close", "median_close", "p50"} <= set(rows.columns)
         assert all(r[f"{count}_close"] and r.median_close for r in rows.collect())
+
+
+def test_sketches_of_small_groups_give_the_rows_of_their_sql(spark, tmp_path):
+    """Groups of one to twelve values, of nulls, of NaN, of some NaN, and without a name."""
+    import duckdb
+
+    from pagemill.plans import ORACLES, QUERIES
+
+    nan = float("nan")
+    groups = {str(n): [i * i + 0.5 for i in range(n)] for n in range(1, 13)} | {"nulls": [None] * 4, "nan": [nan] * 3, "some": [nan, nan, 1.0, 2.0, None], None: [7.0, 8.0]}
+    rows = [(g, i, v) for g, values in groups.items() for i, v in enumerate(values)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_extendedprice double").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    events = spark.createDataFrame(rows, "event_type string, user_id long, value double").withColumn("ts", F.timestamp_seconds(F.col("user_id") * 40_000))
+    events.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    text = lambda found: sorted(tuple(map(str, r)) for r in found)
+    with duckdb.connect() as sql:
+        for name, table in (("approximate_distinct", "lineitem"),):
+            sql.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+            assert text(QUERIES[name](spark, folder).collect()) == text(sql.execute(ORACLES[name]).fetchall())
