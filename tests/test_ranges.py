@@ -178,6 +178,6 @@ def test_sketches_of_small_groups_give_the_rows_of_their_sql(spark, tmp_path):
     events.coalesce(1).write.parquet(f"{folder}/events.parquet")
     text = lambda found: sorted(tuple(map(str, r)) for r in found)
     with duckdb.connect() as sql:
-        for name, table in (("approximate_distinct", "lineitem"),):
+        for name, table in (("approximate_distinct", "lineitem"), ("merged_sketches", "events")):
             sql.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
             assert text(QUERIES[name](spark, folder).collect()) == text(sql.execute(ORACLES[name]).fetchall())
